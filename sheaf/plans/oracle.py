@@ -1,0 +1,70 @@
+"""DuckDB statements that compute each registered query from the same tables.
+
+Shared fragments are Python strings so that every statement stays one plain
+SQL text.
+"""
+
+from __future__ import annotations
+
+PAGE_CHARS = 1800
+SIZE_CAP = 16384
+
+DOC_FILES = """
+  SELECT doc_id AS file_id, source AS bucket, lang || '/' || doc_id::VARCHAR || '.txt' AS key,
+         'text/plain' AS content_type, strlen(text)::BIGINT AS size_bytes, text
+  FROM documents"""
+
+DOC_PAGES = f"""
+  SELECT doc_id, p::BIGINT AS page_no,
+         substring(text, ((p - 1) * {PAGE_CHARS} + 1)::BIGINT, {PAGE_CHARS}) AS page_text
+  FROM documents,
+       unnest(range(1, greatest(1, ceil(length(text) / {PAGE_CHARS}.0)::BIGINT) + 1)) AS r(p)
+  WHERE text IS NOT NULL"""
+
+ORDER_INPUTS = """
+  SELECT o_orderkey::VARCHAR AS job_id, 0 AS input_index, 'src' AS name,
+         CASE o_orderstatus WHEN 'F' THEN 'archive' WHEN 'O' THEN 'inbox' ELSE '' END AS bucket,
+         'orders/' || o_orderkey::VARCHAR || '.txt' AS key, 'text/plain' AS content_type
+  FROM orders
+  UNION ALL
+  SELECT o_orderkey::VARCHAR, 1,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'att' ELSE 'src' END, 'inbox',
+         CASE WHEN o_totalprice > 300000 THEN 'att/../' || o_orderkey::VARCHAR
+              ELSE 'att/' || o_orderkey::VARCHAR || '.bin' END,
+         'application/octet-stream'
+  FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"""
+
+
+def ref_error(bucket: str, key: str, allowed: list[str] | None = None) -> str:
+    allow = ""
+    if allowed is not None:
+        lst = ", ".join(f"'{a}'" for a in allowed)
+        allow = f"WHEN {bucket} NOT IN ({lst}) THEN 'BUCKET_NOT_ALLOWED' "
+    return (f"CASE WHEN {bucket} IS NULL OR {bucket} = '' THEN 'BUCKET_REQUIRED' {allow}"
+            f"WHEN {key} IS NULL OR {key} = '' THEN 'KEY_REQUIRED' "
+            f"WHEN contains({key}, '..') THEN 'KEY_TRAVERSAL' END")
+
+
+ALLOWED = ["archive", "inbox", "src0", "src1", "src2"]
+
+SQL: dict[str, str] = {}
+
+SQL["files_sized"] = f"""
+SELECT file_id, bucket, key, size_bytes,
+       CASE WHEN size_bytes > {SIZE_CAP} THEN 'TOO_LARGE' END AS error,
+       CASE WHEN size_bytes <= {SIZE_CAP} THEN length(text) END::BIGINT AS content_chars
+FROM ({DOC_FILES}) f"""
+
+SQL["check_refs"] = f"""
+WITH r AS (
+  SELECT 'doc-' || file_id::VARCHAR AS ref_id, bucket, key FROM ({DOC_FILES}) f
+  UNION ALL
+  SELECT 'in-' || job_id || '-' || input_index::VARCHAR, bucket, key FROM ({ORDER_INPUTS}) i)
+SELECT ref_id, bucket, key, {ref_error('bucket', 'key', ALLOWED)} AS ref_error FROM r"""
+
+SQL["paginate"] = f"""
+SELECT doc_id, page_no, page_text, length(page_text)::BIGINT AS page_chars FROM ({DOC_PAGES}) p"""
+
+SQL["page_counts"] = f"""
+SELECT doc_id, count(*)::BIGINT AS n_pages, sum(strlen(page_text))::BIGINT AS size_bytes
+FROM ({DOC_PAGES}) p GROUP BY doc_id"""

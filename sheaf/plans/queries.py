@@ -1,0 +1,71 @@
+"""Registered queries: each reads whole driver tables and returns flat columns.
+
+Integral outputs are bigint and every computed column is aliased, so the
+DuckDB statements in ``oracle.py`` can return the same names and types.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import pages as P
+from ..operators import validate as V
+from ..sources.files import cap_sizes, files_from_documents, read_table
+from ..sources.tables import order_jobs
+from .registry import query
+
+PAGE_CHARS = 1800
+SIZE_CAP = 16384  # parameter of files_sized: splits sf0.01 documents on both sides
+ALLOWED = ["archive", "inbox", "src0", "src1", "src2"]
+
+
+def T(spark, sf, name):
+    return read_table(spark, sf, name)
+
+
+def doc_files(spark, sf):
+    return files_from_documents(T(spark, sf, "documents"))
+
+
+def doc_pages(spark, sf) -> DataFrame:
+    return P.paginate(doc_files(spark, sf), PAGE_CHARS).withColumnRenamed("file_id", "doc_id")
+
+
+def orders_jobs(spark, sf):
+    return order_jobs(T(spark, sf, "orders"), T(spark, sf, "lineitem"))
+
+
+# ---- A: sources -------------------------------------------------------------
+
+@query("files_sized")
+def q_files_sized(spark: SparkSession, sf: str) -> DataFrame:
+    f = cap_sizes(doc_files(spark, sf), SIZE_CAP)
+    return f.select("file_id", "bucket", "key", "size_bytes", "error",
+                    F.length("text").cast("bigint").alias("content_chars"))
+
+
+# ---- B: checks ----------------------------------------------------------------
+
+@query("check_refs")
+def q_check_refs(spark, sf):
+    docs = doc_files(spark, sf).select(F.concat(F.lit("doc-"), F.col("file_id").cast("string")).alias("ref_id"),
+                                        "bucket", "key")
+    inputs = orders_jobs(spark, sf).inputs.select(
+        F.concat(F.lit("in-"), F.col("job_id"), F.lit("-"), F.col("input_index").cast("string")).alias("ref_id"),
+        "bucket", "key")
+    return V.check_refs(docs.unionByName(inputs), allowed_buckets=ALLOWED)
+
+
+# ---- C: pages -----------------------------------------------------------------
+
+@query("paginate")
+def q_paginate(spark, sf):
+    return doc_pages(spark, sf).select(
+        "doc_id", F.col("page_no").cast("bigint").alias("page_no"), "page_text",
+        F.length("page_text").cast("bigint").alias("page_chars"))
+
+
+@query("page_counts")
+def q_page_counts(spark, sf):
+    return P.page_counts(doc_pages(spark, sf), "doc_id")
