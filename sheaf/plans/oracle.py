@@ -68,3 +68,77 @@ SELECT doc_id, page_no, page_text, length(page_text)::BIGINT AS page_chars FROM
 SQL["page_counts"] = f"""
 SELECT doc_id, count(*)::BIGINT AS n_pages, sum(strlen(page_text))::BIGINT AS size_bytes
 FROM ({DOC_PAGES}) p GROUP BY doc_id"""
+
+
+# ---- E: extraction ------------------------------------------------------------
+
+from ..functions import html as H  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def chain(expr: str, steps) -> str:
+    for st in steps:
+        if st[0] == "=":
+            expr = f"replace({expr}, {_lit(st[1])}, {_lit(st[2])})"
+        else:
+            expr = f"regexp_replace({expr}, {_lit(st[0])}, {_lit(st[1])}, 'g')"
+    return expr
+
+
+NL2 = "chr(10) || chr(10)"
+PAGE_MD = f"SELECT page_id, {chain('html', H.MARKDOWN_STEPS)} AS markdown FROM pages"
+
+BLOCKS = f"""
+  WITH md AS ({PAGE_MD}),
+  s AS (SELECT page_id, string_split(markdown, {NL2}) AS arr FROM md),
+  b AS (SELECT page_id, (generate_subscripts(arr, 1) - 1)::BIGINT AS pos, unnest(arr) AS raw FROM s),
+  l AS (
+    SELECT page_id, pos, raw,
+      CASE WHEN regexp_matches(raw, '^#{{1,6}} ') THEN 'section_header'
+           WHEN regexp_matches(raw, '^- ') THEN 'list_item' ELSE 'text' END AS label,
+      CASE WHEN regexp_matches(raw, '^#{{1,6}} ') THEN regexp_replace(raw, '^#{{1,6}} ', '')
+           WHEN regexp_matches(raw, '^- ') THEN regexp_replace(raw, '^- ', '') ELSE raw END AS text
+    FROM b)
+  SELECT page_id, pos, label, text,
+    last_value(CASE WHEN label = 'section_header' THEN text END IGNORE NULLS) OVER (
+      PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading,
+    (floor(coalesce(sum(length(raw) + 2) OVER (
+      PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      / {PAGE_CHARS}) + 1)::BIGINT AS page_no
+  FROM l"""
+
+SQL["extract_markdown"] = PAGE_MD
+
+SQL["extract_html"] = f"SELECT page_id, {chain('html', H.HTML_STEPS)} AS clean_html FROM pages"
+
+SQL["structure_blocks"] = f"SELECT * FROM ({BLOCKS}) x"
+
+SQL["structure_json"] = f"""
+WITH b AS ({BLOCKS})
+SELECT page_id, to_json({{'texts': list({{'text': text, 'label': label,
+    'prov': [{{'page_no': page_no::INTEGER}}],
+    'headings': CASE WHEN heading IS NULL THEN []::VARCHAR[] ELSE [heading] END}} ORDER BY pos)}})::VARCHAR
+  AS structure_json
+FROM b GROUP BY page_id"""
+
+SQL["parse_chunks"] = f"""
+SELECT page_id, pos AS chunk_index, label AS chunk_type, page_no AS page_number,
+       coalesce(heading, '') AS heading, text AS chunk_text
+FROM ({BLOCKS}) b WHERE text <> ''"""
+
+_IMG = ('<img src="data:image/png;base64,iVBORw0KGgo=" alt="logo">'
+        '<img src="/static/figure.jpg" alt="figure"></article>')
+_MODES = " UNION ALL ".join(
+    f"SELECT page_id, '{m}' AS mode, {chain('html', H.image_mode_steps(m))} AS out FROM base"
+    for m in H.IMAGE_MODES)
+SQL["image_modes"] = f"""
+WITH base AS (SELECT page_id, replace(html, '</article>', {_lit(_IMG)}) AS html FROM pages),
+u AS ({_MODES})
+SELECT page_id, mode, length(out)::BIGINT AS html_chars,
+       ((length(out) - length(replace(out, '<img', ''))) / 4)::BIGINT AS n_img,
+       ((length(out) - length(replace(out, {_lit(H.IMAGE_PLACEHOLDER)}, ''))) / {len(H.IMAGE_PLACEHOLDER)})::BIGINT
+         AS n_placeholders
+FROM u"""

@@ -69,3 +69,67 @@ def q_paginate(spark, sf):
 @query("page_counts")
 def q_page_counts(spark, sf):
     return P.page_counts(doc_pages(spark, sf), "doc_id")
+
+
+# ---- E: extraction ------------------------------------------------------------
+
+from ..operators import extract as E  # noqa: E402
+from ..functions import html as H  # noqa: E402
+
+IMG_INJECT = ('<img src="data:image/png;base64,iVBORw0KGgo=" alt="logo">'
+              '<img src="/static/figure.jpg" alt="figure"></article>')
+
+
+def page_markdown(spark, sf):
+    return E.extract_markdown(T(spark, sf, "pages").select("page_id", "html"))
+
+
+def page_blocks(spark, sf):
+    return E.structure_blocks(page_markdown(spark, sf), "page_id", page_chars=PAGE_CHARS)
+
+
+@query("extract_markdown")
+def q_extract_markdown(spark, sf):
+    return page_markdown(spark, sf).select("page_id", "markdown")
+
+
+@query("extract_html")
+def q_extract_html(spark, sf):
+    return E.extract_html(T(spark, sf, "pages")).select("page_id", "clean_html")
+
+
+@query("structure_blocks")
+def q_structure_blocks(spark, sf):
+    return page_blocks(spark, sf).select(
+        "page_id", "pos", "label", "text", "heading", F.col("page_no").cast("bigint"))
+
+
+@query("structure_json")
+def q_structure_json(spark, sf):
+    return E.structure_json(page_blocks(spark, sf), "page_id")
+
+
+@query("parse_chunks")
+def q_parse_chunks(spark, sf):
+    ch = E.parse_chunks(E.structure_json(page_blocks(spark, sf), "page_id"), "page_id")
+    return ch.select("page_id", F.col("chunk_index").cast("bigint"), "chunk_type",
+                     F.col("page_number").cast("bigint"), "heading", "chunk_text")
+
+
+@query("image_modes")
+def q_image_modes(spark, sf):
+    base = T(spark, sf, "pages").select(
+        "page_id", F.replace(F.col("html"), F.lit("</article>"), F.lit(IMG_INJECT)).alias("html"))
+    outs = []
+    for mode in H.IMAGE_MODES:
+        o = base.select("page_id", F.lit(mode).alias("mode"),
+                        H.apply_image_mode(F.col("html"), mode).alias("out"))
+        outs.append(o)
+    u = outs[0]
+    for o in outs[1:]:
+        u = u.unionByName(o)
+    n_img = ((F.length("out") - F.length(F.replace(F.col("out"), F.lit("<img"), F.lit("")))) / 4)
+    n_ph = ((F.length("out") - F.length(F.replace(F.col("out"), F.lit(H.IMAGE_PLACEHOLDER), F.lit(""))))
+            / len(H.IMAGE_PLACEHOLDER))
+    return u.select("page_id", "mode", F.length("out").cast("bigint").alias("html_chars"),
+                    n_img.cast("bigint").alias("n_img"), n_ph.cast("bigint").alias("n_placeholders"))
