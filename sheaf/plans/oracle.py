@@ -142,3 +142,60 @@ SELECT page_id, mode, length(out)::BIGINT AS html_chars,
        ((length(out) - length(replace(out, {_lit(H.IMAGE_PLACEHOLDER)}, ''))) / {len(H.IMAGE_PLACEHOLDER)})::BIGINT
          AS n_placeholders
 FROM u"""
+
+
+# ---- F: scanning --------------------------------------------------------------
+
+HITS = """
+  SELECT d.doc_id AS file_id, b.item_id AS sig_id
+  FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)"""
+
+VERDICTS = f"""
+  WITH h AS ({HITS}),
+  pf AS (SELECT file_id, min(sig_id) AS sig, count(*) AS n FROM h GROUP BY file_id)
+  SELECT d.doc_id AS file_id, pf.sig IS NULL AS clean,
+         CASE WHEN pf.sig IS NOT NULL THEN 'Bench.Passage-' || pf.sig::VARCHAR END AS detail,
+         coalesce(pf.n, 0)::BIGINT AS n_hits
+  FROM documents d LEFT JOIN pf ON pf.file_id = d.doc_id"""
+
+_WS = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
+REPLIES = f"""
+  SELECT v.file_id,
+    CASE WHEN d.lang = 'en' THEN base || chr(0)
+         WHEN d.lang = 'fr' THEN '  ' || base || ' ' || chr(10)
+         WHEN d.lang = 'de' AND d.n_chars > 20000 THEN 'stream: INSTREAM size limit exceeded ERROR'
+         ELSE base END AS response
+  FROM (SELECT *, CASE WHEN clean THEN 'stream: OK' ELSE 'stream: ' || detail || ' FOUND' END AS base
+        FROM ({VERDICTS}) x) v
+  JOIN documents d ON d.doc_id = v.file_id"""
+
+CLASSIFIED = f"""
+  WITH r AS (SELECT file_id, response,
+      regexp_replace(regexp_replace(regexp_replace(coalesce(response, ''),
+        '^{_WS}+', '', 'g'), '{_WS}+\\z', '', 'g'), '\\x00+\\z', '', 'g') AS t
+    FROM ({REPLIES}) y),
+  s AS (SELECT *, substring(t, 9) AS d1 FROM r)
+  SELECT file_id, response, t = 'stream: OK' AS clean,
+    CASE WHEN t = 'stream: OK' THEN NULL
+         WHEN starts_with(t, 'stream: ') AND ends_with(t, ' FOUND') THEN
+           CASE WHEN ends_with(d1, ' FOUND') THEN substring(d1, 1, length(d1) - 6) ELSE d1 END
+         ELSE 'unexpected scan response: ' || t END AS detail
+  FROM s"""
+
+SQL["scan_corpus"] = VERDICTS
+SQL["scan_hits"] = HITS
+SQL["scan_hashes"] = """
+WITH bad AS (SELECT sha256(d.text) AS sha256, min(d.doc_id) AS match_id
+             FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 1 GROUP BY 1)
+SELECT d.doc_id AS file_id, sha256(d.text) AS sha256, bad.match_id, bad.match_id IS NOT NULL AS matched
+FROM documents d LEFT JOIN bad ON bad.sha256 = sha256(d.text)"""
+SQL["scan_disabled"] = """
+SELECT doc_id AS file_id, false AS clean, 'scanning disabled: no antivirus configured' AS detail,
+       0::BIGINT AS n_hits FROM documents"""
+SQL["classify_scans"] = CLASSIFIED
+SQL["threat_counts"] = f"""
+SELECT clean, detail, count(*)::BIGINT AS n_files FROM ({CLASSIFIED}) c GROUP BY clean, detail"""
+SQL["scan_gate"] = """
+WITH f AS (SELECT user_id, min(event_id) AS ff FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT e.user_id AS job_id, e.event_id AS seq, e.event_type, coalesce(e.event_id > f.ff, false) AS gated
+FROM events e LEFT JOIN f ON f.user_id = e.user_id"""

@@ -133,3 +133,78 @@ def q_image_modes(spark, sf):
             / len(H.IMAGE_PLACEHOLDER))
     return u.select("page_id", "mode", F.length("out").cast("bigint").alias("html_chars"),
                     n_img.cast("bigint").alias("n_img"), n_ph.cast("bigint").alias("n_placeholders"))
+
+
+# ---- F: scanning --------------------------------------------------------------
+
+from ..operators import scan as S  # noqa: E402
+
+
+def bench_signatures(spark, sf):
+    return T(spark, sf, "benchmark").select(
+        F.col("item_id").alias("sig_id"),
+        F.concat(F.lit("Bench.Passage-"), F.col("item_id").cast("string")).alias("sig_name"),
+        F.col("text").alias("pattern"))
+
+
+def doc_verdicts(spark, sf, method="auto"):
+    return S.scan_corpus(doc_files(spark, sf), bench_signatures(spark, sf), method=method)
+
+
+def scanner_replies(spark, sf):
+    """Reply lines a scanner daemon would print for each document.
+
+    Verdicts come from the signature scan; the line shapes (trailing NUL,
+    padding, size-limit error) are chosen by language so that every parsing
+    rule sees whole-table traffic.
+    """
+    v = doc_verdicts(spark, sf).join(
+        T(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "lang", "n_chars"), "file_id")
+    base = F.when(F.col("clean"), F.lit("stream: OK")).otherwise(
+        F.concat(F.lit("stream: "), F.col("detail"), F.lit(" FOUND")))
+    line = (F.when(F.col("lang") == "en", F.concat(base, F.lit("\x00")))
+             .when(F.col("lang") == "fr", F.concat(F.lit("  "), base, F.lit(" \n")))
+             .when((F.col("lang") == "de") & (F.col("n_chars") > 20000),
+                   F.lit("stream: INSTREAM size limit exceeded ERROR"))
+             .otherwise(base))
+    return v.select("file_id", line.alias("response"))
+
+
+@query("scan_corpus")
+def q_scan_corpus(spark, sf):
+    return doc_verdicts(spark, sf)
+
+
+@query("scan_hits")
+def q_scan_hits(spark, sf):
+    return S.scan_hits(doc_files(spark, sf), bench_signatures(spark, sf))
+
+
+@query("scan_hashes")
+def q_scan_hashes(spark, sf):
+    docs = T(spark, sf, "documents")
+    bad = (docs.join(T(spark, sf, "labels").filter(F.col("toxic") == 1), "doc_id")
+           .select(F.col("doc_id").alias("bad_id"), F.sha2("text", 256).alias("sha256")))
+    return S.scan_hashes(doc_files(spark, sf), bad)
+
+
+@query("scan_disabled")
+def q_scan_disabled(spark, sf):
+    return S.scan_corpus(doc_files(spark, sf), None)
+
+
+@query("classify_scans")
+def q_classify_scans(spark, sf):
+    return S.classify_scan_responses(scanner_replies(spark, sf), "response")
+
+
+@query("threat_counts")
+def q_threat_counts(spark, sf):
+    return S.threat_counts(S.classify_scan_responses(scanner_replies(spark, sf), "response"))
+
+
+@query("scan_gate")
+def q_scan_gate(spark, sf):
+    ev = T(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
+                                       "event_type")
+    return S.scan_gate(ev, "job_id", "seq", F.col("event_type") == "error")
