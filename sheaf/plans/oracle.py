@@ -199,3 +199,172 @@ SQL["scan_gate"] = """
 WITH f AS (SELECT user_id, min(event_id) AS ff FROM events WHERE event_type = 'error' GROUP BY user_id)
 SELECT e.user_id AS job_id, e.event_id AS seq, e.event_type, coalesce(e.event_id > f.ff, false) AS gated
 FROM events e LEFT JOIN f ON f.user_id = e.user_id"""
+
+
+# ---- A2 / B3 / G: jobs --------------------------------------------------------
+
+ORDER_OPS = """
+  SELECT job_id, op_index, op_name, op_type,
+    CASE WHEN n = 1 THEN ['src']
+         WHEN l_quantity >= 49 THEN ['s' || (n + 1)::VARCHAR]
+         WHEN op_type = 'merge_pdfs' THEN ['src', 's' || (n - 1)::VARCHAR]
+         ELSE ['s' || (n - 1)::VARCHAR] END AS inputs
+  FROM (
+    SELECT l_orderkey::VARCHAR AS job_id, (l_linenumber - 1)::INTEGER AS op_index, l_linenumber AS n,
+      l_quantity,
+      CASE WHEN l_linenumber = 3 AND l_returnflag = 'R' THEN 'src'
+           WHEN l_linenumber = 4 AND l_returnflag = 'A' THEN 's3'
+           ELSE 's' || l_linenumber::VARCHAR END AS op_name,
+      CASE WHEN l_linenumber = 1 THEN 'scan' WHEN l_discount >= 0.095 THEN NULL
+           WHEN l_returnflag = 'R' THEN 'convert_to_pdf' WHEN l_returnflag = 'A' THEN 'thumbnail'
+           WHEN l_linestatus = 'O' THEN 'extract_markdown' ELSE 'merge_pdfs' END AS op_type
+    FROM lineitem) x"""
+
+ORDER_DESTS = """
+  SELECT o_orderkey::VARCHAR AS job_id, 's1' AS name, 'out' AS bucket,
+         'out/' || o_orderkey::VARCHAR || '.pdf' AS key, 'application/pdf' AS content_type FROM orders
+  UNION ALL
+  SELECT o_orderkey::VARCHAR, 'report', 'out', 'out/' || o_orderkey::VARCHAR || '.md', 'text/markdown'
+  FROM orders WHERE o_orderpriority = '3-MEDIUM'"""
+
+SQL["check_jobs"] = f"""
+WITH i AS ({ORDER_INPUTS}), o AS ({ORDER_OPS}), d AS ({ORDER_DESTS}),
+ids AS (SELECT o_orderkey::VARCHAR AS job_id FROM orders UNION SELECT job_id FROM i
+        UNION SELECT job_id FROM o UNION SELECT job_id FROM d),
+fi AS (SELECT job_id, name, min(input_index) AS first_in FROM i GROUP BY ALL),
+in_err AS (
+  SELECT i.job_id, 3 AS stage, i.input_index AS idx, '' AS dname,
+    CASE WHEN i.name IS NULL OR i.name = '' THEN 'INPUT_NAME_REQUIRED'
+         WHEN i.input_index > fi.first_in THEN 'DUPLICATE_INPUT'
+         ELSE {ref_error('i.bucket', 'i.key')} END AS code
+  FROM i LEFT JOIN fi ON fi.job_id = i.job_id AND fi.name = i.name),
+known AS (SELECT job_id, name, min(k) AS known_at FROM (
+  SELECT job_id, name, -1 AS k FROM i UNION ALL SELECT job_id, op_name, op_index FROM o) z GROUP BY ALL),
+refs AS (
+  SELECT r.job_id, r.op_index,
+    max(CASE WHEN k.known_at IS NULL OR k.known_at >= r.op_index THEN 1 ELSE 0 END) AS bad_ref
+  FROM (SELECT job_id, op_index, unnest(inputs) AS name FROM o) r
+  LEFT JOIN known k ON k.job_id = r.job_id AND k.name = r.name GROUP BY ALL),
+isin AS (SELECT DISTINCT job_id, name AS op_name FROM i),
+ofirst AS (SELECT job_id, op_name, min(op_index) AS first_op FROM o GROUP BY ALL),
+op_err AS (
+  SELECT o.job_id, 4 AS stage, o.op_index AS idx, '' AS dname,
+    CASE WHEN o.op_name IS NULL OR o.op_name = '' THEN 'OP_NAME_REQUIRED'
+         WHEN isin.op_name IS NOT NULL THEN 'OP_NAME_IS_INPUT'
+         WHEN o.op_index > ofirst.first_op THEN 'DUPLICATE_OP'
+         WHEN o.op_type IS NULL THEN 'OP_TYPE_MISSING'
+         WHEN refs.bad_ref = 1 THEN 'UNKNOWN_REF'
+         WHEN len(o.inputs) = 0 THEN 'OP_INPUTS_REQUIRED' END AS code
+  FROM o LEFT JOIN isin ON isin.job_id = o.job_id AND isin.op_name = o.op_name
+  LEFT JOIN ofirst ON ofirst.job_id = o.job_id AND ofirst.op_name = o.op_name
+  LEFT JOIN refs ON refs.job_id = o.job_id AND refs.op_index = o.op_index),
+d_err AS (
+  SELECT d.job_id, 5 AS stage, 0 AS idx, d.name AS dname,
+    CASE WHEN k.name IS NULL THEN 'UNKNOWN_DEST' ELSE {ref_error('d.bucket', 'd.key')} END AS code
+  FROM d LEFT JOIN known k ON k.job_id = d.job_id AND k.name = d.name),
+no_in AS (SELECT job_id, 1 AS stage, 0 AS idx, '' AS dname, 'NO_INPUTS' AS code FROM ids
+          WHERE job_id NOT IN (SELECT job_id FROM i)),
+no_ops AS (SELECT job_id, 2 AS stage, 0 AS idx, '' AS dname, 'NO_OPERATIONS' AS code FROM ids
+           WHERE job_id NOT IN (SELECT job_id FROM o)),
+e AS (SELECT * FROM (SELECT * FROM no_in UNION ALL SELECT * FROM no_ops UNION ALL SELECT * FROM in_err
+      UNION ALL SELECT * FROM op_err UNION ALL SELECT * FROM d_err) u WHERE code IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY stage, idx, dname, code) AS rn FROM e)
+SELECT ids.job_id, r.code AS error, r.stage::BIGINT AS stage,
+  CASE WHEN r.stage = 5 THEN r.dname WHEN r.stage IN (3, 4) THEN r.idx::VARCHAR END AS item
+FROM ids LEFT JOIN r ON r.job_id = ids.job_id AND r.rn = 1"""
+
+SQL["dispatch_ops"] = f"""
+SELECT job_id, op_index::BIGINT AS op_index, op_name, coalesce(op_type, 'error') AS dispatch,
+  CASE WHEN op_type IS NULL THEN 'unknown operation type' END AS dispatch_error
+FROM ({ORDER_OPS}) o"""
+
+ORDER_USES = f"""
+  SELECT job_id, unnest(inputs) AS ref, op_index FROM ({ORDER_OPS}) o
+  UNION ALL SELECT job_id, name, NULL FROM ({ORDER_DESTS}) d"""
+
+SQL["artifact_refs"] = f"""
+SELECT job_id, ref, count(*)::BIGINT AS n_uses, max(op_index)::BIGINT AS last_op_index
+FROM ({ORDER_USES}) u GROUP BY job_id, ref"""
+
+SQL["unused_inputs"] = f"""
+SELECT i.job_id, i.input_index::BIGINT AS input_index, i.name, i.bucket, i.key
+FROM ({ORDER_INPUTS}) i
+WHERE NOT EXISTS (SELECT 1 FROM ({ORDER_USES}) u WHERE u.job_id = i.job_id AND u.ref = i.name)"""
+
+SQL["jobs_exploded"] = """
+WITH d AS (SELECT doc_id, 'doc-' || doc_id::VARCHAR AS job_id, lang, source, lang = 'de' AS allp FROM documents)
+SELECT job_id, 'input' AS part, 0::BIGINT AS idx, 'doc' AS name, NULL AS op_type, NULL AS refs,
+       source AS bucket, lang || '/' || doc_id::VARCHAR || '.txt' AS key, 'text/plain' AS content_type,
+       NULL::BIGINT AS width, NULL::BIGINT AS dpi, NULL AS format, NULL AS pages FROM d
+UNION ALL SELECT job_id, 'op', 0, 'scan', 'scan', 'doc', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT job_id, 'op', 1, 'pdf', 'convert_to_pdf', 'doc', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT job_id, 'op', 2, 'thumb', 'thumbnail', 'pdf', NULL, NULL, NULL,
+       CASE WHEN allp THEN 200 ELSE 400 END, 150, CASE WHEN allp THEN 'png' ELSE 'jpg' END,
+       CASE WHEN allp THEN 'all' ELSE 'first' END FROM d
+UNION ALL SELECT job_id, 'op', 3, 'text', 'extract_markdown', 'pdf', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT job_id, 'dest', NULL, 'pdf', NULL, NULL, 'out', 'pdf/' || doc_id::VARCHAR || '.pdf',
+       'application/pdf', NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT job_id, 'dest', NULL, 'thumb', NULL, NULL, 'out',
+       'thumb/' || doc_id::VARCHAR || '.' || CASE WHEN allp THEN 'png' ELSE 'jpg' END,
+       CASE WHEN allp THEN 'image/png' ELSE 'image/jpeg' END, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT job_id, 'dest', NULL, 'text', NULL, NULL, 'out', 'text/' || doc_id::VARCHAR || '.md',
+       'text/markdown', NULL, NULL, NULL, NULL FROM d"""
+
+# The four-step template over every document; German documents preview all pages.
+DOC_RUN = f"""
+  SELECT d.doc_id, 'doc-' || d.doc_id::VARCHAR AS job_id, d.text, d.lang = 'de' AS allp,
+         v.clean, v.detail, greatest(1, ceil(length(d.text) / {PAGE_CHARS}.0))::BIGINT AS np,
+         CASE WHEN d.lang = 'de' THEN 200 ELSE 400 END AS width
+  FROM documents d JOIN ({VERDICTS}) v ON v.file_id = d.doc_id"""
+
+SKIP = "'skipped: prior scan detected a threat'"
+SQL["run_jobs"] = f"""
+WITH j AS ({DOC_RUN})
+SELECT job_id, 0::BIGINT AS op_index, 'scan' AS op_name, 'scan' AS op_type, clean AS success,
+       CASE WHEN NOT clean THEN 'virus detected: ' || detail END AS error, clean, detail,
+       NULL::BIGINT AS size_bytes, NULL::BIGINT AS page_count, NULL::BIGINT AS md_chars FROM j
+UNION ALL
+SELECT job_id, 1, 'pdf', 'convert_to_pdf', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
+       CASE WHEN clean THEN strlen(text) END, CASE WHEN clean THEN np END, NULL FROM j
+UNION ALL
+SELECT job_id, 2, 'thumb', 'thumbnail', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
+       CASE WHEN clean THEN strlen(substring(text, 1, width)) END,
+       CASE WHEN clean THEN (CASE WHEN allp THEN np ELSE 1 END) END, NULL FROM j
+UNION ALL
+SELECT job_id, 3, 'text', 'extract_markdown', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
+       NULL, NULL, CASE WHEN clean THEN length(text) END FROM j"""
+
+SQL["job_outcome"] = """
+SELECT 'doc-' || doc_id::VARCHAR AS job_id,
+       CASE WHEN strlen(text) > 32768 THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN strlen(text) > 32768 THEN 'download doc: TOO_LARGE' END AS error
+FROM documents"""
+
+SQL["upload_plan"] = f"""
+WITH j AS ({DOC_RUN}), c AS (SELECT * FROM j WHERE clean)
+SELECT job_id, 'pdf' AS name, NULL::BIGINT AS page_no, 'out' AS bucket,
+       'pdf/' || doc_id::VARCHAR || '.pdf' AS key, 'application/pdf' AS content_type,
+       strlen(text)::BIGINT AS size_bytes, 'op' AS source FROM c
+UNION ALL
+SELECT job_id, 'thumb', NULL, 'out', 'thumb/' || doc_id::VARCHAR || CASE WHEN allp THEN '.png' ELSE '.jpg' END,
+       CASE WHEN allp THEN 'image/png' ELSE 'image/jpeg' END, strlen(substring(text, 1, width))::BIGINT, 'op'
+FROM c WHERE NOT allp OR np = 1
+UNION ALL
+SELECT job_id, 'thumb', p::BIGINT, 'out', printf('thumb/%s_%03d.png', doc_id::VARCHAR, p), 'image/png',
+       strlen(substring(substring(text, ((p - 1) * {PAGE_CHARS} + 1)::BIGINT, {PAGE_CHARS}), 1, width))::BIGINT, 'op'
+FROM c, unnest(range(1, np + 1)) AS r(p) WHERE allp AND np > 1"""
+
+PROGRESS = f"""
+  WITH j AS ({DOC_RUN})
+  SELECT job_id, 0::BIGINT AS seq, 'downloading' AS step, 0::BIGINT AS current, 1::BIGINT AS total FROM j
+  UNION ALL SELECT job_id, 1, 'downloading', 1, 1 FROM j
+  UNION ALL SELECT job_id, 2, 'scan', 1, 4 FROM j
+  UNION ALL SELECT job_id, 3, 'pdf', 2, 4 FROM j WHERE clean
+  UNION ALL SELECT job_id, 4, 'thumb', 3, 4 FROM j WHERE clean
+  UNION ALL SELECT job_id, 5, 'text', 4, 4 FROM j WHERE clean"""
+
+SQL["progress_events"] = PROGRESS
+SQL["latest_progress"] = f"""
+SELECT job_id, arg_max(step, seq) AS step, arg_max(current, seq) AS current, arg_max(total, seq) AS total,
+       max(seq) AS last_seq
+FROM ({PROGRESS}) p GROUP BY job_id"""

@@ -208,3 +208,108 @@ def q_scan_gate(spark, sf):
     ev = T(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
                                        "event_type")
     return S.scan_gate(ev, "job_id", "seq", F.col("event_type") == "error")
+
+
+# ---- A2 / B3 / G: jobs --------------------------------------------------------
+
+from ..plans import workflow as W  # noqa: E402
+from ..sources.jobs import explode_jobs, parse_jobs  # noqa: E402
+from ..sources.tables import document_jobs_json  # noqa: E402
+
+
+def doc_jobs(spark, sf):
+    return explode_jobs(parse_jobs(document_jobs_json(T(spark, sf, "documents"))))
+
+
+def doc_run(spark, sf, max_bytes=None):
+    return W.run_jobs(doc_jobs(spark, sf), doc_files(spark, sf), bench_signatures(spark, sf),
+                      page_chars=PAGE_CHARS, max_bytes=max_bytes)
+
+
+@query("jobs_exploded")
+def q_jobs_exploded(spark, sf):
+    j = doc_jobs(spark, sf)
+    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    ins = j.inputs.select("job_id", F.lit("input").alias("part"), F.col("input_index").cast("bigint").alias("idx"),
+                          "name", none_s.alias("op_type"), none_s.alias("refs"), "bucket", "key",
+                          "content_type", none_i.alias("width"), none_i.alias("dpi"),
+                          none_s.alias("format"), none_s.alias("pages"))
+    ops = j.ops.select("job_id", F.lit("op").alias("part"), F.col("op_index").cast("bigint").alias("idx"),
+                       F.col("op_name").alias("name"), "op_type", F.array_join("inputs", ",").alias("refs"),
+                       none_s.alias("bucket"), none_s.alias("key"), none_s.alias("content_type"),
+                       F.col("width").cast("bigint"), F.col("dpi").cast("bigint"), "format", "pages")
+    dests = j.dests.select("job_id", F.lit("dest").alias("part"), none_i.alias("idx"), "name",
+                           none_s.alias("op_type"), none_s.alias("refs"), "bucket", "key", "content_type",
+                           none_i.alias("width"), none_i.alias("dpi"), none_s.alias("format"), none_s.alias("pages"))
+    return ins.unionByName(ops).unionByName(dests)
+
+
+@query("check_jobs")
+def q_check_jobs(spark, sf):
+    r = V.check_pipelines(orders_jobs(spark, sf))
+    return r.select("job_id", "error", F.col("stage").cast("bigint"), "item")
+
+
+@query("dispatch_ops")
+def q_dispatch_ops(spark, sf):
+    return W.dispatch_ops(orders_jobs(spark, sf).ops).select(
+        "job_id", F.col("op_index").cast("bigint"), "op_name", "dispatch", "dispatch_error")
+
+
+@query("artifact_refs")
+def q_artifact_refs(spark, sf):
+    return W.artifact_refs(orders_jobs(spark, sf)).select(
+        "job_id", "ref", F.col("n_uses").cast("bigint"), F.col("last_op_index").cast("bigint"))
+
+
+@query("unused_inputs")
+def q_unused_inputs(spark, sf):
+    return W.unused_inputs(orders_jobs(spark, sf)).select(
+        "job_id", F.col("input_index").cast("bigint"), "name", "bucket", "key")
+
+
+def _flat_results(res):
+    return res.select("job_id", F.col("op_index").cast("bigint"), "op_name", "op_type", "success", "error",
+                      "clean", "detail", "size_bytes", F.col("page_count").cast("bigint"),
+                      F.length("markdown").cast("bigint").alias("md_chars"))
+
+
+@query("run_jobs")
+def q_run_jobs(spark, sf):
+    return _flat_results(doc_run(spark, sf).results)
+
+
+@query("results_json")
+def q_results_json(spark, sf):
+    return W.assemble_results(doc_run(spark, sf).results)
+
+
+@query("job_outcome")
+def q_job_outcome(spark, sf):
+    return doc_run(spark, sf, max_bytes=32768).outcomes
+
+
+@query("upload_plan")
+def q_upload_plan(spark, sf):
+    from ..sources.sinks import upload_plan
+    run = doc_run(spark, sf)
+    plan = upload_plan(doc_jobs(spark, sf).dests, run.artifacts, run.artifact_pages)
+    return plan.select("job_id", "name", F.col("page_no").cast("bigint"), "bucket", "key", "content_type",
+                       "size_bytes", "source")
+
+
+@query("progress_events")
+def q_progress_events(spark, sf):
+    jobs = doc_jobs(spark, sf)
+    ev = W.progress_events(jobs, W.run_jobs(jobs, doc_files(spark, sf), bench_signatures(spark, sf),
+                                            page_chars=PAGE_CHARS))
+    return ev.select("job_id", "seq", "step", F.col("current").cast("bigint"), F.col("total").cast("bigint"))
+
+
+@query("latest_progress")
+def q_latest_progress(spark, sf):
+    jobs = doc_jobs(spark, sf)
+    ev = W.progress_events(jobs, W.run_jobs(jobs, doc_files(spark, sf), bench_signatures(spark, sf),
+                                            page_chars=PAGE_CHARS))
+    return W.latest_progress(ev).select("job_id", "step", F.col("current").cast("bigint"),
+                                        F.col("total").cast("bigint"), "last_seq")
