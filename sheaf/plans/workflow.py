@@ -7,30 +7,26 @@ driver (they can only refer backwards) and each becomes a DataFrame
 transformation over *all* jobs of that template. Only the distinct template
 descriptors are collected, never job or file rows.
 
-Artifacts of a job are named DataFrames keyed by job_id:
-
-* file   - a downloaded input: text (+ content type, key)
-* paged  - a converted document: page table (job_id, page_no, page_text); when
-           it is a plain pagination of a file the text is kept, so page sizes,
-           counts and page 1 come from the text without exploding pages
-* image  - previews (job_id, page_no, page_text = the preview)
+Within a template every artifact of a job is a column expression over the
+job's row (see ``Art``): all operations of a job are evaluated in one
+projection and exploded into result rows, so the inputs are read and joined
+once however many operations use them. Skipped operations are a lazy CASE
+branch: their work is never evaluated.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.windows import running_sum
 from ..operators import scan as S
-from ..operators.pages import DEFAULT_DPI, DEFAULT_FORMAT, DEFAULT_WIDTH
+from ..operators.pages import DEFAULT_WIDTH
 from ..sources.files import TOO_LARGE, effective_cap
-from ..sources.jobs import Jobs
+from ..sources.jobs import Jobs, template_of
 
 # Result messages.
 SKIPPED = "skipped: prior scan detected a threat"
@@ -46,54 +42,14 @@ RESULT_COLS = ["job_id", "op_index", "op_name", "op_type", "success", "error", "
                "size_bytes", "page_count", "markdown", "html"]
 
 
-@dataclass
-class Artifact:
-    kind: str                       # file | paged | image
-    text: DataFrame | None = None   # job_id, text (+ content_type) when known
-    pages: DataFrame | None = None  # job_id, page_no, page_text / preview
-    file_name: str | None = None
-
-
-@dataclass
-class JobRun:
-    results: DataFrame        # one row per (job, op) of jobs whose downloads succeeded
-    downloads: DataFrame      # job_id, input_index, name, error
-    outcomes: DataFrame       # job_id, status, error
-    artifacts: DataFrame      # job_id, name, n_pages, size_bytes, source
-    artifact_pages: DataFrame  # job_id, name, page_no, size_bytes (multi-page previews)
-    cached: list = field(default_factory=list)
-
-    def unpersist(self):
-        for df in self.cached:
-            df.unpersist()
-
-
-def _result(df: DataFrame, op: dict, **cols) -> DataFrame:
-    base = {
-        "job_id": F.col("job_id"),
-        "op_index": F.lit(op["op_index"]).cast("int"),
-        "op_name": F.lit(op["op_name"]),
-        "op_type": F.lit(op["op_type"]).cast("string"),
-        "success": F.lit(True),
-        "error": F.lit(None).cast("string"),
-        "clean": F.lit(None).cast("boolean"),
-        "detail": F.lit(None).cast("string"),
-        "size_bytes": F.lit(None).cast("bigint"),
-        "page_count": F.lit(None).cast("int"),
-        "markdown": F.lit(None).cast("string"),
-        "html": F.lit(None).cast("string"),
-    }
-    base.update(cols)
-    return df.select(*[base[c].alias(c) for c in RESULT_COLS])
-
-
-def downloads(jobs: Jobs, files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def downloads(jobs: Jobs, files: DataFrame, max_bytes: int | None = None,
+              keep: list[str] | None = None) -> DataFrame:
     """Each job input joined to its file: error NOT_FOUND / TOO_LARGE, else the text."""
     cap = effective_cap(max_bytes)
     f = files.select("bucket", "key", F.col("content_type").alias("__ct"), "size_bytes", "text")
     d = jobs.inputs.join(f, ["bucket", "key"], "left")
     return d.select(
-        "job_id", "input_index", "name", "bucket", "key",
+        "job_id", "input_index", "name", "bucket", "key", *(keep or []),
         F.coalesce(F.col("content_type"), F.col("__ct")).alias("content_type"),
         F.when(F.col("size_bytes").isNull(), F.lit(NOT_FOUND))
          .when(F.col("size_bytes") > cap, F.lit(TOO_LARGE)).alias("error"),
@@ -114,17 +70,36 @@ def job_outcome(dl: DataFrame) -> DataFrame:
 
 
 def job_templates(jobs: Jobs) -> DataFrame:
-    """job_id, template (JSON of input names and operations), template_id."""
-    ops = (jobs.ops.groupBy("job_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        "op_index", "op_name", "op_type", "inputs", "width", "dpi", "format", "pages")))).alias("o")))
-    ins = (jobs.inputs.groupBy("job_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        "input_index", "name")))).alias("i")))
-    t = (ins.join(ops, "job_id", "full")
-         .select("job_id", F.to_json(F.struct(F.col("i").alias("inputs"), F.col("o").alias("ops")))
-                 .alias("template")))
+    """job_id, template (JSON of input names and operations), template_id.
+
+    From nested job documents this is a projection; from flat tables the
+    lists are gathered per job (a job's operation list is its definition).
+    """
+    if jobs.docs is not None:
+        t = jobs.docs.select("job_id", template_of(jobs.docs).alias("template"))
+    else:
+        ops = jobs.ops.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(
+            "op_index", "op_name", "op_type", "inputs", "width", "dpi", "format", "pages"))).alias("o"))
+        ins = jobs.inputs.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(
+            "input_index", "name"))).alias("i"))
+        t = (ins.join(ops, "job_id", "full")
+             .select("job_id", F.to_json(F.struct(
+                 F.coalesce("i", F.array().cast("array<struct<input_index:int,name:string>>")).alias("inputs"),
+                 F.col("o").alias("ops"))).alias("template")))
     return t.withColumn("template_id", F.xxhash64("template"))
 
 
+def _inputs_with_template(jobs: Jobs) -> DataFrame:
+    """Job inputs with their template id (no join when documents are at hand)."""
+    if jobs.docs is not None:
+        return (jobs.docs.select("job_id", "inputs", template_of(jobs.docs).alias("template"))
+                .withColumn("template_id", F.xxhash64("template"))
+                .select("job_id", "template_id", F.posexplode("inputs").alias("input_index", "i"))
+                .select("job_id", "template_id", F.col("input_index").cast("int"),
+                        "i.name", "i.bucket", "i.key", "i.content_type"))
+    return jobs.inputs.join(job_templates(jobs).select("job_id", "template_id"), "job_id")
+
+
 def dispatch_ops(ops: DataFrame) -> DataFrame:
     """The type that runs (first set of scan, convert, merge, thumbnail,
     markdown); no type -> error result."""
@@ -132,165 +107,186 @@ def dispatch_ops(ops: DataFrame) -> DataFrame:
         "dispatch_error", F.when(F.col("op_type").isNull(), F.lit(UNKNOWN_TYPE)))
 
 
-def _paged(a: Artifact, page_chars: int) -> Artifact:
-    """A file seen as a paged document (pagination, an image is one page)."""
-    if a.kind != "file":
-        return a
-    t = a.text
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(page_chars)).cast("int"))
-    img = F.coalesce(F.col("content_type"), F.lit("")).startswith("image/")
-    pages = (t.select("job_id", "text", "content_type",
-                      F.explode(F.sequence(F.lit(1), F.when(img, F.lit(1)).otherwise(n))).alias("page_no"))
-             .select("job_id", F.col("page_no").cast("int"),
-                     F.when(img, F.col("text")).otherwise(
-                         F.substring("text", (F.col("page_no") - 1) * page_chars + 1, page_chars))
-                     .alias("page_text")))
-    return Artifact("paged", text=t, pages=pages)
-
-
-def _text_of(a: Artifact) -> DataFrame:
-    """job_id, text: the document as one value (pages gathered in order if needed)."""
-    if a.text is not None:
-        return a.text.select("job_id", "text")
-    return (a.pages.groupBy("job_id")
-            .agg(F.array_sort(F.collect_list(F.struct("page_no", F.col("page_text").alias("t")))).alias("__p"))
-            .select("job_id", F.array_join(F.transform("__p", lambda x: x["t"]), "").alias("text")))
-
-
-def _page_stats(a: Artifact, page_chars: int) -> DataFrame:
-    """job_id, n_pages, size_bytes of a paged artifact."""
-    if a.text is not None:
-        img = F.coalesce(F.col("content_type"), F.lit("")).startswith("image/")
-        n = F.when(img, F.lit(1)).otherwise(
-            F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(page_chars)).cast("int")))
-        return a.text.select("job_id", n.alias("n_pages"),
-                             F.octet_length("text").cast("bigint").alias("size_bytes"))
-    return (a.pages.groupBy("job_id")
-            .agg(F.count(F.lit(1)).cast("int").alias("n_pages"),
-                 F.sum(F.octet_length("page_text")).cast("bigint").alias("size_bytes")))
-
-
-def _first_page(a: Artifact, page_chars: int) -> DataFrame:
-    """job_id, page_text of page 1."""
-    if a.text is not None:
-        img = F.coalesce(F.col("content_type"), F.lit("")).startswith("image/")
-        return a.text.select("job_id", F.when(img, F.col("text"))
-                             .otherwise(F.substring("text", 1, page_chars)).alias("page_text"))
-    return a.pages.filter(F.col("page_no") == 1).select("job_id", "page_text")
-
-
-def _run_template(tpl: dict, jobs_t: DataFrame, dl: DataFrame, signatures, page_chars: int,
-                  cached: list):
-    """All operations of one template over the jobs ``jobs_t`` (job_id)."""
-    arts: dict[str, Artifact] = {}
-    for inp in tpl["inputs"] or []:
-        t = (dl.filter(F.col("name") == inp["name"]).join(jobs_t, "job_id", "left_semi")
-             .select("job_id", "text", "content_type", "key"))
-        arts[inp["name"]] = Artifact("file", text=t)
-    results, art_rows, art_pages = [], [], []
-    gate = None  # jobs with a failed scan so far
-    for op in tpl["ops"] or []:
-        active = jobs_t if gate is None else jobs_t.join(gate, "job_id", "left_anti")
-        if gate is not None:
-            results.append(_result(jobs_t.join(gate, "job_id", "left_semi"), op,
-                                   success=F.lit(False), error=F.lit(SKIPPED)))
+@dataclass
+class JobRun:
+    results: DataFrame        # one row per (job, op) of jobs whose downloads succeeded
+    downloads: DataFrame      # job_id, input_index, name, error, ...
+    outcomes: DataFrame       # job_id, status, error
+    artifacts: DataFrame      # job_id, name, n_pages, size_bytes, source
+    artifact_pages: DataFrame  # job_id, name, page_no, size_bytes (previews of 'all' thumbnails)
+
+
+class Art:
+    """An artifact of a job as column expressions over the job's row.
+
+    Either text-backed (a file, or the plain pagination of one: page count,
+    size and page 1 come from the text, no pages are materialised) or
+    page-backed (array<string> of pages: merges and previews).
+    """
+
+    def __init__(self, kind: str, text: Column | None = None, ctype: Column | None = None,
+                 pages: Column | None = None):
+        self.kind, self.text, self.ctype, self.pages_col = kind, text, ctype, pages
+
+    def _img(self) -> Column:
+        if self.ctype is None:
+            return F.lit(False)
+        return F.coalesce(self.ctype, F.lit("")).startswith("image/")
+
+    def n_pages(self, P: int) -> Column:
+        if self.pages_col is not None:
+            return F.size(self.pages_col)
+        return F.when(self._img(), F.lit(1)).otherwise(
+            F.greatest(F.lit(1), F.ceil(F.length(self.text) / F.lit(P)).cast("int")))
+
+    def pages(self, P: int) -> Column:
+        if self.pages_col is not None:
+            return self.pages_col
+        t = self.text
+        return F.when(self._img(), F.array(t)).otherwise(F.transform(
+            F.sequence(F.lit(1), self.n_pages(P)),
+            lambda p: F.substring(t, (p - 1) * P + 1, F.lit(P))))
+
+    def size(self) -> Column:
+        if self.pages_col is not None:
+            return F.aggregate(self.pages_col, F.lit(0).cast("bigint"),
+                               lambda a, p: a + F.octet_length(p).cast("bigint"))
+        return F.octet_length(self.text).cast("bigint")
+
+    def page1(self, P: int) -> Column:
+        if self.pages_col is not None:
+            return F.element_at(self.pages_col, 1)
+        return F.when(self._img(), self.text).otherwise(F.substring(self.text, 1, P))
+
+    def full_text(self) -> Column:
+        if self.pages_col is not None:
+            return F.array_join(self.pages_col, "")
+        return self.text
+
+    def as_paged(self) -> "Art":
+        if self.kind == "image":
+            return Art("paged", pages=self.pages_col)
+        return Art("paged", text=self.text, ctype=self.ctype, pages=self.pages_col)
+
+
+def _res(op: dict, success=True, error=None, clean=None, detail=None, size=None, pages=None,
+         markdown=None, html=None) -> Column:
+    def c(v, t):
+        return (v if isinstance(v, Column) else F.lit(v)).cast(t)
+    return F.struct(
+        F.lit(op["op_index"]).cast("int").alias("op_index"),
+        F.lit(op["op_name"]).cast("string").alias("op_name"),
+        F.lit(op["op_type"]).cast("string").alias("op_type"),
+        c(success, "boolean").alias("success"), c(error, "string").alias("error"),
+        c(clean, "boolean").alias("clean"), c(detail, "string").alias("detail"),
+        c(size, "bigint").alias("size_bytes"), c(pages, "int").alias("page_count"),
+        c(markdown, "string").alias("markdown"), c(html, "string").alias("html"))
+
+
+ART_T = "struct<name:string,n_pages:int,size_bytes:bigint,source:string>"
+PAGE_T = "array<struct<name:string,page_no:int,size_bytes:bigint>>"
+
+
+def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int):
+    """Walk one template: returns (base with verdict columns, result structs,
+    artifact structs, page-array columns)."""
+    P = page_chars
+    arts: dict[str, Art] = {}
+    art_cols = []
+    for i, inp in enumerate(tpl["inputs"]):
+        arts[inp["name"]] = Art("file", text=F.col(f"__t{i}"), ctype=F.col(f"__c{i}"))
+        art_cols.append(F.struct(F.lit(inp["name"]).alias("name"), F.lit(None).cast("int").alias("n_pages"),
+                                 F.octet_length(F.col(f"__t{i}")).cast("bigint").alias("size_bytes"),
+                                 F.lit("input").alias("source")))
+    results, page_cols = [], []
+    gate = F.lit(False)
+    for k, op in enumerate(tpl["ops"]):
         typ, refs = op["op_type"], op["inputs"] or []
         src = [arts.get(r) for r in refs]
+        skipped = _res(op, success=False, error=SKIPPED)
+        res, art, failed_scan = None, None, None
         if typ is None:
-            results.append(_result(active, op, success=F.lit(False), error=F.lit(UNKNOWN_TYPE)))
-            continue
-        if not src or any(a is None for a in src):
-            results.append(_result(active, op, success=F.lit(False), error=F.lit(MISSING_INPUT)))
-            if typ == "scan":
-                g = active.select("job_id")
-                gate = g if gate is None else gate.unionByName(g)
-            continue
-        a0 = src[0]
-        if typ == "scan":
-            text = _text_of(a0).join(active, "job_id", "left_semi")
+            res = _res(op, success=False, error=UNKNOWN_TYPE)
+        elif not src or any(a is None for a in src):
+            res = _res(op, success=False, error=MISSING_INPUT)
+            failed_scan = F.lit(True) if typ == "scan" else None
+        elif typ == "scan":
             if signatures is None:
-                res = _result(active, op, success=F.lit(False), clean=F.lit(False),
-                              error=F.lit(S.DISABLED_DETAIL))
-                failed = active.select("job_id")
+                res = _res(op, success=False, clean=False, error=S.DISABLED_DETAIL)
+                failed_scan = F.lit(True)
             else:
-                v = S.scan_corpus(text, signatures, id_col="job_id").persist(StorageLevel.MEMORY_AND_DISK)
-                cached.append(v)
-                res = _result(v, op, success=F.col("clean"), clean=F.col("clean"), detail=F.col("detail"),
-                              error=F.when(~F.col("clean"), F.concat(F.lit(VIRUS_PREFIX), F.col("detail"))))
-                failed = v.filter(~F.col("clean")).select("job_id")
-            results.append(res)
-            gate = failed if gate is None else gate.unionByName(failed)
+                text = src[0].full_text()
+                probe = base.select("job_id", text.alias("__scan_text"))
+                hits = S.scan_hits(probe, signatures, id_col="job_id", text_col="__scan_text")
+                names = signatures.select(F.col("sig_id").alias(f"__sig{k}"), F.col("sig_name").alias(f"__det{k}"))
+                v = (hits.groupBy("job_id").agg(F.min("sig_id").alias(f"__sig{k}"))
+                     .join(names, f"__sig{k}", "left"))
+                base = base.join(v, "job_id", "left")
+                clean = F.col(f"__sig{k}").isNull()
+                detail = F.col(f"__det{k}")
+                res = _res(op, success=clean, clean=clean, detail=detail,
+                           error=F.when(~clean, F.concat(F.lit(VIRUS_PREFIX), detail)))
+                failed_scan = ~clean
         elif typ == "convert_to_pdf":
-            if a0.text is not None:
-                t = a0.text.join(active, "job_id", "left_semi")
-                pa = _paged(Artifact("file", text=t), page_chars)
-            else:
-                pa = Artifact("paged", pages=a0.pages.join(active, "job_id", "left_semi"))
-            pa.file_name = op["op_name"] + ".pdf"
-            st = _page_stats(pa, page_chars)
-            results.append(_result(st, op, size_bytes=F.col("size_bytes"), page_count=F.col("n_pages")))
-            art_rows.append(st.select("job_id", F.lit(op["op_name"]).alias("name"),
-                                      F.lit(None).cast("int").alias("n_pages"), "size_bytes"))
-            arts[op["op_name"]] = pa
+            art = src[0].as_paged()
+            res = _res(op, size=art.size(), pages=art.n_pages(P))
         elif typ == "merge_pdfs":
-            members = []
-            for pos, a in enumerate(src):
-                pg = _paged(a, page_chars).pages.join(active, "job_id", "left_semi")
-                members.append(pg.select("job_id", F.lit(pos).cast("bigint").alias("pos"), "page_no", "page_text"))
-            mp = members[0]
-            for m in members[1:]:
-                mp = mp.unionByName(m)
-            counts = (mp.groupBy("job_id", "pos").agg(F.count(F.lit(1)).alias("n")))
-            offs = running_sum(counts, "job_id", "pos", "n", "off")
-            merged = (mp.join(offs.select("job_id", "pos", "off"), ["job_id", "pos"])
-                      .select("job_id", (F.col("off") + F.col("page_no")).cast("int").alias("page_no"),
-                              "page_text"))
-            ma = Artifact("paged", pages=merged)
-            st = _page_stats(ma, page_chars)
-            results.append(_result(st, op, size_bytes=F.col("size_bytes"), page_count=F.col("n_pages")))
-            art_rows.append(st.select("job_id", F.lit(op["op_name"]).alias("name"),
-                                      F.lit(None).cast("int").alias("n_pages"), "size_bytes"))
-            arts[op["op_name"]] = ma
+            art = (src[0].as_paged() if len(src) == 1
+                   else Art("paged", pages=F.concat(*[a.pages(P) for a in src])))
+            res = _res(op, size=art.size(), pages=art.n_pages(P))
         elif typ == "thumbnail":
-            pa = _paged(a0, page_chars)
+            x = src[0].as_paged()
             width = op.get("width") or 0
             width = width if width > 0 else DEFAULT_WIDTH
+            first = F.substring(x.page1(P), 1, width)
             if (op.get("pages") or "") == "all":
-                pages = pa.pages.join(active, "job_id", "left_semi")
-                prev = pages.select("job_id", "page_no", F.substring("page_text", 1, width).alias("page_text"))
-                per = (prev.groupBy("job_id")
-                       .agg(F.count(F.lit(1)).cast("int").alias("n"),
-                            F.sum(F.when(F.col("page_no") == 1, F.octet_length("page_text"))).cast("bigint")
-                            .alias("s1")))
-                results.append(_result(per, op, size_bytes=F.col("s1"), page_count=F.col("n")))
-                art_rows.append(per.select("job_id", F.lit(op["op_name"]).alias("name"),
-                                           F.col("n").alias("n_pages"), F.col("s1").alias("size_bytes")))
-                art_pages.append(prev.select("job_id", F.lit(op["op_name"]).alias("name"), "page_no",
-                                             F.octet_length("page_text").cast("bigint").alias("size_bytes")))
-                arts[op["op_name"]] = Artifact("image", pages=prev)
+                art = Art("image", pages=F.transform(x.pages(P), lambda p: F.substring(p, 1, width)))
+                res = _res(op, size=F.octet_length(first), pages=x.n_pages(P))
+                name = op["op_name"]
+                page_cols.append(F.when(~gate, F.transform(
+                    art.pages_col, lambda p, i: F.struct(F.lit(name).alias("name"), (i + 1).alias("page_no"),
+                                                         F.octet_length(p).cast("bigint").alias("size_bytes"))))
+                    .otherwise(F.array().cast(PAGE_T)))
             else:
-                p1 = _first_page(pa, page_chars).join(active, "job_id", "left_semi")
-                prev = p1.select("job_id", F.lit(1).alias("page_no"),
-                                 F.substring("page_text", 1, width).alias("page_text"))
-                sized = prev.withColumn("size_bytes", F.octet_length("page_text").cast("bigint"))
-                results.append(_result(sized, op, size_bytes=F.col("size_bytes"), page_count=F.lit(1)))
-                art_rows.append(sized.select("job_id", F.lit(op["op_name"]).alias("name"),
-                                             F.lit(None).cast("int").alias("n_pages"), "size_bytes"))
-                arts[op["op_name"]] = Artifact("image", pages=prev)
+                art = Art("image", pages=F.array(first))
+                res = _res(op, size=F.octet_length(first), pages=1)
         elif typ == "extract_markdown":
+            a0 = src[0]
             if a0.kind == "file":
-                t = a0.text.join(active, "job_id", "left_semi")
-                is_html = F.coalesce(F.col("content_type"), F.lit("")) == "text/html"
-                md = t.select("job_id", F.when(is_html, H.to_markdown(F.col("text"))).otherwise(F.col("text"))
-                              .alias("markdown"),
-                              F.when(is_html, H.clean_html(F.col("text"))).alias("html"))
+                is_html = F.coalesce(a0.ctype, F.lit("")) == "text/html"
+                res = _res(op, markdown=F.when(is_html, H.to_markdown(a0.text)).otherwise(a0.text),
+                           html=F.when(is_html, H.clean_html(a0.text)))
             else:
-                md = (_text_of(a0).join(active, "job_id", "left_semi")
-                      .select("job_id", F.col("text").alias("markdown"), F.lit(None).cast("string").alias("html")))
-            results.append(_result(md, op, markdown=F.col("markdown"), html=F.col("html")))
+                res = _res(op, markdown=a0.full_text())
         else:
-            results.append(_result(active, op, success=F.lit(False), error=F.lit(UNKNOWN_TYPE)))
-    return results, art_rows, art_pages
+            res = _res(op, success=False, error=UNKNOWN_TYPE)
+        results.append(F.when(gate, skipped).otherwise(res))
+        if art is not None:
+            arts[op["op_name"]] = art
+            n = art.n_pages(P) if (art.kind == "image" and (op.get("pages") or "") == "all") else F.lit(None)
+            size = (F.octet_length(F.element_at(art.pages_col, 1)) if art.kind == "image" else art.size())
+            art_cols.append(F.when(~gate, F.struct(F.lit(op["op_name"]).alias("name"), n.cast("int").alias("n_pages"),
+                                                  size.cast("bigint").alias("size_bytes"),
+                                                  F.lit("op").alias("source"))))
+        if failed_scan is not None:
+            gate = gate | F.coalesce(failed_scan, F.lit(False))
+    return base, results, art_cols, page_cols
+
+
+def _template_base(tpl: dict, dl: DataFrame, template_id) -> DataFrame:
+    """One row per job of the template with every input's text and type.
+    Jobs with a failed download are left out (their ops never run)."""
+    d = dl.filter(F.col("template_id") == F.lit(template_id))
+    base = None
+    for i, inp in enumerate(tpl["inputs"]):
+        part = d.filter(F.col("name") == inp["name"]).select(
+            "job_id", F.col("text").alias(f"__t{i}"), F.col("content_type").alias(f"__c{i}"),
+            F.col("error").alias(f"__e{i}"))
+        base = part if base is None else base.join(part, "job_id", "inner")
+    ok = F.lit(True)
+    for i in range(len(tpl["inputs"])):
+        ok = ok & F.col(f"__e{i}").isNull()
+    return base.filter(ok)
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame | None:
@@ -305,41 +301,42 @@ def _union(dfs: list[DataFrame]) -> DataFrame | None:
 def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
              page_chars: int = 1800, max_bytes: int | None = None,
              max_templates: int = MAX_TEMPLATES) -> JobRun:
-    """G1: every operation of every job, in template order, as DataFrames."""
+    """G1: every operation of every job, in template order.
+
+    Plan per template: inputs (joined once to their files) -> one projection
+    computing every op's result as a column -> explode into result rows.
+    Scans add one join each with the (small) per-job signature hits.
+    """
     spark = files.sparkSession
-    dl = downloads(jobs, files, max_bytes)
+    tpls = job_templates(jobs)
+    found = (tpls.groupBy("template_id", "template").agg(F.count(F.lit(1)).alias("n"))
+             .limit(max_templates + 1).collect())
+    if len(found) > max_templates:
+        raise ValueError(f"more than {max_templates} distinct job templates; raise max_templates")
+    inputs_t = _inputs_with_template(jobs)
+    dl = downloads(Jobs(inputs_t, jobs.ops, jobs.dests, jobs.tags), files, max_bytes, keep=["template_id"])
     outcomes = job_outcome(dl)
-    ok_jobs = outcomes.filter(F.col("status") == "completed").select("job_id")
-    tpls = job_templates(jobs).join(ok_jobs, "job_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
-    cached = [tpls]
-    distinct = tpls.groupBy("template_id", "template").agg(F.count(F.lit(1)).alias("n"))
-    n_tpl = distinct.count()
-    if n_tpl > max_templates:
-        raise ValueError(f"{n_tpl} distinct job templates; raise max_templates to plan them all")
-    results, art_rows, art_pages = [], [], []
-    for row in distinct.select("template_id", "template").collect():
+    results, arts, pages = [], [], []
+    for row in found:
         raw = json.loads(row["template"])
-        tpl = {"inputs": json.loads(raw["inputs"]) if raw.get("inputs") else [],
-               "ops": json.loads(raw["ops"]) if raw.get("ops") else []}
-        jobs_t = tpls.filter(F.col("template_id") == row["template_id"]).select("job_id")
-        r, a, p = _run_template(tpl, jobs_t, dl, signatures, page_chars, cached)
-        results += r
-        art_rows += a
-        art_pages += p
-    empty_res = spark.createDataFrame([], "job_id string, op_index int, op_name string, op_type string, "
-                                          "success boolean, error string, clean boolean, detail string, "
-                                          "size_bytes bigint, page_count int, markdown string, html string")
-    res = _union(results) or empty_res
-    inputs_art = (dl.filter(F.col("error").isNull())
-                  .select("job_id", "name", F.lit(None).cast("int").alias("n_pages"),
-                          F.octet_length("text").cast("bigint").alias("size_bytes"),
-                          F.lit("input").alias("source")))
-    ops_art = _union(art_rows)
-    arts = inputs_art if ops_art is None else inputs_art.unionByName(ops_art.withColumn("source", F.lit("op")))
-    pages = _union(art_pages)
-    if pages is None:
-        pages = spark.createDataFrame([], "job_id string, name string, page_no int, size_bytes bigint")
-    return JobRun(res, dl, outcomes, arts, pages, cached)
+        tpl = {"inputs": raw.get("inputs") or [], "ops": raw.get("ops") or []}
+        if not tpl["inputs"]:
+            continue
+        base = _template_base(tpl, dl, row["template_id"])
+        base, res, art_cols, page_cols = _template_plan(tpl, base, signatures, page_chars)
+        if res:
+            results.append(base.select("job_id", F.explode(F.array(*res)).alias("r")).select("job_id", "r.*"))
+        arts.append(base.select("job_id", F.explode(F.filter(F.array(*art_cols), lambda a: a.isNotNull()))
+                                .alias("a")).select("job_id", "a.*"))
+        if page_cols:
+            pages.append(base.select("job_id", F.explode(F.concat(*page_cols)).alias("p"))
+                         .select("job_id", "p.*"))
+    res = _union(results) or spark.createDataFrame(
+        [], "job_id string, op_index int, op_name string, op_type string, success boolean, error string, "
+            "clean boolean, detail string, size_bytes bigint, page_count int, markdown string, html string")
+    art = _union(arts) or spark.createDataFrame([], "job_id string, " + ART_T[7:-1].replace(":", " "))
+    pg = _union(pages) or spark.createDataFrame([], "job_id string, name string, page_no int, size_bytes bigint")
+    return JobRun(res, dl, outcomes, art, pg)
 
 
 def op_status(results: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ class Jobs:
     ops: DataFrame      # job_id, op_index, op_name, op_type, inputs, width, dpi, format, pages
     dests: DataFrame    # job_id, name, bucket, key, content_type
     tags: DataFrame     # job_id, tags
+    docs: DataFrame | None = None  # the nested documents, when the jobs came from them
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +58,26 @@ def explode_jobs(jobs: DataFrame) -> Jobs:
     dests = (jobs.select("job_id", F.explode("destinations").alias("name", "d"))
              .select("job_id", "name", "d.bucket", "d.key", "d.content_type"))
     tags = jobs.select("job_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-    return Jobs(inputs, ops, dests, tags)
+    return Jobs(inputs, ops, dests, tags, jobs)
+
+
+def op_struct(o: Column, i: Column) -> Column:
+    """Flat description of one operation (as in the ops table)."""
+    return F.named_struct(
+        F.lit("op_index"), i.cast("int"), F.lit("op_name"), o["name"],
+        F.lit("op_type"), op_type(o),
+        F.lit("inputs"), F.coalesce(o["inputs"], F.array().cast("array<string>")),
+        F.lit("width"), o["thumbnail"]["width"], F.lit("dpi"), o["thumbnail"]["dpi"],
+        F.lit("format"), o["thumbnail"]["format"], F.lit("pages"), o["thumbnail"]["pages"])
+
+
+def template_of(docs: DataFrame) -> Column:
+    """Template JSON of a job document: input names and operations, in order."""
+    ins = F.transform(F.coalesce("inputs", F.array().cast(docs.schema["inputs"].dataType)),
+                      lambda x, i: F.named_struct(F.lit("input_index"), i.cast("int"),
+                                                  F.lit("name"), x["name"]))
+    ops = F.transform(F.coalesce("operations", F.array().cast(docs.schema["operations"].dataType)), op_struct)
+    return F.to_json(F.named_struct(F.lit("inputs"), ins, F.lit("ops"), ops))
 
 
 def job_ids(jobs: DataFrame) -> DataFrame:
