@@ -368,3 +368,187 @@ SQL["latest_progress"] = f"""
 SELECT job_id, arg_max(step, seq) AS step, arg_max(current, seq) AS current, arg_max(total, seq) AS total,
        max(seq) AS last_seq
 FROM ({PROGRESS}) p GROUP BY job_id"""
+
+
+# ---- C / D: routing, merging, previews ---------------------------------------
+
+ROUTED = """
+  SELECT 'doc-' || doc_id::VARCHAR AS file_id,
+    CASE WHEN ends_with(source, '7') THEN 'application/pdf' WHEN ends_with(source, '3') THEN 'image/png'
+         WHEN lang = 'de' THEN 'application/vnd.oasis.opendocument.text' ELSE 'text/plain' END AS content_type,
+    strlen(text)::BIGINT AS size_bytes FROM documents
+  UNION ALL
+  SELECT 'page-' || page_id::VARCHAR, 'text/html', strlen(html)::BIGINT FROM pages"""
+ROUTE = """CASE WHEN starts_with(coalesce(content_type, ''), 'image/') THEN 'image'
+  WHEN coalesce(content_type, '') = 'application/pdf' THEN 'passthrough' ELSE 'office' END"""
+
+SQL["route_conversion"] = f"SELECT file_id, content_type, {ROUTE} AS route FROM ({ROUTED}) f"
+SQL["route_summary"] = f"""
+SELECT {ROUTE} AS route, count(*)::BIGINT AS n_files, sum(size_bytes)::BIGINT AS total_bytes
+FROM ({ROUTED}) f GROUP BY 1"""
+
+SQL["merge_documents"] = """
+WITH p AS (
+  SELECT conv_id, turn, text, greatest(1, ceil(length(text) / 400.0))::BIGINT AS np
+  FROM conversations WHERE text IS NOT NULL),
+o AS (SELECT *, coalesce(sum(np) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM p)
+SELECT conv_id, turn, q::BIGINT AS member_page_no, (off + q)::BIGINT AS page_no,
+       length(substring(text, ((q - 1) * 400 + 1)::BIGINT, 400))::BIGINT AS page_chars
+FROM o, unnest(range(1, np + 1)) AS r(q)"""
+
+PREVIEW_PLAN = f"""
+  WITH req AS (
+    SELECT doc_id,
+      CASE WHEN lang = 'en' THEN 'png' WHEN lang = 'de' THEN 'WebP' WHEN lang = 'fr' THEN '' ELSE 'JPEG' END AS fmt0,
+      CASE WHEN ends_with(source, '1') THEN 0 ELSE 300 END AS w0,
+      CASE WHEN ends_with(source, '2') THEN -1 ELSE 72 END AS d0,
+      n_chars > 5000 AS allp, 'thumbs/' || doc_id::VARCHAR || '.img' AS dest_key,
+      greatest(1, ceil(length(text) / {PAGE_CHARS}.0))::BIGINT AS np
+    FROM documents),
+  r AS (SELECT *, CASE WHEN fmt0 = '' THEN 'jpg' ELSE fmt0 END AS format,
+          CASE WHEN w0 <= 0 THEN 400 ELSE w0 END AS width, CASE WHEN d0 <= 0 THEN 150 ELSE d0 END AS dpi FROM req)
+  SELECT doc_id, p::BIGINT AS page_no, format,
+    CASE lower(format) WHEN 'png' THEN 'image/png' WHEN 'webp' THEN 'image/webp' ELSE 'image/jpeg' END AS mime,
+    width::BIGINT AS width, dpi::BIGINT AS dpi, allp,
+    CASE WHEN allp THEN printf('thumbs/%s_%03d.img', doc_id::VARCHAR, p) ELSE dest_key END AS key,
+    NULL AS error
+  FROM r, unnest(CASE WHEN allp THEN range(1, np + 1) ELSE [1] END) AS u(p)"""
+
+PREVIEWS = f"""
+  SELECT pp.*, substring(d.page_text, 1, pp.width) AS preview,
+         strlen(substring(d.page_text, 1, pp.width))::BIGINT AS size_bytes
+  FROM ({PREVIEW_PLAN}) pp JOIN ({DOC_PAGES}) d ON d.doc_id = pp.doc_id AND d.page_no = pp.page_no"""
+
+SQL["preview_plan"] = f"""
+SELECT doc_id, page_no, format, mime, width, dpi, key, error FROM ({PREVIEW_PLAN}) x"""
+SQL["previews_first"] = f"SELECT doc_id, key, preview, size_bytes FROM ({PREVIEWS}) x WHERE NOT allp"
+SQL["previews_all"] = f"SELECT doc_id, page_no, key, preview, size_bytes FROM ({PREVIEWS}) x WHERE allp"
+SQL["preview_sizes"] = f"""
+SELECT doc_id, count(preview)::BIGINT AS n_previews,
+       sum(CASE WHEN page_no = 1 THEN size_bytes END)::BIGINT AS first_size,
+       sum(size_bytes)::BIGINT AS total_size
+FROM ({PREVIEWS}) x GROUP BY doc_id"""
+
+
+# ---- H: ledger ----------------------------------------------------------------
+
+SUBS = """
+  SELECT o.o_orderkey::VARCHAR AS job_id, [o.o_orderpriority, lower(c.c_mktsegment)] AS tags,
+         CASE WHEN o.o_orderstatus = 'O' THEN 'c' || o.o_custkey::VARCHAR ELSE '' END AS caller_user,
+         o.o_orderdate AS created
+  FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey"""
+
+REGISTERED = f"""
+  SELECT job_id, 'file_processing' AS job_type,
+         list_concat(['file_processing'], coalesce(tags, []),
+                     CASE WHEN caller_user <> '' THEN ['user:' || caller_user] ELSE [] END) AS tags,
+         created
+  FROM ({SUBS}) s"""
+
+LEDGER = """
+  SELECT user_id::VARCHAR AS job_id, event_id AS seq, event_type AS step,
+    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running'
+      WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status,
+    CASE WHEN event_type = 'error' THEN props END AS error
+  FROM events"""
+
+STATE = f"""
+  WITH l AS ({LEDGER}),
+  fs AS (SELECT job_id, min(seq) AS final_seq FROM l
+         WHERE status IN ('completed', 'failed', 'cancelled') GROUP BY job_id),
+  f AS (SELECT fs.job_id, l.status AS fstatus, l.error AS ferror, fs.final_seq
+        FROM fs JOIN l ON l.job_id = fs.job_id AND l.seq = fs.final_seq),
+  a AS (SELECT job_id, arg_max(status, seq) AS lstatus, max(seq) AS last_seq, count(*)::BIGINT AS n_events
+        FROM l GROUP BY job_id)
+  SELECT a.job_id, coalesce(f.fstatus, a.lstatus) AS status, f.ferror AS error, f.final_seq, a.last_seq,
+         a.n_events
+  FROM a LEFT JOIN f ON f.job_id = a.job_id"""
+
+REQUESTS = """
+  SELECT c_custkey AS request_id,
+         CASE WHEN c_acctbal < 0 THEN '' ELSE floor(c_acctbal / 50)::BIGINT::VARCHAR END AS job_id
+  FROM customer"""
+
+SQL["register_jobs"] = f"""
+SELECT job_id, job_type, array_to_string(tags, ',') AS tags, created FROM ({REGISTERED}) r"""
+SQL["job_status"] = STATE
+SQL["get_jobs"] = f"""
+SELECT r.request_id, r.job_id,
+  CASE WHEN r.job_id IS NOT NULL AND r.job_id <> '' AND s.job_id IS NOT NULL THEN s.status END AS status,
+  CASE WHEN r.job_id IS NULL OR r.job_id = '' THEN 'JOB_ID_REQUIRED'
+       WHEN s.job_id IS NULL THEN 'NOT_FOUND' END AS error
+FROM ({REQUESTS}) r LEFT JOIN ({STATE}) s ON s.job_id = r.job_id"""
+SQL["list_jobs"] = f"""
+SELECT job_id, created, array_to_string(tags, ',') AS tags FROM ({REGISTERED}) r
+WHERE list_contains(tags, 'file_processing') AND list_contains(tags, '1-URGENT')
+  AND list_contains(tags, 'building')
+ORDER BY created DESC, job_id LIMIT 25 OFFSET 10"""
+SQL["cancel_jobs"] = f"""
+WITH r AS ({REQUESTS}),
+f AS (SELECT job_id, min(request_id) AS first_req FROM r GROUP BY job_id)
+SELECT r.request_id, r.job_id,
+  CASE WHEN r.job_id IS NULL OR r.job_id = '' THEN 'JOB_ID_REQUIRED'
+       WHEN s.job_id IS NULL THEN 'NOT_FOUND'
+       WHEN s.status IN ('completed', 'failed', 'cancelled') THEN 'ALREADY_FINAL'
+       WHEN r.request_id = f.first_req THEN 'CANCELLED' ELSE 'ALREADY_FINAL' END AS outcome
+FROM r LEFT JOIN f ON f.job_id = r.job_id LEFT JOIN ({STATE}) s ON s.job_id = r.job_id"""
+
+SQL["decode_results"] = f"""
+WITH j AS ({DOC_RUN})
+SELECT job_id, 'scan' AS op_name, clean AS success,
+       CASE WHEN NOT clean THEN 'virus detected: ' || detail END AS error, NULL::BIGINT AS size_bytes,
+       clean, detail, NULL::BIGINT AS md_chars FROM j
+UNION ALL
+SELECT job_id, 'pdf', clean, CASE WHEN NOT clean THEN {SKIP} END,
+       CASE WHEN clean THEN strlen(text) END, NULL, NULL, NULL FROM j
+UNION ALL
+SELECT job_id, 'thumb', clean, CASE WHEN NOT clean THEN {SKIP} END,
+       CASE WHEN clean THEN strlen(substring(text, 1, width)) END, NULL, NULL, NULL FROM j
+UNION ALL
+SELECT job_id, 'text', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL, NULL,
+       CASE WHEN clean THEN length(text) END FROM j"""
+
+SQL["op_status"] = f"""
+SELECT op_name, op_type, success, error, count(*)::BIGINT AS n_ops
+FROM ({SQL["run_jobs"]}) r GROUP BY ALL"""
+
+
+# ---- B: more checks -------------------------------------------------------------
+
+SQL["check_destinations"] = f"""
+WITH d AS ({ORDER_DESTS})
+SELECT job_id, name, {ref_error('bucket', 'key', ['out'])} AS dest_error FROM d
+UNION ALL
+SELECT o_orderkey::VARCHAR, NULL, NULL FROM orders
+WHERE o_orderkey::VARCHAR NOT IN (SELECT job_id FROM d)"""
+
+SQL["check_requests"] = f"""
+SELECT 'convert' AS kind, doc_id::VARCHAR AS request_id,
+  coalesce({ref_error('source', "lang || '/' || doc_id::VARCHAR || '.txt'")},
+           CASE WHEN lang = 'es' THEN 'CONTENT_TYPE_REQUIRED' END) AS error
+FROM documents
+UNION ALL
+SELECT 'merge', o.o_orderkey::VARCHAR,
+  CASE WHEN m.n IS NULL THEN 'FILES_REQUIRED' ELSE m.bad END
+FROM orders o LEFT JOIN (
+  SELECT l_orderkey, count(*) AS n,
+    arg_min(CASE WHEN l_shipdate IS NULL THEN 'BUCKET_REQUIRED' END, CASE WHEN l_shipdate IS NULL THEN l_linenumber END) AS bad
+  FROM lineitem GROUP BY l_orderkey) m ON m.l_orderkey = o.o_orderkey
+UNION ALL
+SELECT 'job', request_id::VARCHAR, CASE WHEN job_id IS NULL OR job_id = '' THEN 'JOB_ID_REQUIRED' END
+FROM ({REQUESTS}) r"""
+
+URLS = r"""
+  SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^/?#]*)', 1) AS host
+  FROM pages"""
+URL_CHECK = f"""
+  SELECT page_id, scheme, host,
+    CASE WHEN scheme NOT IN ('http', 'https') THEN 'URL_SCHEME' WHEN host = '' THEN 'URL_HOST' END AS url_error
+  FROM ({URLS}) u"""
+SQL["check_urls"] = URL_CHECK
+SQL["url_hosts"] = f"""
+SELECT host, count(*)::BIGINT AS n_urls, count(url_error)::BIGINT AS n_bad,
+       count(*) FILTER (WHERE scheme = 'https')::BIGINT AS n_https
+FROM ({URL_CHECK}) c GROUP BY host"""

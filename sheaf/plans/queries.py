@@ -313,3 +313,209 @@ def q_latest_progress(spark, sf):
                                             page_chars=PAGE_CHARS))
     return W.latest_progress(ev).select("job_id", "step", F.col("current").cast("bigint"),
                                         F.col("total").cast("bigint"), "last_seq")
+
+
+# ---- C / D: routing, merging, previews ---------------------------------------
+
+def conv_files(spark, sf):
+    """Conversation turns as documents (member = (conv_id, turn))."""
+    c = T(spark, sf, "conversations")
+    return c.select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("file_id"),
+                    "conv_id", "turn", "text", F.lit("text/plain").alias("content_type"))
+
+
+def routed_files(spark, sf):
+    """Documents and pages as objects, content types as a client would send them."""
+    d = T(spark, sf, "documents")
+    ct = (F.when(F.col("source").endswith("7"), F.lit("application/pdf"))
+           .when(F.col("source").endswith("3"), F.lit("image/png"))
+           .when(F.col("lang") == "de", F.lit("application/vnd.oasis.opendocument.text"))
+           .otherwise(F.lit("text/plain")))
+    docs = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file_id"),
+                    ct.alias("content_type"), F.octet_length("text").cast("bigint").alias("size_bytes"))
+    pages = T(spark, sf, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("file_id"),
+        F.lit("text/html").alias("content_type"), F.octet_length("html").cast("bigint").alias("size_bytes"))
+    return docs.unionByName(pages)
+
+
+@query("route_conversion")
+def q_route_conversion(spark, sf):
+    return P.route_conversion(routed_files(spark, sf)).select("file_id", "content_type", "route")
+
+
+@query("route_summary")
+def q_route_summary(spark, sf):
+    return P.route_summary(P.route_conversion(routed_files(spark, sf)))
+
+
+@query("merge_documents")
+def q_merge_documents(spark, sf):
+    cf = conv_files(spark, sf)
+    pages = P.paginate(cf, 400, id_col="file_id")
+    members = cf.select("conv_id", "turn", "file_id")
+    m = P.merge_documents(members, pages, "conv_id", "turn", "file_id")
+    return m.select("conv_id", "turn", F.col("member_page_no").cast("bigint"), "page_no",
+                    F.length("page_text").cast("bigint").alias("page_chars"))
+
+
+def preview_requests(spark, sf):
+    """One preview request per document; options vary with language and source."""
+    d = T(spark, sf, "documents")
+    fmt = (F.when(F.col("lang") == "en", "png").when(F.col("lang") == "de", "WebP")
+            .when(F.col("lang") == "fr", "").otherwise("JPEG"))
+    return d.select("doc_id", fmt.alias("format"),
+                    F.when(F.col("source").endswith("1"), F.lit(0)).otherwise(F.lit(300)).cast("int").alias("width"),
+                    F.when(F.col("source").endswith("2"), F.lit(-1)).otherwise(F.lit(72)).cast("int").alias("dpi"),
+                    F.when(F.col("n_chars") > 5000, "all").otherwise("first").alias("pages"),
+                    F.concat(F.lit("thumbs/"), F.col("doc_id").cast("string"), F.lit(".img")).alias("dest_key"))
+
+
+def preview_plan_df(spark, sf):
+    return P.plan_previews(P.page_counts(doc_pages(spark, sf), "doc_id"), preview_requests(spark, sf))
+
+
+@query("preview_plan")
+def q_preview_plan(spark, sf):
+    return preview_plan_df(spark, sf).select(
+        "doc_id", F.col("page_no").cast("bigint"), "format", "mime", F.col("width").cast("bigint"),
+        F.col("dpi").cast("bigint"), "key", "error")
+
+
+def previews(spark, sf):
+    return P.preview_pages(doc_pages(spark, sf), preview_plan_df(spark, sf))
+
+
+@query("previews_first")
+def q_previews_first(spark, sf):
+    return previews(spark, sf).filter(~F.col("all_pages")).select("doc_id", "key", "preview", "size_bytes")
+
+
+@query("previews_all")
+def q_previews_all(spark, sf):
+    return previews(spark, sf).filter(F.col("all_pages")).select(
+        "doc_id", F.col("page_no").cast("bigint"), "key", "preview", "size_bytes")
+
+
+@query("preview_sizes")
+def q_preview_sizes(spark, sf):
+    return P.preview_sizes(previews(spark, sf))
+
+
+# ---- H: ledger ----------------------------------------------------------------
+
+from ..operators import ledger as L  # noqa: E402
+
+LIST_TAGS = ["1-URGENT", "building"]
+
+
+def submissions(spark, sf):
+    o = T(spark, sf, "orders")
+    c = T(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return (o.join(c, o.o_custkey == c.c_custkey, "left")
+            .select(F.col("o_orderkey").cast("string").alias("job_id"),
+                    F.array(F.col("o_orderpriority"), F.lower("c_mktsegment")).alias("tags"),
+                    F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+                     .otherwise(F.lit("")).alias("caller_user"),
+                    F.col("o_orderdate").cast("timestamp").alias("created")))
+
+
+def ledger_state(spark, sf):
+    return L.job_state(L.events_as_ledger(T(spark, sf, "events")))
+
+
+def job_requests(spark, sf):
+    """Lookups / cancels by customers, in customer order (ids may repeat or be unknown)."""
+    c = T(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("request_id"),
+                    F.when(F.col("c_acctbal") < 0, F.lit(""))
+                     .otherwise(F.floor(F.col("c_acctbal") / 50).cast("bigint").cast("string")).alias("job_id"))
+
+
+@query("register_jobs")
+def q_register_jobs(spark, sf):
+    r = L.register_jobs(submissions(spark, sf))
+    return r.select("job_id", "job_type", F.array_join("tags", ",").alias("tags"), "created")
+
+
+@query("job_status")
+def q_job_status(spark, sf):
+    return ledger_state(spark, sf)
+
+
+@query("get_jobs")
+def q_get_jobs(spark, sf):
+    return L.get_jobs(ledger_state(spark, sf), job_requests(spark, sf)).select(
+        "request_id", "job_id", "status", "error")
+
+
+@query("list_jobs")
+def q_list_jobs(spark, sf):
+    reg = L.register_jobs(submissions(spark, sf))
+    out = L.list_jobs(reg, LIST_TAGS, limit=25, offset=10)
+    return out.select("job_id", "created", F.array_join("tags", ",").alias("tags"))
+
+
+@query("cancel_jobs")
+def q_cancel_jobs(spark, sf):
+    return L.cancel_jobs(ledger_state(spark, sf), job_requests(spark, sf)).select(
+        "request_id", "job_id", "outcome")
+
+
+@query("decode_results")
+def q_decode_results(spark, sf):
+    return L.decode_results(W.assemble_results(doc_run(spark, sf).results))
+
+
+@query("op_status")
+def q_op_status(spark, sf):
+    r = W.op_status(doc_run(spark, sf).results)
+    return r.select("op_name", "op_type", "success", "error", F.col("n_ops").cast("bigint"))
+
+
+# ---- B: more checks -------------------------------------------------------------
+
+@query("check_destinations")
+def q_check_destinations(spark, sf):
+    """Destinations of the order jobs, plus jobs without a destination."""
+    j = orders_jobs(spark, sf)
+    d = j.dests.select("job_id", "name", F.struct("bucket", "key", "content_type").alias("destination"))
+    none = (j.tags.select("job_id").join(j.dests.select("job_id").distinct(), "job_id", "left_anti")
+            .select("job_id", F.lit(None).cast("string").alias("name"),
+                    F.lit(None).cast("struct<bucket:string,key:string,content_type:string>").alias("destination")))
+    r = V.check_destinations(d.unionByName(none), allowed_buckets=["out"])
+    return r.select("job_id", "name", "dest_error")
+
+
+@query("check_requests")
+def q_check_requests(spark, sf):
+    d = T(spark, sf, "documents")
+    conv = V.check_convert_requests(d.select(
+        F.col("doc_id").cast("string").alias("request_id"), F.col("source").alias("bucket"),
+        F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"),
+        F.when(F.col("lang") == "es", F.lit("")).otherwise(F.lit("text/plain")).alias("content_type")))
+    o = T(spark, sf, "orders")
+    li = T(spark, sf, "lineitem")
+    members = li.select(F.col("l_orderkey").cast("string").alias("request_id"),
+                        F.col("l_linenumber").alias("position"),
+                        F.when(F.col("l_shipdate").isNull(), F.lit("")).otherwise(F.lit("merge-in")).alias("bucket"),
+                        F.concat(F.lit("parts/"), F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("key"))
+    merge = V.check_merge_requests(o.select(F.col("o_orderkey").cast("string").alias("request_id")), members)
+    look = V.check_job_requests(job_requests(spark, sf).select(
+        F.col("request_id").cast("string").alias("request_id"), "job_id"))
+    return (conv.select(F.lit("convert").alias("kind"), "request_id", "error")
+            .unionByName(merge.select(F.lit("merge").alias("kind"), "request_id", "error"))
+            .unionByName(look.select(F.lit("job").alias("kind"), "request_id", "error")))
+
+
+@query("check_urls")
+def q_check_urls(spark, sf):
+    return V.check_urls(T(spark, sf, "pages").select("page_id", "url")).select(
+        "page_id", "scheme", "host", "url_error")
+
+
+@query("url_hosts")
+def q_url_hosts(spark, sf):
+    r = V.url_hosts(V.check_urls(T(spark, sf, "pages").select("page_id", "url")))
+    return r.select("host", F.col("n_urls").cast("bigint"), F.col("n_bad").cast("bigint"),
+                    F.col("n_https").cast("bigint"))
