@@ -552,3 +552,13 @@ SQL["url_hosts"] = f"""
 SELECT host, count(*)::BIGINT AS n_urls, count(url_error)::BIGINT AS n_bad,
        count(*) FILTER (WHERE scheme = 'https')::BIGINT AS n_https
 FROM ({URL_CHECK}) c GROUP BY host"""
+
+
+# ---- I / J ----------------------------------------------------------------------
+
+SQL["stream_jobs"] = SQL["run_jobs"]
+SQL["stream_job_state"] = STATE
+SQL["apply_backend"] = """
+SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines,
+       NULL::VARCHAR AS backend_error
+FROM documents"""

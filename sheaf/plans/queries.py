@@ -519,3 +519,47 @@ def q_url_hosts(spark, sf):
     r = V.url_hosts(V.check_urls(T(spark, sf, "pages").select("page_id", "url")))
     return r.select("host", F.col("n_urls").cast("bigint"), F.col("n_bad").cast("bigint"),
                     F.col("n_https").cast("bigint"))
+
+
+# ---- I: streaming -------------------------------------------------------------
+
+from ..streaming import jobs as ST  # noqa: E402
+
+
+@query("stream_jobs")
+def q_stream_jobs(spark, sf):
+    docs = ST.stream_table(spark, sf, "documents")
+    q, out = ST.stream_jobs(docs, bench_signatures(spark, sf), page_chars=PAGE_CHARS)
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query("stream_job_state")
+def q_stream_job_state(spark, sf):
+    ledger = L.events_as_ledger(ST.stream_table(spark, sf, "events"))
+    q, out = ST.stream_job_state(ledger)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+# ---- J: user backend ------------------------------------------------------------
+
+from pyspark.sql import types as TT  # noqa: E402
+from ..operators.backend import apply_backend  # noqa: E402
+
+
+def _line_counter():
+    """A user's page/line counter: one instance per task."""
+    def count(text):
+        if text is None:
+            raise ValueError("no content")
+        return {"n_lines": text.count("\n") + 1}
+    return count
+
+
+@query("apply_backend")
+def q_apply_backend(spark, sf):
+    d = T(spark, sf, "documents").select("doc_id", "text")
+    out = apply_backend(d, _line_counter, ["text"],
+                        TT.StructType([TT.StructField("n_lines", TT.LongType())]))
+    return out.select("doc_id", "n_lines", "backend_error")
