@@ -34,6 +34,7 @@ MARKDOWN_STEPS = list(CLEAN_STEPS)
 MARKDOWN_STEPS += [(rf"(?i)<h{n}\b[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)]
 MARKDOWN_STEPS += [
     (r"(?i)</h[1-6]\s*>", "\n\n"),
+    (r"(?i)</?(?:ul|ol)\b[^>]*>", "\n\n"),
     (r"(?i)<li\b[^>]*>", "\n- "),
     (r"(?i)<p\b[^>]*>", "\n\n"),
     (r"(?i)<br\s*/?>", "\n"),
