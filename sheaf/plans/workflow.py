@@ -50,7 +50,7 @@ def downloads(jobs: Jobs, files: DataFrame, max_bytes: int | None = None,
     d = jobs.inputs.join(f, ["bucket", "key"], "left")
     return d.select(
         "job_id", "input_index", "name", "bucket", "key", *(keep or []),
-        F.coalesce(F.col("content_type"), F.col("__ct")).alias("content_type"),
+        F.coalesce(F.nullif(F.col("content_type"), F.lit("")), F.col("__ct")).alias("content_type"),
         F.when(F.col("size_bytes").isNull(), F.lit(NOT_FOUND))
          .when(F.col("size_bytes") > cap, F.lit(TOO_LARGE)).alias("error"),
         F.when(F.col("size_bytes") <= cap, F.col("text")).alias("text"))
@@ -174,9 +174,9 @@ def _res(op: dict, success=True, error=None, clean=None, detail=None, size=None,
     def c(v, t):
         return (v if isinstance(v, Column) else F.lit(v)).cast(t)
     return F.struct(
-        F.lit(op["op_index"]).cast("int").alias("op_index"),
-        F.lit(op["op_name"]).cast("string").alias("op_name"),
-        F.lit(op["op_type"]).cast("string").alias("op_type"),
+        F.lit(op.get("op_index")).cast("int").alias("op_index"),
+        F.lit(op.get("op_name")).cast("string").alias("op_name"),
+        F.lit(op.get("op_type")).cast("string").alias("op_type"),
         c(success, "boolean").alias("success"), c(error, "string").alias("error"),
         c(clean, "boolean").alias("clean"), c(detail, "string").alias("detail"),
         c(size, "bigint").alias("size_bytes"), c(pages, "int").alias("page_count"),
@@ -201,7 +201,7 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int):
     results, page_cols = [], []
     gate = F.lit(False)
     for k, op in enumerate(tpl["ops"]):
-        typ, refs = op["op_type"], op["inputs"] or []
+        typ, refs = op.get("op_type"), op.get("inputs") or []
         src = [arts.get(r) for r in refs]
         skipped = _res(op, success=False, error=SKIPPED)
         res, art, failed_scan = None, None, None
@@ -242,7 +242,7 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int):
             if (op.get("pages") or "") == "all":
                 art = Art("image", pages=F.transform(x.pages(P), lambda p: F.substring(p, 1, width)))
                 res = _res(op, size=F.octet_length(first), pages=x.n_pages(P))
-                name = op["op_name"]
+                name = op.get("op_name")
                 page_cols.append(F.when(~gate, F.transform(
                     art.pages_col, lambda p, i: F.struct(F.lit(name).alias("name"), (i + 1).alias("page_no"),
                                                          F.octet_length(p).cast("bigint").alias("size_bytes"))))
@@ -262,10 +262,10 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int):
             res = _res(op, success=False, error=UNKNOWN_TYPE)
         results.append(F.when(gate, skipped).otherwise(res))
         if art is not None:
-            arts[op["op_name"]] = art
+            arts[op.get("op_name")] = art
             n = art.n_pages(P) if (art.kind == "image" and (op.get("pages") or "") == "all") else F.lit(None)
             size = (F.octet_length(F.element_at(art.pages_col, 1)) if art.kind == "image" else art.size())
-            art_cols.append(F.when(~gate, F.struct(F.lit(op["op_name"]).alias("name"), n.cast("int").alias("n_pages"),
+            art_cols.append(F.when(~gate, F.struct(F.lit(op.get("op_name")).alias("name"), n.cast("int").alias("n_pages"),
                                                   size.cast("bigint").alias("size_bytes"),
                                                   F.lit("op").alias("source"))))
         if failed_scan is not None:

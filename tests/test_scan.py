@@ -1,0 +1,75 @@
+from pyspark.sql import functions as F
+
+from sheaf.operators import scan as S
+from sheaf.sources.files import files_from_documents, read_table
+
+from conftest import SF001
+
+
+def test_scan_reply_cases(spark):
+    cases = [
+        ("stream: OK", True, None),
+        ("stream: OK\x00", True, None),
+        ("stream: Eicar-Signature FOUND", False, "Eicar-Signature"),
+        ("stream: Win.Trojan.Generic-12345 FOUND", False, "Win.Trojan.Generic-12345"),
+        ("garbled OK", False, "unexpected scan response: garbled OK"),
+        ("stream: INSTREAM size limit exceeded ERROR", False,
+         "unexpected scan response: stream: INSTREAM size limit exceeded ERROR"),
+        ("", False, "unexpected scan response: "),
+        ("  stream: OK  \n", True, None),
+        # edge cases: prefix and suffix overlap; NBSP is whitespace; NUL trimmed after whitespace
+        ("stream: FOUND", False, "FOUND"),
+        (" stream: X FOUND\u0085", False, "X"),
+        ("stream: OK \x00", False, "unexpected scan response: stream: OK "),
+        (None, False, "unexpected scan response: "),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, response string")
+    got = {r.i: (r.clean, r.detail) for r in S.classify_scan_responses(df).collect()}
+    for i, (_, clean, detail) in enumerate(cases):
+        assert got[i] == (clean, detail), cases[i]
+
+
+def test_signature_strategies_agree(spark):
+    docs = files_from_documents(read_table(spark, SF001, "documents"))
+    bench = read_table(spark, SF001, "benchmark")
+    sigs = bench.select(F.col("item_id").alias("sig_id"), F.col("text").alias("pattern"))
+    # add short patterns (broadcast side of the k-gram strategy) and a pattern
+    # cut out of a document at an odd offset
+    sample = docs.filter(F.length("text") > 200).limit(3).select(
+        (F.lit(100000) + F.col("file_id")).alias("sig_id"), F.substring("text", 37, 90).alias("pattern"))
+    short = spark.createDataFrame([(900001, "the"), (900002, "zzzq")], "sig_id long, pattern string")
+    allsig = sigs.unionByName(sample).unionByName(short)
+    a = {tuple(r) for r in S.scan_hits(docs, allsig, method="broadcast").collect()}
+    b = {tuple(r) for r in S.scan_hits(docs, allsig, method="kgram", k=8, s=8).collect()}
+    assert a == b and len(a) > 3
+
+
+def test_scan_corpus_and_disabled(spark):
+    files = spark.createDataFrame([(1, "clean text"), (2, "has EVIL and BAD"), (3, "only BAD")],
+                                  "file_id int, text string")
+    sigs = spark.createDataFrame([(7, "Bad.Sig", "BAD"), (3, "Evil.Sig", "EVIL")],
+                                 "sig_id int, sig_name string, pattern string")
+    got = {r.file_id: (r.clean, r.detail, r.n_hits) for r in S.scan_corpus(files, sigs).collect()}
+    assert got == {1: (True, None, 0), 2: (False, "Evil.Sig", 2), 3: (False, "Bad.Sig", 1)}
+    off = {r.file_id: (r.clean, r.detail) for r in S.scan_corpus(files, None).collect()}
+    assert off[1] == (False, "scanning disabled: no antivirus configured")
+
+
+def test_scan_hashes(spark):
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "file_id int, text string")
+    bad = spark.createDataFrame([(9, "a")], "bad_id int, t string").select("bad_id", F.sha2("t", 256).alias("sha256"))
+    got = {r.file_id: (r.matched, r.match_id) for r in S.scan_hashes(files, bad).collect()}
+    assert got == {1: (True, 9), 2: (False, None), 3: (True, 9)}
+
+
+def test_scan_gate(spark):
+    rows = spark.createDataFrame([
+        ("first", 0, True), ("first", 1, False), ("first", 2, False),
+        ("middle", 0, False), ("middle", 1, True), ("middle", 2, False),
+        ("two", 0, True), ("two", 1, True), ("two", 2, False),
+        ("none", 0, False), ("none", 1, False)], "job string, i int, failed boolean")
+    got = {(r.job, r.i): r.gated for r in S.scan_gate(rows, "job", "i", F.col("failed")).collect()}
+    assert [got[("first", i)] for i in range(3)] == [False, True, True]
+    assert [got[("middle", i)] for i in range(3)] == [False, False, True]
+    assert [got[("two", i)] for i in range(3)] == [False, True, True]
+    assert [got[("none", i)] for i in range(2)] == [False, False]
