@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import page_key
 from ..functions.rules import conversion_route, image_mime
+from ..functions.text import chunks
 from ..functions.windows import running_sum
 
 DEFAULT_PAGE_CHARS = 1800
@@ -42,18 +43,11 @@ def paginate(files: DataFrame, page_chars: int = DEFAULT_PAGE_CHARS,
     An image is one page. The pages of a file concatenate to its text.
     Rows without content (NULL text, e.g. over the size cap) give no pages.
     """
-    p = F.lit(page_chars)
-    n = F.greatest(F.lit(1), F.ceil(F.length(text_col) / p).cast("int"))
-    if type_col is not None:
-        n = F.when(conversion_route(F.col(type_col)) == "image", F.lit(1)).otherwise(n)
+    img = (conversion_route(F.col(type_col)) == "image") if type_col is not None else F.lit(False)
+    pages = F.when(img, F.array(F.col(text_col))).otherwise(chunks(F.col(text_col), page_chars))
     return (files.filter(F.col(text_col).isNotNull())
-            .select(F.col(id_col), F.col(text_col).alias("__t"),
-                    F.explode(F.sequence(F.lit(1), n)).alias("page_no"),
-                    (F.col(type_col) if type_col else F.lit(None)).alias("__ct"))
-            .select(id_col, F.col("page_no").cast("int"),
-                    F.when(conversion_route(F.col("__ct")) == "image", F.col("__t"))
-                     .otherwise(F.substring(F.col("__t"), (F.col("page_no") - 1) * page_chars + 1, page_chars))
-                     .alias("page_text")))
+            .select(F.col(id_col), F.posexplode(pages).alias("pos", "page_text"))
+            .select(id_col, (F.col("pos") + 1).cast("int").alias("page_no"), "page_text"))
 
 
 def page_counts(page_table: DataFrame, id_col: str = "doc_id") -> DataFrame:

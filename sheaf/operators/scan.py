@@ -4,7 +4,7 @@ Signature matching has two exact strategies with the same result:
 
 * ``broadcast``: the signature table (size checked first) is broadcast and
   each file is tested with ``contains`` (a nested-loop join, JVM-side).
-* ``kgram``: for signature sets too large to broadcast. A file contributes its
+* ``kgram``: for more than a few signatures. A file contributes its
   k-grams at positions 0, s, 2s, ...; a signature contributes its k-grams at
   offsets 0..s-1. Every occurrence of a signature of length >= k+s-1 covers
   one sampled file position at one of those offsets, so an equi-join on the
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import chunks
+
 # Scanner replies and messages.
 CLEAN_REPLY = "stream: OK"
 FOUND_PREFIX = "stream: "
@@ -30,9 +32,10 @@ TRIM_WS = [(rf"^{_WS}+", ""), (rf"{_WS}+\z", "")]
 TRIM_NUL = (r"\x00+\z", "")
 
 BROADCAST_SIG_BYTES = 64 << 20
-BROADCAST_SIG_ROWS = 200_000
+BROADCAST_FEW_SIGS = 8
 KGRAM = 16
 KSTEP = 16
+MAX_STEP = 128
 
 
 def normalize_reply(col: Column) -> Column:
@@ -76,32 +79,55 @@ def _hits_broadcast(files, sigs, text_col, pattern_col):
 
 
 def _hits_kgram(files, sigs, id_col, text_col, sig_id_col, pattern_col, k, s):
-    doc_grams = (files.select(id_col, text_col,
-                              F.explode(F.sequence(F.lit(0), F.length(text_col) - k, F.lit(s))).alias("p"))
-                 .withColumn("gram", F.substring(text_col, F.col("p") + 1, k)))
+    # s >= k: the gram at position i*s is the head of the i-th s-character
+    # piece, so grams come from one linear pass; exploded rows hold
+    # (id, p, gram) only, and the few candidates meet the text once more.
+    pieces = chunks(F.col(text_col), s)
+    doc_grams = (files.filter(F.length(text_col) >= k)  # shorter texts hold no long pattern
+                 .select(id_col, F.posexplode(pieces).alias("i", "piece"))
+                 .filter(F.length("piece") >= k)
+                 .select(id_col, (F.col("i") * s).alias("p"), F.substring("piece", 1, k).alias("gram")))
     sig_grams = (sigs.select(sig_id_col, pattern_col,
                              F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("o"))
                  .withColumn("gram", F.substring(pattern_col, F.col("o") + 1, k)))
-    cand = doc_grams.join(sig_grams, "gram", "inner").withColumn("start", F.col("p") - F.col("o"))
-    verified = cand.filter((F.col("start") >= 0) & (
-        F.substring(F.col(text_col), F.col("start") + 1, F.length(pattern_col)) == F.col(pattern_col)))
+    cand = (doc_grams.join(sig_grams, "gram", "inner")
+            .select(id_col, sig_id_col, pattern_col, (F.col("p") - F.col("o")).alias("start"))
+            .filter(F.col("start") >= 0)
+            .distinct())
+    verified = (cand.join(files.select(id_col, text_col), id_col, "inner")
+                .filter(F.substring(F.col(text_col), F.col("start") + 1, F.length(pattern_col))
+                        == F.col(pattern_col)))
     return verified.select(id_col, sig_id_col).distinct()
 
 
 def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
               text_col: str = "text", sig_id_col: str = "sig_id", pattern_col: str = "pattern",
-              method: str = "auto", k: int = KGRAM, s: int = KSTEP) -> DataFrame:
-    """(file, signature) pairs where the file's text contains the pattern."""
+              method: str = "auto", k: int = KGRAM, s: int | None = None) -> DataFrame:
+    """(file, signature) pairs where the file's text contains the pattern.
+
+    ``auto``: a handful of signatures -> broadcast nested loop (cheapest for
+    few patterns); more -> k-grams, with the sampling step ``s`` as large as
+    the shortest long pattern allows (fewest file rows), capped at 128.
+    """
     f = files.select(id_col, text_col).filter(F.col(text_col).isNotNull())
     sigs = (signatures.select(sig_id_col, pattern_col)
             .filter(F.col(pattern_col).isNotNull() & (F.length(pattern_col) > 0)))
-    if method == "auto":
+    if method == "auto" or s is None:
         n, b, _ = _sig_stats(sigs, pattern_col)
-        method = "broadcast" if (b <= BROADCAST_SIG_BYTES and n <= BROADCAST_SIG_ROWS) else "kgram"
+        if method == "auto":
+            small = n <= BROADCAST_FEW_SIGS and b <= BROADCAST_SIG_BYTES
+            method = "broadcast" if small else "kgram"
+        if s is None and method == "kgram":
+            m = sigs.filter(F.length(pattern_col) >= 2 * k - 1).agg(F.min(F.length(pattern_col))).first()[0]
+            s = max(k, min(MAX_STEP, (m or (2 * k - 1)) - k + 1))
     if method == "broadcast":
+        _, b, _ = _sig_stats(sigs, pattern_col)
+        if b > BROADCAST_SIG_BYTES:
+            raise ValueError("signature set too large to broadcast; use method='kgram'")
         return _hits_broadcast(f, sigs, text_col, pattern_col).select(id_col, sig_id_col)
     if method != "kgram":
         raise ValueError(method)
+    s = max(s or KSTEP, k)
     long_sigs = sigs.filter(F.length(pattern_col) >= k + s - 1)
     short_sigs = sigs.filter(F.length(pattern_col) < k + s - 1)
     hits = _hits_kgram(f, long_sigs, id_col, text_col, sig_id_col, pattern_col, k, s)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions.text import chunks
 from ..operators import scan as S
 from ..operators.pages import DEFAULT_WIDTH
 from ..sources.files import TOO_LARGE, effective_cap
@@ -142,10 +143,7 @@ class Art:
     def pages(self, P: int) -> Column:
         if self.pages_col is not None:
             return self.pages_col
-        t = self.text
-        return F.when(self._img(), F.array(t)).otherwise(F.transform(
-            F.sequence(F.lit(1), self.n_pages(P)),
-            lambda p: F.substring(t, (p - 1) * P + 1, F.lit(P))))
+        return F.when(self._img(), F.array(self.text)).otherwise(chunks(self.text, P))
 
     def size(self) -> Column:
         if self.pages_col is not None:
