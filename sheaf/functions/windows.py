@@ -1,9 +1,14 @@
 """Ordered running values per group that stay correct when one group is huge.
 
 A plain ``Window.partitionBy(group)`` puts a whole group into one task. Here a
-group is cut into blocks of ``block`` consecutive positions: the window inside
-a block holds at most ``block`` rows, and the window over block totals holds
-``rows / block`` rows per group. Both are joined on (group, block).
+group is cut into blocks of ``block`` consecutive positions: windows inside a
+block hold at most ``block`` rows, and the window over block summaries holds
+``rows / block`` rows per group.
+
+The input is shuffled once, by (group, block): the in-block windows and the
+block summaries are both computed on that partitioning (the second use of the
+same exchange is reused), so an expensive input is evaluated once. Block
+summaries are small and joined back on (group, block).
 """
 
 from __future__ import annotations
@@ -18,48 +23,51 @@ def _cols(by):
     return [by] if isinstance(by, str) else list(by)
 
 
-def running_sum(df: DataFrame, by, order: str, value: str, out: str,
-                block: int = DEFAULT_BLOCK, inclusive: bool = False) -> DataFrame:
-    """``out`` = sum of ``value`` over earlier rows of the group (by ``order``).
+def running_values(df: DataFrame, by, order: str, sums: dict | None = None,
+                   lasts: dict | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Per group, ordered by ``order`` (a non-negative integral position,
+    unique in its group):
 
-    ``order`` must be a non-negative integral position, unique in its group.
-    Exclusive by default (the offset of a row); ``inclusive`` adds the row.
+    * ``sums``  {out: col}: sum of ``col`` over earlier rows (exclusive).
+    * ``lasts`` {out: col}: last non-null ``col`` at or before the row.
     """
-    by = _cols(by)
-    blk = F.floor(F.col(order) / F.lit(block)).alias("__blk")
-    d = df.withColumn("__blk", blk)
-    totals = (d.groupBy(*by, "__blk").agg(F.sum(value).alias("__bt"))
-              .withColumn("__boff", F.coalesce(F.sum("__bt").over(
-                  Window.partitionBy(*by).orderBy("__blk")
-                  .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop("__bt"))
-    upto = -1 if not inclusive else 0
-    inner = F.coalesce(F.sum(value).over(
-        Window.partitionBy(*by, "__blk").orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, upto)), F.lit(0))
-    return (d.withColumn("__in", inner)
-            .join(totals, [*by, "__blk"], "inner")
-            .withColumn(out, (F.col("__boff") + F.col("__in")).cast("bigint"))
-            .drop("__blk", "__in", "__boff"))
+    by, sums, lasts = _cols(by), dict(sums or {}), dict(lasts or {})
+    d = df.withColumn("__blk", F.floor(F.col(order) / F.lit(block)))
+    w_in = Window.partitionBy(*by, "__blk").orderBy(order)
+    for out, v in sums.items():
+        d = d.withColumn(f"__in_{out}", F.coalesce(
+            F.sum(v).over(w_in.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    for out, v in lasts.items():
+        d = d.withColumn(f"__in_{out}", F.last(F.col(v), ignorenulls=True).over(
+            w_in.rowsBetween(Window.unboundedPreceding, 0)))
+    aggs = [F.sum(v).alias(f"__bt_{out}") for out, v in sums.items()]
+    aggs += [F.max(F.when(F.col(v).isNotNull(), F.struct(F.col(order).alias("p"), F.col(v).alias("v"))))
+             .alias(f"__bl_{out}") for out, v in lasts.items()]
+    blocks = d.groupBy(*by, "__blk").agg(*aggs)
+    w_b = Window.partitionBy(*by).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    keep = []
+    for out in sums:
+        blocks = blocks.withColumn(f"__bo_{out}", F.coalesce(F.sum(f"__bt_{out}").over(w_b), F.lit(0)))
+        keep.append(f"__bo_{out}")
+    for out in lasts:
+        blocks = blocks.withColumn(f"__bp_{out}", F.last(F.col(f"__bl_{out}.v"), ignorenulls=True).over(w_b))
+        keep.append(f"__bp_{out}")
+    res = d.join(blocks.select(*by, "__blk", *keep), [*by, "__blk"], "inner")
+    for out in sums:
+        res = res.withColumn(out, (F.col(f"__bo_{out}") + F.col(f"__in_{out}")).cast("bigint"))
+    for out in lasts:
+        res = res.withColumn(out, F.coalesce(F.col(f"__in_{out}"), F.col(f"__bp_{out}")))
+    drop = ["__blk"] + [f"__in_{o}" for o in list(sums) + list(lasts)] + keep
+    return res.drop(*drop)
+
+
+def running_sum(df: DataFrame, by, order: str, value: str, out: str,
+                block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``out`` = sum of ``value`` over earlier rows of the group (the offset)."""
+    return running_values(df, by, order, sums={out: value}, block=block)
 
 
 def carry_last(df: DataFrame, by, order: str, value: str, out: str,
                block: int = DEFAULT_BLOCK) -> DataFrame:
-    """``out`` = last non-null ``value`` at or before each row (by ``order``)."""
-    by = _cols(by)
-    d = df.withColumn("__blk", F.floor(F.col(order) / F.lit(block)))
-    last_in_block = (d.groupBy(*by, "__blk")
-                     .agg(F.max(F.when(F.col(value).isNotNull(),
-                                       F.struct(F.col(order).alias("p"), F.col(value).alias("v"))))
-                          .alias("__bl"))
-                     .withColumn("__prev", F.last(F.col("__bl.v"), ignorenulls=True).over(
-                         Window.partitionBy(*by).orderBy("__blk")
-                         .rowsBetween(Window.unboundedPreceding, -1)))
-                     .drop("__bl"))
-    inner = F.last(F.col(value), ignorenulls=True).over(
-        Window.partitionBy(*by, "__blk").orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, 0))
-    return (d.withColumn("__in", inner)
-            .join(last_in_block, [*by, "__blk"], "inner")
-            .withColumn(out, F.coalesce(F.col("__in"), F.col("__prev")))
-            .drop("__blk", "__in", "__prev"))
+    """``out`` = last non-null ``value`` at or before each row."""
+    return running_values(df, by, order, lasts={out: value}, block=block)

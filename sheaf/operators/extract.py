@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.windows import carry_last, running_sum
+from ..functions.windows import running_values
 from ..schema import STRUCTURE_SCHEMA
 
 DEFAULT_PAGE_CHARS = 1800
@@ -51,8 +51,7 @@ def structure_blocks(df: DataFrame, id_col: str, md_col: str = "markdown",
                           .when(is_li, F.regexp_replace("raw", ITEM_RE, "")).otherwise(F.col("raw")))
               .withColumn("__w", (F.length("raw") + len(BLOCK_SEP)).cast("bigint"))
               .withColumn("__h", F.when(is_h, F.col("text"))))
-    blocks = running_sum(blocks, id_col, "pos", "__w", "start")
-    blocks = carry_last(blocks, id_col, "pos", "__h", "heading")
+    blocks = running_values(blocks, id_col, "pos", sums={"start": "__w"}, lasts={"heading": "__h"})
     return blocks.select(id_col, "pos", "label", "text", "heading",
                          (F.floor(F.col("start") / page_chars) + 1).cast("int").alias("page_no"))
 

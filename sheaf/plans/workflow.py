@@ -126,8 +126,9 @@ class Art:
     """
 
     def __init__(self, kind: str, text: Column | None = None, ctype: Column | None = None,
-                 pages: Column | None = None):
+                 pages: Column | None = None, origin: int | None = None):
         self.kind, self.text, self.ctype, self.pages_col = kind, text, ctype, pages
+        self.origin = origin  # index of the input whose file text this is, if so
 
     def _img(self) -> Column:
         if self.ctype is None:
@@ -164,7 +165,7 @@ class Art:
     def as_paged(self) -> "Art":
         if self.kind == "image":
             return Art("paged", pages=self.pages_col)
-        return Art("paged", text=self.text, ctype=self.ctype, pages=self.pages_col)
+        return Art("paged", text=self.text, ctype=self.ctype, pages=self.pages_col, origin=self.origin)
 
 
 def _res(op: dict, success=True, error=None, clean=None, detail=None, size=None, pages=None,
@@ -185,14 +186,19 @@ ART_T = "struct<name:string,n_pages:int,size_bytes:bigint,source:string>"
 PAGE_T = "array<struct<name:string,page_no:int,size_bytes:bigint>>"
 
 
-def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int):
+def _file_id(bucket: Column, key: Column) -> Column:
+    return F.concat(bucket, F.lit("\u0000"), key)
+
+
+def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int,
+                   files: DataFrame | None = None, dl: DataFrame | None = None):
     """Walk one template: returns (base with verdict columns, result structs,
     artifact structs, page-array columns)."""
     P = page_chars
     arts: dict[str, Art] = {}
     art_cols = []
     for i, inp in enumerate(tpl["inputs"]):
-        arts[inp["name"]] = Art("file", text=F.col(f"__t{i}"), ctype=F.col(f"__c{i}"))
+        arts[inp["name"]] = Art("file", text=F.col(f"__t{i}"), ctype=F.col(f"__c{i}"), origin=i)
         art_cols.append(F.struct(F.lit(inp["name"]).alias("name"), F.lit(None).cast("int").alias("n_pages"),
                                  F.octet_length(F.col(f"__t{i}")).cast("bigint").alias("size_bytes"),
                                  F.lit("input").alias("source")))
@@ -213,13 +219,26 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int):
                 res = _res(op, success=False, clean=False, error=S.DISABLED_DETAIL)
                 failed_scan = F.lit(True)
             else:
-                text = src[0].full_text()
-                probe = base.select("job_id", text.alias("__scan_text"))
-                hits = S.scan_hits(probe, signatures, id_col="job_id", text_col="__scan_text")
                 names = signatures.select(F.col("sig_id").alias(f"__sig{k}"), F.col("sig_name").alias(f"__det{k}"))
-                v = (hits.groupBy("job_id").agg(F.min("sig_id").alias(f"__sig{k}"))
-                     .join(names, f"__sig{k}", "left"))
-                base = base.join(v, "job_id", "left")
+                o = src[0].origin
+                if o is not None and files is not None and dl is not None:
+                    # The scanned text is an input file as stored: verdicts per
+                    # file (only files this template reads), joined by file key.
+                    keys = (dl.filter(F.col("name") == tpl["inputs"][o]["name"])
+                            .select(_file_id(F.col("bucket"), F.col("key")).alias("__fid")).distinct())
+                    probe = (files.select(_file_id(F.col("bucket"), F.col("key")).alias("__fid"), "text")
+                             .join(keys, "__fid", "left_semi"))
+                    hits = S.scan_hits(probe, signatures, id_col="__fid", text_col="text")
+                    v = (hits.groupBy(F.col("__fid").alias(f"__fid{o}")).agg(F.min("sig_id").alias(f"__sig{k}"))
+                         .join(names, f"__sig{k}", "left"))
+                    base = base.join(v, f"__fid{o}", "left")
+                else:
+                    text = src[0].full_text()
+                    probe = base.select("job_id", text.alias("__scan_text"))
+                    hits = S.scan_hits(probe, signatures, id_col="job_id", text_col="__scan_text")
+                    v = (hits.groupBy("job_id").agg(F.min("sig_id").alias(f"__sig{k}"))
+                         .join(names, f"__sig{k}", "left"))
+                    base = base.join(v, "job_id", "left")
                 clean = F.col(f"__sig{k}").isNull()
                 detail = F.col(f"__det{k}")
                 res = _res(op, success=clean, clean=clean, detail=detail,
@@ -279,7 +298,7 @@ def _template_base(tpl: dict, dl: DataFrame, template_id) -> DataFrame:
     for i, inp in enumerate(tpl["inputs"]):
         part = d.filter(F.col("name") == inp["name"]).select(
             "job_id", F.col("text").alias(f"__t{i}"), F.col("content_type").alias(f"__c{i}"),
-            F.col("error").alias(f"__e{i}"))
+            F.col("error").alias(f"__e{i}"), _file_id(F.col("bucket"), F.col("key")).alias(f"__fid{i}"))
         base = part if base is None else base.join(part, "job_id", "inner")
     ok = F.lit(True)
     for i in range(len(tpl["inputs"])):
@@ -321,7 +340,8 @@ def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
         if not tpl["inputs"]:
             continue
         base = _template_base(tpl, dl, row["template_id"])
-        base, res, art_cols, page_cols = _template_plan(tpl, base, signatures, page_chars)
+        d_t = dl.filter(F.col("template_id") == F.lit(row["template_id"]))
+        base, res, art_cols, page_cols = _template_plan(tpl, base, signatures, page_chars, files, d_t)
         if res:
             results.append(base.select("job_id", F.explode(F.array(*res)).alias("r")).select("job_id", "r.*"))
         arts.append(base.select("job_id", F.explode(F.filter(F.array(*art_cols), lambda a: a.isNotNull()))

@@ -14,8 +14,26 @@ def effective_cap(max_bytes: int | None) -> int:
     return DEFAULT_MAX_BYTES if not max_bytes or max_bytes <= 0 else int(max_bytes)
 
 
+# Tables whose rows carry whole texts: per-row work on them is CPU-heavy.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A file written as one row group is one scan task; text work (regex
+    chains, scans) would then run on one core. At scale a scan has thousands
+    of partitions and this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def files_from_documents(documents: DataFrame) -> DataFrame:
