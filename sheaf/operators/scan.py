@@ -67,10 +67,13 @@ def threat_counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("clean", "detail").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def _sig_stats(signatures: DataFrame, pattern_col: str):
+def _sig_stats(signatures: DataFrame, pattern_col: str, k: int = KGRAM):
+    """Count, bytes and shortest length of the signatures (>= 2k-1 chars) in one
+    small aggregate: this is the size check behind any broadcast of them."""
+    n_len = F.length(pattern_col)
     row = signatures.agg(F.count(F.lit(1)).alias("n"),
                          F.coalesce(F.sum(F.octet_length(pattern_col)), F.lit(0)).alias("b"),
-                         F.min(F.length(pattern_col)).alias("m")).first()
+                         F.min(F.when(n_len >= 2 * k - 1, n_len)).alias("m")).first()
     return row["n"], row["b"], row["m"]
 
 
@@ -112,16 +115,12 @@ def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
     f = files.select(id_col, text_col).filter(F.col(text_col).isNotNull())
     sigs = (signatures.select(sig_id_col, pattern_col)
             .filter(F.col(pattern_col).isNotNull() & (F.length(pattern_col) > 0)))
-    if method == "auto" or s is None:
-        n, b, _ = _sig_stats(sigs, pattern_col)
-        if method == "auto":
-            small = n <= BROADCAST_FEW_SIGS and b <= BROADCAST_SIG_BYTES
-            method = "broadcast" if small else "kgram"
-        if s is None and method == "kgram":
-            m = sigs.filter(F.length(pattern_col) >= 2 * k - 1).agg(F.min(F.length(pattern_col))).first()[0]
-            s = max(k, min(MAX_STEP, (m or (2 * k - 1)) - k + 1))
+    n, b, m = _sig_stats(sigs, pattern_col, k)
+    if method == "auto":
+        method = "broadcast" if (n <= BROADCAST_FEW_SIGS and b <= BROADCAST_SIG_BYTES) else "kgram"
+    if s is None and method == "kgram":
+        s = max(k, min(MAX_STEP, (m or (2 * k - 1)) - k + 1))
     if method == "broadcast":
-        _, b, _ = _sig_stats(sigs, pattern_col)
         if b > BROADCAST_SIG_BYTES:
             raise ValueError("signature set too large to broadcast; use method='kgram'")
         return _hits_broadcast(f, sigs, text_col, pattern_col).select(id_col, sig_id_col)

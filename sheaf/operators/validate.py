@@ -75,88 +75,81 @@ def check_destinations(df: DataFrame, dest_col: str = "destination",
             .drop("__db", "__dk", "__de"))
 
 
-def _all_job_ids(jobs: Jobs) -> DataFrame:
-    return (jobs.tags.select("job_id")
-            .unionByName(jobs.inputs.select("job_id"))
-            .unionByName(jobs.ops.select("job_id"))
-            .unionByName(jobs.dests.select("job_id"))
-            .distinct())
-
-
 def check_pipelines(jobs: Jobs, allowed_buckets=None) -> DataFrame:
     """First structural error of each job, in reading order.
 
     Returns job_id, error, stage, item (input/op index or destination name).
-    Ranks are totals: (stage, index, destination name); within one element the
-    rule order is the ``coalesce`` ladder. Per-name first positions come from
-    aggregates joined back (no window holds a whole job).
+    Every rule emits candidate rows ranked (stage, index, destination name,
+    rule); the first error of a job is the minimum of its candidates, one
+    partial aggregate. Name lookups go through one aggregate per (job, name):
+    the first input position and the first position a name is known at
+    (-1 for inputs). No window or collected list holds a whole job.
     """
-    ids = _all_job_ids(jobs)
     inputs, ops, dests = jobs.inputs, jobs.ops, jobs.dests
 
-    # Stage 1-2: empty lists.
-    no_in = (ids.join(inputs.select("job_id").distinct(), "job_id", "left_anti")
-             .select("job_id", F.lit(1).alias("stage"), F.lit(0).alias("idx"),
-                     F.lit("").alias("dname"), F.lit(NO_INPUTS).alias("code")))
-    no_ops = (ids.join(ops.select("job_id").distinct(), "job_id", "left_anti")
-              .select("job_id", F.lit(2).alias("stage"), F.lit(0).alias("idx"),
-                      F.lit("").alias("dname"), F.lit(NO_OPERATIONS).alias("code")))
+    def cand(df, stage, idx, dname, rule, code):
+        return df.select("job_id", F.struct(F.lit(stage).alias("stage"), idx.cast("int").alias("idx"),
+                                            dname.alias("dname"), F.lit(rule).alias("rule"),
+                                            code.alias("code")).alias("e"))
+
+    # (job, name): where a name is first known (inputs at -1) and first input index
+    known = (inputs.select("job_id", "name", F.lit(-1).alias("k"), F.col("input_index").alias("fi"))
+             .unionByName(ops.select("job_id", F.col("op_name").alias("name"), F.col("op_index").alias("k"),
+                                     F.lit(None).cast("int").alias("fi")))
+             .groupBy("job_id", "name").agg(F.min("k").alias("known_at"), F.min("fi").alias("first_in")))
 
     # Stage 3: inputs in order.
-    first_in = inputs.groupBy("job_id", "name").agg(F.min("input_index").alias("first_in"))
-    inp = inputs.join(first_in, ["job_id", "name"], "left")
-    flag, allowed = _allowed_flag(inp, "bucket", allowed_buckets)
+    inp = inputs.join(known, ["job_id", "name"], "left")
+    inp, allowed = _allowed_flag(inp, "bucket", allowed_buckets)
     in_code = F.coalesce(
         F.when(blank(F.col("name")), F.lit(INPUT_NAME_REQUIRED)),
         F.when(F.col("input_index") > F.col("first_in"), F.lit(DUPLICATE_INPUT)),
         ref_error(F.col("bucket"), F.col("key"), allowed))
-    in_err = flag.select("job_id", F.lit(3).alias("stage"), F.col("input_index").alias("idx"),
-                         F.lit("").alias("dname"), in_code.alias("code"))
+    c_in = cand(inp, 3, F.col("input_index"), F.lit(""), 0, in_code)
 
-    # Known names: inputs rank -1, ops rank at their first position.
-    in_names = inputs.groupBy("job_id", "name").agg(F.lit(-1).alias("known_at"))
-    op_first = (ops.groupBy("job_id", F.col("op_name").alias("name"))
-                .agg(F.min("op_index").alias("known_at")))
-    known = (in_names.unionByName(op_first)
-             .groupBy("job_id", "name").agg(F.min("known_at").alias("known_at")))
-
-    # References of each op: bad when unknown or not strictly earlier.
-    refs = (ops.select("job_id", "op_index", F.explode("inputs").alias("name"))
-            .join(known, ["job_id", "name"], "left")
-            .groupBy("job_id", "op_index")
-            .agg(F.max(F.when(F.col("known_at").isNull() | (F.col("known_at") >= F.col("op_index")), 1)
-                       .otherwise(0)).alias("bad_ref")))
-    is_input = in_names.select("job_id", F.col("name").alias("op_name"), F.lit(1).alias("is_input"))
-    op_rows = (ops.join(is_input, ["job_id", "op_name"], "left")
-               .join(op_first.withColumnRenamed("name", "op_name"), ["job_id", "op_name"], "left")
-               .join(refs, ["job_id", "op_index"], "left"))
-    op_code = F.coalesce(
+    # Stage 4: operations in order; rule ranks keep the per-op check order.
+    o = ops.join(known.withColumnRenamed("name", "op_name"), ["job_id", "op_name"], "left")
+    head = F.coalesce(
         F.when(blank(F.col("op_name")), F.lit(OP_NAME_REQUIRED)),
-        F.when(F.col("is_input") == 1, F.lit(OP_NAME_IS_INPUT)),
+        F.when(F.col("known_at") == -1, F.lit(OP_NAME_IS_INPUT)),
         F.when(F.col("op_index") > F.col("known_at"), F.lit(DUPLICATE_OP)),
-        F.when(F.col("op_type").isNull(), F.lit(OP_TYPE_MISSING)),
-        F.when(F.col("bad_ref") == 1, F.lit(UNKNOWN_REF)),
-        F.when(F.size("inputs") == 0, F.lit(OP_INPUTS_REQUIRED)))
-    op_err = op_rows.select("job_id", F.lit(4).alias("stage"), F.col("op_index").alias("idx"),
-                            F.lit("").alias("dname"), op_code.alias("code"))
+        F.when(F.col("op_type").isNull(), F.lit(OP_TYPE_MISSING)))
+    c_op = cand(o, 4, F.col("op_index"), F.lit(""), 1, head)
+    c_empty = cand(ops.filter(F.size("inputs") == 0), 4, F.col("op_index"), F.lit(""), 3,
+                   F.lit(OP_INPUTS_REQUIRED))
+    # A reference must name an input or an earlier operation.
+    refs = (ops.select("job_id", "op_index", F.explode("inputs").alias("name"))
+            .join(known.select("job_id", "name", "known_at"), ["job_id", "name"], "left")
+            .filter(F.col("known_at").isNull() | (F.col("known_at") >= F.col("op_index"))))
+    c_ref = cand(refs, 4, F.col("op_index"), F.lit(""), 2, F.lit(UNKNOWN_REF))
 
     # Stage 5: destinations by name.
-    all_names = known.select("job_id", "name", F.lit(1).alias("is_known"))
-    d = dests.join(all_names, ["job_id", "name"], "left")
-    dflag, dallowed = _allowed_flag(d, "bucket", allowed_buckets)
-    d_code = F.coalesce(F.when(F.col("is_known").isNull(), F.lit(UNKNOWN_DEST)),
+    d = dests.join(known.select("job_id", "name", "known_at"), ["job_id", "name"], "left")
+    d, dallowed = _allowed_flag(d, "bucket", allowed_buckets)
+    d_code = F.coalesce(F.when(F.col("known_at").isNull(), F.lit(UNKNOWN_DEST)),
                         ref_error(F.col("bucket"), F.col("key"), dallowed))
-    d_err = dflag.select("job_id", F.lit(5).alias("stage"), F.lit(0).alias("idx"),
-                         F.col("name").alias("dname"), d_code.alias("code"))
-
-    errs = (no_in.unionByName(no_ops).unionByName(in_err).unionByName(op_err).unionByName(d_err)
-            .filter(F.col("code").isNotNull())
-            .groupBy("job_id")
-            .agg(F.min(F.struct("stage", "idx", "dname", "code")).alias("e")))
-    return (ids.join(errs, "job_id", "left")
-            .select("job_id", F.col("e.code").alias("error"), F.col("e.stage").alias("stage"),
-                    F.when(F.col("e.stage") == 5, F.col("e.dname"))
-                     .when(F.col("e.stage").isin(3, 4), F.col("e.idx").cast("string")).alias("item")))
+    c_dest = cand(d, 5, F.lit(0), F.col("name"), 0, d_code)
+
+    first = (c_in.unionByName(c_op).unionByName(c_empty).unionByName(c_ref).unionByName(c_dest)
+             .filter(F.col("e.code").isNotNull())
+             .groupBy("job_id").agg(F.min("e").alias("e")))
+
+    # Stages 1-2 and the list of jobs, from one aggregate.
+    flags = (jobs.tags.select("job_id", F.lit(0).alias("i"), F.lit(0).alias("o"))
+             .unionByName(inputs.select("job_id", F.lit(1).alias("i"), F.lit(0).alias("o")))
+             .unionByName(ops.select("job_id", F.lit(0).alias("i"), F.lit(1).alias("o")))
+             .unionByName(dests.select("job_id", F.lit(0).alias("i"), F.lit(0).alias("o")))
+             .groupBy("job_id").agg(F.max("i").alias("has_in"), F.max("o").alias("has_ops")))
+    stage = (F.when(F.col("has_in") == 0, F.lit(1)).when(F.col("has_ops") == 0, F.lit(2))
+             .otherwise(F.col("e.stage")))
+    return (flags.join(first, "job_id", "left")
+            .select("job_id",
+                    F.when(F.col("has_in") == 0, F.lit(NO_INPUTS))
+                     .when(F.col("has_ops") == 0, F.lit(NO_OPERATIONS))
+                     .otherwise(F.col("e.code")).alias("error"),
+                    stage.alias("stage"),
+                    F.when(stage == 5, F.col("e.dname"))
+                     .when(stage.isin(3, 4), F.col("e.idx").cast("string")).alias("item")))
 
 
 def check_convert_requests(df: DataFrame, allowed_buckets=None) -> DataFrame:

@@ -15,7 +15,7 @@ def effective_cap(max_bytes: int | None) -> int:
 
 
 # Tables whose rows carry whole texts: per-row work on them is CPU-heavy.
-TEXT_TABLES = ("documents", "pages", "conversations")
+SPREAD_TABLES = ("documents", "pages", "conversations")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if name in SPREAD_TABLES else df
 
 
 def files_from_documents(documents: DataFrame) -> DataFrame:
