@@ -168,18 +168,40 @@ class Art:
         return Art("paged", text=self.text, ctype=self.ctype, pages=self.pages_col, origin=self.origin)
 
 
+_RES_TYPES = (("success", "boolean"), ("error", "string"), ("clean", "boolean"), ("detail", "string"),
+              ("size_bytes", "bigint"), ("page_count", "int"), ("markdown", "string"), ("html", "string"))
+
+
+def _sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _res(op: dict, success=True, error=None, clean=None, detail=None, size=None, pages=None,
          markdown=None, html=None) -> Column:
+    """One result struct. All-constant results are one parsed SQL expression
+    (far fewer driver round trips than building it field by field)."""
+    vals = dict(success=success, error=error, clean=clean, detail=detail, size_bytes=size,
+                page_count=pages, markdown=markdown, html=html)
+    head = (f"'op_index', CAST({_sql_lit(op.get('op_index'))} AS INT), "
+            f"'op_name', CAST({_sql_lit(op.get('op_name'))} AS STRING), "
+            f"'op_type', CAST({_sql_lit(op.get('op_type'))} AS STRING)")
+    if not any(isinstance(v, Column) for v in vals.values()):
+        body = ", ".join(f"'{n}', CAST({_sql_lit(vals[n])} AS {t.upper()})" for n, t in _RES_TYPES)
+        return F.expr(f"named_struct({head}, {body})")
+
     def c(v, t):
         return (v if isinstance(v, Column) else F.lit(v)).cast(t)
     return F.struct(
         F.lit(op.get("op_index")).cast("int").alias("op_index"),
         F.lit(op.get("op_name")).cast("string").alias("op_name"),
         F.lit(op.get("op_type")).cast("string").alias("op_type"),
-        c(success, "boolean").alias("success"), c(error, "string").alias("error"),
-        c(clean, "boolean").alias("clean"), c(detail, "string").alias("detail"),
-        c(size, "bigint").alias("size_bytes"), c(pages, "int").alias("page_count"),
-        c(markdown, "string").alias("markdown"), c(html, "string").alias("html"))
+        *[c(vals[n], t).alias(n) for n, t in _RES_TYPES])
 
 
 ART_T = "struct<name:string,n_pages:int,size_bytes:bigint,source:string>"
