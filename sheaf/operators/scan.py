@@ -103,6 +103,27 @@ def _hits_kgram(files, sigs, id_col, text_col, sig_id_col, pattern_col, k, s):
     return verified.select(id_col, sig_id_col).distinct()
 
 
+def _hits_every_position(files, sigs, id_col, text_col, sig_id_col, pattern_col):
+    """Exact matching for a short-pattern set too large to broadcast: grams of
+    the shortest pattern length q at every position (work linear in text
+    length times q), joined with each pattern's first q characters, then
+    verified at the candidate start."""
+    q = sigs.agg(F.min(F.length(pattern_col))).first()[0]
+    chars = F.regexp_extract_all(F.col(text_col), F.lit("(?s)."), 0)
+    doc_grams = (files.filter(F.length(text_col) >= q)
+                 .select(id_col, chars.alias("__c"))
+                 .select(id_col, F.posexplode(F.transform(
+                     F.sequence(F.lit(0), F.size("__c") - q),
+                     lambda i: F.array_join(F.slice("__c", i + 1, F.lit(q)), ""))).alias("p", "gram")))
+    sig_grams = sigs.select(sig_id_col, pattern_col, F.substring(pattern_col, 1, q).alias("gram"))
+    cand = (doc_grams.join(sig_grams, "gram", "inner")
+            .select(id_col, sig_id_col, pattern_col, F.col("p").alias("start")))
+    verified = (cand.join(files.select(id_col, text_col), id_col, "inner")
+                .filter(F.substring(F.col(text_col), F.col("start") + 1, F.length(pattern_col))
+                        == F.col(pattern_col)))
+    return verified.select(id_col, sig_id_col).distinct()
+
+
 def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
               text_col: str = "text", sig_id_col: str = "sig_id", pattern_col: str = "pattern",
               method: str = "auto", k: int = KGRAM, s: int | None = None) -> DataFrame:
@@ -130,7 +151,13 @@ def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
     long_sigs = sigs.filter(F.length(pattern_col) >= k + s - 1)
     short_sigs = sigs.filter(F.length(pattern_col) < k + s - 1)
     hits = _hits_kgram(f, long_sigs, id_col, text_col, sig_id_col, pattern_col, k, s)
-    short = _hits_broadcast(f, short_sigs, text_col, pattern_col).select(id_col, sig_id_col)
+    sn, sb, _ = _sig_stats(short_sigs, pattern_col, k)
+    if sn == 0:
+        return hits
+    if sb <= BROADCAST_SIG_BYTES:
+        short = _hits_broadcast(f, short_sigs, text_col, pattern_col).select(id_col, sig_id_col)
+    else:
+        short = _hits_every_position(f, short_sigs, id_col, text_col, sig_id_col, pattern_col)
     return hits.unionByName(short)
 
 

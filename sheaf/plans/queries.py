@@ -539,7 +539,7 @@ def q_stream_job_state(spark, sf):
     ledger = L.events_as_ledger(ST.stream_table(spark, sf, "events"))
     q, out = ST.stream_job_state(ledger)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return ST.read_job_state(spark, out)
 
 
 # ---- J: user backend ------------------------------------------------------------

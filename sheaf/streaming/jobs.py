@@ -6,7 +6,8 @@
   checkpoint records which batches are done: a restart does not redo them.
 * ``stream_job_state``: ledger events -> per-job state, deduplicated within a
   watermark on (job_id, seq); state is the first-terminal-wins aggregate of
-  ``job_state``, written whole each batch (complete mode).
+  ``job_state``; each batch appends the jobs it changed (update mode) and
+  ``read_job_state`` takes the latest row per job.
 
 Folders default to fresh sub-folders of ``spark.checkpoint.dir``, which on a
 cluster must be a shared file system.
@@ -69,16 +70,30 @@ def dedup_ledger(ledger: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 def stream_job_state(ledger: DataFrame, out_dir: str | None = None, checkpoint: str | None = None,
                      available_now: bool = True):
-    """Per-job state kept up to date; returns (query, out_dir)."""
+    """Per-job state kept up to date; returns (query, out_dir).
+
+    Update mode: each micro-batch writes only the jobs whose state changed,
+    into its own ``batch_id=<n>`` folder (a replay overwrites the same folder).
+    ``read_job_state`` resolves the latest row per job.
+    """
     spark = ledger.sparkSession
     out_dir = out_dir or scratch_dir(spark, "stream-state-out")
     checkpoint = checkpoint or scratch_dir(spark, "stream-state-ckpt")
     state = L.job_state(dedup_ledger(ledger))
 
-    def write_state(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(out_dir)
+    def write_changes(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
-    w = (state.writeStream.outputMode("complete").foreachBatch(write_state)
+    w = (state.writeStream.outputMode("update").foreachBatch(write_changes)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start(), out_dir
+
+
+def read_job_state(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Current state: for each job the row of the latest batch that changed it."""
+    df = spark.read.parquet(out_dir)
+    cols = [c for c in df.columns if c not in ("job_id", "batch_id")]
+    return (df.groupBy("job_id")
+            .agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))
+            .select("job_id", "s.*"))

@@ -73,3 +73,14 @@ def test_scan_gate(spark):
     assert [got[("middle", i)] for i in range(3)] == [False, False, True]
     assert [got[("two", i)] for i in range(3)] == [False, True, True]
     assert [got[("none", i)] for i in range(2)] == [False, False]
+
+
+def test_short_patterns_every_position(spark):
+    """The exact fallback for short patterns agrees with the broadcast scan."""
+    files = spark.createDataFrame([(1, "abcabc xyz"), (2, "zzz"), (3, "ab"), (4, "éab")],
+                                  "file_id int, text string")
+    sigs = spark.createDataFrame([(1, "abc"), (2, "c x"), (3, "zz"), (4, "éa"), (5, "q")],
+                                 "sig_id int, pattern string")
+    a = {tuple(r) for r in S._hits_broadcast(files, sigs, "text", "pattern").select("file_id", "sig_id").collect()}
+    b = {tuple(r) for r in S._hits_every_position(files, sigs, "file_id", "text", "sig_id", "pattern").collect()}
+    assert a == b == {(1, 1), (1, 2), (2, 3), (4, 4)}

@@ -29,7 +29,7 @@ def test_stream_state_equals_batch_and_drops_replays(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(land, "events.parquet"))
     q, out = ST.stream_job_state(L.events_as_ledger(stream))
     q.awaitTermination()
-    _same(spark.read.parquet(out), batch)
+    _same(ST.read_job_state(spark, out), batch)
 
 
 def test_stream_jobs_equals_batch(spark):
