@@ -66,12 +66,35 @@ def apply_steps(col: Column, steps) -> Column:
     return col
 
 
-def to_markdown(html: Column) -> Column:
-    return apply_steps(html, MARKDOWN_STEPS)
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def clean_html(html: Column) -> Column:
-    return apply_steps(html, HTML_STEPS)
+def steps_sql(expr: str, steps) -> str:
+    """The rewrite chain as one Spark SQL expression over ``expr``."""
+    for step in steps:
+        if step[0] == "=":
+            expr = f"replace({expr}, {_sql_str(step[1])}, {_sql_str(step[2])})"
+        else:
+            expr = f"regexp_replace({expr}, {_sql_str(step[0])}, {_sql_str(step[1])})"
+    return expr
+
+
+def _chain(html, steps) -> Column:
+    # A named column becomes one parsed SQL expression (one driver call
+    # instead of one per step); any other column is chained step by step.
+    if isinstance(html, str):
+        return F.expr(steps_sql(f"`{html}`", steps))
+    return apply_steps(html, steps)
+
+
+def to_markdown(html) -> Column:
+    """``html``: a column name (preferred) or a Column."""
+    return _chain(html, MARKDOWN_STEPS)
+
+
+def clean_html(html) -> Column:
+    return _chain(html, HTML_STEPS)
 
 
 def image_mode_steps(mode: str | None):

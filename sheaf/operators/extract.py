@@ -18,12 +18,12 @@ INVALID_JSON = "INVALID_JSON"
 
 def extract_markdown(df: DataFrame, html_col: str = "html", out: str = "markdown") -> DataFrame:
     """HTML -> Markdown by the ordered rewrite chain."""
-    return df.withColumn(out, H.to_markdown(F.col(html_col)))
+    return df.withColumn(out, H.to_markdown(html_col))
 
 
 def extract_html(df: DataFrame, html_col: str = "html", out: str = "clean_html") -> DataFrame:
     """HTML without comments, head, scripts, styles, navigation, footer, ads."""
-    return df.withColumn(out, H.clean_html(F.col(html_col)))
+    return df.withColumn(out, H.clean_html(html_col))
 
 
 def apply_image_mode(df: DataFrame, html_col: str = "html", mode: str | None = None,

@@ -221,6 +221,7 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int,
     art_cols = []
     for i, inp in enumerate(tpl["inputs"]):
         arts[inp["name"]] = Art("file", text=F.col(f"__t{i}"), ctype=F.col(f"__c{i}"), origin=i)
+        arts[inp["name"]].text_name = f"__t{i}"
         art_cols.append(F.struct(F.lit(inp["name"]).alias("name"), F.lit(None).cast("int").alias("n_pages"),
                                  F.octet_length(F.col(f"__t{i}")).cast("bigint").alias("size_bytes"),
                                  F.lit("input").alias("source")))
@@ -293,8 +294,9 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int,
             a0 = src[0]
             if a0.kind == "file":
                 is_html = F.coalesce(a0.ctype, F.lit("")) == "text/html"
-                res = _res(op, markdown=F.when(is_html, H.to_markdown(a0.text)).otherwise(a0.text),
-                           html=F.when(is_html, H.clean_html(a0.text)))
+                src_text = getattr(a0, "text_name", None) or a0.text
+                res = _res(op, markdown=F.when(is_html, H.to_markdown(src_text)).otherwise(a0.text),
+                           html=F.when(is_html, H.clean_html(src_text)))
             else:
                 res = _res(op, markdown=a0.full_text())
         else:
