@@ -354,6 +354,16 @@ SELECT job_id, 'thumb', p::BIGINT, 'out', printf('thumb/%s_%03d.png', doc_id::VA
        strlen(substring(substring(text, ((p - 1) * {PAGE_CHARS} + 1)::BIGINT, {PAGE_CHARS}), 1, width))::BIGINT, 'op'
 FROM c, unnest(range(1, np + 1)) AS r(p) WHERE allp AND np > 1"""
 
+SQL["artifact_files"] = f"""
+WITH j AS ({DOC_RUN})
+SELECT job_id, 'doc' AS name, 'input' AS source, lang || '/' || doc_id::VARCHAR || '.txt' AS file_name,
+       strlen(text)::BIGINT AS size_bytes
+FROM j JOIN (SELECT doc_id AS d2, lang FROM documents) l ON l.d2 = j.doc_id
+UNION ALL
+SELECT job_id, 'pdf', 'op', 'pdf.pdf', strlen(text)::BIGINT FROM j WHERE clean
+UNION ALL
+SELECT job_id, 'thumb', 'op', 'thumb', strlen(substring(text, 1, width))::BIGINT FROM j WHERE clean"""
+
 PROGRESS = f"""
   WITH j AS ({DOC_RUN})
   SELECT job_id, 0::BIGINT AS seq, 'downloading' AS step, 0::BIGINT AS current, 1::BIGINT AS total FROM j

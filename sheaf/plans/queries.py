@@ -298,6 +298,12 @@ def q_upload_plan(spark, sf):
                        "size_bytes", "source")
 
 
+@query("artifact_files")
+def q_artifact_files(spark, sf):
+    a = W.file_names(doc_run(spark, sf).artifacts)
+    return a.select("job_id", "name", "source", "file_name", "size_bytes")
+
+
 @query("progress_events")
 def q_progress_events(spark, sf):
     jobs = doc_jobs(spark, sf)

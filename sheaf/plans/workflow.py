@@ -113,7 +113,7 @@ class JobRun:
     results: DataFrame        # one row per (job, op) of jobs whose downloads succeeded
     downloads: DataFrame      # job_id, input_index, name, error, ...
     outcomes: DataFrame       # job_id, status, error
-    artifacts: DataFrame      # job_id, name, n_pages, size_bytes, source
+    artifacts: DataFrame      # job_id, name, n_pages, size_bytes, source, file_name
     artifact_pages: DataFrame  # job_id, name, page_no, size_bytes (previews of 'all' thumbnails)
 
 
@@ -204,7 +204,7 @@ def _res(op: dict, success=True, error=None, clean=None, detail=None, size=None,
         *[c(vals[n], t).alias(n) for n, t in _RES_TYPES])
 
 
-ART_T = "struct<name:string,n_pages:int,size_bytes:bigint,source:string>"
+ART_T = "struct<name:string,n_pages:int,size_bytes:bigint,source:string,file_name:string>"
 PAGE_T = "array<struct<name:string,page_no:int,size_bytes:bigint>>"
 
 
@@ -224,7 +224,7 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int,
         arts[inp["name"]].text_name = f"__t{i}"
         art_cols.append(F.struct(F.lit(inp["name"]).alias("name"), F.lit(None).cast("int").alias("n_pages"),
                                  F.octet_length(F.col(f"__t{i}")).cast("bigint").alias("size_bytes"),
-                                 F.lit("input").alias("source")))
+                                 F.lit("input").alias("source"), F.col(f"__key{i}").alias("file_name")))
     results, page_cols = [], []
     gate = F.lit(False)
     for k, op in enumerate(tpl["ops"]):
@@ -306,9 +306,10 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int,
             arts[op.get("op_name")] = art
             n = art.n_pages(P) if (art.kind == "image" and (op.get("pages") or "") == "all") else F.lit(None)
             size = (F.octet_length(F.element_at(art.pages_col, 1)) if art.kind == "image" else art.size())
+            fname = F.lit(op.get("op_name") + ".pdf" if typ == "convert_to_pdf" else None).cast("string")
             art_cols.append(F.when(~gate, F.struct(F.lit(op.get("op_name")).alias("name"), n.cast("int").alias("n_pages"),
                                                   size.cast("bigint").alias("size_bytes"),
-                                                  F.lit("op").alias("source"))))
+                                                  F.lit("op").alias("source"), fname.alias("file_name"))))
         if failed_scan is not None:
             gate = gate | F.coalesce(failed_scan, F.lit(False))
     return base, results, art_cols, page_cols
@@ -322,7 +323,8 @@ def _template_base(tpl: dict, dl: DataFrame, template_id) -> DataFrame:
     for i, inp in enumerate(tpl["inputs"]):
         part = d.filter(F.col("name") == inp["name"]).select(
             "job_id", F.col("text").alias(f"__t{i}"), F.col("content_type").alias(f"__c{i}"),
-            F.col("error").alias(f"__e{i}"), _file_id(F.col("bucket"), F.col("key")).alias(f"__fid{i}"))
+            F.col("error").alias(f"__e{i}"), _file_id(F.col("bucket"), F.col("key")).alias(f"__fid{i}"),
+            F.col("key").alias(f"__key{i}"))
         base = part if base is None else base.join(part, "job_id", "inner")
     ok = F.lit(True)
     for i in range(len(tpl["inputs"])):
@@ -381,6 +383,13 @@ def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
     return JobRun(res, dl, outcomes, art, pg)
 
 
+def file_names(artifacts: DataFrame) -> DataFrame:
+    """File name handed to the next step: an input keeps its key, a
+    converted document is '<op>.pdf', merges and previews set none and the
+    artifact name stands in."""
+    return artifacts.withColumn("file_name", F.coalesce(F.col("file_name"), F.col("name")))
+
+
 def op_status(results: DataFrame) -> DataFrame:
     """Success / error per op (already in the result rows), with counts."""
     return (results.groupBy("op_name", "op_type", "success", "error")

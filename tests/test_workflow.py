@@ -85,6 +85,8 @@ def test_merge_positional_and_missing_inputs(spark):
     assert r[("m", "md")].markdown == "zz0123456789abcdef"
     assert r[("m", "bad")].error == "MISSING_INPUT" and not r[("m", "bad")].success
     assert r[("m", "notype")].error == "unknown operation type"
+    names = {a.name: a.file_name for a in W.file_names(run.artifacts).collect()}
+    assert names == {"a": "a.txt", "z": "z.txt", "pa": "pa.pdf", "merged": "merged"}
 
 
 def test_scan_disabled_gates_and_html_markdown(spark):
