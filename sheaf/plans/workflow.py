@@ -27,6 +27,7 @@ from ..functions.text import chunks
 from ..operators import scan as S
 from ..operators.pages import DEFAULT_WIDTH
 from ..sources.files import TOO_LARGE, effective_cap
+from ..session import scratch_dir
 from ..sources.jobs import Jobs, template_of
 
 # Result messages.
@@ -341,28 +342,16 @@ def _union(dfs: list[DataFrame]) -> DataFrame | None:
     return out
 
 
-def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
-             page_chars: int = 1800, max_bytes: int | None = None,
-             max_templates: int = MAX_TEMPLATES) -> JobRun:
-    """G1: every operation of every job, in template order.
+def _parse_template(text: str) -> dict:
+    raw = json.loads(text)
+    return {"inputs": raw.get("inputs") or [], "ops": raw.get("ops") or []}
 
-    Plan per template: inputs (joined once to their files) -> one projection
-    computing every op's result as a column -> explode into result rows.
-    Scans add one join each with the (small) per-job signature hits.
-    """
-    spark = files.sparkSession
-    tpls = job_templates(jobs)
-    found = (tpls.groupBy("template_id", "template").agg(F.count(F.lit(1)).alias("n"))
-             .limit(max_templates + 1).collect())
-    if len(found) > max_templates:
-        raise ValueError(f"more than {max_templates} distinct job templates; raise max_templates")
-    inputs_t = _inputs_with_template(jobs)
-    dl = downloads(Jobs(inputs_t, jobs.ops, jobs.dests, jobs.tags), files, max_bytes, keep=["template_id"])
-    outcomes = job_outcome(dl)
+
+def _plan_templates(rows, dl, files, signatures, page_chars):
+    """Result, artifact and page DataFrames of a group of templates."""
     results, arts, pages = [], [], []
-    for row in found:
-        raw = json.loads(row["template"])
-        tpl = {"inputs": raw.get("inputs") or [], "ops": raw.get("ops") or []}
+    for row in rows:
+        tpl = _parse_template(row["template"])
         if not tpl["inputs"]:
             continue
         base = _template_base(tpl, dl, row["template_id"])
@@ -375,12 +364,64 @@ def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
         if page_cols:
             pages.append(base.select("job_id", F.explode(F.concat(*page_cols)).alias("p"))
                          .select("job_id", "p.*"))
-    res = _union(results) or spark.createDataFrame(
-        [], "job_id string, op_index int, op_name string, op_type string, success boolean, error string, "
-            "clean boolean, detail string, size_bytes bigint, page_count int, markdown string, html string")
-    art = _union(arts) or spark.createDataFrame([], "job_id string, " + ART_T[7:-1].replace(":", " "))
-    pg = _union(pages) or spark.createDataFrame([], "job_id string, name string, page_no int, size_bytes bigint")
-    return JobRun(res, dl, outcomes, art, pg)
+    return _union(results), _union(arts), _union(pages)
+
+
+RES_DDL = ("job_id string, op_index int, op_name string, op_type string, success boolean, error string, "
+           "clean boolean, detail string, size_bytes bigint, page_count int, markdown string, html string")
+PAGES_DDL = "job_id string, name string, page_no int, size_bytes bigint"
+
+
+def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
+             page_chars: int = 1800, max_bytes: int | None = None,
+             max_templates: int = MAX_TEMPLATES) -> JobRun:
+    """G1: every operation of every job, in template order.
+
+    Plan per template: inputs (joined once to their files) -> one projection
+    computing every op's result as a column -> explode into result rows.
+    Scans add one join each with the (small) per-file signature verdicts.
+
+    Up to ``max_templates`` distinct templates the result is one lazy plan.
+    Beyond that, templates are streamed to the driver with toLocalIterator
+    and planned ``max_templates`` at a time; each group is written under
+    ``spark.checkpoint.dir`` (which also cuts the lineage) and the run reads
+    all groups back. No job is left out either way.
+    """
+    spark = files.sparkSession
+    tpls = job_templates(jobs)
+    distinct = tpls.groupBy("template_id", "template").agg(F.count(F.lit(1)).alias("n"))
+    found = distinct.limit(max_templates + 1).collect()
+    inputs_t = _inputs_with_template(jobs)
+    dl = downloads(Jobs(inputs_t, jobs.ops, jobs.dests, jobs.tags), files, max_bytes, keep=["template_id"])
+    outcomes = job_outcome(dl)
+    art_ddl = "job_id string, " + ART_T[7:-1].replace(":", " ")
+    if len(found) <= max_templates:
+        res, art, pg = _plan_templates(found, dl, files, signatures, page_chars)
+        return JobRun(res or spark.createDataFrame([], RES_DDL), dl, outcomes,
+                      art or spark.createDataFrame([], art_ddl), pg or spark.createDataFrame([], PAGES_DDL))
+    out = scratch_dir(spark, "job-run")
+    group = []
+
+    def flush(rows):
+        res, art, pg = _plan_templates(rows, dl, files, signatures, page_chars)
+        for name, df in (("results", res), ("artifacts", art), ("pages", pg)):
+            if df is not None:
+                df.write.mode("append").parquet(f"{out}/{name}")
+
+    for row in distinct.select("template_id", "template").toLocalIterator():
+        group.append(row)
+        if len(group) == max_templates:
+            flush(group)
+            group = []
+    if group:
+        flush(group)
+
+    def read(name, ddl):
+        try:
+            return spark.read.schema(ddl).parquet(f"{out}/{name}")
+        except Exception:  # noqa: BLE001 - nothing was written under this name
+            return spark.createDataFrame([], ddl)
+    return JobRun(read("results", RES_DDL), dl, outcomes, read("artifacts", art_ddl), read("pages", PAGES_DDL))
 
 
 def file_names(artifacts: DataFrame) -> DataFrame:

@@ -141,3 +141,18 @@ def test_artifact_refs_and_unused(spark):
     refs = {(x.ref): (x.n_uses, x.last_op_index) for x in W.artifact_refs(jobs).collect()}
     assert refs == {"a": (2, 1), "p": (2, 1), "m": (1, None)}
     assert [u.name for u in W.unused_inputs(jobs).collect()] == ["u"]
+
+
+def test_many_templates_written_in_groups(spark):
+    """Past max_templates the run is planned in groups and written; same rows."""
+    from conftest import SF001
+    from sheaf.plans import queries as Q
+    jobs = Q.doc_jobs(spark, SF001)
+    files, sigs = Q.doc_files(spark, SF001), Q.bench_signatures(spark, SF001)
+    lazy = W.run_jobs(jobs, files, sigs, page_chars=Q.PAGE_CHARS)
+    grouped = W.run_jobs(jobs, files, sigs, page_chars=Q.PAGE_CHARS, max_templates=1)
+    cols = ["job_id", "op_index", "success", "error", "size_bytes", "page_count"]
+    a = sorted(map(tuple, lazy.results.select(*cols).collect()), key=repr)
+    b = sorted(map(tuple, grouped.results.select(*cols).collect()), key=repr)
+    assert a == b and len(a) == 800
+    assert grouped.artifact_pages.count() == lazy.artifact_pages.count()
