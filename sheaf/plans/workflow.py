@@ -347,7 +347,7 @@ def _parse_template(text: str) -> dict:
     return {"inputs": raw.get("inputs") or [], "ops": raw.get("ops") or []}
 
 
-def _plan_templates(rows, dl, files, signatures, page_chars):
+def _plan_templates(rows, dl, files, signatures, page_chars, inputs_t=None):
     """Result, artifact and page DataFrames of a group of templates."""
     results, arts, pages = [], [], []
     for row in rows:
@@ -355,7 +355,9 @@ def _plan_templates(rows, dl, files, signatures, page_chars):
         if not tpl["inputs"]:
             continue
         base = _template_base(tpl, dl, row["template_id"])
-        d_t = dl.filter(F.col("template_id") == F.lit(row["template_id"]))
+        # file keys the template reads come from the inputs alone (no text)
+        keys_src = inputs_t if inputs_t is not None else dl
+        d_t = keys_src.filter(F.col("template_id") == F.lit(row["template_id"]))
         base, res, art_cols, page_cols = _template_plan(tpl, base, signatures, page_chars, files, d_t)
         if res:
             results.append(base.select("job_id", F.explode(F.array(*res)).alias("r")).select("job_id", "r.*"))
@@ -396,14 +398,14 @@ def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
     outcomes = job_outcome(dl)
     art_ddl = "job_id string, " + ART_T[7:-1].replace(":", " ")
     if len(found) <= max_templates:
-        res, art, pg = _plan_templates(found, dl, files, signatures, page_chars)
+        res, art, pg = _plan_templates(found, dl, files, signatures, page_chars, inputs_t)
         return JobRun(res or spark.createDataFrame([], RES_DDL), dl, outcomes,
                       art or spark.createDataFrame([], art_ddl), pg or spark.createDataFrame([], PAGES_DDL))
     out = scratch_dir(spark, "job-run")
     group = []
 
     def flush(rows):
-        res, art, pg = _plan_templates(rows, dl, files, signatures, page_chars)
+        res, art, pg = _plan_templates(rows, dl, files, signatures, page_chars, inputs_t)
         for name, df in (("results", res), ("artifacts", art), ("pages", pg)):
             if df is not None:
                 df.write.mode("append").parquet(f"{out}/{name}")

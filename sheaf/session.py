@@ -48,7 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster the setting must name a shared file system; it is only filled
     in here for local sessions (tests), where no shared folder exists.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local"):
