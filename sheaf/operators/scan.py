@@ -68,13 +68,19 @@ def threat_counts(verdicts: DataFrame) -> DataFrame:
 
 
 def _sig_stats(signatures: DataFrame, pattern_col: str, k: int = KGRAM):
-    """Count, bytes and shortest length of the signatures (>= 2k-1 chars) in one
-    small aggregate: this is the size check behind any broadcast of them."""
-    n_len = F.length(pattern_col)
-    row = signatures.agg(F.count(F.lit(1)).alias("n"),
-                         F.coalesce(F.sum(F.octet_length(pattern_col)), F.lit(0)).alias("b"),
-                         F.min(F.when(n_len >= 2 * k - 1, n_len)).alias("m")).first()
-    return row["n"], row["b"], row["m"]
+    """One small aggregate over the signatures: the size check behind any
+    broadcast of them. Returns count, bytes, shortest length >= 2k-1, and
+    (count, bytes) of the patterns shorter than 2k-1 and than k+MAX_STEP-1
+    (the two possible short sets of the k-gram strategy)."""
+    n_len, b_len = F.length(pattern_col), F.octet_length(pattern_col)
+    a, b = 2 * k - 1, k + MAX_STEP - 1
+    row = signatures.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(b_len), F.lit(0)).alias("b"),
+        F.min(F.when(n_len >= a, n_len)).alias("m"),
+        F.count_if(n_len < a).alias("na"), F.coalesce(F.sum(F.when(n_len < a, b_len)), F.lit(0)).alias("ba"),
+        F.count_if(n_len < b).alias("nb"), F.coalesce(F.sum(F.when(n_len < b, b_len)), F.lit(0)).alias("bb"),
+    ).first()
+    return row
 
 
 def _hits_broadcast(files, sigs, text_col, pattern_col):
@@ -136,7 +142,8 @@ def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
     f = files.select(id_col, text_col).filter(F.col(text_col).isNotNull())
     sigs = (signatures.select(sig_id_col, pattern_col)
             .filter(F.col(pattern_col).isNotNull() & (F.length(pattern_col) > 0)))
-    n, b, m = _sig_stats(sigs, pattern_col, k)
+    st = _sig_stats(sigs, pattern_col, k)
+    n, b, m = st["n"], st["b"], st["m"]
     if method == "auto":
         method = "broadcast" if (n <= BROADCAST_FEW_SIGS and b <= BROADCAST_SIG_BYTES) else "kgram"
     if s is None and method == "kgram":
@@ -151,7 +158,13 @@ def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
     long_sigs = sigs.filter(F.length(pattern_col) >= k + s - 1)
     short_sigs = sigs.filter(F.length(pattern_col) < k + s - 1)
     hits = _hits_kgram(f, long_sigs, id_col, text_col, sig_id_col, pattern_col, k, s)
-    sn, sb, _ = _sig_stats(short_sigs, pattern_col, k)
+    if k + s - 1 == 2 * k - 1 or (m is not None and k + s - 1 == m):
+        sn, sb = st["na"], st["ba"]           # shorter than the shortest long pattern
+    elif k + s - 1 == k + MAX_STEP - 1:
+        sn, sb = st["nb"], st["bb"]
+    else:  # a step given by the caller: measure this short set
+        r = short_sigs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(pattern_col)), F.lit(0))).first()
+        sn, sb = r[0], r[1]
     if sn == 0:
         return hits
     if sb <= BROADCAST_SIG_BYTES:

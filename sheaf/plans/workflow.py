@@ -213,8 +213,7 @@ def _file_id(bucket: Column, key: Column) -> Column:
     return F.concat(bucket, F.lit("\u0000"), key)
 
 
-def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int,
-                   files: DataFrame | None = None, dl: DataFrame | None = None):
+def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int, file_verdicts=None):
     """Walk one template: returns (base with verdict columns, result structs,
     artifact structs, page-array columns)."""
     P = page_chars
@@ -245,15 +244,10 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int,
             else:
                 names = signatures.select(F.col("sig_id").alias(f"__sig{k}"), F.col("sig_name").alias(f"__det{k}"))
                 o = src[0].origin
-                if o is not None and files is not None and dl is not None:
-                    # The scanned text is an input file as stored: verdicts per
-                    # file (only files this template reads), joined by file key.
-                    keys = (dl.filter(F.col("name") == tpl["inputs"][o]["name"])
-                            .select(_file_id(F.col("bucket"), F.col("key")).alias("__fid")).distinct())
-                    probe = (files.select(_file_id(F.col("bucket"), F.col("key")).alias("__fid"), "text")
-                             .join(keys, "__fid", "left_semi"))
-                    hits = S.scan_hits(probe, signatures, id_col="__fid", text_col="text")
-                    v = (hits.groupBy(F.col("__fid").alias(f"__fid{o}")).agg(F.min("sig_id").alias(f"__sig{k}"))
+                if o is not None and file_verdicts is not None:
+                    # The scanned text is an input file as stored: per-file
+                    # verdicts (shared by all templates), joined by file key.
+                    v = (file_verdicts().select(F.col("__fid").alias(f"__fid{o}"), F.col("__vsig").alias(f"__sig{k}"))
                          .join(names, f"__sig{k}", "left"))
                     base = base.join(v, f"__fid{o}", "left")
                 else:
@@ -347,18 +341,28 @@ def _parse_template(text: str) -> dict:
     return {"inputs": raw.get("inputs") or [], "ops": raw.get("ops") or []}
 
 
-def _plan_templates(rows, dl, files, signatures, page_chars, inputs_t=None):
+def _plan_templates(rows, dl, files, signatures, page_chars, inputs_t):
     """Result, artifact and page DataFrames of a group of templates."""
     results, arts, pages = [], [], []
+    cache = {}
+
+    def file_verdicts():
+        # Lowest matching signature per input file that any job reads; built
+        # once per run, so every template's scan reuses the same plan.
+        if "v" not in cache:
+            keys = inputs_t.select(_file_id(F.col("bucket"), F.col("key")).alias("__fid")).distinct()
+            probe = (files.select(_file_id(F.col("bucket"), F.col("key")).alias("__fid"), "text")
+                     .join(keys, "__fid", "left_semi"))
+            hits = S.scan_hits(probe, signatures, id_col="__fid", text_col="text")
+            cache["v"] = hits.groupBy("__fid").agg(F.min("sig_id").alias("__vsig"))
+        return cache["v"]
+
     for row in rows:
         tpl = _parse_template(row["template"])
         if not tpl["inputs"]:
             continue
         base = _template_base(tpl, dl, row["template_id"])
-        # file keys the template reads come from the inputs alone (no text)
-        keys_src = inputs_t if inputs_t is not None else dl
-        d_t = keys_src.filter(F.col("template_id") == F.lit(row["template_id"]))
-        base, res, art_cols, page_cols = _template_plan(tpl, base, signatures, page_chars, files, d_t)
+        base, res, art_cols, page_cols = _template_plan(tpl, base, signatures, page_chars, file_verdicts)
         if res:
             results.append(base.select("job_id", F.explode(F.array(*res)).alias("r")).select("job_id", "r.*"))
         arts.append(base.select("job_id", F.explode(F.filter(F.array(*art_cols), lambda a: a.isNotNull()))
