@@ -422,7 +422,7 @@ PREVIEW_PLAN = f"""
     CASE lower(format) WHEN 'png' THEN 'image/png' WHEN 'webp' THEN 'image/webp' ELSE 'image/jpeg' END AS mime,
     width::BIGINT AS width, dpi::BIGINT AS dpi, allp,
     CASE WHEN allp THEN printf('thumbs/%s_%03d.img', doc_id::VARCHAR, p) ELSE dest_key END AS key,
-    NULL AS error
+    NULL::VARCHAR AS error
   FROM r, unnest(CASE WHEN allp THEN range(1, np + 1) ELSE [1] END) AS u(p)"""
 
 PREVIEWS = f"""

@@ -423,7 +423,7 @@ def submissions(spark, sf):
                     F.array(F.col("o_orderpriority"), F.lower("c_mktsegment")).alias("tags"),
                     F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
                      .otherwise(F.lit("")).alias("caller_user"),
-                    F.col("o_orderdate").cast("timestamp").alias("created")))
+                    F.col("o_orderdate").alias("created")))
 
 
 def ledger_state(spark, sf):
