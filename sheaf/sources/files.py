@@ -25,10 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
     chains, scans) would then run on one core. At scale a scan has thousands
     of partitions and this is a no-op.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as it is
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
