@@ -3,9 +3,9 @@
 A template is the part of a pipeline document shared by many jobs: input
 names and the operation list (names, types, references, options). Jobs are
 grouped by template; for each template the operations are walked once on the
-driver (they can only refer backwards) and each becomes a DataFrame
-transformation over *all* jobs of that template. Only the distinct template
-descriptors are collected, never job or file rows.
+driver (they can only refer backwards) and together become one plan over
+*all* jobs of that template. Only the distinct template descriptors reach the
+driver (streamed in groups past ``max_templates``), never job or file rows.
 
 Within a template every artifact of a job is a column expression over the
 job's row (see ``Art``): all operations of a job are evaluated in one

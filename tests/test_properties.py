@@ -3,7 +3,6 @@
 import random
 
 import duckdb
-from pyspark.sql import functions as F
 
 from sheaf.functions import html as H
 from sheaf.operators import pages as P

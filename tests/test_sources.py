@@ -1,7 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from sheaf.sources.files import read_files
 from sheaf.sources.jobs import explode_jobs, read_jobs

@@ -1,7 +1,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from sheaf.operators import ledger as L
 from sheaf.plans import queries as Q

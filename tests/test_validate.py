@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from sheaf.operators import validate as V
 from sheaf.sources.jobs import explode_jobs, parse_jobs
