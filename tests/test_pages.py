@@ -84,11 +84,12 @@ def test_merge_offsets_cross_blocks(spark):
 
 
 def test_preview_defaults_and_all_pages(spark):
-    counts = spark.createDataFrame([(1, 5), (2, 5), (3, 0)], "doc_id int, n_pages bigint")
+    counts = spark.createDataFrame([(1, 5), (2, 5), (3, 0), (4, 1)], "doc_id int, n_pages bigint")
     req = spark.createDataFrame([
         (1, "", 0, 0, "", "t/1.jpg"),          # all defaults: jpg, 400, 150, page 1
         (2, "png", 800, 300, "all", "t/2.png"),  # custom, every page
-        (3, None, None, None, "all", "t/3.jpg")],  # no pages
+        (3, None, None, None, "all", "t/3.jpg"),  # no pages
+        (4, "webp", 10, 10, "all", "t/4.webp")],  # all pages of a one-page document
         "doc_id int, format string, width int, dpi int, pages string, dest_key string")
     plan = P.plan_previews(counts, req).collect()
     one = [r for r in plan if r.doc_id == 1]
@@ -99,6 +100,8 @@ def test_preview_defaults_and_all_pages(spark):
     assert two[0][1:] == ("t/2_001.png", "image/png", 800, 300)
     three = [r for r in plan if r.doc_id == 3]
     assert len(three) == 1 and three[0].error == "NO_PAGES"
+    four = [(r.page_no, r.key, r.mime) for r in plan if r.doc_id == 4]
+    assert four == [(1, "t/4_001.webp", "image/webp")]  # the single-call path always numbers pages
 
 
 def test_preview_pages_sizes(spark):
