@@ -87,26 +87,33 @@ def _hits_broadcast(files, sigs, text_col, pattern_col):
     return (files.join(F.broadcast(sigs), F.col(text_col).contains(F.col(pattern_col)), "inner"))
 
 
+def _ids(id_col):
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
 def _hits_kgram(files, sigs, id_col, text_col, sig_id_col, pattern_col, k, s):
     # s >= k: the gram at position i*s is the head of the i-th s-character
     # piece, so grams come from one linear pass; exploded rows hold
     # (id, p, gram) only, and the few candidates meet the text once more.
+    ids = _ids(id_col)
     pieces = chunks(F.col(text_col), s)
     doc_grams = (files.filter(F.length(text_col) >= k)  # shorter texts hold no long pattern
-                 .select(id_col, F.posexplode(pieces).alias("i", "piece"))
+                 .select(*ids, F.posexplode(pieces).alias("i", "piece"))
                  .filter(F.length("piece") >= k)
-                 .select(id_col, (F.col("i") * s).alias("p"), F.substring("piece", 1, k).alias("gram")))
+                 .select(*ids, (F.col("i") * s).alias("p"), F.substring("piece", 1, k).alias("gram")))
     sig_grams = (sigs.select(sig_id_col, pattern_col,
                              F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("o"))
                  .withColumn("gram", F.substring(pattern_col, F.col("o") + 1, k)))
     cand = (doc_grams.join(sig_grams, "gram", "inner")
-            .select(id_col, sig_id_col, pattern_col, (F.col("p") - F.col("o")).alias("start"))
+            .select(*ids, sig_id_col, pattern_col, (F.col("p") - F.col("o")).alias("start"))
             .filter(F.col("start") >= 0)
             .distinct())
-    verified = (cand.join(files.select(id_col, text_col), id_col, "inner")
+    # the candidates meet the text on the file's own key columns: when the
+    # files are already partitioned by them, only the candidates move
+    verified = (cand.join(files.select(*ids, text_col), ids, "inner")
                 .filter(F.substring(F.col(text_col), F.col("start") + 1, F.length(pattern_col))
                         == F.col(pattern_col)))
-    return verified.select(id_col, sig_id_col).distinct()
+    return verified.select(*ids, sig_id_col).distinct()
 
 
 def _hits_every_position(files, sigs, id_col, text_col, sig_id_col, pattern_col):
@@ -114,20 +121,21 @@ def _hits_every_position(files, sigs, id_col, text_col, sig_id_col, pattern_col)
     the shortest pattern length q at every position (work linear in text
     length times q), joined with each pattern's first q characters, then
     verified at the candidate start."""
+    ids = _ids(id_col)
     q = sigs.agg(F.min(F.length(pattern_col))).first()[0]
     chars = F.regexp_extract_all(F.col(text_col), F.lit("(?s)."), 0)
     doc_grams = (files.filter(F.length(text_col) >= q)
-                 .select(id_col, chars.alias("__c"))
-                 .select(id_col, F.posexplode(F.transform(
+                 .select(*ids, chars.alias("__c"))
+                 .select(*ids, F.posexplode(F.transform(
                      F.sequence(F.lit(0), F.size("__c") - q),
                      lambda i: F.array_join(F.slice("__c", i + 1, F.lit(q)), ""))).alias("p", "gram")))
     sig_grams = sigs.select(sig_id_col, pattern_col, F.substring(pattern_col, 1, q).alias("gram"))
     cand = (doc_grams.join(sig_grams, "gram", "inner")
-            .select(id_col, sig_id_col, pattern_col, F.col("p").alias("start")))
-    verified = (cand.join(files.select(id_col, text_col), id_col, "inner")
+            .select(*ids, sig_id_col, pattern_col, F.col("p").alias("start")))
+    verified = (cand.join(files.select(*ids, text_col), ids, "inner")
                 .filter(F.substring(F.col(text_col), F.col("start") + 1, F.length(pattern_col))
                         == F.col(pattern_col)))
-    return verified.select(id_col, sig_id_col).distinct()
+    return verified.select(*ids, sig_id_col).distinct()
 
 
 def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
@@ -135,11 +143,13 @@ def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
               method: str = "auto", k: int = KGRAM, s: int | None = None) -> DataFrame:
     """(file, signature) pairs where the file's text contains the pattern.
 
+    ``id_col``: one column or a list of columns identifying a file.
+
     ``auto``: a handful of signatures -> broadcast nested loop (cheapest for
     few patterns); more -> k-grams, with the sampling step ``s`` as large as
     the shortest long pattern allows (fewest file rows), capped at 128.
     """
-    f = files.select(id_col, text_col).filter(F.col(text_col).isNotNull())
+    f = files.select(*_ids(id_col), text_col).filter(F.col(text_col).isNotNull())
     sigs = (signatures.select(sig_id_col, pattern_col)
             .filter(F.col(pattern_col).isNotNull() & (F.length(pattern_col) > 0)))
     st = _sig_stats(sigs, pattern_col, k)
@@ -151,7 +161,7 @@ def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
     if method == "broadcast":
         if b > BROADCAST_SIG_BYTES:
             raise ValueError("signature set too large to broadcast; use method='kgram'")
-        return _hits_broadcast(f, sigs, text_col, pattern_col).select(id_col, sig_id_col)
+        return _hits_broadcast(f, sigs, text_col, pattern_col).select(*_ids(id_col), sig_id_col)
     if method != "kgram":
         raise ValueError(method)
     s = max(s or KSTEP, k)
@@ -168,7 +178,7 @@ def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
     if sn == 0:
         return hits
     if sb <= BROADCAST_SIG_BYTES:
-        short = _hits_broadcast(f, short_sigs, text_col, pattern_col).select(id_col, sig_id_col)
+        short = _hits_broadcast(f, short_sigs, text_col, pattern_col).select(*_ids(id_col), sig_id_col)
     else:
         short = _hits_every_position(f, short_sigs, id_col, text_col, sig_id_col, pattern_col)
     return hits.unionByName(short)

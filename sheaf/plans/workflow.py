@@ -44,12 +44,17 @@ RESULT_COLS = ["job_id", "op_index", "op_name", "op_type", "success", "error", "
                "size_bytes", "page_count", "markdown", "html"]
 
 
+def _files_proj(files: DataFrame) -> DataFrame:
+    """The one projection of the files that every consumer uses, so that the
+    single shuffle of the texts by (bucket, key) is reused by all of them."""
+    return files.select("bucket", "key", F.col("content_type").alias("__ct"), "size_bytes", "text")
+
+
 def downloads(jobs: Jobs, files: DataFrame, max_bytes: int | None = None,
               keep: list[str] | None = None) -> DataFrame:
     """Each job input joined to its file: error NOT_FOUND / TOO_LARGE, else the text."""
     cap = effective_cap(max_bytes)
-    f = files.select("bucket", "key", F.col("content_type").alias("__ct"), "size_bytes", "text")
-    d = jobs.inputs.join(f, ["bucket", "key"], "left")
+    d = jobs.inputs.join(_files_proj(files), ["bucket", "key"], "left")
     return d.select(
         "job_id", "input_index", "name", "bucket", "key", *(keep or []),
         F.coalesce(F.nullif(F.col("content_type"), F.lit("")), F.col("__ct")).alias("content_type"),
@@ -247,9 +252,13 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int, file
                 if o is not None and file_verdicts is not None:
                     # The scanned text is an input file as stored: per-file
                     # verdicts (shared by all templates), joined by file key.
-                    v = (file_verdicts().select(F.col("__fid").alias(f"__fid{o}"), F.col("__vsig").alias(f"__sig{k}"))
+                    # joined on (bucket, key): the job rows are already
+                    # partitioned that way by the inputs-to-files join, so only
+                    # the verdicts move when they are too big to broadcast
+                    v = (file_verdicts().select(F.col("bucket").alias(f"__b{o}"), F.col("key").alias(f"__key{o}"),
+                                                F.col("__vsig").alias(f"__sig{k}"))
                          .join(names, f"__sig{k}", "left"))
-                    base = base.join(v, f"__fid{o}", "left")
+                    base = base.join(v, [f"__b{o}", f"__key{o}"], "left")
                 else:
                     text = src[0].full_text()
                     probe = base.select("job_id", text.alias("__scan_text"))
@@ -318,7 +327,7 @@ def _template_base(tpl: dict, dl: DataFrame, template_id) -> DataFrame:
     for i, inp in enumerate(tpl["inputs"]):
         part = d.filter(F.col("name") == inp["name"]).select(
             "job_id", F.col("text").alias(f"__t{i}"), F.col("content_type").alias(f"__c{i}"),
-            F.col("error").alias(f"__e{i}"), _file_id(F.col("bucket"), F.col("key")).alias(f"__fid{i}"),
+            F.col("error").alias(f"__e{i}"), F.col("bucket").alias(f"__b{i}"),
             F.col("key").alias(f"__key{i}"))
         base = part if base is None else base.join(part, "job_id", "inner")
     ok = F.lit(True)
@@ -350,11 +359,15 @@ def _plan_templates(rows, dl, files, signatures, page_chars, inputs_t):
         # Lowest matching signature per input file that any job reads; built
         # once per run, so every template's scan reuses the same plan.
         if "v" not in cache:
-            keys = inputs_t.select(_file_id(F.col("bucket"), F.col("key")).alias("__fid")).distinct()
-            probe = (files.select(_file_id(F.col("bucket"), F.col("key")).alias("__fid"), "text")
-                     .join(keys, "__fid", "left_semi"))
-            hits = S.scan_hits(probe, signatures, id_col="__fid", text_col="text")
-            cache["v"] = hits.groupBy("__fid").agg(F.min("sig_id").alias("__vsig"))
+            # Each downloaded file once, taken from the inputs-to-files join:
+            # that join's shuffle of the texts is reused (same projection, the
+            # content type kept on purpose) and the rows are already
+            # partitioned by (bucket, key), so no text moves again.
+            probe = (dl.filter(F.col("error").isNull())
+                     .select("bucket", "key", "content_type", "text")
+                     .dropDuplicates(["bucket", "key"]))
+            hits = S.scan_hits(probe, signatures, id_col=["bucket", "key"], text_col="text")
+            cache["v"] = hits.groupBy("bucket", "key").agg(F.min("sig_id").alias("__vsig"))
         return cache["v"]
 
     for row in rows:
