@@ -83,3 +83,85 @@ def test_chunked_pages_property(spark):
             assert "".join(x for _, x in ps) == t
             assert all(len(x) == size for _, x in ps[:-1]) and 0 <= len(ps[-1][1]) <= size
             assert [p for p, _ in ps] == list(range(1, max(1, -(-len(t) // size)) + 1))
+
+
+def _first_error(doc, allowed=None):
+    """The checks walked in reading order for one job (brute force)."""
+    def ref(bucket, key):
+        if not bucket:
+            return "BUCKET_REQUIRED"
+        if allowed is not None and bucket not in allowed:
+            return "BUCKET_NOT_ALLOWED"
+        if not key:
+            return "KEY_REQUIRED"
+        if ".." in key:
+            return "KEY_TRAVERSAL"
+        return None
+    ins, ops, dests = doc["inputs"], doc["operations"], doc["destinations"]
+    if not ins:
+        return "NO_INPUTS"
+    if not ops:
+        return "NO_OPERATIONS"
+    seen = set()
+    for i in ins:
+        if not i["name"]:
+            return "INPUT_NAME_REQUIRED"
+        if i["name"] in seen:
+            return "DUPLICATE_INPUT"
+        seen.add(i["name"])
+        e = ref(i["bucket"], i["key"])
+        if e:
+            return e
+    known = set(seen)
+    for o in ops:
+        if not o["name"]:
+            return "OP_NAME_REQUIRED"
+        if o["name"] in seen:
+            return "OP_NAME_IS_INPUT"
+        if o["name"] in known:
+            return "DUPLICATE_OP"
+        if not any(t in o for t in ("scan", "convert_to_pdf", "merge_pdfs", "thumbnail", "extract_markdown")):
+            return "OP_TYPE_MISSING"
+        if any(r not in known for r in o["inputs"]):
+            return "UNKNOWN_REF"
+        if not o["inputs"]:
+            return "OP_INPUTS_REQUIRED"
+        known.add(o["name"])
+    for name in sorted(dests):
+        if name not in known:
+            return "UNKNOWN_DEST"
+        e = ref(dests[name]["bucket"], dests[name]["key"])
+        if e:
+            return e
+    return None
+
+
+def test_check_pipelines_equals_brute_force(spark):
+    import json
+    from sheaf.operators import validate as V
+    from sheaf.sources.jobs import explode_jobs, parse_jobs
+    rnd = random.Random(21)
+    names = ["a", "b", "c", "d", ""]
+    types = ["scan", "convert_to_pdf", "merge_pdfs", "thumbnail", "extract_markdown", None]
+    buckets = ["x", "y", ""]
+    keys = ["k", "", "a/../b", "k2"]
+    docs = []
+    for j in range(300):
+        ins = [{"name": rnd.choice(names[:4] if rnd.random() < 0.9 else names), "bucket": rnd.choice(buckets),
+                "key": rnd.choice(keys), "content_type": ""} for _ in range(rnd.randint(0, 3))]
+        ops = []
+        for _ in range(rnd.randint(0, 4)):
+            o = {"name": rnd.choice(["s", "t", "u", "a", ""]),
+                 "inputs": [rnd.choice(["a", "b", "s", "t", "u", "zz"]) for _ in range(rnd.randint(0, 2))]}
+            t = rnd.choice(types)
+            if t:
+                o[t] = {}
+            ops.append(o)
+        dests = {rnd.choice(["a", "s", "t", "zz"]): {"bucket": rnd.choice(buckets), "key": rnd.choice(keys)}
+                 for _ in range(rnd.randint(0, 2))}
+        docs.append({"job_id": f"j{j}", "inputs": ins, "operations": ops, "destinations": dests})
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs], "job_json string")
+    got = {r.job_id: r.error for r in V.check_pipelines(explode_jobs(parse_jobs(df)), ["x"]).collect()}
+    want = {d["job_id"]: _first_error(d, {"x"}) for d in docs}
+    assert got == want
+    assert len(set(want.values())) >= 10
