@@ -165,3 +165,40 @@ def test_check_pipelines_equals_brute_force(spark):
     want = {d["job_id"]: _first_error(d, {"x"}) for d in docs}
     assert got == want
     assert len(set(want.values())) >= 10
+
+
+def test_ledger_equals_brute_force(spark):
+    from sheaf.operators import ledger as L
+    rnd = random.Random(8)
+    statuses = ["pending", "running", "running", "completed", "failed", "cancelled"]
+    events = []
+    for seq in range(600):
+        events.append((f"j{rnd.randint(0, 40)}", seq, rnd.choice(statuses), rnd.choice([None, "e1", "e2"])))
+    rnd.shuffle(events)
+    led = spark.createDataFrame(events, "job_id string, seq long, status string, error string")
+    got = {r.job_id: (r.status, r.error, r.final_seq, r.last_seq, r.n_events) for r in L.job_state(led).collect()}
+    want = {}
+    for job in {e[0] for e in events}:
+        evs = sorted((e for e in events if e[0] == job), key=lambda e: e[1])
+        final = [e for e in evs if e[2] in ("completed", "failed", "cancelled")]
+        if final:
+            want[job] = (final[0][2], final[0][3], final[0][1], evs[-1][1], len(evs))
+        else:
+            want[job] = (evs[-1][2], None, None, evs[-1][1], len(evs))
+    assert got == want
+    reqs = [(i, rnd.choice(["", "nope"] + [f"j{k}" for k in range(45)])) for i in range(200)]
+    out = {r.request_id: r.outcome for r in L.cancel_jobs(L.job_state(led), spark.createDataFrame(
+        reqs, "request_id long, job_id string")).collect()}
+    seen = set()
+    for rid, jid in reqs:
+        if jid == "":
+            exp = "JOB_ID_REQUIRED"
+        elif jid not in want:
+            exp = "NOT_FOUND"
+        elif want[jid][0] in ("completed", "failed", "cancelled") or jid in seen:
+            exp = "ALREADY_FINAL"
+        else:
+            exp = "CANCELLED"
+        if jid:
+            seen.add(jid)
+        assert out[rid] == exp, (rid, jid)
