@@ -8,11 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as TT
 
+from ..functions import html as H
+from ..operators import extract as E
+from ..operators import ledger as L
 from ..operators import pages as P
+from ..operators import scan as S
 from ..operators import validate as V
+from ..operators.backend import apply_backend
+from ..plans import workflow as W
 from ..sources.files import cap_sizes, files_from_documents, read_table
-from ..sources.tables import order_jobs
+from ..sources.jobs import explode_jobs, parse_jobs
+from ..sources.sinks import upload_plan
+from ..sources.tables import document_jobs_json, order_jobs
+from ..streaming import jobs as ST
 from .registry import query
 
 PAGE_CHARS = 1800
@@ -73,8 +83,6 @@ def q_page_counts(spark, sf):
 
 # ---- E: extraction ------------------------------------------------------------
 
-from ..operators import extract as E  # noqa: E402
-from ..functions import html as H  # noqa: E402
 
 IMG_INJECT = ('<img src="data:image/png;base64,iVBORw0KGgo=" alt="logo">'
               '<img src="/static/figure.jpg" alt="figure"></article>')
@@ -137,8 +145,6 @@ def q_image_modes(spark, sf):
 
 # ---- F: scanning --------------------------------------------------------------
 
-from ..operators import scan as S  # noqa: E402
-
 
 def bench_signatures(spark, sf):
     return T(spark, sf, "benchmark").select(
@@ -212,10 +218,6 @@ def q_scan_gate(spark, sf):
 
 # ---- A2 / B3 / G: jobs --------------------------------------------------------
 
-from ..plans import workflow as W  # noqa: E402
-from ..sources.jobs import explode_jobs, parse_jobs  # noqa: E402
-from ..sources.tables import document_jobs_json  # noqa: E402
-
 
 def doc_jobs(spark, sf):
     return explode_jobs(parse_jobs(document_jobs_json(T(spark, sf, "documents"))))
@@ -291,7 +293,6 @@ def q_job_outcome(spark, sf):
 
 @query("upload_plan")
 def q_upload_plan(spark, sf):
-    from ..sources.sinks import upload_plan
     run = doc_run(spark, sf)
     plan = upload_plan(doc_jobs(spark, sf).dests, run.artifacts, run.artifact_pages)
     return plan.select("job_id", "name", F.col("page_no").cast("bigint"), "bucket", "key", "content_type",
@@ -410,7 +411,6 @@ def q_preview_sizes(spark, sf):
 
 # ---- H: ledger ----------------------------------------------------------------
 
-from ..operators import ledger as L  # noqa: E402
 
 LIST_TAGS = ["1-URGENT", "building"]
 
@@ -529,8 +529,6 @@ def q_url_hosts(spark, sf):
 
 # ---- I: streaming -------------------------------------------------------------
 
-from ..streaming import jobs as ST  # noqa: E402
-
 
 @query("stream_jobs")
 def q_stream_jobs(spark, sf):
@@ -550,9 +548,6 @@ def q_stream_job_state(spark, sf):
 
 # ---- J: user backend ------------------------------------------------------------
 
-from pyspark.sql import types as TT  # noqa: E402
-from ..operators.backend import apply_backend  # noqa: E402
-
 
 def _line_counter():
     """A user's page/line counter: one instance per task."""
