@@ -79,17 +79,18 @@ def read_files(spark: SparkSession, path: str, max_bytes: int | None = None,
                glob: str | None = None) -> DataFrame:
     """Binary files under ``path``; content is read only for files within the cap.
 
-    Two scans of the same listing: the `length` predicate of each is pushed to
+    One listing, two scans of it: the `length` predicate of each is pushed to
     the binaryFile source, so oversize files are never opened.
     """
     cap = effective_cap(max_bytes)
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    small = (reader.load(path).filter(F.col("length") <= cap)
+    listing = reader.load(path)  # one file listing, shared by both branches
+    small = (listing.filter(F.col("length") <= cap)
              .select("path", F.col("length").alias("size_bytes"), "content",
                      F.lit(None).cast("string").alias("error")))
-    big = (reader.load(path).filter(F.col("length") > cap)
+    big = (listing.filter(F.col("length") > cap)
            .select("path", F.col("length").alias("size_bytes"),
                    F.lit(None).cast("binary").alias("content"),
                    F.lit(TOO_LARGE).alias("error")))
