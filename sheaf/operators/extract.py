@@ -74,39 +74,48 @@ def structure_json(blocks: DataFrame, id_col: str, out: str = "structure_json")
                 F.transform("__items", lambda x: x["item"]).alias("texts"))).alias(out)))
 
 
+def _parse_structure(j):
+    """One permissive parse: the document, a stored service reply wrapping it
+    under document.json_content, and the raw text when it does not decode
+    (malformed, or the wrong shape, as a strict decoder would refuse)."""
+    from pyspark.sql import types as T
+    schema = T.StructType(STRUCTURE_SCHEMA.fields + [
+        T.StructField("document", T.StructType([T.StructField("json_content", STRUCTURE_SCHEMA)])),
+        T.StructField("_corrupt_record", T.StringType())])
+    return F.from_json(j, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+
+
+def _empty_payload(j):
+    t = F.trim(j)
+    return j.isNull() | (t == "") | (t == "{}") | (t == "null")
+
+
 def parse_chunks(df: DataFrame, id_col: str, json_col: str = "structure_json") -> DataFrame:
-    """E5: structured JSON -> chunk rows; errors are a per-document column.
+    """E5: structured JSON -> chunk rows (see ``chunk_errors`` for bad payloads).
 
     Empty, '{}' or 'null' -> no chunks. A stored service reply with the
-    document under document.json_content is unwrapped first. Items with empty
-    text are dropped but keep their original index. Page = first prov's page
-    (else 0); heading = last of the list (else '').
+    document under document.json_content is unwrapped. Items with empty text
+    are dropped but keep their original index. Page = first prov's page (else
+    0); heading = last of the list (else '').
     """
     j = F.col(json_col)
-    inner = F.coalesce(F.get_json_object(j, "$.document.json_content"), j)
-    empty = j.isNull() | (F.trim(j) == "") | (F.trim(j) == "{}") | (F.trim(j) == "null")
-    d = (df.select(id_col, j.alias("__j"), inner.alias("__in"), empty.alias("__empty"))
-         .withColumn("chunk_error", F.when(~F.col("__empty") & F.try_parse_json("__j").isNull(),
-                                           F.lit(INVALID_JSON)))
-         .withColumn("__doc", F.when(~F.col("__empty") & F.col("chunk_error").isNull(),
-                                     F.from_json("__in", STRUCTURE_SCHEMA))))
-    items = (d.select(id_col, "chunk_error",
-                      F.posexplode_outer("__doc.texts").alias("chunk_index", "t")))
-    chunks = (items.filter(F.col("t.text").isNotNull() & (F.col("t.text") != ""))
-              .select(id_col,
-                      F.col("chunk_index").cast("int").alias("chunk_index"),
-                      F.col("t.label").alias("chunk_type"),
-                      F.coalesce(F.try_element_at(F.col("t.prov"), F.lit(1))["page_no"], F.lit(0))
-                       .cast("int").alias("page_number"),
-                      F.coalesce(F.try_element_at(F.col("t.headings"), F.lit(-1)), F.lit("")).alias("heading"),
-                      F.col("t.text").alias("chunk_text")))
-    return chunks
+    d = (df.select(id_col, _empty_payload(j).alias("__empty"), _parse_structure(j).alias("__p"))
+         .filter(~F.col("__empty") & F.col("__p._corrupt_record").isNull()))
+    texts = F.coalesce(F.col("__p.document.json_content.texts"), F.col("__p.texts"))
+    items = d.select(id_col, F.posexplode(texts).alias("chunk_index", "t"))
+    return (items.filter(F.col("t.text").isNotNull() & (F.col("t.text") != ""))
+            .select(id_col,
+                    F.col("chunk_index").cast("int").alias("chunk_index"),
+                    F.col("t.label").alias("chunk_type"),
+                    F.coalesce(F.try_element_at(F.col("t.prov"), F.lit(1))["page_no"], F.lit(0))
+                     .cast("int").alias("page_number"),
+                    F.coalesce(F.try_element_at(F.col("t.headings"), F.lit(-1)), F.lit("")).alias("heading"),
+                    F.col("t.text").alias("chunk_text")))
 
 
 def chunk_errors(df: DataFrame, id_col: str, json_col: str = "structure_json") -> DataFrame:
-    """Documents whose payload is not valid JSON (the rows that give no chunks)."""
+    """Documents whose payload does not decode (the rows that give no chunks)."""
     j = F.col(json_col)
-    empty = j.isNull() | (F.trim(j) == "") | (F.trim(j) == "{}") | (F.trim(j) == "null")
-    return (df.select(id_col, F.when(~empty & F.try_parse_json(j).isNull(), F.lit(INVALID_JSON))
-                      .alias("chunk_error"))
-            .filter(F.col("chunk_error").isNotNull()))
+    return (df.select(id_col, _empty_payload(j).alias("__empty"), _parse_structure(j).alias("__p"))
+            .filter(~F.col("__empty") & F.col("__p._corrupt_record").isNotNull())
+            .select(id_col, F.lit(INVALID_JSON).alias("chunk_error")))

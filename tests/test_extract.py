@@ -44,6 +44,7 @@ def test_parse_chunks_rules(spark):
         ("noprov", doc([{"text": "x", "label": "text", "prov": []}])),
         ("wrapped", json.dumps({"document": {"json_content": {"texts": [{"text": "w", "label": "text"}]}},
                                 "status": "success"})),
+        ("wrongtype", '{"texts": 5}'), ("array", "[1, 2]"),
     ]
     df = spark.createDataFrame(cases, "id string, structure_json string")
     ch = E.parse_chunks(df, "id")
@@ -51,7 +52,7 @@ def test_parse_chunks_rules(spark):
     assert got == [("gap", 0, "text", 0, "", "a"), ("gap", 2, "title", 4, "h2", "c"),
                    ("noprov", 0, "text", 0, "", "x"), ("wrapped", 0, "text", 0, "", "w")]
     errs = {r.id: r.chunk_error for r in E.chunk_errors(df, "id").collect()}
-    assert errs == {"bad": "INVALID_JSON"}
+    assert errs == {"bad": "INVALID_JSON", "wrongtype": "INVALID_JSON", "array": "INVALID_JSON"}
 
 
 def test_image_modes(spark):
