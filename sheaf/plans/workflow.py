@@ -214,10 +214,6 @@ ART_T = "struct<name:string,n_pages:int,size_bytes:bigint,source:string,file_nam
 PAGE_T = "array<struct<name:string,page_no:int,size_bytes:bigint>>"
 
 
-def _file_id(bucket: Column, key: Column) -> Column:
-    return F.concat(bucket, F.lit("\u0000"), key)
-
-
 def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int, file_verdicts=None):
     """Walk one template: returns (base with verdict columns, result structs,
     artifact structs, page-array columns)."""

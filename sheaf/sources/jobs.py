@@ -78,7 +78,3 @@ def template_of(docs: DataFrame) -> Column:
                                                   F.lit("name"), x["name"]))
     ops = F.transform(F.coalesce("operations", F.array().cast(docs.schema["operations"].dataType)), op_struct)
     return F.to_json(F.named_struct(F.lit("inputs"), ins, F.lit("ops"), ops))
-
-
-def job_ids(jobs: DataFrame) -> DataFrame:
-    return jobs.select("job_id")
