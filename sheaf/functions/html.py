@@ -11,6 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DROP_WITH_CONTENT = ("head", "script", "style", "nav", "footer")
+# These run to their closing tag or, when it is missing, to the end of the text
+# (a browser reads unclosed raw text to the end, and extends an unclosed nav or
+# footer to the end of the body). Matching "closer or end" never fails, so a
+# page full of unclosed tags is one linear pass instead of a rescan per tag.
+# `head` keeps strict matching: a browser closes it at <body>.
+RAW_TEXT = ("script", "style", "nav", "footer")
 
 # HTML entities decoded, '&amp;' last.
 ENTITIES = (
@@ -24,8 +30,9 @@ ENTITIES = (
     ("&amp;", "&"),
 )
 
-CLEAN_STEPS = [(r"(?s)<!--.*?-->", "")]
-CLEAN_STEPS += [(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "") for t in DROP_WITH_CONTENT]
+CLEAN_STEPS = [(r"(?s)<!--.*?(?:-->|\z)", "")]
+CLEAN_STEPS += [(rf"(?is)<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" if t in RAW_TEXT else
+                 rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "") for t in DROP_WITH_CONTENT]
 CLEAN_STEPS += [(r'(?is)<div class="ad">.*?</div\s*>', "")]
 
 TRIM_STEPS = [(r"^[ \t\n]+", ""), (r"[ \t\n]+\z", "")]
