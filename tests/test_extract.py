@@ -64,3 +64,14 @@ def test_image_modes(spark):
     assert emb == html
     ref = E.apply_image_mode(df, "html", "referenced", "o").collect()[0].o
     assert ref == '<p>a<img src="image" alt="x">b<img src="/f.jpg"></p>'
+
+
+def test_unclosed_sections_run_to_the_end(spark):
+    df = spark.createDataFrame([
+        (1, "<p>keep</p><script>var a=1;<p>gone"),
+        (2, "<p>keep</p><nav>menu<p>gone" + "<nav>x" * 50),
+        (3, "<head><title>t</title><p>body text</p>"),  # head needs its closer
+    ], "id int, html string")
+    got = {r.id: r.markdown for r in E.extract_markdown(df).collect()}
+    assert got[1] == "keep" and got[2] == "keep"
+    assert got[3] == "t\n\nbody text"
