@@ -114,3 +114,18 @@ def test_preview_pages_sizes(spark):
     assert got == [(1, "abc", 3), (2, "gh", 2)]
     s = P.preview_sizes(pv).collect()[0]
     assert (s.n_previews, s.first_size, s.total_size) == (2, 3, 5)
+
+
+def test_carry_last_cross_blocks(spark):
+    """Carry-forward stays exact when headings sit in earlier blocks."""
+    from sheaf.functions.windows import carry_last, running_values
+    rows = [("g", i, (f"h{i}" if i in (0, 5, 17) else None)) for i in range(30)] + [("k", 3, None), ("k", 9, "x")]
+    df = spark.createDataFrame(rows, "g string, pos bigint, h string")
+    got = {(r.g, r.pos): r.last for r in carry_last(df, "g", "pos", "h", "last", block=4).collect()}
+    cur = None
+    for i in range(30):
+        cur = f"h{i}" if i in (0, 5, 17) else cur
+        assert got[("g", i)] == cur
+    assert got[("k", 3)] is None and got[("k", 9)] == "x"
+    both = running_values(df.withColumn("one", F.lit(1)), "g", "pos", sums={"n": "one"}, lasts={"l": "h"}, block=3)
+    assert {(r.g, r.pos): (r.n, r.l) for r in both.collect()}[("g", 20)] == (20, "h17")
