@@ -19,6 +19,14 @@ from pyspark.sql import types as T
 
 def apply_backend(df: DataFrame, make_fn: Callable[[], Callable[..., dict]], input_cols: list[str],
                   output: T.StructType, error_col: str = "backend_error") -> DataFrame:
+    # Ship this module and the user's factory by value, so Python workers need
+    # not have this package on their path.
+    import sys
+
+    from pyspark import cloudpickle
+    for mod in {__name__, getattr(make_fn, "__module__", None)} - {None, "__main__"}:
+        if mod in sys.modules:
+            cloudpickle.register_pickle_by_value(sys.modules[mod])
     schema = T.StructType(list(df.schema.fields) + list(output.fields)
                           + [T.StructField(error_col, T.StringType())])
     names = [f.name for f in output.fields]
