@@ -34,6 +34,7 @@ from . import common
 
 SEED = 42
 GROUP = 2000
+SLICE = 4096  # rows whose tries are walked together
 LEVELS = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -66,12 +67,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, h long, fp long")
 
 
-def trie_links(fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of the sorted distinct fingerprints with k or fewer differing bits.
+def trie_links(fp: np.ndarray, k: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs with k or fewer differing bits inside each range from starts to ends,
+    whose fingerprints are sorted and distinct.
 
-    A trie node is a range of the sorted array; the frontier holds pairs of nodes of equal depth.
+    Each range is the root of a trie, and a node of it a part of the range. The frontier holds
+    pairs of nodes of equal depth, of all tries together.
     """
-    a = np.array([0]), np.array([len(fp)]), np.array([0]), np.array([len(fp)]), np.array([0])
+    some = ends - starts > 1
+    a = starts[some], ends[some], starts[some], ends[some], np.zeros(int(some.sum()), np.int64)
     for bit in range(63, -1, -1):
         lo1, hi1, lo2, hi2, diff = a
         zeros = np.concatenate([[0], np.cumsum(((fp >> np.uint64(bit)) & np.uint64(1)) == 0)])
@@ -126,19 +130,26 @@ def _links_of_groups(rows: DataFrame, k: int) -> DataFrame:
             yield from links(held, np.array([0]))
 
     def links(part: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), part.shape[1]]):
-            if e - s < 2:
-                continue
-            fp = np.unique(part[2, s:e].astype(np.int64).view(np.uint64))
-            root = forest(len(fp), *trie_links(fp, k))
-            child = np.flatnonzero(root != np.arange(len(fp)))
-            a.append(fp[child].view(np.int64))
-            b.append(fp[root[child]].view(np.int64))
-        if a:
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return (rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits")
+        at, end = 0, part.shape[1]
+        while at < len(starts):  # some whole groups at a time
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE)))
+            yield links_of(part[:, starts[at]:starts[to] if to < len(starts) else end])
+            at = to
+
+    def links_of(part: np.ndarray) -> pa.RecordBatch:
+        fp = part[2].astype(np.int64).view(np.uint64)
+        group = np.cumsum(np.concatenate([[0], (part[:2, 1:] != part[:2, :-1]).any(0)]))
+        order = np.lexsort((fp, group))
+        fp, group = fp[order], group[order]
+        new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (group[1:] != group[:-1])])
+        fp, group = fp[new], group[new]
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        root = forest(len(fp), *trie_links(fp, k, starts, np.append(starts[1:], len(fp))))
+        child = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.record_batch([pa.array(fp[child].view(np.int64)), pa.array(fp[root[child]].view(np.int64))], ["a", "b"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    return (rows.repartition(n, "mask", "bits").sortWithinPartitions("mask", "bits")
             .select("mask", "bits", "fp").mapInArrow(run, "a long, b long"))
 
 
