@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     starts = common.stored(candidate_runs(d, hot, length, gram), "candidates")
     spans = repeated_in_runs(run_rows(d, starts, length, gram), length)
     if len(hot):
-        spans = spans.unionByName(repeated_hot(d, hot, length, gram))
+        spans = spans.unionByName(common.stored(repeated_hot(d, hot, length, gram), "hot-spans"))  # own plan: skew can be split
     return common.stored(spans, "spans")
 
 
