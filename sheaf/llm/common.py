@@ -44,12 +44,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read back: later plans start there."""
+    """The rows written once to the shared folder and read back: later plans start there, so the
+    shuffle files of the write are dropped as soon as it is done."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files of jobs that are done
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,6 +83,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
             at = to
 
 
+def row_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole rows (struct ``row``) with the row's text, or '', as column ``text`` beside
+    the others: made inside the task, so that texts do not travel twice."""
+    for batch in batches:
+        text = batch.column("row").field("text").fill_null("")
+        yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
+
+
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column in one array, and the n + 1 offsets of its rows."""
     column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
