@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-MEMO_ENTRIES = 400_000  # per generation; two generations are kept
+MEMO_ENTRIES = 120_000  # per generation; two generations are kept
 PAIR_ENTRIES = 1_000_000
 
 # Fixed value: the pre-tokenizer's pattern.
@@ -220,6 +220,12 @@ class Codec:
             i -= len(self.table[last[i]]) if hasattr(self, "table") else len(self.bytes_of[last[i]])
         return out[::-1]
 
+    def forget(self) -> None:
+        """Empty the memos (tasks do so at their end, so idle workers hold little)."""
+        for memo in (self.pairs, self.piece_memo, self.word_memo):
+            memo.clear()
+            memo.old = {}
+
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.piece_memo.__getitem__, self.pattern.findall(text)))
 
@@ -272,6 +278,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.ListArray.from_arrays(at, values),
                                    pa.array([c.decode(x) == t for x, t in zip(ids, texts)])],
                                   ["doc_id", "n_tokens", "ids", "exact"])
+        c.forget()
 
     t = common.texts(docs)
     return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, "
@@ -291,6 +298,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                 pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     t = common.texts(docs)
     return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, n_tokens long, "

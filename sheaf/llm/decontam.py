@@ -35,7 +35,8 @@ _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122
                     for b in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
-FOUND = "struct<n_words:bigint,covered:array<struct<first:int,last:int>>,items:array<string>>"
+SPANS = "array<struct<first:int,last:int>>"
+FOUND = f"struct<n_words:bigint,covered:{SPANS},spans:{SPANS},items:array<string>>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -123,21 +124,21 @@ def item_blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Each row of ``docs`` as struct ``row``, with ``found``: its number of words, the covered
-    runs of word numbers (first, one past the last) and the ids of the items that hit."""
+    runs of word numbers (first, one past the last), the same in characters, and the ids of the
+    items that hit."""
     spark = docs.sparkSession
     common.ship(spark)
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    out = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"),
-                      F.lit(None).cast(FOUND).alias("found"))
-    schema = pa.struct([("n_words", pa.int64()),
-                        ("covered", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
-                        ("items", pa.list_(pa.string()))])
+    out = docs.select(F.struct("*").alias("row"), F.lit(None).cast(FOUND).alias("found"))
+    spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    schema = pa.struct([("n_words", pa.int64()), ("covered", spans), ("spans", spans), ("items", pa.list_(pa.string()))])
+    pairs = lambda x: [{"first": f, "last": e} for f, e in x]
     for block in item_blocks(items):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             a = ItemAutomaton(shared.value, window)
-            for batch in common.pieces(batches):
+            for batch in common.pieces(common.row_texts(batches)):
                 found = []
                 for text, before in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
                     words = words_of(text)
@@ -147,12 +148,12 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
                         for s in before["covered"]:
                             hit[s["first"]:s["last"]] = b"\1" * (s["last"] - s["first"])
                         ids |= set(before["items"])
-                    found.append({"n_words": len(words), "items": sorted(ids),
-                                  "covered": [{"first": f, "last": e} for f, e in runs(hit).tolist()]})
-                yield pa.record_batch([batch.column("row"), batch.column("text"), pa.array(found, schema)],
-                                      ["row", "text", "found"])
+                    covered = runs(hit).tolist()
+                    found.append({"n_words": len(words), "items": sorted(ids), "covered": pairs(covered),
+                                  "spans": pairs(in_characters(text, covered))})
+                yield pa.record_batch([batch.column("row"), pa.array(found, schema)], ["row", "found"])
 
-        out = out.mapInArrow(run, f"row {kind}, text string, found {FOUND}")
+        out = out.mapInArrow(run, f"row {kind}, found {FOUND}")
     return out
 
 
@@ -169,33 +170,23 @@ def digests(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
             .withColumn("contaminated", F.col("n_hit") > 0))
 
 
-def without_spans(text: str, covered: list[tuple[int, int]]) -> str:
-    """The text without the covered words and what stands between them."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    out, start = [], 0
-    for first, last in covered:
-        out.append(text[start:at[first][0]])
-        start = at[last - 1][1]
-    return "".join([*out, text[start:]])
+def in_characters(text: str, covered: list[list[int]]) -> list[tuple[int, int]]:
+    """Runs of words as places of characters, with what stands between their words."""
+    at = [m.span() for m in _WORD.finditer(text)] if covered else []
+    return [(at[first][0], at[last - 1][1]) for first, last in covered]
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
     """``docs`` with the hit spans cut out of ``text`` (``n_chars``, if there, follows); documents
     with more than ``max_coverage`` of their words hit go. Untouched documents stay as they are."""
     found = scan(docs, items, window).where(n_hit() <= F.lit(max_coverage) * F.col("found.n_words"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
-            text = [without_spans(t, [(s["first"], s["last"]) for s in c]) if c else t
-                    for t, c in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist())]
-            yield pa.record_batch([batch.column("row"), batch.column("covered"), pa.array(text, pa.string())],
-                                  ["row", "covered", "text"])
-
-    rows = found.select("row", "found.covered", "text")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    cleaned = rows.mapInArrow(cut, f"row {kinds['row']}, covered {kinds['covered']}, text string")
-    hit = F.size("covered") > 0
-    return cleaned.select([
-        F.when(hit, F.col("text")).otherwise(F.col("row.text")).alias("text") if c == "text" else
-        F.when(hit, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
-        F.col(f"row.`{c}`") for c in docs.columns])
+    hit, spans = F.size("found.spans") > 0, F.col("found.spans")
+    begin = lambda i: F.coalesce(F.get(spans, i - 1)["last"], F.lit(0))
+    end = lambda i: F.coalesce(F.get(spans, i)["first"], F.length("row.text"))
+    left = F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)),
+                                    lambda i: F.substring(F.col("row.text"), begin(i) + 1, end(i) - begin(i))), "")
+    rows = found.select("row", hit.alias("hit"), F.when(hit, left).alias("left"))
+    return rows.select([
+        F.when(F.col("hit"), F.col("left")).otherwise(F.col("row.text")).alias("text") if c == "text" else
+        F.when(F.col("hit"), F.length("left")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c)
+        if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns])

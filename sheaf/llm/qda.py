@@ -142,9 +142,9 @@ def accepted(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     model = fit(common.stored(vectors(docs), "vectors"), labels, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
+        for batch in common.pieces(common.row_texts(batches)):
             x = np.array([vector(t.encode()) for t in batch.column("text").to_pylist()])
             yield pa.record_batch([batch.column("row").filter(pa.array(model.probability(x) >= threshold))], ["row"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import MEMO_ENTRIES
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 500
+MEMO_ENTRIES = 400_000  # words remembered per generation; two generations are kept
 
 
 class WordEncoder:
