@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.rules import blank, ref_error
 from ..sources.jobs import Jobs
 
-# An allow-list given as a Python list is inlined up to this many names;
-# a longer list or a table is joined instead.
-INLINE_ALLOW_LIST = 1000
-
 # Pipeline error codes, in the order of the checks.
 NO_INPUTS = "NO_INPUTS"
 NO_OPERATIONS = "NO_OPERATIONS"
@@ -42,6 +38,8 @@ def _allowed_flag(df: DataFrame, bucket_col: str, allowed) -> tuple[DataFrame, C
     if allowed is None:
         return df, None
     if isinstance(allowed, DataFrame):
+        if allowed.isEmpty():
+            return df, None  # as the empty list
         names = (allowed.select(F.col(allowed.columns[0]).alias("__b")).distinct()
                  .withColumn("__ok", F.lit(True)))
         out = (df.join(names, F.col(bucket_col) == F.col("__b"), "left")
@@ -50,10 +48,7 @@ def _allowed_flag(df: DataFrame, bucket_col: str, allowed) -> tuple[DataFrame, C
     allowed = list(allowed)
     if len(allowed) == 0:
         return df, None  # empty list = allow all
-    if len(allowed) <= INLINE_ALLOW_LIST:
-        return df.withColumn("__allowed", F.col(bucket_col).isin(allowed)), F.col("__allowed")
-    spark = df.sparkSession
-    return _allowed_flag(df, bucket_col, spark.createDataFrame([(b,) for b in allowed], "b string"))
+    return df.withColumn("__allowed", F.col(bucket_col).isin(allowed)), F.col("__allowed")
 
 
 def check_refs(df: DataFrame, bucket_col: str = "bucket", key_col: str = "key",

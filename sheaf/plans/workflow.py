@@ -293,7 +293,8 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int, file
         elif typ == "extract_markdown":
             a0 = src[0]
             if a0.kind == "file":
-                is_html = F.coalesce(a0.ctype, F.lit("")) == "text/html"
+                media = F.substring_index(F.coalesce(a0.ctype, F.lit("")), ";", 1)  # parameters do not matter
+                is_html = F.lower(F.trim(media)) == "text/html"
                 src_text = getattr(a0, "text_name", None) or a0.text
                 res = _res(op, markdown=F.when(is_html, H.to_markdown(src_text)).otherwise(a0.text),
                            html=F.when(is_html, H.clean_html(src_text)))

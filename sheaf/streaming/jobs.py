@@ -63,8 +63,13 @@ def stream_jobs(documents: DataFrame, signatures: DataFrame | None, out_dir: str
     return w.start(), out_dir
 
 
-def dedup_ledger(ledger: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Replays of an event (same job_id, seq) are dropped within the watermark."""
+def dedup_ledger(ledger: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Replays of an event (same job_id, seq) are dropped; events count however late they come.
+
+    With a ``watermark`` the state is bounded, but then events later than that are lost.
+    """
+    if watermark is None:
+        return ledger.dropDuplicates(["job_id", "seq"])
     return ledger.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["job_id", "seq"])
 
 

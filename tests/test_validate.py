@@ -124,3 +124,10 @@ def test_check_urls(spark):
                    5: ("", "", "URL_SCHEME"), 6: ("https", "d.example.com", None)}
     hosts = {r.host: (r.n_urls, r.n_bad) for r in V.url_hosts(V.check_urls(df)).collect()}
     assert hosts["a.example.com"] == (1, 0) and hosts[""] == (2, 2)
+
+
+def test_empty_allow_list_table_allows_all(spark):
+    df = spark.createDataFrame([("b", "k")], "bucket string, key string")
+    none = spark.createDataFrame([], "b string")
+    assert [r.ref_error for r in V.check_refs(df, allowed_buckets=none).collect()] == [
+        r.ref_error for r in V.check_refs(df, allowed_buckets=[]).collect()]
