@@ -189,9 +189,11 @@ def candidate_runs(docs: DataFrame, hot: np.ndarray, length: int, gram: int) ->
 def run_rows(docs: DataFrame, starts: DataFrame, length: int, gram: int) -> DataFrame:
     """(anchor, id, h, first, bytes) of all candidate runs."""
     listed = starts.groupBy("id", "h").agg(F.collect_list("first").alias("starts"))
+    long_enough = (docs.where(F.octet_length("text") >= length).select("id", "h", "text")
+                   .mapInArrow(common.packed, "id long, h long, n long, z binary"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, limit=PIECE):
+        for batch in common.unpacked(batches, PIECE):
             data, anchor, begin, sizes, row, first = runs_of(batch, length, gram)
             lists = batch.column("starts")
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -203,7 +205,7 @@ def run_rows(docs: DataFrame, starts: DataFrame, length: int, gram: int) -> Data
             yield pa.record_batch([pa.array(anchor[some].view(np.int64)), batch.column("id").take(row), batch.column("h").take(row),
                                    pa.array(first[some].astype(np.int32)), raw], ["anchor", "id", "h", "first", "bytes"])
 
-    return docs.join(listed, ["id", "h"]).select("id", "h", "text", "starts").mapInArrow(
+    return long_enough.join(listed, ["id", "h"]).select("id", "h", "n", "z", "starts").mapInArrow(
         emit, "anchor long, id long, h long, first int, bytes binary")
 
 
