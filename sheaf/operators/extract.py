@@ -16,20 +16,22 @@ ITEM_RE = r"^- "
 INVALID_JSON = "INVALID_JSON"
 
 
-def extract_markdown(df: DataFrame, html_col: str = "html", out: str = "markdown") -> DataFrame:
-    """HTML -> Markdown by the ordered rewrite chain."""
-    return df.withColumn(out, H.to_markdown(html_col))
+def extract_markdown(df: DataFrame, html_col: str = "html", out: str = "markdown",
+                     image_mode: str | None = None) -> DataFrame:
+    """HTML -> Markdown by the ordered rewrite chain; links keep their targets."""
+    return df.withColumn(out, H.to_markdown(html_col, image_mode))
 
 
-def extract_html(df: DataFrame, html_col: str = "html", out: str = "clean_html") -> DataFrame:
+def extract_html(df: DataFrame, html_col: str = "html", out: str = "clean_html",
+                 image_mode: str | None = None) -> DataFrame:
     """HTML without comments, head, scripts, styles, navigation, footer, ads."""
-    return df.withColumn(out, H.clean_html(html_col))
+    return df.withColumn(out, H.clean_html(html_col, image_mode))
 
 
 def apply_image_mode(df: DataFrame, html_col: str = "html", mode: str | None = None,
                      out: str | None = None) -> DataFrame:
     """Placeholder (default), embedded (as is) or referenced images."""
-    return df.withColumn(out or html_col, H.apply_image_mode(F.col(html_col), mode))
+    return df.withColumn(out or html_col, H.apply_image_mode(html_col, mode))
 
 
 def structure_blocks(df: DataFrame, id_col: str, md_col: str = "markdown",

@@ -6,8 +6,6 @@ SQL text.
 
 from __future__ import annotations
 
-from ..functions import html as H
-
 PAGE_CHARS = 1800
 SIZE_CAP = 16384
 
@@ -79,17 +77,59 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def chain(expr: str, steps) -> str:
-    for st in steps:
-        if st[0] == "=":
-            expr = f"replace({expr}, {_lit(st[1])}, {_lit(st[2])})"
-        else:
-            expr = f"regexp_replace({expr}, {_lit(st[0])}, {_lit(st[1])}, 'g')"
-    return expr
+def _re(expr: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({expr}, {_lit(pattern)}, {_lit(to)}, 'g')"
+
+
+def clean_sql(x: str) -> str:
+    """Closed stretches by lazy patterns (RE2 is linear), then what is left of unclosed ones."""
+    x = _re(_re(x, r"(?s)<!--.*?-->"), "<!--")
+    for t in ("script", "style"):
+        x = _re(x, rf"(?is)<{t}\b[^<>]*>.*?(?:</{t}[^<>]*>|\z)")
+    for t in ("head", "nav", "footer"):
+        x = _re(_re(x, rf"(?is)<{t}\b[^<>]*>.*?</{t}\b[^<>]*>"), rf"(?i)</?{t}\b[^<>]*>")
+    return _re(_re(x, r'(?is)<div class="ad">.*?</div\b[^<>]*>'), '(?i)<div class="ad">')
+
+
+def trim_sql(x: str) -> str:
+    return f"trim({x}, ' ' || chr(9) || chr(10))"
+
+
+def images_sql(x: str, mode: str, placeholder: str) -> str:
+    if mode == "placeholder":
+        return _re(x, r"(?i)<img\b[^<>]*>", placeholder)
+    if mode == "referenced":
+        uri = _lit(r'(?i)src="data:image/[a-z0-9.+\-]+;base64,[^"<>]*"')
+        return (f"array_to_string(list_transform(string_split_regex({x}, {uri}), "
+                f"lambda p, i: CASE WHEN i = 1 THEN p ELSE 'src=\"image_' || (i - 1)::VARCHAR || '\"' || p END), '')")
+    return x
+
+
+def html_sql(x: str, mode: str = "placeholder") -> str:
+    return trim_sql(images_sql(clean_sql(x), mode, "<!-- image -->"))
+
+
+def markdown_sql(x: str, mode: str = "placeholder") -> str:
+    """A placeholder is one control character until all tags are gone."""
+    x = images_sql(clean_sql(x), mode, "\x01")
+    x = _re(x, r'(?i)<img\b[^<>]*?\ssrc\s*=\s*"([^"<>]*)"[^<>]*>', r"![image](\1)")
+    for n in range(1, 7):
+        x = _re(x, rf"(?i)<h{n}\b[^<>]*>", "\n" + "#" * n + " ")
+    for tag, to in (("</h[1-6]", "\n\n"), (r"</?(?:ul|ol)\b", "\n\n"), (r"<li\b", "\n- "), (r"<p\b", "\n\n"),
+                    (r"<br\b", "\n"), (r"</?(?:b|strong)\b", "**")):
+        x = _re(x, rf"(?i){tag}[^<>]*>", to)
+    x = _re(x, r"(?i)<(?:[^/a<>]|/[^a<>]|/?a\w)[^<>]*>|</?>")
+    x = _re(x, r'(?i)<a\b[^<>]*?\shref\s*=\s*"([^"<>]*)"[^<>]*>([^<>]*)</a\b[^<>]*>', r"[\2](\1)")
+    x = _re(x, r"(?i)</?a\b[^<>]*>")
+    for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "'"),
+                       ("nbsp", " "), ("amp", "&")):
+        x = f"replace({x}, '&{name};', {_lit(char)})"
+    x = _re(_re(x, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return f"replace({trim_sql(x)}, chr(1), '<!-- image -->')"
 
 
 NL2 = "chr(10) || chr(10)"
-PAGE_MD = f"SELECT page_id, {chain('html', H.MARKDOWN_STEPS)} AS markdown FROM pages"
+PAGE_MD = f"SELECT page_id, {markdown_sql('html')} AS markdown FROM pages"
 
 BLOCKS = f"""
   WITH md AS ({PAGE_MD}),
@@ -112,7 +152,7 @@ BLOCKS = f"""
 
 SQL["extract_markdown"] = PAGE_MD
 
-SQL["extract_html"] = f"SELECT page_id, {chain('html', H.HTML_STEPS)} AS clean_html FROM pages"
+SQL["extract_html"] = f"SELECT page_id, {html_sql('html')} AS clean_html FROM pages"
 
 SQL["structure_blocks"] = f"SELECT * FROM ({BLOCKS}) x"
 
@@ -130,18 +170,12 @@ SELECT page_id, pos AS chunk_index, label AS chunk_type, page_no AS page_number,
 FROM ({BLOCKS}) b WHERE text <> ''"""
 
 _IMG = ('<img src="data:image/png;base64,iVBORw0KGgo=" alt="logo">'
-        '<img src="/static/figure.jpg" alt="figure"></article>')
-_MODES = " UNION ALL ".join(
-    f"SELECT page_id, '{m}' AS mode, {chain('html', H.image_mode_steps(m))} AS out FROM base"
-    for m in H.IMAGE_MODES)
-SQL["image_modes"] = f"""
-WITH base AS (SELECT page_id, replace(html, '</article>', {_lit(_IMG)}) AS html FROM pages),
-u AS ({_MODES})
-SELECT page_id, mode, length(out)::BIGINT AS html_chars,
-       ((length(out) - length(replace(out, '<img', ''))) / 4)::BIGINT AS n_img,
-       ((length(out) - length(replace(out, {_lit(H.IMAGE_PLACEHOLDER)}, ''))) / {len(H.IMAGE_PLACEHOLDER)})::BIGINT
-         AS n_placeholders
-FROM u"""
+        '<img src="/static/figure.jpg" alt="figure"><a href="/more"><img src="data:image/gif;base64,R0lGOD=="></a>'
+        '</article>')
+_BASE = f"SELECT page_id, replace(html, '</article>', {_lit(_IMG)}) AS html FROM pages"
+SQL["image_modes"] = " UNION ALL ".join(
+    f"SELECT page_id, '{m}' AS mode, {html_sql('html', m)} AS clean_html, {markdown_sql('html', m)} AS markdown "
+    f"FROM ({_BASE}) b" for m in ("placeholder", "embedded", "referenced"))
 
 
 # ---- F: scanning --------------------------------------------------------------

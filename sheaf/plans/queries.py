@@ -85,7 +85,8 @@ def q_page_counts(spark, sf):
 
 
 IMG_INJECT = ('<img src="data:image/png;base64,iVBORw0KGgo=" alt="logo">'
-              '<img src="/static/figure.jpg" alt="figure"></article>')
+              '<img src="/static/figure.jpg" alt="figure"><a href="/more"><img src="data:image/gif;base64,R0lGOD=="></a>'
+              '</article>')
 
 
 def page_markdown(spark, sf):
@@ -128,19 +129,9 @@ def q_parse_chunks(spark, sf):
 def q_image_modes(spark, sf):
     base = T(spark, sf, "pages").select(
         "page_id", F.replace(F.col("html"), F.lit("</article>"), F.lit(IMG_INJECT)).alias("html"))
-    outs = []
-    for mode in H.IMAGE_MODES:
-        o = base.select("page_id", F.lit(mode).alias("mode"),
-                        H.apply_image_mode(F.col("html"), mode).alias("out"))
-        outs.append(o)
-    u = outs[0]
-    for o in outs[1:]:
-        u = u.unionByName(o)
-    n_img = ((F.length("out") - F.length(F.replace(F.col("out"), F.lit("<img"), F.lit("")))) / 4)
-    n_ph = ((F.length("out") - F.length(F.replace(F.col("out"), F.lit(H.IMAGE_PLACEHOLDER), F.lit(""))))
-            / len(H.IMAGE_PLACEHOLDER))
-    return u.select("page_id", "mode", F.length("out").cast("bigint").alias("html_chars"),
-                    n_img.cast("bigint").alias("n_img"), n_ph.cast("bigint").alias("n_placeholders"))
+    outs = [E.extract_markdown(E.extract_html(base, image_mode=mode), image_mode=mode)
+            .select("page_id", F.lit(mode).alias("mode"), "clean_html", "markdown") for mode in H.IMAGE_MODES]
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
 
 
 # ---- F: scanning --------------------------------------------------------------

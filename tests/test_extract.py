@@ -1,4 +1,5 @@
 import json
+import time
 
 
 from sheaf.operators import extract as E
@@ -63,15 +64,44 @@ def test_image_modes(spark):
     emb = E.apply_image_mode(df, "html", "embedded", "o").collect()[0].o
     assert emb == html
     ref = E.apply_image_mode(df, "html", "referenced", "o").collect()[0].o
-    assert ref == '<p>a<img src="image" alt="x">b<img src="/f.jpg"></p>'
+    assert ref == '<p>a<img src="image_1" alt="x">b<img src="/f.jpg"></p>'
 
 
-def test_unclosed_sections_run_to_the_end(spark):
+def test_images_through_extraction(spark):
+    html = ('<nav>menu<article><p>a<img src="data:image/png;base64,AAAA" alt="x">b<img src="/f.jpg">'
+            '<a class="k" href="/to"><b>c</b><img src="data:image/gif;base64,BB"></a></p></article>')
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+
+    def md(mode):
+        return E.extract_markdown(df, image_mode=mode).collect()[0].markdown
+    assert md(None) == "menu\n\na<!-- image -->b<!-- image -->[**c**<!-- image -->](/to)"
+    assert md("embedded") == ("menu\n\na![image](data:image/png;base64,AAAA)b![image](/f.jpg)"
+                              "[**c**![image](data:image/gif;base64,BB)](/to)")
+    assert md("referenced") == "menu\n\na![image](image_1)b![image](/f.jpg)[**c**![image](image_2)](/to)"
+    twice = E.extract_markdown(E.apply_image_mode(df)).collect()[0].markdown
+    assert twice == md(None)
+
+
+def test_unclosed_parts(spark):
+    """Raw text runs to the end; other sections and comments lose only their tag."""
     df = spark.createDataFrame([
         (1, "<p>keep</p><script>var a=1;<p>gone"),
-        (2, "<p>keep</p><nav>menu<p>gone" + "<nav>x" * 50),
-        (3, "<head><title>t</title><p>body text</p>"),  # head needs its closer
+        (2, "<p>keep</p><nav>menu<p>body" + "<nav>x" * 3),
+        (3, "<head><title>t</title><p>body text</p>"),
+        (4, "<nav><ul><li>m</li></ul><article><p>BODY TEXT</p></article>"),
+        (5, "<p>a</p><!-- open <p>b</p>"),
+        (6, '<div class="ad">x</div><div>y</div><div class="ad">z'),
+        (7, None),
     ], "id int, html string")
     got = {r.id: r.markdown for r in E.extract_markdown(df).collect()}
-    assert got[1] == "keep" and got[2] == "keep"
-    assert got[3] == "t\n\nbody text"
+    assert got == {1: "keep", 2: "keepmenu\n\nbodyxxx", 3: "t\n\nbody text", 4: "- m\n\nBODY TEXT",
+                   5: "a open\n\nb", 6: "yz", 7: None}
+
+
+def test_hostile_pages_take_linear_time(spark):
+    n = 1 << 20
+    for piece in (" ", "<", "<head>", "<nav>", "<!--", "<a href=", '<a href="x">', "</div>", "<h1 ", " \n", "<!-- image -->"):
+        df = spark.createDataFrame([(1, piece * (n // len(piece)))], "id int, html string")
+        began = time.perf_counter()
+        E.extract_html(E.extract_markdown(df)).collect()
+        assert time.perf_counter() - began < 6, piece
