@@ -122,10 +122,9 @@ def cancel_events(outcomes: DataFrame, seq: Column) -> DataFrame:
 
 
 def decode_results(df: DataFrame, output_col: str = "output") -> DataFrame:
-    """H8: output JSON -> one row per result; undecodable output gives none."""
+    """H8: output JSON -> one row per result with all its fields; undecodable output gives none."""
     parsed = df.select("job_id", F.from_json(F.col(output_col), OUTPUT_SCHEMA).alias("o"))
     return (parsed.select("job_id", F.explode(F.col("o.results")).alias("op_name", "r"))
-            .select("job_id", "op_name", F.col("r.success").alias("success"), F.col("r.error").alias("error"),
-                    F.col("r.size_bytes").alias("size_bytes"), F.col("r.scan.clean").alias("clean"),
-                    F.col("r.scan.detail").alias("detail"),
-                    F.length(F.col("r.markdown.markdown")).cast("bigint").alias("md_chars")))
+            .select("job_id", "op_name", "r.success", "r.error", "r.size_bytes", "r.scan.clean", "r.scan.detail",
+                    F.col("r.markdown.markdown").alias("markdown"), F.col("r.markdown.html").alias("html"),
+                    "r.destination", "r.thumbnail_pages"))

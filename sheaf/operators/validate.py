@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import blank, ref_error
-from ..sources.jobs import Jobs
+from ..sources.jobs import Jobs, op_type
 
 # Pipeline error codes, in the order of the checks.
 NO_INPUTS = "NO_INPUTS"
@@ -29,6 +29,7 @@ UNKNOWN_DEST = "UNKNOWN_DEST"
 CONTENT_TYPE_REQUIRED = "CONTENT_TYPE_REQUIRED"
 FILES_REQUIRED = "FILES_REQUIRED"
 JOB_ID_REQUIRED = "JOB_ID_REQUIRED"
+URL_INVALID = "URL_INVALID"
 URL_SCHEME = "URL_SCHEME"
 URL_HOST = "URL_HOST"
 
@@ -147,6 +148,66 @@ def check_pipelines(jobs: Jobs, allowed_buckets=None) -> DataFrame:
                      .when(stage.isin(3, 4), F.col("e.idx").cast("string")).alias("item")))
 
 
+def check_documents(docs: DataFrame, allowed_buckets: Iterable[str] | None = None) -> DataFrame:
+    """B3 on nested job documents: the documents with error, stage and item (as ``check_pipelines``).
+
+    A document is checked inside its row, without a shuffle. For flat tables, or
+    an allow-list that is a table, use ``check_pipelines``.
+    """
+    allow = list(allowed_buckets) if allowed_buckets is not None else []
+
+    def ref(r):
+        return ref_error(r["bucket"], r["key"], r["bucket"].isin(allow) if allow else None)
+
+    def err(stage, idx, dname, code):
+        return F.struct(F.lit(stage).alias("stage"), idx.cast("int").alias("idx"), dname.alias("dname"),
+                        code.alias("code"))
+
+    def listed(names, x):
+        return F.coalesce(F.array_contains(names, x), F.lit(False))
+
+    def first_at(names, x):
+        return F.coalesce(F.array_position(names, x), F.lit(0)) - 1  # -1: nowhere
+
+    ins = F.coalesce(F.col("inputs"), F.array().cast(docs.schema["inputs"].dataType))
+    ops = F.coalesce(F.col("operations"), F.array().cast(docs.schema["operations"].dataType))
+    in_names, op_names = F.transform(ins, lambda x: x["name"]), F.transform(ops, lambda x: x["name"])
+    no_name = F.lit(None).cast("string")
+    e_in = F.transform(ins, lambda x, i: err(3, i, no_name, F.coalesce(
+        F.when(blank(x["name"]), F.lit(INPUT_NAME_REQUIRED)),
+        F.when(first_at(in_names, x["name"]) < i, F.lit(DUPLICATE_INPUT)),
+        ref(x))))
+
+    def unknown(name, i):
+        at = first_at(op_names, name)
+        return ~(listed(in_names, name) | ((at >= 0) & (at < i)))
+
+    e_op = F.transform(ops, lambda o, i: err(4, i, no_name, F.coalesce(
+        F.when(blank(o["name"]), F.lit(OP_NAME_REQUIRED)),
+        F.when(listed(in_names, o["name"]), F.lit(OP_NAME_IS_INPUT)),
+        F.when(first_at(op_names, o["name"]) < i, F.lit(DUPLICATE_OP)),
+        F.when(op_type(o).isNull(), F.lit(OP_TYPE_MISSING)),
+        F.when(F.exists(o["inputs"], lambda r: unknown(r, i)), F.lit(UNKNOWN_REF)),
+        F.when(F.coalesce(F.size(o["inputs"]), F.lit(0)) <= 0, F.lit(OP_INPUTS_REQUIRED)))))
+    dests = F.coalesce(F.array_sort(F.map_entries("destinations")),
+                       F.array().cast(f"array<struct<key:string,value:{_type(docs, 'destinations')}>>"))
+    e_dest = F.transform(dests, lambda d: err(5, F.lit(0), d["key"], F.coalesce(
+        F.when(~(listed(in_names, d["key"]) | listed(op_names, d["key"])), F.lit(UNKNOWN_DEST)),
+        ref(d["value"]))))
+    first = F.get(F.filter(F.concat(e_in, e_op, e_dest), lambda e: e["code"].isNotNull()), F.lit(0))
+    stage = F.when(F.size(ins) == 0, F.lit(1)).when(F.size(ops) == 0, F.lit(2)).otherwise(first["stage"])
+    return docs.select(
+        *docs.columns,
+        F.when(stage == 1, F.lit(NO_INPUTS)).when(stage == 2, F.lit(NO_OPERATIONS))
+         .otherwise(first["code"]).alias("error"),
+        stage.alias("stage"),
+        F.when(stage == 5, first["dname"]).when(stage.isin(3, 4), first["idx"].cast("string")).alias("item"))
+
+
+def _type(docs: DataFrame, column: str) -> str:
+    return docs.schema[column].dataType.valueType.simpleString()
+
+
 def check_convert_requests(df: DataFrame, allowed_buckets=None) -> DataFrame:
     """B4 (convert): source ref, then content type required, then destination."""
     df2 = check_refs(df, "bucket", "key", allowed_buckets, "__re")
@@ -186,14 +247,24 @@ def check_job_requests(df: DataFrame, id_col: str = "job_id") -> DataFrame:
 # like a parsed URL's Host field.
 URL_SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 URL_HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^/?#]*)"
+# What does not parse: control characters, a bad escape in the path, a scheme that
+# is none, characters a host may not have, an unclosed bracket, a port that is no number.
+URL_CONTROL_RE = r"[\x00-\x1f\x7f]"
+URL_ESCAPE_RE = r"^[^?#]*%(?![0-9A-Fa-f]{2})"
+URL_NO_SCHEME_RE = r"^(?::|[^A-Za-z/?#:][^/?#:]*:|[A-Za-z][^/?#:]*[^A-Za-z0-9+.\-/?#:][^/?#:]*:)"
+URL_HOST_OK_RE = r"^(?:\[[0-9A-Fa-f:.%A-Za-z_~\-]*\]|[^\x00-\x20\[\]:<>\\^`{|}\x7f/?#]*)(?::[0-9]*)?$"
 
 
 def check_urls(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Scheme http/https (any case) and a non-empty host."""
-    scheme = F.lower(F.regexp_extract(F.col(url_col), URL_SCHEME_RE, 1))
-    host = F.regexp_extract(F.col(url_col), URL_HOST_RE, 1)
+    """The URL parses, its scheme is http/https (any case), its host is not empty. A null URL is empty."""
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    scheme = F.lower(F.regexp_extract(url, URL_SCHEME_RE, 1))
+    host = F.regexp_extract(url, URL_HOST_RE, 1)
+    bad = (url.rlike(URL_CONTROL_RE) | url.rlike(URL_ESCAPE_RE) | url.rlike(URL_NO_SCHEME_RE)
+           | ~host.rlike(URL_HOST_OK_RE))
     return (df.withColumn("scheme", scheme).withColumn("host", host)
             .withColumn("url_error", F.coalesce(
+                F.when(bad, F.lit(URL_INVALID)),
                 F.when(~F.col("scheme").isin("http", "https"), F.lit(URL_SCHEME)),
                 F.when(F.col("host") == "", F.lit(URL_HOST)))))
 

@@ -52,7 +52,7 @@ SQL: dict[str, str] = {}
 SQL["files_sized"] = f"""
 SELECT file_id, bucket, key, size_bytes,
        CASE WHEN size_bytes > {SIZE_CAP} THEN 'TOO_LARGE' END AS error,
-       CASE WHEN size_bytes <= {SIZE_CAP} THEN length(text) END::BIGINT AS content_chars
+       CASE WHEN size_bytes <= {SIZE_CAP} THEN sha256(text) END AS content_sha256
 FROM ({DOC_FILES}) f"""
 
 SQL["check_refs"] = f"""
@@ -356,17 +356,17 @@ SQL["run_jobs"] = f"""
 WITH j AS ({DOC_RUN})
 SELECT job_id, 0::BIGINT AS op_index, 'scan' AS op_name, 'scan' AS op_type, clean AS success,
        CASE WHEN NOT clean THEN 'virus detected: ' || detail END AS error, clean, detail,
-       NULL::BIGINT AS size_bytes, NULL::BIGINT AS page_count, NULL::BIGINT AS md_chars FROM j
+       NULL::BIGINT AS size_bytes, NULL::BIGINT AS page_count, NULL::BIGINT AS md_chars, NULL AS md_sha256 FROM j
 UNION ALL
 SELECT job_id, 1, 'pdf', 'convert_to_pdf', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
-       CASE WHEN clean THEN strlen(text) END, CASE WHEN clean THEN np END, NULL FROM j
+       CASE WHEN clean THEN strlen(text) END, CASE WHEN clean THEN np END, NULL, NULL FROM j
 UNION ALL
 SELECT job_id, 2, 'thumb', 'thumbnail', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
        CASE WHEN clean THEN strlen(substring(text, 1, width)) END,
-       CASE WHEN clean THEN (CASE WHEN allp THEN np ELSE 1 END) END, NULL FROM j
+       CASE WHEN clean THEN (CASE WHEN allp THEN np ELSE 1 END) END, NULL, NULL FROM j
 UNION ALL
 SELECT job_id, 3, 'text', 'extract_markdown', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
-       NULL, NULL, CASE WHEN clean THEN length(text) END FROM j"""
+       NULL, NULL, CASE WHEN clean THEN length(text) END, CASE WHEN clean THEN sha256(text) END FROM j"""
 
 SQL["job_outcome"] = """
 SELECT 'doc-' || doc_id::VARCHAR AS job_id,
@@ -438,7 +438,7 @@ WITH p AS (
 o AS (SELECT *, coalesce(sum(np) OVER (PARTITION BY conv_id ORDER BY turn
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM p)
 SELECT conv_id, turn, q::BIGINT AS member_page_no, (off + q)::BIGINT AS page_no,
-       length(substring(text, ((q - 1) * 400 + 1)::BIGINT, 400))::BIGINT AS page_chars
+       substring(text, ((q - 1) * 400 + 1)::BIGINT, 400) AS page_text
 FROM o, unnest(range(1, np + 1)) AS r(q)"""
 
 PREVIEW_PLAN = f"""
@@ -538,20 +538,53 @@ SELECT r.request_id, r.job_id,
        WHEN r.request_id = f.first_req THEN 'CANCELLED' ELSE 'ALREADY_FINAL' END AS outcome
 FROM r LEFT JOIN f ON f.job_id = r.job_id LEFT JOIN ({STATE}) s ON s.job_id = r.job_id"""
 
+THUMB_KEY = "'thumb/' || doc_id::VARCHAR"
+DECODED = f"""
+  WITH j AS ({DOC_RUN}),
+  t AS (SELECT doc_id AS d2, p::BIGINT AS page_number,
+          CASE WHEN np > 1 THEN printf('thumb/%s_%03d.png', doc_id::VARCHAR, p) ELSE {THUMB_KEY} || '.png' END AS key,
+          strlen(substring(substring(text, ((p - 1) * {PAGE_CHARS} + 1)::BIGINT, {PAGE_CHARS}), 1, width))::BIGINT AS size_bytes
+        FROM j, unnest(range(1, np + 1)) AS r(p) WHERE allp AND clean),
+  th AS (SELECT d2, string_agg(page_number::VARCHAR || ':' || key || ':' || size_bytes::VARCHAR, ',' ORDER BY page_number) AS thumbs,
+           string_agg('{{"page_number":' || page_number || ',"destination":{{"bucket":"out","key":"' || key
+             || '","content_type":"image/png"}},"size_bytes":' || size_bytes || '}}', ',' ORDER BY page_number) AS pages
+         FROM t GROUP BY d2)
+  SELECT job_id, 0 AS k, 'scan' AS op_name, clean AS success,
+         CASE WHEN NOT clean THEN 'virus detected: ' || detail END AS error, NULL::BIGINT AS size_bytes,
+         clean, detail, NULL::VARCHAR AS markdown, NULL::VARCHAR AS dest_key, NULL::VARCHAR AS dest_type,
+         NULL::VARCHAR AS thumbs, NULL::VARCHAR AS pages FROM j
+  UNION ALL
+  SELECT job_id, 1, 'pdf', clean, CASE WHEN NOT clean THEN {SKIP} END, CASE WHEN clean THEN nullif(strlen(text), 0) END,
+         NULL, NULL, NULL, CASE WHEN clean THEN 'pdf/' || doc_id::VARCHAR || '.pdf' END,
+         CASE WHEN clean THEN 'application/pdf' END, NULL, NULL FROM j
+  UNION ALL
+  SELECT job_id, 2, 'thumb', clean, CASE WHEN NOT clean THEN {SKIP} END,
+         CASE WHEN clean THEN nullif(strlen(substring(text, 1, width)), 0) END, NULL, NULL, NULL,
+         CASE WHEN clean AND NOT (allp AND np > 1) THEN {THUMB_KEY} || CASE WHEN allp THEN '.png' ELSE '.jpg' END END,
+         CASE WHEN clean AND NOT (allp AND np > 1) THEN CASE WHEN allp THEN 'image/png' ELSE 'image/jpeg' END END,
+         thumbs, pages FROM j LEFT JOIN th ON d2 = doc_id
+  UNION ALL
+  SELECT job_id, 3, 'text', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL, NULL,
+         CASE WHEN clean THEN text END, NULL, NULL, NULL, NULL FROM j"""
+
 SQL["decode_results"] = f"""
-WITH j AS ({DOC_RUN})
-SELECT job_id, 'scan' AS op_name, clean AS success,
-       CASE WHEN NOT clean THEN 'virus detected: ' || detail END AS error, NULL::BIGINT AS size_bytes,
-       clean, detail, NULL::BIGINT AS md_chars FROM j
-UNION ALL
-SELECT job_id, 'pdf', clean, CASE WHEN NOT clean THEN {SKIP} END,
-       CASE WHEN clean THEN strlen(text) END, NULL, NULL, NULL FROM j
-UNION ALL
-SELECT job_id, 'thumb', clean, CASE WHEN NOT clean THEN {SKIP} END,
-       CASE WHEN clean THEN strlen(substring(text, 1, width)) END, NULL, NULL, NULL FROM j
-UNION ALL
-SELECT job_id, 'text', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL, NULL,
-       CASE WHEN clean THEN length(text) END FROM j"""
+SELECT job_id, op_name, success, error, size_bytes, clean, detail, sha256(markdown) AS md_sha256,
+       NULL::VARCHAR AS html, CASE WHEN dest_key IS NOT NULL THEN 'out' END AS dest_bucket, dest_key, dest_type, thumbs
+FROM ({DECODED}) x"""
+
+# The JSON text itself: absent fields are left out, operations stand in their order.
+SQL["results_json"] = f"""
+SELECT job_id, '{{"results":{{' || string_agg('"' || op_name || '":{{"success":' || success
+    || CASE WHEN error IS NULL THEN '' ELSE ',"error":' || to_json(error) END
+    || CASE WHEN op_name <> 'scan' THEN '' ELSE ',"scan":{{"clean":' || clean
+         || CASE WHEN detail IS NULL THEN '' ELSE ',"detail":' || to_json(detail) END || '}}' END
+    || CASE WHEN markdown IS NULL THEN '' ELSE ',"markdown":{{"markdown":' || to_json(markdown) || '}}' END
+    || CASE WHEN pages IS NULL THEN '' ELSE ',"thumbnail_pages":[' || pages || ']' END
+    || CASE WHEN dest_key IS NULL THEN '' ELSE ',"destination":{{"bucket":"out","key":"' || dest_key
+         || '","content_type":"' || dest_type || '"}}' END
+    || CASE WHEN size_bytes IS NULL THEN '' ELSE ',"size_bytes":' || size_bytes END || '}}', ',' ORDER BY k)
+  || '}}}}' AS output
+FROM ({DECODED}) x GROUP BY job_id"""
 
 SQL["op_status"] = f"""
 SELECT op_name, op_type, success, error, count(*)::BIGINT AS n_ops

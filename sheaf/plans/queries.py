@@ -52,7 +52,7 @@ def orders_jobs(spark, sf):
 def q_files_sized(spark: SparkSession, sf: str) -> DataFrame:
     f = cap_sizes(doc_files(spark, sf), SIZE_CAP)
     return f.select("file_id", "bucket", "key", "size_bytes", "error",
-                    F.length("text").cast("bigint").alias("content_chars"))
+                    F.sha2("text", 256).alias("content_sha256"))
 
 
 # ---- B: checks ----------------------------------------------------------------
@@ -264,7 +264,8 @@ def q_unused_inputs(spark, sf):
 def _flat_results(res):
     return res.select("job_id", F.col("op_index").cast("bigint"), "op_name", "op_type", "success", "error",
                       "clean", "detail", "size_bytes", F.col("page_count").cast("bigint"),
-                      F.length("markdown").cast("bigint").alias("md_chars"))
+                      F.length("markdown").cast("bigint").alias("md_chars"),
+                      F.sha2("markdown", 256).alias("md_sha256"))
 
 
 @query("run_jobs")
@@ -274,7 +275,7 @@ def q_run_jobs(spark, sf):
 
 @query("results_json")
 def q_results_json(spark, sf):
-    return W.assemble_results(doc_run(spark, sf).results)
+    return W.assemble_results(doc_run(spark, sf).results, doc_jobs(spark, sf).dests)
 
 
 @query("job_outcome")
@@ -354,7 +355,7 @@ def q_merge_documents(spark, sf):
     members = cf.select("conv_id", "turn", "file_id")
     m = P.merge_documents(members, pages, "conv_id", "turn", "file_id")
     return m.select("conv_id", "turn", F.col("member_page_no").cast("bigint"), "page_no",
-                    F.length("page_text").cast("bigint").alias("page_chars"))
+                    "page_text")
 
 
 def preview_requests(spark, sf):
@@ -461,7 +462,13 @@ def q_cancel_jobs(spark, sf):
 
 @query("decode_results")
 def q_decode_results(spark, sf):
-    return L.decode_results(W.assemble_results(doc_run(spark, sf).results))
+    d = L.decode_results(q_results_json(spark, sf))
+    pages = F.transform("thumbnail_pages", lambda p: F.concat_ws(
+        ":", p["page_number"], p["destination"]["key"], p["size_bytes"]))
+    return d.select("job_id", "op_name", "success", "error", "size_bytes", "clean", "detail",
+                    F.sha2("markdown", 256).alias("md_sha256"), "html",
+                    F.col("destination.bucket").alias("dest_bucket"), F.col("destination.key").alias("dest_key"),
+                    F.col("destination.content_type").alias("dest_type"), F.array_join(pages, ",").alias("thumbs"))
 
 
 @query("op_status")

@@ -23,43 +23,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions.paths import page_key
 from ..functions.text import chunks
 from ..operators import scan as S
+from ..operators import validate as V
 from ..operators.pages import DEFAULT_WIDTH
 from ..sources.files import TOO_LARGE, effective_cap
 from ..session import scratch_dir
-from ..sources.jobs import Jobs, template_of
+from ..sources.jobs import Jobs, explode_jobs, template_of
 
 # Result messages.
 SKIPPED = "skipped: prior scan detected a threat"
 UNKNOWN_TYPE = "unknown operation type"
 VIRUS_PREFIX = "virus detected: "
 NOT_FOUND = "NOT_FOUND"
+UNREADABLE = "UNREADABLE"
 MISSING_INPUT = "MISSING_INPUT"
 NO_PAGES = "NO_PAGES"
+REJECTED = "rejected"  # outcome of a job that fails the pipeline checks
 
 MAX_TEMPLATES = 1000
 
 RESULT_COLS = ["job_id", "op_index", "op_name", "op_type", "success", "error", "clean", "detail",
-               "size_bytes", "page_count", "markdown", "html"]
+               "size_bytes", "page_count", "markdown", "html", "thumbnail_pages"]
 
 
 def _files_proj(files: DataFrame) -> DataFrame:
     """The one projection of the files that every consumer uses, so that the
     single shuffle of the texts by (bucket, key) is reused by all of them."""
-    return files.select("bucket", "key", F.col("content_type").alias("__ct"), "size_bytes", "text")
+    return files.select("bucket", "key", F.col("content_type").alias("__ct"), "size_bytes", "text",
+                        F.lit(True).alias("__found"))
 
 
 def downloads(jobs: Jobs, files: DataFrame, max_bytes: int | None = None,
               keep: list[str] | None = None) -> DataFrame:
-    """Each job input joined to its file: error NOT_FOUND / TOO_LARGE, else the text."""
+    """Each job input joined to its file: error NOT_FOUND / TOO_LARGE / UNREADABLE (no text), else the text."""
     cap = effective_cap(max_bytes)
     d = jobs.inputs.join(_files_proj(files), ["bucket", "key"], "left")
     return d.select(
         "job_id", "input_index", "name", "bucket", "key", *(keep or []),
         F.coalesce(F.nullif(F.col("content_type"), F.lit("")), F.col("__ct")).alias("content_type"),
-        F.when(F.col("size_bytes").isNull(), F.lit(NOT_FOUND))
-         .when(F.col("size_bytes") > cap, F.lit(TOO_LARGE)).alias("error"),
+        F.when(F.col("__found").isNull(), F.lit(NOT_FOUND))
+         .when(F.col("size_bytes") > cap, F.lit(TOO_LARGE))
+         .when(F.col("text").isNull(), F.lit(UNREADABLE)).alias("error"),
         F.when(F.col("size_bytes") <= cap, F.col("text")).alias("text"))
 
 
@@ -93,14 +99,14 @@ def job_templates(jobs: Jobs) -> DataFrame:
              .select("job_id", F.to_json(F.struct(
                  F.coalesce("i", F.array().cast("array<struct<input_index:int,name:string>>")).alias("inputs"),
                  F.col("o").alias("ops"))).alias("template")))
-    return t.withColumn("template_id", F.xxhash64("template"))
+    return t.withColumn("template_id", F.sha2("template", 256))
 
 
 def _inputs_with_template(jobs: Jobs) -> DataFrame:
     """Job inputs with their template id (no join when documents are at hand)."""
     if jobs.docs is not None:
         return (jobs.docs.select("job_id", "inputs", template_of(jobs.docs).alias("template"))
-                .withColumn("template_id", F.xxhash64("template"))
+                .withColumn("template_id", F.sha2("template", 256))
                 .select("job_id", "template_id", F.posexplode("inputs").alias("input_index", "i"))
                 .select("job_id", "template_id", F.col("input_index").cast("int"),
                         "i.name", "i.bucket", "i.key", "i.content_type"))
@@ -118,7 +124,7 @@ def dispatch_ops(ops: DataFrame) -> DataFrame:
 class JobRun:
     results: DataFrame        # one row per (job, op) of jobs whose downloads succeeded
     downloads: DataFrame      # job_id, input_index, name, error, ...
-    outcomes: DataFrame       # job_id, status, error
+    outcomes: DataFrame       # job_id, status (completed, failed, rejected), error
     artifacts: DataFrame      # job_id, name, n_pages, size_bytes, source, file_name
     artifact_pages: DataFrame  # job_id, name, page_no, size_bytes (previews of 'all' thumbnails)
 
@@ -175,7 +181,8 @@ class Art:
 
 
 _RES_TYPES = (("success", "boolean"), ("error", "string"), ("clean", "boolean"), ("detail", "string"),
-              ("size_bytes", "bigint"), ("page_count", "int"), ("markdown", "string"), ("html", "string"))
+              ("size_bytes", "bigint"), ("page_count", "int"), ("markdown", "string"), ("html", "string"),
+              ("thumbnail_pages", "array<struct<page_number:int,size_bytes:bigint>>"))
 
 
 def _sql_lit(v) -> str:
@@ -189,16 +196,16 @@ def _sql_lit(v) -> str:
 
 
 def _res(op: dict, success=True, error=None, clean=None, detail=None, size=None, pages=None,
-         markdown=None, html=None) -> Column:
+         markdown=None, html=None, thumbs=None) -> Column:
     """One result struct. All-constant results are one parsed SQL expression
     (far fewer driver round trips than building it field by field)."""
     vals = dict(success=success, error=error, clean=clean, detail=detail, size_bytes=size,
-                page_count=pages, markdown=markdown, html=html)
+                page_count=pages, markdown=markdown, html=html, thumbnail_pages=thumbs)
     head = (f"'op_index', CAST({_sql_lit(op.get('op_index'))} AS INT), "
             f"'op_name', CAST({_sql_lit(op.get('op_name'))} AS STRING), "
             f"'op_type', CAST({_sql_lit(op.get('op_type'))} AS STRING)")
     if not any(isinstance(v, Column) for v in vals.values()):
-        body = ", ".join(f"'{n}', CAST({_sql_lit(vals[n])} AS {t.upper()})" for n, t in _RES_TYPES)
+        body = ", ".join(f"'{n}', CAST({_sql_lit(vals[n])} AS {t})" for n, t in _RES_TYPES)
         return F.expr(f"named_struct({head}, {body})")
 
     def c(v, t):
@@ -281,7 +288,9 @@ def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int, file
             first = F.substring(x.page1(P), 1, width)
             if (op.get("pages") or "") == "all":
                 art = Art("image", pages=F.transform(x.pages(P), lambda p: F.substring(p, 1, width)))
-                res = _res(op, size=F.octet_length(first), pages=x.n_pages(P))
+                res = _res(op, size=F.octet_length(first), pages=x.n_pages(P), thumbs=F.transform(
+                    art.pages_col, lambda p, i: F.struct((i + 1).cast("int").alias("page_number"),
+                                                         F.octet_length(p).cast("bigint").alias("size_bytes"))))
                 name = op.get("op_name")
                 page_cols.append(F.when(~gate, F.transform(
                     art.pages_col, lambda p, i: F.struct(F.lit(name).alias("name"), (i + 1).alias("page_no"),
@@ -347,7 +356,7 @@ def _parse_template(text: str) -> dict:
     return {"inputs": raw.get("inputs") or [], "ops": raw.get("ops") or []}
 
 
-def _plan_templates(rows, dl, files, signatures, page_chars, inputs_t):
+def _plan_templates(rows, dl, signatures, page_chars):
     """Result, artifact and page DataFrames of a group of templates."""
     results, arts, pages = [], [], []
     cache = {}
@@ -384,14 +393,34 @@ def _plan_templates(rows, dl, files, signatures, page_chars, inputs_t):
 
 
 RES_DDL = ("job_id string, op_index int, op_name string, op_type string, success boolean, error string, "
-           "clean boolean, detail string, size_bytes bigint, page_count int, markdown string, html string")
+           "clean boolean, detail string, size_bytes bigint, page_count int, markdown string, html string, "
+           "thumbnail_pages array<struct<page_number:int,size_bytes:bigint>>")
 PAGES_DDL = "job_id string, name string, page_no int, size_bytes bigint"
 
 
+def checked_jobs(jobs: Jobs, allowed_buckets=None) -> tuple[Jobs, DataFrame]:
+    """The jobs that pass the pipeline checks, and (job_id, status 'rejected', error) of the others."""
+    if jobs.docs is not None and not isinstance(allowed_buckets, DataFrame):
+        c = V.check_documents(jobs.docs, allowed_buckets)
+        ok = explode_jobs(c.filter(F.col("error").isNull()).select(*jobs.docs.columns))
+    else:
+        c = V.check_pipelines(jobs, allowed_buckets)
+        ids = c.filter(F.col("error").isNull()).select("job_id")
+
+        def of(df):
+            return df.join(ids, "job_id", "left_semi")
+        ok = Jobs(of(jobs.inputs), of(jobs.ops), of(jobs.dests), of(jobs.tags),
+                  of(jobs.docs) if jobs.docs is not None else None)
+    return ok, c.filter(F.col("error").isNotNull()).select("job_id", F.lit(REJECTED).alias("status"), "error")
+
+
 def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
              page_chars: int = 1800, max_bytes: int | None = None,
-             max_templates: int = MAX_TEMPLATES) -> JobRun:
-    """G1: every operation of every job, in template order.
+             max_templates: int = MAX_TEMPLATES, allowed_buckets=None) -> JobRun:
+    """G1: every operation of every valid job, in template order.
+
+    Jobs are checked first (B3): a job that fails is not run, and its outcome is
+    'rejected' with the code of its first error, so every job has an outcome.
 
     Plan per template: inputs (joined once to their files) -> one projection
     computing every op's result as a column -> explode into result rows.
@@ -404,40 +433,38 @@ def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
     all groups back. No job is left out either way.
     """
     spark = files.sparkSession
+    jobs, rejected = checked_jobs(jobs, allowed_buckets)
     tpls = job_templates(jobs)
-    distinct = tpls.groupBy("template_id", "template").agg(F.count(F.lit(1)).alias("n"))
+    distinct = tpls.select("template_id", "template").distinct()
     found = distinct.limit(max_templates + 1).collect()
     inputs_t = _inputs_with_template(jobs)
     dl = downloads(Jobs(inputs_t, jobs.ops, jobs.dests, jobs.tags), files, max_bytes, keep=["template_id"])
-    outcomes = job_outcome(dl)
-    art_ddl = "job_id string, " + ART_T[7:-1].replace(":", " ")
+    outcomes = job_outcome(dl).unionByName(rejected)
+    empty = {"results": RES_DDL, "artifacts": "job_id string, " + ART_T[7:-1].replace(":", " "), "pages": PAGES_DDL}
+
+    def planned(rows):
+        dfs = _plan_templates(rows, dl, signatures, page_chars)
+        return [spark.createDataFrame([], ddl) if df is None else df for df, ddl in zip(dfs, empty.values())]
+
     if len(found) <= max_templates:
-        res, art, pg = _plan_templates(found, dl, files, signatures, page_chars, inputs_t)
-        return JobRun(res or spark.createDataFrame([], RES_DDL), dl, outcomes,
-                      art or spark.createDataFrame([], art_ddl), pg or spark.createDataFrame([], PAGES_DDL))
+        res, art, pg = planned(found)
+        return JobRun(res, dl, outcomes, art, pg)
     out = scratch_dir(spark, "job-run")
     group = []
 
     def flush(rows):
-        res, art, pg = _plan_templates(rows, dl, files, signatures, page_chars, inputs_t)
-        for name, df in (("results", res), ("artifacts", art), ("pages", pg)):
-            if df is not None:
-                df.write.mode("append").parquet(f"{out}/{name}")
+        for name, df in zip(empty, planned(rows)):
+            df.write.mode("append").parquet(f"{out}/{name}")
 
-    for row in distinct.select("template_id", "template").toLocalIterator():
+    for row in distinct.toLocalIterator():
         group.append(row)
         if len(group) == max_templates:
             flush(group)
             group = []
     if group:
         flush(group)
-
-    def read(name, ddl):
-        try:
-            return spark.read.schema(ddl).parquet(f"{out}/{name}")
-        except Exception:  # noqa: BLE001 - nothing was written under this name
-            return spark.createDataFrame([], ddl)
-    return JobRun(read("results", RES_DDL), dl, outcomes, read("artifacts", art_ddl), read("pages", PAGES_DDL))
+    res, art, pg = (spark.read.schema(ddl).parquet(f"{out}/{name}") for name, ddl in empty.items())
+    return JobRun(res, dl, outcomes, art, pg)
 
 
 def file_names(artifacts: DataFrame) -> DataFrame:
@@ -469,24 +496,57 @@ def unused_inputs(jobs: Jobs) -> DataFrame:
     return jobs.inputs.join(refs, ["job_id", "name"], "left_anti")
 
 
-def results_struct() -> Column:
-    """One result as the JSON output shape (empty fields dropped)."""
+def results_struct(r: Column, dest: Column) -> Column:
+    """One result as the JSON output shape (empty fields dropped); ``dest``: the operation's destination, or null.
+
+    Of a preview of several pages each page has its own destination, as in the upload plan.
+    """
+    thumbs = F.filter(r["thumbnail_pages"], lambda p: p.isNotNull())
+    paged = F.coalesce(F.size(thumbs), F.lit(0)) > 1
+
+    def page(p):
+        key = F.when(paged, page_key(dest["key"], p["page_number"])).otherwise(dest["key"])
+        return F.struct(p["page_number"].alias("page_number"),
+                        F.when(dest.isNotNull(), F.struct(dest["bucket"].alias("bucket"), key.alias("key"),
+                                                          dest["content_type"].alias("content_type"))).alias("destination"),
+                        p["size_bytes"].alias("size_bytes"))
+    is_file = r["op_type"].isin("convert_to_pdf", "merge_pdfs", "thumbnail")
     return F.struct(
-        F.col("success"),
-        F.nullif(F.col("error"), F.lit("")).alias("error"),
-        F.when(F.col("op_type") == "scan", F.struct(F.col("clean"), F.col("detail"))).alias("scan"),
-        F.when((F.col("op_type") == "extract_markdown") & F.col("success"),
-               F.struct(F.col("markdown"), F.col("html"))).alias("markdown"),
-        F.nullif(F.col("size_bytes"), F.lit(0)).alias("size_bytes"),
-    )
-
-
-def assemble_results(results: DataFrame) -> DataFrame:
-    """job_id, output JSON {"results": {op_name: result}}."""
-    return (results.groupBy("job_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("op_name"), results_struct())))
-                 .alias("results"))
-            .select("job_id", F.to_json(F.struct("results")).alias("output")))
+        r["success"].alias("success"),
+        F.nullif(r["error"], F.lit("")).alias("error"),
+        F.when(r["op_type"] == "scan", F.struct(r["clean"].alias("clean"), r["detail"].alias("detail"))).alias("scan"),
+        F.when((r["op_type"] == "extract_markdown") & r["success"],
+               F.struct(r["markdown"].alias("markdown"), r["html"].alias("html"))).alias("markdown"),
+        F.transform(thumbs, page).alias("thumbnail_pages"),
+        F.when(is_file & r["success"] & ~paged, dest).alias("destination"),
+        F.nullif(r["size_bytes"], F.lit(0)).alias("size_bytes"))
+
+
+def assemble_results(results: DataFrame, dests: DataFrame | None = None) -> DataFrame:
+    """job_id, output JSON {"results": {op_name: result}}, operations in their order.
+
+    ``dests`` (job_id, name, bucket, key, content_type) fills the destinations of what was uploaded.
+    Of operations with one name (which the checks refuse) the last counts; one without a name is left out.
+    """
+    fields = [c for c in RESULT_COLS if c not in ("job_id", "op_index")]
+    jobs = (results.filter(F.col("op_name").isNotNull()).groupBy("job_id")
+            .agg(F.collect_list(F.struct("op_index", *fields)).alias("r")))
+    ref = "map<string,struct<bucket:string,key:string,content_type:string>>"
+    if dests is None:
+        jobs = jobs.withColumn("d", F.lit(None).cast(ref))
+    else:
+        named = (dests.filter(F.col("name").isNotNull()).groupBy("job_id", "name")
+                 .agg(F.min(F.struct("bucket", "key", "content_type")).alias("d"))
+                 .groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "d"))).alias("d")))
+        jobs = jobs.join(named, "job_id", "left")
+    in_order = F.array_sort("r", lambda a, b: a["op_index"] - b["op_index"])
+    jobs = jobs.select("job_id", "d", in_order.alias("r"))
+    names = F.transform("r", lambda x: x["op_name"])
+    last = F.filter("r", lambda x, i: ~F.array_contains(
+        F.slice(names, i + 2, F.size("r")), x["op_name"]))
+    entries = F.transform(last, lambda x: F.struct(
+        x["op_name"], results_struct(x, F.try_element_at(F.col("d"), x["op_name"]))))
+    return jobs.select("job_id", F.to_json(F.struct(F.map_from_entries(entries).alias("results"))).alias("output"))
 
 
 def progress_events(jobs: Jobs, run: JobRun) -> DataFrame:

@@ -38,7 +38,8 @@ def stream_table(spark: SparkSession, table_dir: str, name: str,
 def flat_results(results: DataFrame) -> DataFrame:
     return results.select("job_id", F.col("op_index").cast("bigint"), "op_name", "op_type", "success", "error",
                           "clean", "detail", "size_bytes", F.col("page_count").cast("bigint"),
-                          F.length("markdown").cast("bigint").alias("md_chars"))
+                          F.length("markdown").cast("bigint").alias("md_chars"),
+                          F.sha2("markdown", 256).alias("md_sha256"))
 
 
 def stream_jobs(documents: DataFrame, signatures: DataFrame | None, out_dir: str | None = None,

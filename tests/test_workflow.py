@@ -1,9 +1,12 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from sheaf.operators import validate as V
+from sheaf.operators.ledger import decode_results
 from sheaf.plans import workflow as W
-from sheaf.sources.jobs import explode_jobs, parse_jobs
+from sheaf.sources.jobs import Jobs, explode_jobs, parse_jobs
 from sheaf.sources.sinks import upload_plan
 
 
@@ -77,14 +80,12 @@ def test_merge_positional_and_missing_inputs(spark):
         {"name": "merged", "inputs": ["z", "pa"], "merge_pdfs": {}},
         {"name": "md", "inputs": ["merged"], "extract_markdown": {}},
         {"name": "bad", "inputs": ["md"], "convert_to_pdf": {}},
-        {"name": "notype", "inputs": ["a"]},
     ]}]
     run = W.run_jobs(_jobs(spark, docs), _files(spark), None, page_chars=5)
     r = _results(run)
     assert r[("m", "merged")].page_count == 1 + 4 and r[("m", "merged")].size_bytes == 18
     assert r[("m", "md")].markdown == "zz0123456789abcdef"
     assert r[("m", "bad")].error == "MISSING_INPUT" and not r[("m", "bad")].success
-    assert r[("m", "notype")].error == "unknown operation type"
     names = {a.name: a.file_name for a in W.file_names(run.artifacts).collect()}
     assert names == {"a": "a.txt", "z": "z.txt", "pa": "pa.pdf", "merged": "merged"}
 
@@ -118,8 +119,79 @@ def test_outcome_failed_download(spark):
     assert out2["missing"] == "download b: NOT_FOUND" and out2["big"] is None
 
 
+def test_jobs_are_checked_before_they_run(spark):
+    """Every job has an outcome; a refused job is not run and harms no other."""
+    op = {"name": "p", "inputs": ["a"], "convert_to_pdf": {}}
+    a = _inp("a", "a.txt")
+    docs = [{"job_id": "fine", "inputs": [a], "operations": [op]},
+            {"job_id": "twice", "inputs": [a, a], "operations": [op]},
+            {"job_id": "same", "inputs": [a], "operations": [op, op]},
+            {"job_id": "none", "inputs": [], "operations": [op]},
+            {"job_id": "null", "operations": [op]},
+            {"job_id": "idle", "inputs": [a]},
+            {"job_id": "untyped", "inputs": [a], "operations": [{"name": "p", "inputs": ["a"]}]},
+            {"job_id": "lost", "inputs": [a], "operations": [{**op, "inputs": ["x"]}]},
+            {"job_id": "far", "inputs": [a], "operations": [op], "destinations": {"q": {"bucket": "o", "key": "k"}}},
+            {"job_id": "empty", "inputs": [_inp("a", "null.txt")], "operations": [op]}]
+    files = _files(spark).unionByName(spark.createDataFrame(
+        [("b", "null.txt", "text/plain", None, 3)],
+        "bucket string, key string, content_type string, text string, size_bytes long"))
+    jobs = _jobs(spark, docs)
+    want = {"fine": ("completed", None), "twice": ("rejected", "DUPLICATE_INPUT"), "same": ("rejected", "DUPLICATE_OP"),
+            "none": ("rejected", "NO_INPUTS"), "null": ("rejected", "NO_INPUTS"), "idle": ("rejected", "NO_OPERATIONS"),
+            "untyped": ("rejected", "OP_TYPE_MISSING"), "lost": ("rejected", "UNKNOWN_REF"),
+            "far": ("rejected", "UNKNOWN_DEST"), "empty": ("failed", "download a: UNREADABLE")}
+    for j in (jobs, Jobs(jobs.inputs, jobs.ops, jobs.dests, jobs.tags)):
+        run = W.run_jobs(j, files, None)
+        assert {o.job_id: (o.status, o.error) for o in run.outcomes.collect()} == want
+        assert [(r.job_id, r.op_name) for r in run.results.collect()] == [("fine", "p")]
+
+
+def test_documents_checked_in_the_row_as_in_tables(spark):
+    rnd = random.Random(3)
+    names = ["a", "b", "c", "", None]
+
+    def doc(i):
+        ops = [{"name": rnd.choice(names + ["d", "e"]), "inputs": rnd.choice([["a"], ["b", "c"], ["d"], [], None]),
+                rnd.choice(["scan", "merge_pdfs", "other"]): {}} for _ in range(rnd.randint(0, 3))]
+        return {"job_id": str(i), "operations": ops,
+                "inputs": [{"name": rnd.choice(names), "bucket": rnd.choice(["b", "b", ""]),
+                            "key": rnd.choice(["k", "k", "x/../y", None])} for _ in range(rnd.randint(0, 3))],
+                "destinations": {n: {"bucket": "o", "key": "k"} for n in rnd.sample(["a", "d", "z"], rnd.randint(0, 2))}}
+    jobs = _jobs(spark, [doc(i) for i in range(300)])
+    for allowed in (None, ["b", "o"], ["o"]):
+        rows = [sorted(tuple(map(str, r)) for r in df.select("job_id", "error", "stage", "item").collect())
+                for df in (V.check_documents(jobs.docs, allowed), V.check_pipelines(jobs, allowed))]
+        assert rows[0] == rows[1]
+
+
+def test_full_results(spark):
+    docs = [{"job_id": "j", "inputs": [_inp("doc", "a.txt")], "operations": [
+        {"name": "z", "inputs": ["doc"], "convert_to_pdf": {}},
+        {"name": "a", "inputs": ["z"], "thumbnail": {"width": 3, "pages": "all"}},
+        {"name": "one", "inputs": ["z"], "thumbnail": {"width": 3}}],
+        "destinations": {"z": {"bucket": "o", "key": "p.pdf", "content_type": "application/pdf"},
+                         "a": {"bucket": "o", "key": "t.png", "content_type": "image/png"}}}]
+    jobs = _jobs(spark, docs)
+    run = W.run_jobs(jobs, _files(spark), None, page_chars=10)
+    js = W.assemble_results(run.results, jobs.dests)
+    out = json.loads(js.collect()[0].output)["results"]
+    assert list(out) == ["z", "a", "one"]
+
+    def at(key, kind):
+        return {"bucket": "o", "key": key, "content_type": kind}
+    assert out["z"] == {"success": True, "destination": at("p.pdf", "application/pdf"), "size_bytes": 16}
+    assert out["a"]["thumbnail_pages"] == [
+        {"page_number": n, "destination": at(f"t_00{n}.png", "image/png"), "size_bytes": 3} for n in (1, 2)]
+    assert "destination" not in out["a"] and "destination" not in out["one"]
+    row = {d.op_name: d for d in decode_results(js).collect()}
+    assert row["a"].thumbnail_pages[1].destination.key == "t_002.png" and row["z"].destination.bucket == "o"
+    twice = W.assemble_results(run.results.unionByName(run.results.withColumn("op_index", F.col("op_index") + 9)
+                                                       .withColumn("success", F.lit(False))))
+    assert not json.loads(twice.collect()[0].output)["results"]["z"]["success"]
+
+
 def test_results_json_round_trip(spark):
-    from sheaf.operators.ledger import decode_results
     docs = [{"job_id": "j", "inputs": [_inp("doc", "a.txt")], "operations": [
         {"name": "scan", "inputs": ["doc"], "scan": {}}, {"name": "pdf", "inputs": ["doc"], "convert_to_pdf": {}}]}]
     run = W.run_jobs(_jobs(spark, docs), _files(spark), _sigs(spark))
