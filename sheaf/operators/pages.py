@@ -22,6 +22,8 @@ DEFAULT_FORMAT = "jpg"
 DEFAULT_WIDTH = 400
 DEFAULT_DPI = 150
 NO_PAGES = "NO_PAGES"
+MEMBER_MISSING = "MEMBER_MISSING"
+NO_MEMBERS = "NO_MEMBERS"
 
 
 def route_conversion(files: DataFrame, type_col: str = "content_type") -> DataFrame:
@@ -58,7 +60,8 @@ def page_counts(page_table: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def merge_documents(members: DataFrame, page_table: DataFrame, group_col: str,
-                    pos_col: str, member_col: str, page_id_col: str | None = None) -> DataFrame:
+                    pos_col: str, member_col: str, page_id_col: str | None = None,
+                    groups: DataFrame | None = None) -> DataFrame:
     """Concatenate member documents of each group in the listed order.
 
     ``members`` has (group, pos, member); ``page_table`` has (member, page_no,
@@ -66,19 +69,35 @@ def merge_documents(members: DataFrame, page_table: DataFrame, group_col: str,
     The offsets are a running sum over member page counts, computed in blocks
     so that one enormous group is not a single window task; page text is never
     gathered. One member -> its pages unchanged.
+
+    A member without pages fails its group: the group has no pages, only a row
+    with error MEMBER_MISSING for each such member. With ``groups`` (a table with
+    the group column) a group without members has a row with error NO_MEMBERS.
     """
     pid = page_id_col or member_col
     counts = page_counts(page_table.withColumnRenamed(pid, "__m"), "__m")
     m = (members.select(group_col, pos_col, F.col(member_col).alias("__m"))
-         .join(counts.select("__m", "n_pages"), "__m", "left")
-         .withColumn("n_pages", F.coalesce("n_pages", F.lit(0))))
-    m = running_sum(m, group_col, pos_col, "n_pages", "page_offset")
+         .join(counts.select("__m", "n_pages"), "__m", "left"))
+    failed = m.filter(F.col("n_pages").isNull())
+    whole = m.join(failed.select(group_col).distinct(), group_col, "left_anti")
+    whole = running_sum(whole, group_col, pos_col, "n_pages", "page_offset")
     pages = page_table.withColumnRenamed(pid, "__m")
-    return (m.join(pages, "__m", "inner")
-            .select(group_col, pos_col, F.col("__m").alias(member_col),
-                    F.col("page_no").cast("int").alias("member_page_no"),
-                    (F.col("page_offset") + F.col("page_no")).cast("bigint").alias("page_no"),
-                    "page_text"))
+    none_i, none_l, none_s = (F.lit(None).cast(t) for t in ("int", "bigint", "string"))
+
+    def error_rows(df, pos, member, code):
+        return df.select(group_col, pos.alias(pos_col), member.alias(member_col), none_i.alias("member_page_no"),
+                         none_l.alias("page_no"), none_s.alias("page_text"), F.lit(code).alias("error"))
+    out = (whole.join(pages, "__m", "inner")
+           .select(group_col, pos_col, F.col("__m").alias(member_col),
+                   F.col("page_no").cast("int").alias("member_page_no"),
+                   (F.col("page_offset") + F.col("page_no")).cast("bigint").alias("page_no"),
+                   "page_text", none_s.alias("error"))
+           .unionByName(error_rows(failed, F.col(pos_col), F.col("__m"), MEMBER_MISSING)))
+    if groups is not None:
+        empty = groups.select(group_col).distinct().join(members.select(group_col), group_col, "left_anti")
+        out = out.unionByName(error_rows(empty, F.lit(None).cast(members.schema[pos_col].dataType),
+                                         F.lit(None).cast(members.schema[member_col].dataType), NO_MEMBERS))
+    return out
 
 
 def plan_previews(counts: DataFrame, requests: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -208,34 +208,47 @@ def _type(docs: DataFrame, column: str) -> str:
     return docs.schema[column].dataType.valueType.simpleString()
 
 
+def check_file_requests(df: DataFrame, kind: Column | str, allowed_buckets=None) -> DataFrame:
+    """B4 (scan, convert, thumbnail, markdown): source ref, content type (convert), then destination.
+
+    ``kind``: the request's kind, one for all or a column. A ``destination`` column
+    (struct, null: none) is checked for every kind but scan, which has none.
+    """
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    out = check_refs(df, "bucket", "key", allowed_buckets, "__re").withColumn("__k", kind)
+    rules = [F.col("__re")]
+    if "content_type" in df.columns:
+        rules.append(F.when((F.col("__k") == "convert") & blank(F.col("content_type")), F.lit(CONTENT_TYPE_REQUIRED)))
+    if "destination" in df.columns:
+        out = check_destinations(out, "destination", allowed_buckets, "__dest")
+        rules.append(F.when(F.col("__k") != "scan", F.col("__dest")))
+    return out.withColumn("error", F.coalesce(*rules)).drop("__re", "__k", "__dest")
+
+
 def check_convert_requests(df: DataFrame, allowed_buckets=None) -> DataFrame:
-    """B4 (convert): source ref, then content type required, then destination."""
-    df2 = check_refs(df, "bucket", "key", allowed_buckets, "__re")
-    return (df2.withColumn("error", F.coalesce(
-                F.col("__re"),
-                F.when(blank(F.col("content_type")), F.lit(CONTENT_TYPE_REQUIRED))))
-            .drop("__re"))
+    """B4 (convert): ``check_file_requests`` of one kind."""
+    return check_file_requests(df, "convert", allowed_buckets)
 
 
 def check_merge_requests(requests: DataFrame, members: DataFrame,
-                         request_col: str = "request_id") -> DataFrame:
-    """B4 (merge): at least one file per request; then each member's ref.
+                         request_col: str = "request_id", allowed_buckets=None) -> DataFrame:
+    """B4 (merge): at least one file per request, then each member's ref, then the
+    request's ``destination`` if it has such a column.
 
-    Member counts come from an aggregate (partial, so a huge merge is fine),
-    joined back to the requests.
+    Members are counted and their first error found in one partial aggregate (so a
+    huge merge is fine), joined back to the requests.
     """
-    checked = check_refs(members, "bucket", "key", out="__re")
-    per_req = (checked.groupBy(request_col)
-               .agg(F.count(F.lit(1)).alias("n_files")))
-    bad = (checked.filter(F.col("__re").isNotNull()).groupBy(request_col)
-           .agg(F.min(F.struct("position", "__re")).alias("__bad")))
-    return (requests.join(per_req.select(request_col, "n_files"), request_col, "left")
-            .join(bad, request_col, "left")
-            .withColumn("n_files", F.coalesce("n_files", F.lit(0)).cast("bigint"))
-            .withColumn("error", F.coalesce(
-                F.when(F.col("n_files") == 0, F.lit(FILES_REQUIRED)),
-                F.col("__bad.__re")))
-            .drop("__bad"))
+    checked = check_refs(members, "bucket", "key", allowed_buckets, "__re")
+    per_req = checked.groupBy(request_col).agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.min(F.when(F.col("__re").isNotNull(), F.struct("position", "__re"))).alias("__bad"))
+    out = requests.join(per_req, request_col, "left").withColumn(
+        "n_files", F.coalesce("n_files", F.lit(0)).cast("bigint"))
+    rules = [F.when(F.col("n_files") == 0, F.lit(FILES_REQUIRED)), F.col("__bad.__re")]
+    if "destination" in requests.columns:
+        out = check_destinations(out, "destination", allowed_buckets, "__dest")
+        rules.append(F.col("__dest"))
+    return out.withColumn("error", F.coalesce(*rules)).drop("__bad", "__dest")
 
 
 def check_job_requests(df: DataFrame, id_col: str = "job_id") -> DataFrame:

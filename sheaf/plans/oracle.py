@@ -432,14 +432,19 @@ SELECT {ROUTE} AS route, count(*)::BIGINT AS n_files, sum(size_bytes)::BIGINT AS
 FROM ({ROUTED}) f GROUP BY 1"""
 
 SQL["merge_documents"] = """
-WITH p AS (
+WITH bad AS (SELECT DISTINCT conv_id FROM conversations WHERE ends_with(text, '?') OR text IS NULL),
+p AS (
   SELECT conv_id, turn, text, greatest(1, ceil(length(text) / 400.0))::BIGINT AS np
-  FROM conversations WHERE text IS NOT NULL),
+  FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM bad)),
 o AS (SELECT *, coalesce(sum(np) OVER (PARTITION BY conv_id ORDER BY turn
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM p)
 SELECT conv_id, turn, q::BIGINT AS member_page_no, (off + q)::BIGINT AS page_no,
-       substring(text, ((q - 1) * 400 + 1)::BIGINT, 400) AS page_text
-FROM o, unnest(range(1, np + 1)) AS r(q)"""
+       substring(text, ((q - 1) * 400 + 1)::BIGINT, 400) AS page_text, NULL::VARCHAR AS error
+FROM o, unnest(range(1, np + 1)) AS r(q)
+UNION ALL
+SELECT conv_id, turn + 1000, NULL, NULL, NULL, 'MEMBER_MISSING' FROM conversations WHERE ends_with(text, '?')
+UNION ALL
+SELECT conv_id, turn, NULL, NULL, NULL, 'MEMBER_MISSING' FROM conversations WHERE text IS NULL"""
 
 PREVIEW_PLAN = f"""
   WITH req AS (
@@ -600,35 +605,56 @@ UNION ALL
 SELECT o_orderkey::VARCHAR, NULL, NULL FROM orders
 WHERE o_orderkey::VARCHAR NOT IN (SELECT job_id FROM d)"""
 
+REQ = ["merge-in", "out", "src0", "src1", "src2", "web"]
 SQL["check_requests"] = f"""
 SELECT 'convert' AS kind, doc_id::VARCHAR AS request_id,
-  coalesce({ref_error('source', "lang || '/' || doc_id::VARCHAR || '.txt'")},
-           CASE WHEN lang = 'es' THEN 'CONTENT_TYPE_REQUIRED' END) AS error
+  coalesce({ref_error('source', "lang || '/' || doc_id::VARCHAR || '.txt'", REQ)},
+           CASE WHEN lang = 'es' THEN 'CONTENT_TYPE_REQUIRED' WHEN lang = 'fr' THEN 'BUCKET_NOT_ALLOWED' END) AS error
 FROM documents
 UNION ALL
 SELECT 'merge', o.o_orderkey::VARCHAR,
-  CASE WHEN m.n IS NULL THEN 'FILES_REQUIRED' ELSE m.bad END
+  CASE WHEN m.n IS NULL THEN 'FILES_REQUIRED' WHEN m.old > 0 THEN 'BUCKET_NOT_ALLOWED'
+       WHEN o_orderpriority = '1-URGENT' THEN 'KEY_TRAVERSAL' END
 FROM orders o LEFT JOIN (
-  SELECT l_orderkey, count(*) AS n,
-    arg_min(CASE WHEN l_shipdate IS NULL THEN 'BUCKET_REQUIRED' END, CASE WHEN l_shipdate IS NULL THEN l_linenumber END) AS bad
+  SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS old
   FROM lineitem GROUP BY l_orderkey) m ON m.l_orderkey = o.o_orderkey
 UNION ALL
+SELECT kind, page_id::VARCHAR,
+  CASE WHEN kind = 'scan' THEN NULL WHEN contains(url, '?') THEN 'BUCKET_REQUIRED'
+       WHEN contains(url, '#') THEN 'KEY_REQUIRED' END
+FROM pages, unnest(['scan', 'thumbnail', 'markdown']) AS k(kind)
+UNION ALL
 SELECT 'job', request_id::VARCHAR, CASE WHEN job_id IS NULL OR job_id = '' THEN 'JOB_ID_REQUIRED' END
 FROM ({REQUESTS}) r"""
 
-URLS = r"""
-  SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme,
-         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^/?#]*)', 1) AS host
-  FROM pages"""
-URL_CHECK = f"""
-  SELECT page_id, scheme, host,
-    CASE WHEN scheme NOT IN ('http', 'https') THEN 'URL_SCHEME' WHEN host = '' THEN 'URL_HOST' END AS url_error
-  FROM ({URLS}) u"""
-SQL["check_urls"] = URL_CHECK
+
+def url_check(table: str) -> str:
+    """scheme, host and url_error of every row with a url."""
+    scheme = r"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1))"
+    host = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^/?#]*)', 1)"
+    return f"""
+  SELECT * EXCLUDE (url), CASE
+      WHEN regexp_matches(url, '[[:cntrl:]]') OR contains(host, ' ')
+        OR regexp_matches(split_part(split_part(url, '#', 1), '?', 1), '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)')
+        OR (starts_with(host, '[') AND NOT contains(host, ']'))
+        OR regexp_matches(host, ':[0-9]*[^0-9:\\]][^:]*$') THEN 'URL_INVALID'
+      WHEN scheme NOT IN ('http', 'https') THEN 'URL_SCHEME' WHEN host = '' THEN 'URL_HOST' END AS url_error
+  FROM (SELECT *, {scheme} AS scheme, {host} AS host FROM ({table}) t) u"""
+
+
+SQL["check_urls"] = url_check("""
+  SELECT page_id, 'as_is' AS form, url FROM pages
+  UNION ALL SELECT page_id, 'ftp', 'ftp' || substring(url, position(':' IN url)) FROM pages
+  UNION ALL SELECT page_id, 'no_host', regexp_replace(url, '//[^/]*', '//') FROM pages
+  UNION ALL SELECT page_id, 'blank', replace(url, '//', '//a b') FROM pages
+  UNION ALL SELECT page_id, 'port', regexp_replace(url, '//[^/]*', '//h:port') FROM pages
+  UNION ALL SELECT page_id, 'bracket', regexp_replace(url, '//[^/]*', '//[::1') FROM pages
+  UNION ALL SELECT page_id, 'escape', split_part(split_part(url, '#', 1), '?', 1) || '%zz' FROM pages
+  UNION ALL SELECT page_id, 'newline', url || chr(10) FROM pages""")
 SQL["url_hosts"] = f"""
 SELECT host, count(*)::BIGINT AS n_urls, count(url_error)::BIGINT AS n_bad,
        count(*) FILTER (WHERE scheme = 'https')::BIGINT AS n_https
-FROM ({URL_CHECK}) c GROUP BY host"""
+FROM ({url_check("SELECT url FROM pages")}) c GROUP BY host"""
 
 
 # ---- I / J ----------------------------------------------------------------------

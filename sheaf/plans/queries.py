@@ -352,10 +352,12 @@ def q_route_summary(spark, sf):
 def q_merge_documents(spark, sf):
     cf = conv_files(spark, sf)
     pages = P.paginate(cf, 400, id_col="file_id")
-    members = cf.select("conv_id", "turn", "file_id")
+    # turns that end in a question mark list an attachment that nobody stored
+    lost = cf.filter(F.col("text").endswith("?")).select("conv_id", (F.col("turn") + 1000).alias("turn"),
+                                                         F.concat("file_id", F.lit("/attachment")).alias("file_id"))
+    members = cf.select("conv_id", "turn", "file_id").unionByName(lost)
     m = P.merge_documents(members, pages, "conv_id", "turn", "file_id")
-    return m.select("conv_id", "turn", F.col("member_page_no").cast("bigint"), "page_no",
-                    "page_text")
+    return m.select("conv_id", "turn", F.col("member_page_no").cast("bigint"), "page_no", "page_text", "error")
 
 
 def preview_requests(spark, sf):
@@ -491,31 +493,58 @@ def q_check_destinations(spark, sf):
     return r.select("job_id", "name", "dest_error")
 
 
+REQUEST_BUCKETS = ["merge-in", "out", "src0", "src1", "src2", "web"]
+
+
 @query("check_requests")
 def q_check_requests(spark, sf):
+    def dest(bucket, key):
+        return F.struct(bucket.alias("bucket"), key.alias("key"))
     d = T(spark, sf, "documents")
+    out = F.concat(F.lit("pdf/"), F.col("doc_id").cast("string"))
     conv = V.check_convert_requests(d.select(
         F.col("doc_id").cast("string").alias("request_id"), F.col("source").alias("bucket"),
         F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"),
-        F.when(F.col("lang") == "es", F.lit("")).otherwise(F.lit("text/plain")).alias("content_type")))
+        F.when(F.col("lang") == "es", F.lit("")).otherwise(F.lit("text/plain")).alias("content_type"),
+        F.when(F.col("lang") != "en", dest(F.when(F.col("lang") == "fr", "private").otherwise("out"), out))
+         .alias("destination")), REQUEST_BUCKETS)
     o = T(spark, sf, "orders")
     li = T(spark, sf, "lineitem")
     members = li.select(F.col("l_orderkey").cast("string").alias("request_id"),
                         F.col("l_linenumber").alias("position"),
-                        F.when(F.col("l_shipdate").isNull(), F.lit("")).otherwise(F.lit("merge-in")).alias("bucket"),
+                        F.when(F.col("l_returnflag") == "A", F.lit("old")).otherwise(F.lit("merge-in")).alias("bucket"),
                         F.concat(F.lit("parts/"), F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("key"))
-    merge = V.check_merge_requests(o.select(F.col("o_orderkey").cast("string").alias("request_id")), members)
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    merge = V.check_merge_requests(
+        o.select(F.col("o_orderkey").cast("string").alias("request_id"),
+                 F.when(urgent, dest(F.lit("out"), F.lit("a/../b.pdf"))).alias("destination")),
+        members, allowed_buckets=REQUEST_BUCKETS)
+    p = T(spark, sf, "pages").select(
+        F.col("page_id").cast("string").alias("request_id"), F.lit("web").alias("bucket"),
+        F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("key"),
+        F.when(F.col("url").contains("?"), dest(F.lit(""), F.lit("x")))
+         .when(F.col("url").contains("#"), dest(F.lit("out"), F.lit(""))).alias("destination"),
+        F.explode(F.array(*[F.lit(k) for k in ("scan", "thumbnail", "markdown")])).alias("kind"))
+    single = V.check_file_requests(p, F.col("kind"), REQUEST_BUCKETS)
     look = V.check_job_requests(job_requests(spark, sf).select(
         F.col("request_id").cast("string").alias("request_id"), "job_id"))
     return (conv.select(F.lit("convert").alias("kind"), "request_id", "error")
             .unionByName(merge.select(F.lit("merge").alias("kind"), "request_id", "error"))
+            .unionByName(single.select("kind", "request_id", "error"))
             .unionByName(look.select(F.lit("job").alias("kind"), "request_id", "error")))
 
 
 @query("check_urls")
 def q_check_urls(spark, sf):
-    return V.check_urls(T(spark, sf, "pages").select("page_id", "url")).select(
-        "page_id", "scheme", "host", "url_error")
+    """Every page's URL as it is, and in forms that break each rule."""
+    u = F.col("url")
+    forms = {"as_is": u, "ftp": F.regexp_replace(u, "^https?", "ftp"), "no_host": F.regexp_replace(u, "//[^/]*", "//"),
+             "blank": F.regexp_replace(u, "//", "//a b"), "port": F.regexp_replace(u, "//[^/]*", "//h:port"),
+             "bracket": F.regexp_replace(u, "//[^/]*", "//[::1"), "escape": F.concat(F.split(u, "[?#]")[0], F.lit("%zz")),
+             "newline": F.concat(u, F.lit("\n"))}
+    p = T(spark, sf, "pages").select("page_id", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("form"), c.alias("url")) for n, c in forms.items()])).alias("f"))
+    return V.check_urls(p.select("page_id", "f.form", "f.url")).select("page_id", "form", "scheme", "host", "url_error")
 
 
 @query("url_hosts")

@@ -71,6 +71,16 @@ def test_merge_documents_in_listed_order(spark):
     assert h == [(1, "a1"), (2, "a2"), (3, "a3")]  # one member: unchanged
 
 
+def test_merge_reports_what_is_missing(spark):
+    members = spark.createDataFrame([("g", 0, "a"), ("g", 1, "lost"), ("g", 2, "b"), ("h", 0, "b")],
+                                    "g string, pos bigint, m string")
+    pages = spark.createDataFrame([("a", 1, "a1"), ("b", 1, "b1")], "m string, page_no int, page_text string")
+    groups = spark.createDataFrame([("g",), ("h",), ("none",)], "g string")
+    out = P.merge_documents(members, pages, "g", "pos", "m", groups=groups)
+    assert sorted(map(str, ((r.g, r.pos, r.m, r.page_no, r.error) for r in out.collect()))) == sorted(map(str, [
+        ("g", 1, "lost", None, "MEMBER_MISSING"), ("h", 0, "b", 1, None), ("none", None, None, None, "NO_MEMBERS")]))
+
+
 def test_merge_offsets_cross_blocks(spark):
     """Offsets stay exact when a group spans many running-sum blocks."""
     from sheaf.functions.windows import running_sum

@@ -1,4 +1,6 @@
 
+from pyspark.sql import functions as F
+
 from sheaf.operators import validate as V
 from sheaf.sources.jobs import explode_jobs, parse_jobs
 
@@ -124,6 +126,29 @@ def test_check_urls(spark):
                    5: ("", "", "URL_SCHEME"), 6: ("https", "d.example.com", None)}
     hosts = {r.host: (r.n_urls, r.n_bad) for r in V.url_hosts(V.check_urls(df)).collect()}
     assert hosts["a.example.com"] == (1, 0) and hosts[""] == (2, 2)
+    bad = ["http://exa mple.com/", "http://[::1", "http://h:port/x", "http://h/%zz", "http://h/a%4", "http://h/\n",
+           ":x", "1a:b", "http://a]b/"]
+    good = ["http://[::1]:80/", "http://h:/x", "http://h/a b", "http://h/?q=%zz", "https://ü.example/%C3%BC"]
+    df = spark.createDataFrame([(u,) for u in bad + good], "url string")
+    got = {r.url: r.url_error for r in V.check_urls(df).collect()}
+    assert got == {**dict.fromkeys(bad, "URL_INVALID"), **dict.fromkeys(good)}
+
+
+def test_requests_of_every_kind(spark):
+    rows = [(k, b, ("o", key) if key is not None else None) for k in ("scan", "convert", "thumbnail", "markdown")
+            for b, key in (("b", None), ("b", "k"), ("b", ""), ("x", "k"))]
+    df = spark.createDataFrame([(k, b, "k", "t", d) for k, b, d in rows],
+                               "kind string, bucket string, key string, content_type string, "
+                               "destination struct<bucket:string,key:string>")
+    got = [r.error for r in V.check_file_requests(df, F.col("kind"), ["b", "o"]).collect()]
+    assert got[:4] == [None, None, None, "BUCKET_NOT_ALLOWED"]
+    assert got[4:] == [None, None, "KEY_REQUIRED", "BUCKET_NOT_ALLOWED"] * 3
+    reqs = spark.createDataFrame([("1", ("o", "k")), ("2", ("p", "k")), ("3", ("p", "k"))],
+                                 "request_id string, destination struct<bucket:string,key:string>")
+    members = spark.createDataFrame([("1", 0, "b", "x"), ("2", 0, "b", "x"), ("3", 0, "q", "x")],
+                                    "request_id string, position int, bucket string, key string")
+    got = {r.request_id: r.error for r in V.check_merge_requests(reqs, members, allowed_buckets=["b", "o"]).collect()}
+    assert got == {"1": None, "2": "BUCKET_NOT_ALLOWED", "3": "BUCKET_NOT_ALLOWED"}
 
 
 def test_empty_allow_list_table_allows_all(spark):
