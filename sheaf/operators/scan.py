@@ -28,8 +28,9 @@ DISABLED_DETAIL = "scanning disabled: no antivirus configured"
 
 # Whitespace as trimmed by the reference (Unicode White_Space, incl. NEL).
 _WS = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
-TRIM_WS = [(rf"^{_WS}+", ""), (rf"{_WS}+\z", "")]
-TRIM_NUL = (r"\x00+\z", "")
+# A run is tried from its start only, so that long runs inside a reply stay linear.
+TRIM_WS = [(rf"^{_WS}++", ""), (rf"(?<!{_WS}){_WS}++\z", "")]
+TRIM_NUL = (r"(?<!\x00)\x00++\z", "")
 
 BROADCAST_SIG_BYTES = 64 << 20
 BROADCAST_FEW_SIGS = 8

@@ -432,7 +432,7 @@ SELECT {ROUTE} AS route, count(*)::BIGINT AS n_files, sum(size_bytes)::BIGINT AS
 FROM ({ROUTED}) f GROUP BY 1"""
 
 SQL["merge_documents"] = """
-WITH bad AS (SELECT DISTINCT conv_id FROM conversations WHERE ends_with(text, '?') OR text IS NULL),
+WITH bad AS (SELECT DISTINCT conv_id FROM conversations WHERE length(text) < 40 OR text IS NULL),
 p AS (
   SELECT conv_id, turn, text, greatest(1, ceil(length(text) / 400.0))::BIGINT AS np
   FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM bad)),
@@ -442,7 +442,7 @@ SELECT conv_id, turn, q::BIGINT AS member_page_no, (off + q)::BIGINT AS page_no,
        substring(text, ((q - 1) * 400 + 1)::BIGINT, 400) AS page_text, NULL::VARCHAR AS error
 FROM o, unnest(range(1, np + 1)) AS r(q)
 UNION ALL
-SELECT conv_id, turn + 1000, NULL, NULL, NULL, 'MEMBER_MISSING' FROM conversations WHERE ends_with(text, '?')
+SELECT conv_id, turn + 1000, NULL, NULL, NULL, 'MEMBER_MISSING' FROM conversations WHERE length(text) < 40
 UNION ALL
 SELECT conv_id, turn, NULL, NULL, NULL, 'MEMBER_MISSING' FROM conversations WHERE text IS NULL"""
 

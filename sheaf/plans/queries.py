@@ -18,6 +18,7 @@ from ..operators import scan as S
 from ..operators import validate as V
 from ..operators.backend import apply_backend
 from ..plans import workflow as W
+from ..session import scratch_dir
 from ..sources.files import cap_sizes, files_from_documents, read_table
 from ..sources.jobs import explode_jobs, parse_jobs
 from ..sources.sinks import upload_plan
@@ -352,8 +353,8 @@ def q_route_summary(spark, sf):
 def q_merge_documents(spark, sf):
     cf = conv_files(spark, sf)
     pages = P.paginate(cf, 400, id_col="file_id")
-    # turns that end in a question mark list an attachment that nobody stored
-    lost = cf.filter(F.col("text").endswith("?")).select("conv_id", (F.col("turn") + 1000).alias("turn"),
+    # very short turns list an attachment that nobody stored
+    lost = cf.filter(F.length("text") < 40).select("conv_id", (F.col("turn") + 1000).alias("turn"),
                                                          F.concat("file_id", F.lit("/attachment")).alias("file_id"))
     members = cf.select("conv_id", "turn", "file_id").unionByName(lost)
     m = P.merge_documents(members, pages, "conv_id", "turn", "file_id")
@@ -559,8 +560,10 @@ def q_url_hosts(spark, sf):
 
 @query("stream_jobs")
 def q_stream_jobs(spark, sf):
-    docs = ST.stream_table(spark, sf, "documents")
-    q, out = ST.stream_jobs(docs, bench_signatures(spark, sf), page_chars=PAGE_CHARS)
+    landing = scratch_dir(spark, "submissions")
+    document_jobs_json(T(spark, sf, "documents")).write.text(landing)
+    q, out = ST.stream_jobs(ST.submissions(spark, landing), doc_files(spark, sf), bench_signatures(spark, sf),
+                            page_chars=PAGE_CHARS)
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 

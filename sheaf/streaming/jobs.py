@@ -1,11 +1,12 @@
 """Job submission and job state as Structured Streaming queries.
 
-* ``stream_jobs``: a stream of submitted documents; each micro-batch runs the
-  job templates (G1) and overwrites its own ``batch_id=<n>`` folder, so a
+* ``stream_jobs``: a stream of submitted job documents (``submissions``: a
+  landing folder of JSON lines); each micro-batch is checked and run (G1) over
+  the files table and overwrites its own ``batch_id=<n>`` folder, so a
   replayed batch rewrites the same files (exactly-once effect). The
   checkpoint records which batches are done: a restart does not redo them.
-* ``stream_job_state``: ledger events -> per-job state, deduplicated within a
-  watermark on (job_id, seq); state is the first-terminal-wins aggregate of
+* ``stream_job_state``: ledger events -> per-job state, deduplicated on
+  (job_id, seq) however late they come; state is the first-terminal-wins aggregate of
   ``job_state``; each batch appends the jobs it changed (update mode) and
   ``read_job_state`` takes the latest row per job.
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..plans import workflow as W
+from ..schema import JOB_SCHEMA
 from ..session import scratch_dir
-from ..sources.files import files_from_documents
-from ..sources.tables import document_jobs
+from ..sources.jobs import explode_jobs
 
 
 def stream_table(spark: SparkSession, table_dir: str, name: str,
@@ -42,24 +43,30 @@ def flat_results(results: DataFrame) -> DataFrame:
                           F.sha2("markdown", 256).alias("md_sha256"))
 
 
-def stream_jobs(documents: DataFrame, signatures: DataFrame | None, out_dir: str | None = None,
-                checkpoint: str | None = None, page_chars: int = 1800, available_now: bool = True):
-    """Start the submission stream; returns (query, out_dir)."""
-    spark = documents.sparkSession
-    out_dir = out_dir or scratch_dir(spark, "stream-jobs-out")
+def submissions(spark: SparkSession, folder: str, max_files_per_trigger: int = 100) -> DataFrame:
+    """Job documents (JSON lines) that land in a folder; a backlog is taken some files at a time."""
+    return (spark.readStream.schema(JOB_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).json(folder))
+
+
+def stream_jobs(submitted: DataFrame, files: DataFrame, signatures: DataFrame | None, out_dir: str | None = None,
+                checkpoint: str | None = None, page_chars: int = 1800, available_now: bool = True,
+                allowed_buckets=None):
+    """Run submitted job documents over the files table; returns (query, out_dir).
+
+    Results are in ``out_dir``, outcomes (refused jobs too) in ``out_dir`` + "-outcomes".
+    A batch is read from its files again where it is used twice; nothing is cached.
+    """
+    spark = submitted.sparkSession
+    out_dir = (out_dir or scratch_dir(spark, "stream-jobs-out")).rstrip("/")
     checkpoint = checkpoint or scratch_dir(spark, "stream-jobs-ckpt")
 
     def run_batch(batch: DataFrame, batch_id: int):
-        batch = batch.persist()
-        try:
-            run = W.run_jobs(document_jobs(batch), files_from_documents(batch), signatures,
-                             page_chars=page_chars)
-            (flat_results(run.results).write.mode("overwrite")
-             .parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}"))
-        finally:
-            batch.unpersist()
-
-    w = documents.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
+        run = W.run_jobs(explode_jobs(batch), files, signatures, page_chars=page_chars,
+                         allowed_buckets=allowed_buckets)
+        flat_results(run.results).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        run.outcomes.write.mode("overwrite").parquet(f"{out_dir}-outcomes/batch_id={batch_id}")
+
+    w = submitted.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start(), out_dir
 

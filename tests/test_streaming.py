@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import ledger as L
 from sheaf.plans import queries as Q
+from sheaf.plans import workflow as W
+from sheaf.sources.jobs import explode_jobs, parse_jobs
+from sheaf.sources.tables import document_jobs_json
 from sheaf.streaming import jobs as ST
 
 from conftest import SF001
@@ -33,12 +36,21 @@ def test_stream_state_equals_batch_and_drops_replays(spark):
 
 
 def test_stream_jobs_equals_batch(spark):
-    docs = ST.stream_table(spark, SF001, "documents")
-    q, out = ST.stream_jobs(docs, Q.bench_signatures(spark, SF001), page_chars=Q.PAGE_CHARS)
+    """Two deliveries, one batch each, with a refused job: results and outcomes equal one batch run."""
+    files, sigs = Q.doc_files(spark, SF001), Q.bench_signatures(spark, SF001)
+    land = tempfile.mkdtemp(prefix="submitted-", dir=spark.conf.get("spark.checkpoint.dir").replace("file:", ""))
+    js = document_jobs_json(Q.T(spark, SF001, "documents"))
+    second = F.crc32(F.col("job_json").cast("binary")) > (1 << 31)
+    js.filter(~second).coalesce(1).write.mode("append").text(land)
+    refused = spark.createDataFrame([('{"job_id": "idle"}',)], "job_json string")
+    js.filter(second).unionByName(refused).coalesce(1).write.mode("append").text(land)
+    q, out = ST.stream_jobs(ST.submissions(spark, land, 1), files, sigs, page_chars=Q.PAGE_CHARS)
     q.awaitTermination()
-    streamed = spark.read.parquet(out).drop("batch_id")
-    batch = ST.flat_results(Q.doc_run(spark, SF001).results)
-    _same(streamed, batch)
+    streamed = spark.read.parquet(out)
+    assert streamed.select("batch_id").distinct().count() == 2
+    run = W.run_jobs(explode_jobs(parse_jobs(js.unionByName(refused))), files, sigs, page_chars=Q.PAGE_CHARS)
+    _same(streamed.drop("batch_id"), ST.flat_results(run.results))
+    _same(spark.read.parquet(f"{out}-outcomes").drop("batch_id"), run.outcomes)
 
 
 def test_stream_state_across_batches_takes_latest(spark):
