@@ -374,6 +374,42 @@ SELECT 'doc-' || doc_id::VARCHAR AS job_id,
        CASE WHEN strlen(text) > 32768 THEN 'download doc: TOO_LARGE' END AS error
 FROM documents"""
 
+SQL["run_page_jobs"] = f"""
+WITH p AS (SELECT page_id, html, contains(url, '?') AS q, {markdown_sql('html')} AS md,
+             greatest(1, ceil(length(html) / {PAGE_CHARS}.0))::BIGINT AS np
+           FROM pages WHERE contains(url, '?') OR NOT contains(url, '#')),
+h AS (SELECT page_id, min(item_id) AS sig FROM p
+      JOIN benchmark b ON length(b.text) > 0 AND contains(CASE WHEN q THEN html || html ELSE html END, b.text)
+      GROUP BY page_id),
+j AS (SELECT 'page-' || p.page_id::VARCHAR AS job_id, p.*, sig IS NULL AS clean,
+             'Bench.Passage-' || sig::VARCHAR AS detail FROM p LEFT JOIN h ON h.page_id = p.page_id)
+SELECT job_id, 0::BIGINT AS op_index, 'md' AS op_name, 'extract_markdown' AS op_type, true AS success,
+       NULL::VARCHAR AS error, NULL::BOOLEAN AS clean, NULL::VARCHAR AS detail, NULL::BIGINT AS size_bytes,
+       NULL::BIGINT AS page_count, length(md)::BIGINT AS md_chars, sha256(md) AS md_sha256 FROM j WHERE q
+UNION ALL
+SELECT job_id, 1, 'pdf', 'convert_to_pdf', true, NULL, NULL, NULL, strlen(html), np, NULL, NULL FROM j WHERE q
+UNION ALL
+SELECT job_id, 2, 'both', 'merge_pdfs', true, NULL, NULL, NULL, 2 * strlen(html), 2 * np, NULL, NULL FROM j WHERE q
+UNION ALL
+SELECT job_id, CASE WHEN q THEN 3 ELSE 0 END, 'scan', 'scan', clean,
+       CASE WHEN NOT clean THEN 'virus detected: ' || detail END, clean, detail, NULL, NULL, NULL, NULL FROM j
+UNION ALL
+SELECT job_id, 4, 'thumb', 'thumbnail', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
+       CASE WHEN clean THEN strlen(substring(html, 1, 400)) END, CASE WHEN clean THEN 1 END, NULL, NULL FROM j WHERE q
+UNION ALL
+SELECT job_id, 1, 'pdf', 'convert_to_pdf', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
+       CASE WHEN clean THEN strlen(html) END, CASE WHEN clean THEN np END, NULL, NULL FROM j WHERE NOT q
+UNION ALL
+SELECT job_id, 2, 'thumb', 'thumbnail', clean, CASE WHEN NOT clean THEN {SKIP} END, NULL, NULL,
+       CASE WHEN clean THEN strlen(substring(html, 1, 200)) END, CASE WHEN clean THEN np END, NULL, NULL
+FROM j WHERE NOT q"""
+
+SQL["page_job_outcome"] = """
+SELECT 'page-' || page_id::VARCHAR AS job_id,
+       CASE WHEN contains(url, '#') AND NOT contains(url, '?') THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN contains(url, '#') AND NOT contains(url, '?') THEN 'download page: NOT_FOUND' END AS error
+FROM pages"""
+
 SQL["upload_plan"] = f"""
 WITH j AS ({DOC_RUN}), c AS (SELECT * FROM j WHERE clean)
 SELECT job_id, 'pdf' AS name, NULL::BIGINT AS page_no, 'out' AS bucket,

@@ -19,10 +19,10 @@ from ..operators import validate as V
 from ..operators.backend import apply_backend
 from ..plans import workflow as W
 from ..session import scratch_dir
-from ..sources.files import cap_sizes, files_from_documents, read_table
+from ..sources.files import cap_sizes, files_from_documents, files_from_pages, read_table
 from ..sources.jobs import explode_jobs, parse_jobs
 from ..sources.sinks import upload_plan
-from ..sources.tables import document_jobs_json, order_jobs
+from ..sources.tables import document_jobs_json, order_jobs, page_jobs_json
 from ..streaming import jobs as ST
 from .registry import query
 
@@ -274,6 +274,22 @@ def q_run_jobs(spark, sf):
     return _flat_results(doc_run(spark, sf).results)
 
 
+def page_run(spark, sf):
+    pages = T(spark, sf, "pages")
+    return W.run_jobs(explode_jobs(parse_jobs(page_jobs_json(pages))), files_from_pages(pages),
+                      bench_signatures(spark, sf), page_chars=PAGE_CHARS)
+
+
+@query("run_page_jobs")
+def q_run_page_jobs(spark, sf):
+    return _flat_results(page_run(spark, sf).results)
+
+
+@query("page_job_outcome")
+def q_page_job_outcome(spark, sf):
+    return page_run(spark, sf).outcomes
+
+
 @query("results_json")
 def q_results_json(spark, sf):
     return W.assemble_results(doc_run(spark, sf).results, doc_jobs(spark, sf).dests)

@@ -32,6 +32,36 @@ def _op(name, inputs, scan=None, convert=None, merge=None, thumb=None, markdown=
     )
 
 
+def page_jobs_json(pages: DataFrame) -> DataFrame:
+    """job_json per web page. By its URL: with a query, two inputs are merged and the merged
+    document scanned; with a fragment, an input is not there; else a scan comes first."""
+    p = F.col("page_id").cast("string")
+    query, fragment = F.col("url").contains("?"), F.col("url").contains("#")
+    small = F.struct(F.lit(200).cast("int").alias("width"), F.lit(0).cast("int").alias("dpi"),
+                     F.lit("png").alias("format"), F.lit("all").alias("pages"))
+    plain = F.struct(F.lit(0).cast("int").alias("width"), F.lit(0).cast("int").alias("dpi"),
+                     F.lit("").alias("format"), F.lit("").alias("pages"))
+
+    def inp(name, key):
+        return F.struct(F.lit(name).alias("name"), F.lit("web").alias("bucket"), key.alias("key"),
+                        F.lit("text/html; charset=utf-8").alias("content_type"))
+    key = F.concat(p, F.lit(".html"))
+    merged = F.array(_op("md", ["page"], markdown=_empty()), _op("pdf", ["page"], convert=_empty()),
+                     _op("both", ["pdf", "again"], merge=_empty()), _op("scan", ["both"], scan=_empty()),
+                     _op("thumb", ["both"], thumb=plain))
+    scanned = F.array(_op("scan", ["page"], scan=_empty()), _op("pdf", ["page"], convert=_empty()),
+                      _op("thumb", ["pdf"], thumb=small))
+    job = F.struct(
+        F.concat(F.lit("page-"), p).alias("job_id"),
+        F.when(query, F.array(inp("page", key), inp("again", key)))
+         .when(fragment, F.array(inp("page", F.concat(p, F.lit(".gone")))))
+         .otherwise(F.array(inp("page", key))).alias("inputs"),
+        F.when(query, F.to_json(merged)).otherwise(F.to_json(scanned)).alias("operations"))
+    # the two lists differ in their types: put together as JSON text
+    return pages.select(F.concat(F.lit('{"job_id":"'), job["job_id"], F.lit('","inputs":'), F.to_json(job["inputs"]),
+                                 F.lit(',"operations":'), job["operations"], F.lit("}")).alias("job_json"))
+
+
 def document_jobs_json(documents: DataFrame) -> DataFrame:
     """job_json per document (string column), as a client would submit it."""
     d = F.col("doc_id").cast("string")
