@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
     hot = anchors.hot(d, lambda batch: paths(batch, k, gram)[1])
     spans = repeated_in_paths(path_rows(d, hot, k, gram), k)
     if len(hot):
-        spans = spans.unionByName(repeated_hot(d, hot, k, gram))
+        spans = spans.unionByName(common.stored(repeated_hot(d, hot, k, gram), "hot-spans"))  # own plan: skew can be split
     return common.stored(spans, "spans")
 
 
