@@ -157,6 +157,7 @@ def repeated_hot(docs: DataFrame, hot: np.ndarray, k: int, gram: int) -> DataFra
 
     rows = common.stored(docs.mapInArrow(run, "anchor long, edge long, id long, h long, first int"), "hot-edges")
     twice = rows.groupBy("anchor", "edge").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "edge")
+    twice = common.stored(twice, "hot-repeated")  # a join with an aggregate in the same stage cannot be split
     return rows.join(twice, ["anchor", "edge"]).select("id", "h", "first", (F.col("first") + k).alias("end"))
 
 
