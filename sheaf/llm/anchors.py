@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLED = 16
+PIECE = 1 << 20  # bytes of text handled at once
 LEAST = 64  # sampled rows that a hot anchor has at least
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
@@ -58,7 +59,7 @@ def hot(docs: DataFrame, anchors_of: Callable[[pa.RecordBatch], np.ndarray]) ->
     common.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, limit=PIECE):
             a, n = np.unique(anchors_of(batch), return_counts=True)
             if len(a):
                 yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(n.astype(np.int64))], ["a", "n"])

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import anchors, common
 
 K, GRAM = 35, 8
+PIECE = 1 << 20  # bytes of text handled at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -85,7 +86,7 @@ def path_rows(docs: DataFrame, hot: np.ndarray, k: int, gram: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, limit=PIECE):
             edges, anchor, starts, sizes, row, first = paths(batch, k, gram)
             cold = ~anchors.is_in(anchor, shared.value)
             starts, sizes, row = starts[cold], sizes[cold], pa.array(row[cold])
@@ -144,7 +145,7 @@ def repeated_hot(docs: DataFrame, hot: np.ndarray, k: int, gram: int) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, limit=PIECE):
             edges, anchor, starts, sizes, row, first = paths(batch, k, gram)
             some = anchors.is_in(anchor, shared.value)
             starts, sizes = starts[some], sizes[some]
@@ -181,7 +182,7 @@ def without_repeats(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
     rows = anchors.with_spans(docs, repeated_spans(docs, k, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, limit=PIECE):
             out = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = text.encode().split()
