@@ -8,8 +8,9 @@ Signature matching has two exact strategies with the same result:
   k-grams at positions 0, s, 2s, ...; a signature contributes its k-grams at
   offsets 0..s-1. Every occurrence of a signature of length >= k+s-1 covers
   one sampled file position at one of those offsets, so an equi-join on the
-  gram finds every candidate; each candidate is then verified exactly at its
-  start position. Shorter signatures stay on the broadcast path.
+  gram finds every candidate. A piece of text that repeats gives its gram
+  once, so a candidate is a (file, signature) pair, which is then checked
+  exactly. Shorter signatures stay on the broadcast path.
 """
 
 from __future__ import annotations
@@ -95,25 +96,19 @@ def _ids(id_col):
 def _hits_kgram(files, sigs, id_col, text_col, sig_id_col, pattern_col, k, s):
     # s >= k: the gram at position i*s is the head of the i-th s-character
     # piece, so grams come from one linear pass; exploded rows hold
-    # (id, p, gram) only, and the few candidates meet the text once more.
+    # (id, gram) only, and the few candidates meet the text once more.
     ids = _ids(id_col)
-    pieces = chunks(F.col(text_col), s)
     doc_grams = (files.filter(F.length(text_col) >= k)  # shorter texts hold no long pattern
-                 .select(*ids, F.posexplode(pieces).alias("i", "piece"))
+                 .select(*ids, F.explode(F.array_distinct(chunks(F.col(text_col), s))).alias("piece"))
                  .filter(F.length("piece") >= k)
-                 .select(*ids, (F.col("i") * s).alias("p"), F.substring("piece", 1, k).alias("gram")))
-    sig_grams = (sigs.select(sig_id_col, pattern_col,
-                             F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("o"))
-                 .withColumn("gram", F.substring(pattern_col, F.col("o") + 1, k)))
-    cand = (doc_grams.join(sig_grams, "gram", "inner")
-            .select(*ids, sig_id_col, pattern_col, (F.col("p") - F.col("o")).alias("start"))
-            .filter(F.col("start") >= 0)
-            .distinct())
+                 .select(*ids, F.substring("piece", 1, k).alias("gram")))
+    of_sig = F.transform(F.sequence(F.lit(1), F.lit(s)), lambda o: F.substring(F.col(pattern_col), o, F.lit(k)))
+    sig_grams = sigs.select(sig_id_col, F.explode(F.array_distinct(of_sig)).alias("gram"))
+    cand = doc_grams.join(sig_grams, "gram", "inner").select(*ids, sig_id_col).distinct()
     # the candidates meet the text on the file's own key columns: when the
     # files are already partitioned by them, only the candidates move
-    verified = (cand.join(files.select(*ids, text_col), ids, "inner")
-                .filter(F.substring(F.col(text_col), F.col("start") + 1, F.length(pattern_col))
-                        == F.col(pattern_col)))
+    verified = (cand.join(sigs, sig_id_col, "inner").join(files.select(*ids, text_col), ids, "inner")
+                .filter(F.col(text_col).contains(F.col(pattern_col))))
     return verified.select(*ids, sig_id_col).distinct()
 
 
@@ -197,9 +192,9 @@ def scan_corpus(files: DataFrame, signatures: DataFrame, id_col: str = "file_id"
     hits = scan_hits(files, signatures, id_col, text_col, sig_id_col, pattern_col, method)
     per_file = (hits.groupBy(id_col)
                 .agg(F.min(sig_id_col).alias("__sig"), F.count(F.lit(1)).alias("n_hits")))
+    # names meet the hits, not the files: clean files would all have a null key there
     names = signatures.select(F.col(sig_id_col).alias("__sig"), F.col(name_col).alias("detail"))
-    return (files.select(id_col).join(per_file, id_col, "left")
-            .join(names, "__sig", "left")
+    return (files.select(id_col).join(per_file.join(names, "__sig", "left"), id_col, "left")
             .select(id_col, F.col("__sig").isNull().alias("clean"),
                     F.when(F.col("__sig").isNotNull(), F.col("detail")).alias("detail"),
                     F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))

@@ -164,6 +164,17 @@ SELECT page_id, to_json({{'texts': list({{'text': text, 'label': label,
   AS structure_json
 FROM b GROUP BY page_id"""
 
+SQL["write_structure"] = SQL["structure_json"]
+
+SQL["read_files"] = """
+SELECT doc_id, sha256(text) AS content_sha256, NULL::VARCHAR AS error FROM documents"""
+
+SQL["write_artifacts"] = """
+SELECT source AS bucket, lang || '/' || doc_id::VARCHAR || '.txt' AS key, sha256(text) AS content_sha256
+FROM documents
+WHERE lang = 'en' OR source NOT IN ('src0', 'src1', 'src2')
+   OR source NOT IN (SELECT source FROM documents WHERE lang = 'en')"""
+
 SQL["parse_chunks"] = f"""
 SELECT page_id, pos AS chunk_index, label AS chunk_type, page_no AS page_number,
        coalesce(heading, '') AS heading, text AS chunk_text
@@ -444,10 +455,11 @@ PROGRESS = f"""
   UNION ALL SELECT job_id, 5, 'text', 4, 4 FROM j WHERE clean"""
 
 SQL["progress_events"] = PROGRESS
-SQL["latest_progress"] = f"""
-SELECT job_id, arg_max(step, seq) AS step, arg_max(current, seq) AS current, arg_max(total, seq) AS total,
-       max(seq) AS last_seq
-FROM ({PROGRESS}) p GROUP BY job_id"""
+SQL["latest_progress"] = """
+SELECT user_id::VARCHAR AS job_id, arg_max(event_type, event_id) AS step,
+       arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS current, 100::BIGINT AS total,
+       max(event_id) AS last_seq
+FROM events GROUP BY user_id"""
 
 
 # ---- C / D: routing, merging, previews ---------------------------------------

@@ -19,9 +19,9 @@ from ..operators import validate as V
 from ..operators.backend import apply_backend
 from ..plans import workflow as W
 from ..session import scratch_dir
-from ..sources.files import cap_sizes, files_from_documents, files_from_pages, read_table
+from ..sources.files import cap_sizes, files_from_documents, files_from_pages, read_files, read_table
 from ..sources.jobs import explode_jobs, parse_jobs
-from ..sources.sinks import upload_plan
+from ..sources.sinks import upload_plan, write_artifacts, write_structure
 from ..sources.tables import document_jobs_json, order_jobs, page_jobs_json
 from ..streaming import jobs as ST
 from .registry import query
@@ -56,6 +56,33 @@ def q_files_sized(spark: SparkSession, sf: str) -> DataFrame:
                     F.sha2("text", 256).alias("content_sha256"))
 
 
+@query("read_files")
+def q_read_files(spark, sf):
+    """Documents as objects of JSON lines, read back as binary files and decoded."""
+    folder = scratch_dir(spark, "objects")
+    docs = T(spark, sf, "documents").select("doc_id", "text")
+    docs.write.option("maxRecordsPerFile", 1000).json(folder)
+    objects = read_files(spark, folder, max_bytes=(1 << 31) - 1, glob="*.json")
+    lines = objects.select("error", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+    row = F.from_json("line", docs.schema)
+    return (lines.filter(F.col("line") != "")
+            .select(row["doc_id"].alias("doc_id"), F.sha2(row["text"], 256).alias("content_sha256"), "error"))
+
+
+REWRITTEN = ["src0", "src1", "src2"]
+
+
+@query("write_artifacts")
+def q_write_artifacts(spark, sf):
+    """All documents written by bucket, then some buckets anew with their English documents alone."""
+    root = scratch_dir(spark, "artifacts")
+    files = doc_files(spark, sf).select("key", "text", "bucket")
+    write_artifacts(files, root)
+    write_artifacts(files.filter(F.col("bucket").isin(REWRITTEN) & F.col("key").startswith("en/")), root)
+    return spark.read.schema(files.schema).parquet(root).select(
+        "bucket", "key", F.sha2("text", 256).alias("content_sha256"))
+
+
 # ---- B: checks ----------------------------------------------------------------
 
 @query("check_refs")
@@ -119,6 +146,14 @@ def q_structure_json(spark, sf):
     return E.structure_json(page_blocks(spark, sf), "page_id")
 
 
+@query("write_structure")
+def q_write_structure(spark, sf):
+    path = scratch_dir(spark, "structure")
+    structured = E.structure_json(page_blocks(spark, sf), "page_id")
+    write_structure(structured, path, id_col="page_id")
+    return spark.read.schema(structured.schema).json(path)
+
+
 @query("parse_chunks")
 def q_parse_chunks(spark, sf):
     ch = E.parse_chunks(E.structure_json(page_blocks(spark, sf), "page_id"), "page_id")
@@ -324,9 +359,10 @@ def q_progress_events(spark, sf):
 
 @query("latest_progress")
 def q_latest_progress(spark, sf):
-    jobs = doc_jobs(spark, sf)
-    ev = W.progress_events(jobs, W.run_jobs(jobs, doc_files(spark, sf), bench_signatures(spark, sf),
-                                            page_chars=PAGE_CHARS))
+    """`events` as progress reports: the step is the event's type, k of 100 of it is done."""
+    ev = T(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("step"),
+        F.get_json_object("props", "$.k").cast("int").alias("current"), F.lit(100).alias("total"))
     return W.latest_progress(ev).select("job_id", "step", F.col("current").cast("bigint"),
                                         F.col("total").cast("bigint"), "last_seq")
 

@@ -19,9 +19,12 @@ def write_artifacts(df: DataFrame, root: str, partition_col: str = "bucket") ->
      .partitionBy(partition_col).parquet(root))
 
 
-def write_structure(df: DataFrame, path: str, json_col: str = "structure_json") -> None:
-    """A5: one structured document per line."""
-    df.select(F.col(json_col).alias("value")).write.mode("overwrite").text(path)
+def write_structure(df: DataFrame, path: str, json_col: str = "structure_json", id_col: str | None = None) -> None:
+    """A5: one structured document per line; with ``id_col``, a JSON object of its id and the document."""
+    if id_col is None:
+        df.select(F.col(json_col).alias("value")).write.mode("overwrite").text(path)
+    else:
+        df.select(id_col, json_col).write.mode("overwrite").json(path)
 
 
 def upload_plan(dests: DataFrame, artifacts: DataFrame, artifact_pages: DataFrame) -> DataFrame:

@@ -56,3 +56,6 @@ def test_write_structure(spark, tmp_path):
                                "id int, structure_json string")
     write_structure(df, p)
     assert sorted(r.value for r in spark.read.text(p).collect()) == ['{"texts":[]}', '{"texts":[{"text":"a"}]}']
+    write_structure(df, p, id_col="id")
+    got = spark.read.schema("id int, structure_json string").json(p).collect()
+    assert sorted(tuple(r) for r in got) == [(1, '{"texts":[]}'), (2, '{"texts":[{"text":"a"}]}')]
