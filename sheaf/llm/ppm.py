@@ -8,12 +8,16 @@ bytes already ruled out are excluded, down to an even choice among all bytes
 left. A text starts after a start mark and closes with an end mark; its score
 is the log10 probability of its bytes and end mark. A-Z count as lower case.
 
-Training counts cover all training bytes. The trie that every task gets keeps
-the entries that are at least one in ``SHARE`` of all training bytes: at most
-SHARE entries for each context length, whatever the corpus. Words are counted
-likewise; those that are at least one in ``HEAD`` of all words (HEAD words at
-most, and none longer than ``HEAD_BYTES``) go to every task, all others are
-joined on the word, where none can be hot, since each is rarer than that.
+Every training count is kept. Tables by byte string, one for each context
+length, hold the counts of all strings that stand in any document; from the
+empty context up, each takes the log probabilities of the strings one byte
+shorter and the totals and followers of its contexts, so that at ``ORDER`` every
+string of the corpus has its exact log probability. The most frequent strings
+over all documents, ``SHARE`` at most, go to every task; all others are joined
+on the string. Words alike: those that are at least one in ``HEAD`` of all words
+(HEAD words at most, and none longer than ``HEAD_BYTES``) go to every task, all
+others are joined on the word. Nothing that is joined can be hot, since it is
+rarer than that.
 
 Defined results: null text is empty, an empty text has its end alone; without
 training documents every byte is an even choice; a null doc_id counts as empty
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,6 +44,8 @@ SYMBOLS = 257  # bytes and the end mark
 START, END = 255, 254  # no byte of UTF-8 text
 FLUSH_GRAMS, FLUSH_WORDS = 2_000_000, 300_000
 DOCS_KEY = 7 << 56  # counts training documents
+EMPTY = np.uint64(2 ** 64 - 1)  # no string
+INSERTED = 1 << 18  # strings that a lookup takes in at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -79,17 +85,16 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(gram, word, n, n_all): training counts of byte strings (tagged with their length) and
-    of words, the latter with their count over all documents; summed over the corpus."""
+    """(gram, word, n, n_all): training counts of strings of ORDER + 1 bytes and of words, and
+    their counts over all documents; summed over the corpus."""
     common.ship(docs.sparkSession)
     names = ["gram", "word", "n", "n_all"]
 
     def gram_rows(keys, n):
-        for j in range(ORDER + 1):
-            k, c = (keys, n) if j == ORDER else _summed(keys & np.uint64((1 << 8 * (j + 1)) - 1), n)
-            k = k | np.uint64(j << 56)
-            yield pa.record_batch([pa.array(k.view(np.int64)), pa.nulls(len(k), pa.binary()),
-                                   pa.array(c.astype(np.int64)), pa.nulls(len(k), pa.int64())], names)
+        """keys: the gram and one bit, whether it stands in a held-out document."""
+        train = np.where(keys & np.uint64(1), 0, n)
+        yield pa.record_batch([pa.array((keys >> np.uint64(1)).view(np.int64)), pa.nulls(len(keys), pa.binary()),
+                               pa.array(train.astype(np.int64)), pa.array(n.astype(np.int64))], names)
 
     def word_rows(train, rest):
         words = list(train.keys() | rest.keys())
@@ -101,14 +106,14 @@ def counts(docs: DataFrame) -> DataFrame:
         train, rest, n_docs = Counter(), Counter(), 0
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in common.pieces(batches):
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             n_docs += int((~held).sum())
             for text, h in zip(batch.column("text").to_pylist(), held.tolist()):
                 (rest if h else train).update(text.encode().translate(_LOWER_BYTES).split())
-            taught = batch.column("text").filter(pa.array(~held))
-            if len(taught):
-                k, c = _distinct(grams(taught)[0])
-                keys, n = _summed(np.concatenate([keys, k]), np.concatenate([n, c]))
+            gram, starts = grams(batch.column("text"))
+            each = np.diff(np.append(starts, len(gram)))
+            k, c = _distinct(gram << np.uint64(1) | np.repeat(held, each).astype(np.uint64))
+            keys, n = _summed(np.concatenate([keys, k]), np.concatenate([n, c]))
             if len(keys) > FLUSH_GRAMS:
                 yield from gram_rows(keys, n)
                 keys, n = keys[:0], n[:0]
@@ -125,19 +130,23 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Positions of 64-bit keys by open addressing; -1 where a key is unknown."""
+    """Values of 64-bit keys by open addressing; NaN where a key is unknown."""
 
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, np.uint64(2 ** 64 - 1))
-        self.at = np.full(1 << self.bits, -1, np.int32)
-        todo = np.arange(len(keys), dtype=np.int32)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys) - 1).bit_length())
+        self.keys = np.full(1 << self.bits, EMPTY)
+        self.values = np.full(1 << self.bits, np.nan)
+        for at in range(0, len(keys), INSERTED):
+            self._insert(keys[at:at + INSERTED], values[at:at + INSERTED])
+
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        todo = np.arange(len(keys))
         slot = self._slot(keys)
         while len(todo):
-            free = self.at[slot] < 0
-            self.at[slot[free]] = todo[free]  # of several, the last stays
-            won = self.at[slot] == todo
-            self.keys[slot[won]] = keys[todo[won]]
+            free = self.keys[slot] == EMPTY
+            self.keys[slot[free]] = keys[todo[free]]  # of several, the last stays
+            won = self.keys[slot] == keys[todo]
+            self.values[slot[won]] = values[todo[won]]
             todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -147,97 +156,72 @@ class Lookup:
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
         got = self.keys[slot]
-        out = np.where(got == keys, self.at[slot], -1)
-        todo = np.flatnonzero((got != keys) & (self.at[slot] >= 0))
+        out = np.where(got == keys, self.values[slot], np.nan)
+        todo = np.flatnonzero((got != keys) & (got != EMPTY))
         slot = slot[todo]
         while len(todo):
             slot = (slot + 1) & ((1 << self.bits) - 1)
             got = self.keys[slot]
             hit = got == keys[todo]
-            out[todo[hit]] = self.at[slot[hit]]
-            more = ~hit & (self.at[slot] >= 0)
+            out[todo[hit]] = self.values[slot[hit]]
+            more = ~hit & (got != EMPTY)
             todo, slot = todo[more], slot[more]
         return out
 
 
-class Trie:
-    """The kept entries, with everything a byte's code length needs taken together before.
+def model(byte_counts: DataFrame) -> DataFrame:
+    """(gram, n_all, p) of every string of ORDER + 1 bytes of all documents: p is the log10
+    probability of its last byte after the others.
 
-    Entries: keys (length tag, context and byte) and counts, ascending. Contexts: total and
-    number of followers alone, and of the next shorter context without these followers.
+    For each context length j, from the empty context: total and followers of the context, w (the
+    log probability of the byte after an escape from the context, its followers excluded) and p
+    (that of the byte in the longest known of the contexts up to j). A string has at most 256
+    strings that are one byte longer, and a context 257 that follow: no join or window here has a hot key.
     """
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(np.float64)
-        tag = keys >> np.uint64(56)
-        ctx = (keys & np.uint64((1 << 56) - 1)) >> np.uint64(8) | (tag << np.uint64(56))
-        self.ctx, at = np.unique(ctx, return_inverse=True)
-        m = len(self.ctx)
-        total, followers = np.bincount(at, n, m), np.bincount(at, minlength=m).astype(float)
-        j = (self.ctx >> np.uint64(56)).astype(int)
-        shorter = np.where(j > 0, self._suffix(self.ctx, np.maximum(j - 1, 0)), self.ctx)
-        up = np.minimum(np.searchsorted(self.ctx, shorter), max(m - 1, 0))
-        low = np.minimum(np.searchsorted(keys, self._suffix_entry(keys, tag)), max(len(keys) - 1, 0))
-        seen = np.bincount(at, np.where(tag > 0, n[low], 0.0), m) if len(keys) else total
-        rest_total, rest_followers = total[up] - seen, followers[up] - followers
-        with np.errstate(divide="ignore"):
-            self.alone = np.log10(total + followers)
-            self.alone_escape = np.log10(followers) - self.alone
-            new = rest_followers > 0
-            self.without = np.where(new, np.log10(np.maximum(rest_total + rest_followers, 1)), 0.0)
-            self.without_escape = np.where(new, np.log10(np.maximum(rest_followers, 1)) - self.without, 0.0)
-        self.log_n = np.log10(n)
-        self.top = self.log_n - self.alone[at] if len(keys) else n
-        left = SYMBOLS - (followers[0] if m else 0)  # the empty context comes first
-        self.even = -math.log10(max(left, 1))
-        self.entry_at, self.ctx_at = None, None
-        self.keys = keys
-
-    @staticmethod
-    def _suffix(ctx, j):
-        """The contexts' last j bytes, tagged."""
-        return (ctx & ((np.uint64(1) << (np.uint64(8) * j.astype(np.uint64))) - np.uint64(1))) | (j.astype(np.uint64) << np.uint64(56))
-
-    @staticmethod
-    def _suffix_entry(keys, tag):
-        """The entries without their first byte; entries of the empty context stay."""
-        less = np.where(tag > 0, tag - np.uint64(1), np.uint64(0))
-        bits = np.uint64(8) * (less + np.uint64(1))
-        return np.where(tag > 0, (keys & ((np.uint64(1) << bits) - np.uint64(1))) | (less << np.uint64(56)), keys)
-
-    def index(self) -> None:
-        if self.entry_at is None:
-            self.entry_at, self.ctx_at = Lookup(self.keys), Lookup(self.ctx)
-
-    def logs(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of every gram after the others."""
-        self.index()
-        at = self.entry_at(key | np.uint64(ORDER << 56))
-        out = np.where(at >= 0, self.top[at], 0.0) if len(self.top) else np.zeros(len(key))
-        todo = np.flatnonzero(at < 0)
-        if not len(todo):
-            return out
-        key, sums, before = key[todo], np.zeros(len(todo)), np.full(len(todo), -1)
-        open_ = np.ones(len(todo), bool)
-        for j in range(ORDER, -1, -1):
-            tag = np.uint64(j << 56)
-            some = np.flatnonzero(open_)
-            gram = key[some] & np.uint64((1 << 8 * (j + 1)) - 1)
-            ctx = self.ctx_at((gram >> np.uint64(8)) | tag)
-            entry = self.entry_at(gram | tag)
-            first = before[some] < 0
-            known = ctx >= 0
-            hit = known & (entry >= 0)
-            b = before[some]
-            if len(self.top):
-                sums[some] += np.where(hit, self.log_n[entry] - np.where(first, self.alone[ctx], self.without[b]),
-                                       np.where(known, np.where(first, self.alone_escape[ctx], self.without_escape[b]), 0.0))
-            open_[some[hit]] = False
-            before[some[known]] = ctx[known]
-        sums[open_] += self.even
-        out[todo] = sums
-        return out
+    log = lambda x: F.log10(F.greatest(x, F.lit(1)).cast("double"))
+    at = {ORDER: byte_counts.select("gram", "n", "n_all")}
+    for j in range(ORDER - 1, -1, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
+        at[j] = common.stored(at[j + 1].groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n")), f"counts-{j}")
+    seen = F.col("n") > 0
+    below = None
+    for j in range(ORDER + 1):
+        rows = at[j].withColumn("context", F.shiftright("gram", 8))
+        here = Window.partitionBy("context")
+        if below is None:
+            total, followers = F.sum("n").over(here), F.count_if(seen).over(here)
+            rows = rows.withColumns({"total": total, "followers": followers})
+            w = -F.log10((SYMBOLS - F.col("followers")).cast("double"))
+            unknown = w
+        else:
+            rows = (rows.withColumn("less", F.col("gram").bitwiseAND(F.lit((1 << 8 * j) - 1)))
+                    .join(below, "less"))
+            rows = rows.withColumns({
+                "total": F.sum("n").over(here), "followers": F.count_if(seen).over(here),
+                "rest": F.col("total_less") - F.sum(F.when(seen, F.col("n_less")).otherwise(0)).over(here)})
+            new = F.col("followers_less") - F.col("followers")
+            mass = log(F.col("rest") + new)
+            w = (F.when(F.col("n_less") > 0, log(F.col("n_less")) - mass)
+                 .when(new > 0, log(new) - mass + F.col("w_less")).otherwise(F.col("w_less")))
+            unknown = F.col("p_less")
+        alone = log(F.col("total") + F.col("followers"))
+        p = (F.when(seen, log(F.col("n")) - alone)
+             .when(F.col("followers") > 0, log(F.col("followers")) - alone + F.col("w")).otherwise(unknown))
+        rows = rows.withColumn("w", w).withColumn("p", p)
+        if j < ORDER:
+            below = common.stored(rows.select(F.col("gram").alias("less"), *[
+                F.col(c).alias(f"{c}_less") for c in ("n", "total", "followers", "w", "p")]), f"order-{j}")
+    return rows.select("gram", "n_all", "p")
+
+
+def least_count(model: DataFrame) -> int:
+    """The least power of two that at most SHARE strings reach with their counts over all documents."""
+    power = F.length(F.bin("n_all")) - 1
+    sizes = {r["power"]: r["n"] for r in model.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
+    least = max(sizes, default=0) + 1
+    while least > 0 and sum(n for k, n in sizes.items() if k >= least - 1) <= SHARE:
+        least -= 1
+    return 1 << least
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -245,26 +229,27 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     all_counts = common.stored(counts(d), "counts")
-    words, byte_counts = all_counts.where("word is not null"), all_counts.where("gram is not null")
+    words, byte_counts = all_counts.where("word is not null"), all_counts.where(F.col("gram") < DOCS_KEY)
     w = words.agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"), F.count_if(F.col("n") > 0).alias("v")).first()
-    g = byte_counts.agg(F.sum(F.when(F.col("gram") == DOCS_KEY, F.col("n"))).alias("docs"),
-                        F.sum(F.when(F.col("gram") < (1 << 56), F.col("n"))).alias("n")).first()
-    n_docs = int(g["docs"] or 0)
+    docs_row = all_counts.where(F.col("gram") == DOCS_KEY).agg(F.sum("n").alias("docs")).first()
+    n_docs = int(docs_row["docs"] or 0)
     train_tokens, distinct = int(w["n"] or 0) + n_docs, int(w["v"] or 0) + (n_docs > 0)
     log_all = math.log10(train_tokens + 0.1 * (distinct + 1))
-    least = max(1, -(-int(g["n"] or 0) // SHARE))
-    kept = byte_counts.where((F.col("gram") < DOCS_KEY) & (F.col("n") >= least)).select("gram", "n").toPandas()
-    trie = Trie(kept["gram"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64))
+    grams_p = common.stored(model(byte_counts), "model")
+    frequent = F.col("n_all") >= least_count(grams_p)
     often = (F.col("n_all") >= max(1, -(-int(w["n_all"] or 0) // HEAD))) & (F.octet_length("word") <= HEAD_BYTES)
-    top = words.where(often).select("word", "n").toPandas()
-    head = dict(zip(map(bytes, top["word"]), top["n"].tolist()))
-    shared = spark.sparkContext.broadcast((trie, head))
+    head_words = spark.sparkContext.broadcast(words.where(often).select("word", "n").toArrow())
+    kept = grams_p.where(frequent).select("gram", "p").toArrow()
+    head_grams = spark.sparkContext.broadcast(Lookup(kept.column("gram").to_numpy().view(np.uint64), kept.column("p").to_numpy()))
+    del kept
     tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, head = shared.value
-        logs = {c: math.log10(c + 0.1) - log_all for c in set(head.values())}
-        value = {x: logs[c] for x, c in head.items()}
+        known_grams, value = head_grams.value, {}
+        unseen = math.log10(0.1) - log_all
+        for part in head_words.value.to_batches(max_chunksize=100_000):
+            logs = np.log10(part.column("n").to_numpy() + 0.1) - log_all
+            value.update(zip(part.column("word").to_pylist(), np.where(part.column("n").to_numpy() > 0, logs, unseen).tolist()))
         end = math.log10(n_docs + 0.1) - log_all
         for batch in common.pieces(batches):
             tokens, known, base, rare = [], [], [], []
@@ -273,26 +258,34 @@ def score(docs: DataFrame, held_out) -> DataFrame:
                 got = list(map(value.get, each))
                 miss = [x for x, v in zip(each, got) if v is None]
                 tokens.append(len(each) + 1)
-                known.append(sum(map(bool, map(head.get, each))) + (n_docs > 0))
+                known.append(len(each) - len(miss) - got.count(unseen) + (n_docs > 0))
                 base.append(math.fsum(v for v in got if v is not None) + end)
                 rare.append([{"word": x, "n": c} for x, c in Counter(miss).items()])
             key, starts = grams(batch.column("text"))
-            sums = np.add.reduceat(trie.logs(key), starts)
+            logs = known_grams(key)
+            others = np.isnan(logs)
+            sums = np.add.reduceat(np.where(others, 0.0, logs), starts)
+            ends = np.cumsum(np.add.reduceat(others, starts, dtype=np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
+                                             pa.array(key[others].view(np.int64)))
             yield pa.record_batch([
                 batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(sums), pa.array(rare, tail)],
-                ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "rare"])
+                pa.array(base, pa.float64()), pa.array(sums), pa.array(rare, tail), lists],
+                ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare", "grams"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
     rows = d.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, "
-                             "score double, rare array<struct<word:binary,n:bigint>>")
+                             "head_score double, rare array<struct<word:binary,n:bigint>>, grams array<bigint>")
     rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
     c = words.where(~often & (F.col("n") > 0)).select("word", F.col("n").alias("c"))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(c, "word", "left")
     rest = rare.groupBy("row").agg(
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - log_all)).alias("base"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"))
-    return rows.drop("rare").join(rest, "row", "left").select(
+    others = rows.select("row", F.explode("grams").alias("gram")).join(
+        grams_p.where(~frequent).select("gram", "p"), "gram").groupBy("row").agg(F.sum("p").alias("p"))
+    return rows.drop("rare", "grams").join(rest, "row", "left").join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("head_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (F.col("head_score") + F.coalesce("p", F.lit(0.0))).alias("score"))

@@ -136,6 +136,19 @@ def test_language_model(docs, rows, some):
                 assert a[6] == pytest.approx(scores[b[6]], abs=1e-6)
 
 
+def test_language_model_keeps_every_count(docs, rows, monkeypatch):
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for d, _ in rows]
+    texts = [t for _, t in rows]
+    train = [t for t, h in zip(texts, held) if not h]
+    for share in (0, 40, ppm.SHARE):  # none, few or all of the strings go to every task
+        monkeypatch.setattr(ppm, "SHARE", share)
+        out = sorted((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in ppm.score(docs, common.mod_of_crc("doc_id", 10) == 0).collect())
+        base = brute.op4_base(rows, held)
+        expected = sorted((repr(d), b[0], p) for (d, _), b, p in zip(rows, base, brute.ppm(train, texts, ppm.ORDER)))
+        assert [x[:2] for x in out] == [x[:2] for x in expected]
+        assert [x[2] for x in out] == pytest.approx([x[2] for x in expected], abs=1e-6)
+
+
 def test_classifier_on_held_out_rows(spark, docs, rows):
     df = common.documents(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
