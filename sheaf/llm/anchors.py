@@ -4,8 +4,8 @@ Every window of w symbols has its anchor, the least hash among the short grams
 inside it. Equal windows have equal anchors, so rows grouped by anchor meet
 all their equals, and a run of neighbouring windows with one anchor travels as
 one row. An anchor that more than a quarter of a mean partition's rows share
-is hot (found on a sixteenth of the documents; it only decides the route, never
-the result): hot runs are taken apart into windows, which Spark counts with
+is hot (counted over all documents; it only decides the route, never the
+result): hot runs are taken apart into windows, which Spark counts with
 partial aggregation. There are at most four hot anchors a partition.
 """
 
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLED = 16
+SAMPLED = 1  # one document in so many is counted: all
 PIECE = 1 << 20  # bytes of text handled at once
-LEAST = 64  # sampled rows that a hot anchor has at least
+LEAST = 64  # rows that a hot anchor has at least
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
@@ -61,14 +61,16 @@ def hot(docs: DataFrame, anchors_of: Callable[[pa.RecordBatch], np.ndarray]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, limit=PIECE):
             a, n = np.unique(anchors_of(batch), return_counts=True)
-            if len(a):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(n.astype(np.int64))], ["a", "n"])
-
-    some = docs.where(F.pmod(F.xxhash64("id", "h"), F.lit(SAMPLED)) == 0)
-    counts = common.stored(some.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")), "anchors")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if len(a):  # the null anchor counts all rows
+                yield pa.record_batch([pa.array(np.append(a.view(np.int64), 0), mask=np.arange(len(a) + 1) == len(a)),
+                                       pa.array(np.append(n, n.sum()).astype(np.int64))], ["a", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("id", "h"), F.lit(SAMPLED)) == 0) if SAMPLED > 1 else docs
+    counts = some.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    counts = common.stored(counts.where(F.col("a").isNull() | (F.col("n") >= LEAST)), "anchors")
+    total = counts.where("a is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = counts.where(F.col("n") >= max(LEAST, total // (4 * partitions))).select("a").collect()
+    rows = counts.where(F.col("a").isNotNull() & (F.col("n") >= max(LEAST, total // (4 * partitions)))).select("a").collect()
     return np.sort(np.array([r["a"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -89,8 +91,9 @@ def spans_of(flags: np.ndarray, run_of: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) of every document; ``spans`` (id, h, first, end) are collected per document."""
-    of = spans.groupBy("id", "h").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    """(doc_id, text, spans) of every document; ``spans`` (id, h, first, end) are collected per document,
+    once for all rows that are repeated."""
+    of = spans.groupBy("id", "h").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     joined = keyed(docs).join(of, ["id", "h"], "left")
     kind = docs.schema["doc_id"].dataType
     return joined.select(F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias("doc_id"), "text", "spans")

@@ -188,7 +188,7 @@ def candidate_runs(docs: DataFrame, hot: np.ndarray, length: int, gram: int) ->
 
 def run_rows(docs: DataFrame, starts: DataFrame, length: int, gram: int) -> DataFrame:
     """(anchor, id, h, first, bytes) of all candidate runs."""
-    listed = starts.groupBy("id", "h").agg(F.collect_list("first").alias("starts"))
+    listed = starts.groupBy("id", "h").agg(F.collect_set("first").alias("starts"))
     long_enough = (docs.where(F.octet_length("text") >= length).select("id", "h", "text")
                    .mapInArrow(common.packed, "id long, h long, n long, z binary"))
 

@@ -208,6 +208,21 @@ def test_repeated_bytes(spark, docs, rows, some, monkeypatch):
     assert suffixes.digests(frame(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_hot_and_carry_their_spans_once(spark, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"else{i}" for i in range(20)) + " " + text
+    for i in (1, 2, 3, 5, 8):  # whichever id the repeated rows have
+        pairs = [(i, text)] * 200 + [(0, other)]
+        docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+        hot = suffixes.anchors.hot(suffixes.anchors.keyed(docs), lambda b: debruijn.paths(b, 35, 8)[1])
+        assert len(hot)
+    spans = debruijn.repeated_spans(docs, 35)
+    rows = suffixes.anchors.with_spans(docs, spans.unionByName(spans)).collect()
+    assert len(rows) == 201 and all(len(r["spans"]) == len(set(r["spans"])) for r in rows)
+    assert got(debruijn.digests(docs, 35), "n_words", "n_removed", "kept_sha256") == want(pairs, brute.op7(pairs, 35))
+    assert got(suffixes.digests(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(pairs, brute.op9(pairs, 50))
+
+
 def test_deep_shallow_order():
     r = random.Random(1)
     data = bytes(r.choice(b"ab") for _ in range(4000)) + bytes(300) + b"abc" * 100
