@@ -286,3 +286,59 @@ def test_pipeline_stages(spark):
         assert len(now) == len(set(now)) and set(now) <= before
         assert docs.columns == columns or name == p.STAGES[-1][0]
     assert docs.where("exact").count() == docs.count() > 100
+
+
+def test_pipeline_rows_of_every_stage(spark):
+    import corpus_pipeline as p
+
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    t, out, docs = Tokenizer.from_file(VOCAB), {}, common.documents(spark, SF)
+    for name, stage in p.STAGES:
+        before, have = docs, texts(docs)
+        pairs = list(have.items())
+        docs = common.stored(stage(spark, docs, SF), name)
+        if name == "quality":
+            judged = qda.classify(before, labels, common.mod_of_crc("doc_id", 4) == 2).collect()
+            expected = {r["doc_id"]: have[r["doc_id"]] for r in judged if r["predicted"] == 1}
+        elif name == "near_duplicates":
+            expected = {d: have[d] for d in set(brute.op6(pairs, 3, 2)[1])}
+        elif name == "decontamination":
+            expected = {d: cut_items(x or "", items, 10) if b[4] else x for (d, x), b in zip(pairs, brute.op8(pairs, items, 10))
+                        if b[1] <= 0.8 * b[0]}
+        elif name == "secrets":
+            expected = {}
+            for r in secret_scan.scan(before).collect():
+                x = have[r["doc_id"]]
+                assert [tuple(s) for s in r["base"]] == secret_scan.base_spans(x or "") and set(r["base"]) <= set(r["spans"])
+                gone = {i for s in r["spans"] for i in range(s["first"], s["last"])}
+                starts = [s["first"] for s in r["spans"] if s["first"] == 0 or not any(
+                    o["first"] < s["first"] < o["last"] for o in r["spans"])]
+                expected[r["doc_id"]] = x if not gone else "".join(
+                    ("[secret]" if i in starts else "") + ("" if i in gone else c) for i, c in enumerate(x))
+        else:
+            out = {r["doc_id"]: list(r["ids"]) for r in docs.collect()}
+            assert out == {d: t.encode(x or "", add_special_tokens=False).ids for d, x in pairs}
+            continue
+        assert texts(docs) == expected
+        assert len(expected) > 0 and docs.count() == len(expected)
+    assert {r["doc_id"]: list(r["ids"]) for r in p.run(spark, SF).collect()} == out
+
+
+def cut_items(text, items, window):
+    """The text without the characters from the first to the last word of every run of hit words."""
+    words = [(m.start(), m.end()) for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    hit = set()
+    low = [brute.lower(text[a:b].encode()) for a, b in words]
+    for _, item in items:
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower((item or "").encode()))
+        n = min(window, len(w))
+        wins = {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if n else set()
+        for i in range(len(low) - n + 1 if wins else 0):
+            if tuple(low[i:i + n]) in wins:
+                hit.update(range(i, i + n))
+    gone = set()
+    for i in hit:
+        gone.update(range(words[i][0], words[i + 1][0] if i + 1 in hit else words[i][1]))
+    return "".join(c for i, c in enumerate(text) if i not in gone)
