@@ -7,8 +7,9 @@ least ``window`` words is a hit of its last ``window`` words; an item of fewer
 words hits when all of it stands there.
 
 The items are read in blocks of a bounded size (``BLOCK_BYTES`` of text); the
-documents pass the blocks one after the other in the same tasks, without a
-shuffle, so memory is bounded however many items there are.
+driver and the tasks hold one block at a time. With a single block the documents
+are scanned without a shuffle; with several they are scanned for each block in
+turn, and the hits are joined by row number.
 
 Defined results: null texts (of documents or items) have no words; items
 without words never hit; repeated items all count; rows keep their other
@@ -18,7 +19,8 @@ columns, whatever their names, as nothing is added beside them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,49 +114,91 @@ def runs(hit: bytearray | None) -> np.ndarray:
     return np.flatnonzero(np.diff(flags)).astype(np.int32).reshape(-1, 2)
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
-    """The items in lists of about BLOCK_BYTES of text; (id, text), nulls left out."""
+def item_blocks(items: DataFrame) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """In how many blocks of about BLOCK_BYTES of text the items come, and what fetches one block:
+    its (id, text), nulls left out."""
     rows = items.where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(size // BLOCK_BYTES) + 1
-    return [sorted(map(tuple, rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()))
-            for k in range(n)]
+    return n, lambda k: sorted(map(tuple, rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()))
+
+
+def pairs(runs: list) -> list[dict]:
+    return [{"first": f, "last": e} for f, e in runs]
+
+
+_PAIRS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_FOUND = pa.struct([("n_words", pa.int64()), ("covered", _PAIRS), ("spans", _PAIRS), ("items", pa.list_(pa.string()))])
+
+
+def found_in(text: str, n_words: int, hit: bytearray | None, items: set[str]) -> dict:
+    covered = runs(hit).tolist()
+    return {"n_words": n_words, "items": sorted(items), "covered": pairs(covered), "spans": pairs(in_characters(text, covered))}
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Each row of ``docs`` as struct ``row``, with ``found``: its number of words, the covered
     runs of word numbers (first, one past the last), the same in characters, and the ids of the
     items that hit."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    out = docs.select(F.struct("*").alias("row"), F.lit(None).cast(FOUND).alias("found"))
-    spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    schema = pa.struct([("n_words", pa.int64()), ("covered", spans), ("spans", spans), ("items", pa.list_(pa.string()))])
-    pairs = lambda x: [{"first": f, "last": e} for f, e in x]
-    for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    common.ship(docs.sparkSession)
+    n, block = item_blocks(items)
+    rows = docs.select(F.struct("*").alias("row"))
+    if n > 1:
+        return scan_blocks(rows, n, block, window)
+    shared = docs.sparkSession.sparkContext.broadcast(block(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = ItemAutomaton(shared.value, window)
+        for batch in common.pieces(common.row_texts(batches)):
+            found = []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                found.append(found_in(text, len(words), *a.scan(words)))
+            yield pa.record_batch([batch.column("row"), pa.array(found, _FOUND)], ["row", "found"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, found {FOUND}")
+
+
+def scan_blocks(rows: DataFrame, n: int, block: Callable[[int], list[tuple[str, str]]], window: int) -> DataFrame:
+    """The same for items in several blocks: each is fetched, scanned for and dropped before the
+    next; the hits, kept by row number, meet at the end."""
+    spark = rows.sparkSession
+    rows = common.stored(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    parts = []
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(block(k))
+
+        def hits(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             a = ItemAutomaton(shared.value, window)
             for batch in common.pieces(common.row_texts(batches)):
-                found = []
-                for text, before in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                    words = words_of(text)
-                    hit, ids = a.scan(words)
-                    if before and before["covered"]:
-                        hit = hit or bytearray(len(words))
-                        for s in before["covered"]:
-                            hit[s["first"]:s["last"]] = b"\1" * (s["last"] - s["first"])
-                        ids |= set(before["items"])
-                    covered = runs(hit).tolist()
-                    found.append({"n_words": len(words), "items": sorted(ids), "covered": pairs(covered),
-                                  "spans": pairs(in_characters(text, covered))})
-                yield pa.record_batch([batch.column("row"), pa.array(found, schema)], ["row", "found"])
-
-        out = out.mapInArrow(run, f"row {kind}, found {FOUND}")
-    return out
+                out = []
+                for number, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist()):
+                    hit, ids = a.scan(words_of(text))
+                    if hit is not None:
+                        out.append((number, pairs(runs(hit).tolist()), sorted(ids)))
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], _PAIRS),
+                                       pa.array([x[2] for x in out], pa.list_(pa.string()))], ["number", "covered", "items"])
+
+        parts.append(common.stored(rows.mapInArrow(hits, f"number long, covered {SPANS}, items array<string>"), "hits"))
+        shared.destroy()
+    merged = reduce(DataFrame.unionByName, parts).groupBy("number").agg(
+        F.flatten(F.collect_list("covered")).alias("covered"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(common.row_texts(batches)):
+            found = []
+            for text, covered, ids in zip(*[batch.column(c).to_pylist() for c in ("text", "covered", "items")]):
+                words, hit = words_of(text), None
+                for s in covered or []:
+                    hit = hit or bytearray(len(words))
+                    hit[s["first"]:s["last"]] = b"\1" * (s["last"] - s["first"])
+                found.append(found_in(text, len(words), hit, set(ids or [])))
+            yield pa.record_batch([batch.column("row"), pa.array(found, _FOUND)], ["row", "found"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return (rows.join(merged, "number", "left").select("row", "covered", "items")
+            .mapInArrow(merge, f"row {kind}, found {FOUND}"))
 
 
 def n_hit(found="found"):

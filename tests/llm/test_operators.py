@@ -254,6 +254,15 @@ def test_decontamination(spark, docs, rows, some, monkeypatch):
     assert clean_ids <= {r["doc_id"] for r in cleaned.collect()}
 
 
+def test_items_are_fetched_a_block_at_a_time(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    items = [(i, " ".join(rows[6][1].split()[i:i + 12])) for i in range(0, 40, 4)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.digests(docs, table)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # not one worker a block in each task
+    assert got(out, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want(rows, brute.op8(rows, items, 10))
+
+
 def test_secrets(spark, docs, rows, some):
     for df, pairs in both(docs, rows, some):
         assert got(secret_scan.digests(df), "n_assign", "n_access", "n_hex", "base_sha256") == want(pairs, [brute.op10(t) for _, t in pairs])
