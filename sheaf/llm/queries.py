@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, debruijn, decontam, ppm, qda, rules, secret_scan, simhash, suffixes, tokens
+from . import (alignment, bpe, common, debruijn, decontam, ppm, qda, rules, secret_scan, simhash, suffixes, tokens,
+               url_filter, variants)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(fn):
@@ -74,3 +76,60 @@ def op7_substring_dedup(spark, sf_dir):
 @query
 def op9_suffix_array(spark, sf_dir):
     return suffixes.digests(documents(spark, sf_dir), length=50)
+
+
+@query
+def op11_alignment(spark, sf_dir):
+    return alignment.link_counts(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY),
+                                 public_tokenizers.path(PIECES))
+
+
+@query
+def op12_variants(spark, sf_dir):
+    return variants.variants(documents(spark, sf_dir))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query
+def op13_url_filter(spark, sf_dir):
+    """The list: URLs of the pages whose id the labels mark toxic."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    listed = pages.join(toxic.distinct(), "page_id", "left_semi").select("url")
+    return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op13_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+split AS (
+  SELECT page_id, rest,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[A-Za-z]+|ref|gclid|fbclid)(=|\z)'))) AS params
+  FROM parts),
+urls AS (
+  SELECT page_id, host, path,
+         CASE WHEN rest IS NOT NULL THEN
+           regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)\z', '') || rtrim(path, '/')
+           || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical
+  FROM split),
+listed AS (
+  SELECT DISTINCT canonical FROM urls
+  WHERE canonical IS NOT NULL AND page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+rules(action, rule_host, rule_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT page_id, arg_max({'rule': rule_host || rule_path, 'action': action}, length(rule_host || rule_path)) AS r
+  FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, f.r.rule AS rule,
+       coalesce(f.r.action, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id LEFT JOIN listed l ON l.canonical = u.canonical
+"""
