@@ -30,8 +30,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,32 +43,60 @@ from .bpe import byte_letters
 SHARE = 1 << 20  # pairs that every task gets
 MEMO_ENTRIES, MEMO_BYTES = 150_000, 64 << 20  # stretches that a task remembers, and the size of what it keeps for them
 TOGETHER = 20_000  # stretches encoded as one text
+NEAR = 8  # ends tried on both sides of the middle for all intervals together
+LARGE = 4096  # links of a group whose pairs are counted by id
 PIECE = 2 << 20  # bytes of text handled at once
 B_BITS, PAIR_BITS = 18, 36  # a pair is a << B_BITS | b
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def common_cuts(ends_a: Sequence[int], ends_b: Sequence[int]) -> Iterator[tuple[int, int]]:
-    """(tokens of A, tokens of B) up to each offset where both sides end, in order.
+def common_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and tokens of B up to each offset where both sides end, in order.
 
-    Both lists ascend and have one last value. The end of A nearest to the middle that B has too is
-    the cut; intervals without one are leaves.
+    Both arrays ascend and have one last value. All intervals of a depth are halved together: the
+    end of A nearest to the middle that B has too is the cut; intervals without one are leaves.
     """
-    todo = [(0, len(ends_a), 0, len(ends_b))] if len(ends_a) else []
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
+    a0, a1 = np.zeros(1, np.int64), np.array([len(ends_a)])
+    b1 = np.array([len(ends_b)])
+    leaves = []
+    while len(a0):
         last = a1 - 1  # ends with the interval on both sides
         middle = (a0 + last) // 2
-        for at in (x for d in range(middle - a0 + 1) for x in (middle - d, middle + d)[:1 + (d > 0)]):
-            if at >= last:
-                continue
-            to = bisect_left(ends_b, ends_a[at], b0, b1 - 1)
-            if to < b1 - 1 and ends_b[to] == ends_a[at]:
-                todo.append((at + 1, a1, to + 1, b1))
-                todo.append((a0, at + 1, b0, to + 1))
+        cut, to = np.full(len(a0), -1), np.zeros(len(a0), np.int64)
+        left = np.flatnonzero(last > a0)
+        for step in range(NEAR):
+            for at in (middle[left] - step, middle[left] + step)[:1 + (step > 0)]:
+                ok = (at >= a0[left]) & (at < last[left]) & (cut[left] < 0)
+                at, some = at[ok], left[ok]
+                place = np.searchsorted(ends_b, ends_a[at])
+                hit = ends_b[place] == ends_a[at]
+                cut[some[hit]], to[some[hit]] = at[hit], place[hit]
+            left = left[(cut[left] < 0) & ((middle[left] - step > a0[left]) | (middle[left] + step < last[left] - 1))]
+            if not len(left):
                 break
-        else:
-            yield a1, b1
+        for i in left.tolist():  # few: the cut is farther off
+            cut[i], to[i] = _farther(ends_a, ends_b, int(a0[i]), int(last[i]), int(middle[i]))
+        none = cut < 0
+        leaves.append((a1[none], b1[none]))
+        cut, to, a0, a1, b1 = cut[~none], to[~none], a0[~none], a1[~none], b1[~none]
+        a0, a1, b1 = np.append(a0, cut + 1), np.append(cut + 1, a1), np.append(to + 1, b1)
+    up_to_a, up_to_b = (np.sort(np.concatenate(x)) for x in zip(*leaves))
+    return up_to_a, up_to_b
+
+
+def _farther(ends_a: np.ndarray, ends_b: np.ndarray, first: int, last: int, middle: int) -> tuple[int, int]:
+    """The cut nearest to the middle beyond NEAR tokens, looked up in doubling stretches; (-1, 0) without one."""
+    low, high, width = middle - NEAR + 1, middle + NEAR - 1, NEAR
+    while low > first or high < last - 1:
+        at = np.concatenate([np.arange(max(first, low - width), max(first, low)),
+                             np.arange(min(last, high + 1), min(last, high + 1 + width))])
+        place = np.searchsorted(ends_b, ends_a[at])
+        hit = np.flatnonzero(ends_b[place] == ends_a[at])
+        if len(hit):
+            best = hit[np.argmin(np.abs(at[hit] - middle))]
+            return int(at[best]), int(place[best])
+        low, high, width = low - width, high + width, 2 * width
+    return -1, 0
 
 
 class Aligner:
@@ -84,22 +111,28 @@ class Aligner:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         byte = {letter: i for i, letter in enumerate(byte_letters())}
-        self.a_bytes = {i: bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode()
-                        for s, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocab = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        n, m = len(self.a_bytes), len(self.b_bytes)  # ids as written inside a group and at the end of its half
+        self.written = [b"%d%s" % (i, mark) for size, marks in ((n, b",|"), (m, b",;")) for mark in (marks[:1], marks[1:])
+                        for i in range(size)]
         self.cuttable = not any(re.search("[^▁]▁", p) for p in pieces)  # no piece goes on over a space
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}  # stretches without white space at an edge: alike wherever a single space opens them
         self.edged: dict[str, int] = {}  # the others, at the edge of a text
-        self.texts: list[bytes] = []
-        self.numbers: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links; A of -1: not kept
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.texts: list[bytes] = []  # each group closed by ;
+        self.numbers = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links; A of -1: not kept
+        self.pairs = self.times = np.zeros(0, np.int64)  # of all stretches in turn
+        self.ends = np.zeros(1, np.int64)  # where each stretch's pairs end
         self.size = 0
 
     def cut(self, text: str) -> list[str]:
@@ -112,64 +145,82 @@ class Aligner:
     def learn(self, stretches: Iterable[str]) -> None:
         alone, together = [], []
         for s in stretches:
-            plain = self.cuttable and self._free(s) and "▁" not in s
-            (together if plain else alone).append(s)
+            (together if self.cuttable and "▁" not in s and self._free(s) else alone).append(s)
         todo = [together[at:at + TOGETHER] for at in range(0, len(together), TOGETHER)] + [[s] for s in alone]
         while todo:
             some = todo.pop()
             if self._add(some):
                 continue
             if len(some) == 1:
-                self._keep(some[0], b"", (-1, 0, 0, 0), {})
+                none = np.zeros(0, np.int64)
+                self._keep(some, [b""], np.array([[-1, 0, 0, 0]]), none, none, np.zeros(1, np.int64))
             else:
                 todo += [some[:len(some) // 2], some[len(some) // 2:]]
 
     def _add(self, some: list[str]) -> bool:
-        """Encode stretches joined by spaces; False where a tokenizer changes them or they do not part."""
+        """Align stretches joined by spaces; False where a tokenizer changes them or they do not part."""
         text = " ".join(some)
         raw = b" " + text.encode()
         a = self.a.encode(" " + text, add_special_tokens=False).ids
         b = self.b.encode(text)
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return False
-        ends_a, ends_b = np.cumsum(list(map(len, a_bytes))).tolist(), np.cumsum(list(map(len, b_bytes))).tolist()
-        cuts = list(common_cuts(ends_a, ends_b))
-        ends = np.cumsum([len(s.encode()) + 1 for s in some]).tolist()
-        found, start, a0, b0 = [], 0, 0, 0
-        for at, (to, _) in enumerate(cuts):
-            if ends_a[to - 1] == ends[len(found)]:
-                found.append((start, at + 1))
-                start = at + 1
-        if len(found) != len(some):
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        to_a, to_b = common_cuts(ends_a, ends_b)
+        ends = np.cumsum(np.array([len(s.encode()) + 1 for s in some]))
+        close = np.searchsorted(ends_a[to_a - 1], ends)  # each stretch's last group
+        if (close >= len(to_a)).any() or (ends_a[to_a - 1][close] != ends).any():
             return False
-        for s, (first, last) in zip(some, found):
-            groups, pairs, links, begin_a, begin_b = [], {}, 0, a0, b0
-            for a1, b1 in cuts[first:last]:
-                left, right = a[a0:a1], b[b0:b1]
-                groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                links += len(left) * len(right)
-                if len(left) * len(right) > 64:  # by different ids
-                    (x, n), (y, m) = np.unique(left, return_counts=True), np.unique(right, return_counts=True)
-                    keys, times = (x[:, None] << B_BITS | y).ravel().tolist(), (n[:, None] * m).ravel().tolist()
-                    for k, t in zip(keys, times):
-                        pairs[k] = pairs.get(k, 0) + t
-                else:
-                    for x in left:
-                        for y in right:
-                            k = x << B_BITS | y
-                            pairs[k] = pairs.get(k, 0) + 1
-                a0, b0 = a1, b1
-            self._keep(s, ";".join(groups).encode(), (a0 - begin_a, b0 - begin_b, last - first, links), pairs)
+        from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
+        n_a, n_b = to_a - from_a, to_b - from_b
+        group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[to_a - 1], last_b[to_b - 1] = True, True
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        code = np.empty(len(a) + len(b), np.int64)  # in the order of the groups, A before B
+        code[np.arange(len(a)) + from_b[group_a]] = a + n * last_a
+        code[np.arange(len(b)) + to_a[group_b]] = b + 2 * n + m * last_b
+        written = list(map(self.written.__getitem__, code.tolist()))
+        stop = (to_a + to_b)[close]
+        texts = [b"".join(written[x:y]) for x, y in zip([0, *stop[:-1].tolist()], stop.tolist())]
+        pairs, times, owner = self._linked(a, b, from_a, from_b, n_a, n_b, group_a)
+        first = np.append(0, close[:-1] + 1)
+        sums = [np.add.reduceat(x, first) for x in (n_a, n_b, np.ones(len(n_a), np.int64), n_a * n_b)]
+        self._keep(some, texts, np.stack(sums, axis=1), pairs, times, np.searchsorted(owner, close, "right"))
         return True
 
-    def _keep(self, stretch: str, groups: bytes, numbers: tuple[int, int, int, int], pairs: dict[int, int]) -> None:
-        (self.at if self._free(stretch) else self.edged)[stretch] = len(self.texts)
-        self.texts.append(groups)
-        self.numbers.append(numbers)
-        self.pairs.append(np.fromiter(pairs.keys(), np.int64, len(pairs)))
-        self.times.append(np.fromiter(pairs.values(), np.int64, len(pairs)))
-        self.size += len(stretch) + len(groups) + 16 * len(pairs)
+    @staticmethod
+    def _linked(a, b, from_a, from_b, n_a, n_b, group_a) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs, times and group of all links; in a large group each pair of ids once."""
+        large = n_a * n_b > LARGE
+        token = np.flatnonzero(~large[group_a])
+        each = n_b[group_a[token]]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        owner = np.repeat(group_a[token], each)
+        pairs = np.repeat(a[token], each) << B_BITS | b[from_b[owner] + at]
+        times = np.ones(len(pairs), np.int64)
+        for g in np.flatnonzero(large).tolist():
+            x, i = np.unique(a[from_a[g]:from_a[g] + n_a[g]], return_counts=True)
+            y, j = np.unique(b[from_b[g]:from_b[g] + n_b[g]], return_counts=True)
+            place = int(np.searchsorted(owner, g))
+            pairs = np.insert(pairs, place, (x[:, None] << B_BITS | y).ravel())
+            times = np.insert(times, place, (i[:, None] * j).ravel())
+            owner = np.insert(owner, place, np.full(len(x) * len(y), g))
+        return pairs, times, owner
+
+    def _keep(self, some: list[str], groups: list[bytes], numbers: np.ndarray, pairs: np.ndarray, times: np.ndarray,
+              ends: np.ndarray) -> None:
+        start = len(self.texts)
+        if len(some) == 1 and not self._free(some[0]):
+            self.edged[some[0]] = start
+        else:
+            self.at.update(zip(some, range(start, start + len(some))))
+        self.texts += groups
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        self.size += sum(map(len, some)) + sum(map(len, groups)) + 16 * len(pairs)
 
     def align(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[bytes | None], np.ndarray, np.ndarray, np.ndarray]:
         """Numbers (n_a, n_b, n_groups, n_links) and groups of each text, and its pairs: row ends, ids, times."""
@@ -194,7 +245,7 @@ class Aligner:
         sizes = np.fromiter(map(len, rows), np.int64, n)
         which = np.fromiter((w for r in rows for w in r), np.int64, int(sizes.sum()))
         doc = np.repeat(np.arange(n), sizes)
-        numbers = np.array(self.numbers, np.int64).reshape(-1, 4)
+        numbers = self.numbers
         bad = np.zeros(n, bool)
         bad[doc[numbers[which, 0] < 0]] = True
         bad |= np.fromiter((not t for t in texts), bool, n)
@@ -203,27 +254,22 @@ class Aligner:
         ends = np.searchsorted(doc, np.arange(n), "right")
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers[which], axis=0)])
         totals = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-        joined = [None if b else b";".join(map(self.texts.__getitem__, r)) for b, r in zip(bad.tolist(), rows)]
+        joined = [None if b else b"".join(map(self.texts.__getitem__, r))[:-1] for b, r in zip(bad.tolist(), rows)]
         return totals, joined, *self._pairs(doc, which, n)
 
     def _pairs(self, doc: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of each row with their times: ends of rows, pairs, times."""
         key, count = np.unique(doc << 32 | which, return_counts=True)
         doc, which = key >> 32, key & 0xFFFFFFFF
-        used, back = np.unique(which, return_inverse=True)
-        lists = [self.pairs[i] for i in used.tolist()]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        start = np.cumsum(size) - size
-        each = size[back]
-        at = np.arange(each.sum()) + np.repeat(start[back] - (np.cumsum(each) - each), each)
-        empty = np.zeros(0, np.int64)
-        pairs = np.concatenate([empty, *lists])[at]
-        times = np.concatenate([empty, *[self.times[i] for i in used.tolist()]])[at] * np.repeat(count, each)
+        start = self.ends[which]
+        each = self.ends[which + 1] - start
+        at = np.arange(each.sum()) + np.repeat(start - (np.cumsum(each) - each), each)
+        pairs, times = self.pairs[at], self.times[at] * np.repeat(count, each)
         full = np.repeat(doc, each) << PAIR_BITS | pairs
         order = np.argsort(full, kind="stable")
         full, times = full[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]])) if len(full) else empty
-        times = np.add.reduceat(times, first) if len(first) else empty
+        first = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]])) if len(full) else order
+        times = np.add.reduceat(times, first) if len(first) else times
         full = full[first]
         return np.searchsorted(full >> PAIR_BITS, np.arange(n), "right"), full & ((1 << PAIR_BITS) - 1), times
 

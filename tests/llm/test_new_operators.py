@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -76,13 +77,26 @@ def accumulated(parts):
 COLS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-@given(st.lists(st.integers(1, 4), min_size=1, max_size=40), st.lists(st.integers(1, 4), min_size=1, max_size=40))
-@settings(max_examples=200, deadline=None)
-def test_cuts(a, b):
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.lists(st.integers(1, 4), min_size=1, max_size=60),
+       st.integers(1, 3))
+@settings(max_examples=300, deadline=None)
+def test_cuts(a, b, near):
     total = max(sum(a), sum(b)) + 1
-    a, b = list(accumulated([[0] * x for x in a])) + [total], list(accumulated([[0] * x for x in b])) + [total]
-    want = [(a.index(e) + 1, b.index(e) + 1) for e in sorted(set(a) & set(b))]
-    assert list(alignment.common_cuts(a, b)) == want
+    a, b = np.append(np.cumsum(a), total), np.append(np.cumsum(b), total)
+    before, alignment.NEAR = alignment.NEAR, near
+    try:
+        got_a, got_b = alignment.common_cuts(a, b)
+    finally:
+        alignment.NEAR = before
+    both = np.intersect1d(a, b)
+    assert got_a.tolist() == (np.searchsorted(a, both) + 1).tolist()
+    assert got_b.tolist() == (np.searchsorted(b, both) + 1).tolist()
+
+
+def test_cuts_far_from_the_middle():
+    a = np.append(np.arange(1, 5000) * 2, 10_000)  # even ends against odd ones: a single cut near the start
+    b = np.concatenate([[1, 3, 4], np.arange(2, 4999) * 2 + 1, [10_000]])
+    assert [x.tolist() for x in alignment.common_cuts(a, b)] == [[2, len(a)], [3, len(b)]]
 
 
 def tricky():
@@ -97,6 +111,12 @@ def test_alignment(spark, monkeypatch):
     want = brute_links(rows)
     assert got(alignment.link_counts(docs, A, B), *COLS) == want
     monkeypatch.setattr(alignment, "SHARE", 20)  # nearly all pairs are joined
+    al = alignment.Aligner(A, B)
+    usual = al.align([t or "" for _, t in rows])
+    monkeypatch.setattr(alignment, "LARGE", 3)  # pairs of most groups are counted by id
+    al.forget()
+    for x, y in zip(usual, al.align([t or "" for _, t in rows])):
+        assert np.array_equal(x, y) if isinstance(x, np.ndarray) else x == y
     assert got(alignment.link_counts(docs, A, B), *COLS) == want
 
 
