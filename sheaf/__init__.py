@@ -17,9 +17,9 @@ from .operators.scan import (classify_scan_responses, scan_corpus, scan_disabled
                              scan_hits, threat_counts)
 from .operators.validate import (check_convert_requests, check_destinations, check_job_requests,
                                  check_merge_requests, check_pipelines, check_refs, check_urls, url_hosts)
-from .plans.workflow import (JobRun, artifact_refs, assemble_results, dispatch_ops, downloads, file_names,
-                             job_outcome, job_templates, latest_progress, op_status, progress_events, run_jobs,
-                             unused_inputs)
+from .plans.workflow import (JobRun, artifact_refs, assemble_results, checked_jobs, dispatch_ops, downloads,
+                             file_names, first_submissions, job_outcome, latest_progress, op_status,
+                             progress_reports, run_jobs, unused_inputs)
 from .session import checkpoint_root, get_session
 from .sources.files import cap_sizes, files_from_documents, files_from_pages, read_files, read_table
 from .sources.jobs import Jobs, explode_jobs, parse_jobs, read_jobs

@@ -1,24 +1,29 @@
 """Scanner verdicts, signature scans over a corpus, disabled scanner, gate.
 
-Signature matching has two exact strategies with the same result:
-
-* ``broadcast``: the signature table (size checked first) is broadcast and
-  each file is tested with ``contains`` (a nested-loop join, JVM-side).
-* ``kgram``: for more than a few signatures. A file contributes its
-  k-grams at positions 0, s, 2s, ...; a signature contributes its k-grams at
-  offsets 0..s-1. Every occurrence of a signature of length >= k+s-1 covers
-  one sampled file position at one of those offsets, so an equi-join on the
-  gram finds every candidate. A piece of text that repeats gives its gram
-  once, so a candidate is a (file, signature) pair, which is then checked
-  exactly. Shorter signatures stay on the broadcast path.
+A signature scan is one linear pass over the texts for each block of signatures
+(``BLOCK_CHARS`` of patterns, so of bounded memory), by an Aho-Corasick
+automaton that is broadcast as its patterns and built once a task. Texts stay
+where they are read: nothing is shuffled, whatever the texts or patterns are.
+
+A pattern that ends another one matches wherever that one does, so a run of one
+character would give all of a block's patterns at each place. Patterns are
+therefore put in layers by how many others end them: a place gives one match a
+layer at most. The middle layer is tried first. What is found there settles all
+patterns that end it, what is not found settles all that it ends, and the layers
+on both sides go on alike; most sets have one layer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from ..functions.text import chunks
+from ..session import ship, stored
 
 # Scanner replies and messages.
 CLEAN_REPLY = "stream: OK"
@@ -33,11 +38,7 @@ _WS = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
 TRIM_WS = [(rf"^{_WS}++", ""), (rf"(?<!{_WS}){_WS}++\z", "")]
 TRIM_NUL = (r"(?<!\x00)\x00++\z", "")
 
-BROADCAST_SIG_BYTES = 64 << 20
-BROADCAST_FEW_SIGS = 8
-KGRAM = 16
-KSTEP = 16
-MAX_STEP = 128
+BLOCK_CHARS = 1 << 20  # characters of patterns in a block: about 60 MB of automaton in a task
 
 
 def normalize_reply(col: Column) -> Column:
@@ -69,127 +70,137 @@ def threat_counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("clean", "detail").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def _sig_stats(signatures: DataFrame, pattern_col: str, k: int = KGRAM):
-    """One small aggregate over the signatures: the size check behind any
-    broadcast of them. Returns count, bytes, shortest length >= 2k-1, and
-    (count, bytes) of the patterns shorter than 2k-1 and than k+MAX_STEP-1
-    (the two possible short sets of the k-gram strategy)."""
-    n_len, b_len = F.length(pattern_col), F.octet_length(pattern_col)
-    a, b = 2 * k - 1, k + MAX_STEP - 1
-    row = signatures.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(b_len), F.lit(0)).alias("b"),
-        F.min(F.when(n_len >= a, n_len)).alias("m"),
-        F.count_if(n_len < a).alias("na"), F.coalesce(F.sum(F.when(n_len < a, b_len)), F.lit(0)).alias("ba"),
-        F.count_if(n_len < b).alias("nb"), F.coalesce(F.sum(F.when(n_len < b, b_len)), F.lit(0)).alias("bb"),
-    ).first()
-    return row
-
-
-def _hits_broadcast(files, sigs, text_col, pattern_col):
-    return (files.join(F.broadcast(sigs), F.col(text_col).contains(F.col(pattern_col)), "inner"))
-
-
-def _ids(id_col):
-    return [id_col] if isinstance(id_col, str) else list(id_col)
-
-
-def _hits_kgram(files, sigs, id_col, text_col, sig_id_col, pattern_col, k, s):
-    # s >= k: the gram at position i*s is the head of the i-th s-character
-    # piece, so grams come from one linear pass; exploded rows hold
-    # (id, gram) only, and the few candidates meet the text once more.
-    ids = _ids(id_col)
-    doc_grams = (files.filter(F.length(text_col) >= k)  # shorter texts hold no long pattern
-                 .select(*ids, F.explode(F.array_distinct(chunks(F.col(text_col), s))).alias("piece"))
-                 .filter(F.length("piece") >= k)
-                 .select(*ids, F.substring("piece", 1, k).alias("gram")))
-    of_sig = F.transform(F.sequence(F.lit(1), F.lit(s)), lambda o: F.substring(F.col(pattern_col), o, F.lit(k)))
-    sig_grams = sigs.select(sig_id_col, F.explode(F.array_distinct(of_sig)).alias("gram"))
-    cand = doc_grams.join(sig_grams, "gram", "inner").select(*ids, sig_id_col).distinct()
-    # the candidates meet the text on the file's own key columns: when the
-    # files are already partitioned by them, only the candidates move
-    verified = (cand.join(sigs, sig_id_col, "inner").join(files.select(*ids, text_col), ids, "inner")
-                .filter(F.col(text_col).contains(F.col(pattern_col))))
-    return verified.select(*ids, sig_id_col).distinct()
-
-
-def _hits_every_position(files, sigs, id_col, text_col, sig_id_col, pattern_col):
-    """Exact matching for a short-pattern set too large to broadcast: grams of
-    the shortest pattern length q at every position (work linear in text
-    length times q), joined with each pattern's first q characters, then
-    verified at the candidate start."""
-    ids = _ids(id_col)
-    q = sigs.agg(F.min(F.length(pattern_col))).first()[0]
-    chars = F.regexp_extract_all(F.col(text_col), F.lit("(?s)."), 0)
-    doc_grams = (files.filter(F.length(text_col) >= q)
-                 .select(*ids, chars.alias("__c"))
-                 .select(*ids, F.posexplode(F.transform(
-                     F.sequence(F.lit(0), F.size("__c") - q),
-                     lambda i: F.array_join(F.slice("__c", i + 1, F.lit(q)), ""))).alias("p", "gram")))
-    sig_grams = sigs.select(sig_id_col, pattern_col, F.substring(pattern_col, 1, q).alias("gram"))
-    cand = (doc_grams.join(sig_grams, "gram", "inner")
-            .select(*ids, sig_id_col, pattern_col, F.col("p").alias("start")))
-    verified = (cand.join(files.select(*ids, text_col), ids, "inner")
-                .filter(F.substring(F.col(text_col), F.col("start") + 1, F.length(pattern_col))
-                        == F.col(pattern_col)))
-    return verified.select(*ids, sig_id_col).distinct()
-
-
-def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
-              text_col: str = "text", sig_id_col: str = "sig_id", pattern_col: str = "pattern",
-              method: str = "auto", k: int = KGRAM, s: int | None = None) -> DataFrame:
-    """(file, signature) pairs where the file's text contains the pattern.
+def layers(patterns: list[str]) -> tuple[list[list[int]], list[int]]:
+    """Numbers of the (different) patterns by layer, and of each the longest other pattern that ends it (or -1).
 
-    ``id_col``: one column or a list of columns identifying a file.
+    A pattern's layer is the number of patterns that end it, so none of a layer ends another of it.
+    """
+    backwards = sorted((p[::-1], i) for i, p in enumerate(patterns))
+    ends, depth, chain = [-1] * len(patterns), [0] * len(patterns), []
+    for word, i in backwards:
+        while chain and not word.startswith(chain[-1][0]):
+            chain.pop()
+        ends[i], depth[i] = (chain[-1][1] if chain else -1), len(chain)
+        chain.append((word, i))
+    out: list[list[int]] = [[] for _ in range(max(depth, default=-1) + 1)]
+    for i, d in enumerate(depth):
+        out[d].append(i)
+    return out, ends
+
+
+class Matcher:
+    """Which of some patterns a text holds."""
+
+    def __init__(self, patterns: list[str]):
+        import ahocorasick
+
+        groups, self.ends = layers(patterns)
+        self.layer, self.longer, self.layers = {}, {}, []
+        for i, e in enumerate(self.ends):
+            if e >= 0:
+                self.longer.setdefault(e, []).append(i)
+        for d, group in enumerate(groups):
+            automaton = ahocorasick.Automaton()
+            for i in group:
+                automaton.add_word(patterns[i], i)
+                self.layer[i] = d
+            automaton.make_automaton()
+            self.layers.append((automaton, len(group), [i for i in group if i in self.longer]))
+
+    def __call__(self, text: str) -> set[int]:
+        found: set[int] = set()
+        absent: set[int] = set()
+        settled = [0] * len(self.layers)
+        todo = [(0, len(self.layers))]
+        while todo:
+            low, high = todo.pop()
+            if low >= high:
+                continue
+            at = (low + high) // 2
+            automaton, size, ending = self.layers[at]
+            if settled[at] < size:
+                for _, i in automaton.iter(text):
+                    if i not in found:
+                        while i >= 0 and i not in found:
+                            found.add(i)
+                            settled[self.layer[i]] += 1
+                            i = self.ends[i]
+                        if settled[at] == size:
+                            break
+                gone = [j for i in ending if i not in found for j in self.longer[i]]
+                while gone:
+                    i = gone.pop()
+                    if i not in absent:
+                        absent.add(i)
+                        settled[self.layer[i]] += 1
+                        gone += self.longer.get(i, ())
+            todo += [(low, at), (at + 1, high)]
+        return found
+
+
+def _block_hits(files: DataFrame, ids: list[str], block: list, sig_type: DataType, sig_id_col: str) -> DataFrame:
+    """(ids, signature) of the texts that hold a signature of the block (rows: id, pattern)."""
+    by_pattern: dict[str, list] = {}
+    for sig, pattern in block:
+        by_pattern.setdefault(pattern, []).append(sig)
+    shared = files.sparkSession.sparkContext.broadcast((list(by_pattern), list(by_pattern.values())))
+    types = {f.name: f.dataType.simpleString() for f in files.schema}
+    arrow_type = to_arrow_type(sig_type)
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, sigs = shared.value
+        match = Matcher(patterns)
+        for batch in batches:
+            row, hit = [], []
+            for at, text in enumerate(batch.column("__text")):
+                for i in match(text.as_py()):
+                    row += [at] * len(sigs[i])
+                    hit += sigs[i]
+            if row:
+                taken = [batch.column(c).take(pa.array(row)) for c in ids]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(hit, arrow_type)], [*ids, sig_id_col])
+
+    return files.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in ids], f"`{sig_id_col}` {sig_type.simpleString()}"]))
+
+
+def scan_hits(files: DataFrame, signatures: DataFrame, id_col: str | list[str] = "file_id",
+              text_col: str = "text", sig_id_col: str = "sig_id", pattern_col: str = "pattern") -> DataFrame:
+    """(file, signature) pairs where the file's text contains the pattern.
 
-    ``auto``: a handful of signatures -> broadcast nested loop (cheapest for
-    few patterns); more -> k-grams, with the sampling step ``s`` as large as
-    the shortest long pattern allows (fewest file rows), capped at 128.
+    ``id_col``: one column or a list of columns identifying a file; rows of one file are scanned one by
+    one. Null and empty patterns match nothing, null texts hold nothing. Signatures reach the driver a
+    block at a time; with several blocks, each block's hits are written before the next is fetched.
     """
-    f = files.select(*_ids(id_col), text_col).filter(F.col(text_col).isNotNull())
-    sigs = (signatures.select(sig_id_col, pattern_col)
-            .filter(F.col(pattern_col).isNotNull() & (F.length(pattern_col) > 0)))
-    st = _sig_stats(sigs, pattern_col, k)
-    n, b, m = st["n"], st["b"], st["m"]
-    if method == "auto":
-        method = "broadcast" if (n <= BROADCAST_FEW_SIGS and b <= BROADCAST_SIG_BYTES) else "kgram"
-    if s is None and method == "kgram":
-        s = max(k, min(MAX_STEP, (m or (2 * k - 1)) - k + 1))
-    if method == "broadcast":
-        if b > BROADCAST_SIG_BYTES:
-            raise ValueError("signature set too large to broadcast; use method='kgram'")
-        return _hits_broadcast(f, sigs, text_col, pattern_col).select(*_ids(id_col), sig_id_col)
-    if method != "kgram":
-        raise ValueError(method)
-    s = max(s or KSTEP, k)
-    long_sigs = sigs.filter(F.length(pattern_col) >= k + s - 1)
-    short_sigs = sigs.filter(F.length(pattern_col) < k + s - 1)
-    hits = _hits_kgram(f, long_sigs, id_col, text_col, sig_id_col, pattern_col, k, s)
-    if k + s - 1 == 2 * k - 1 or (m is not None and k + s - 1 == m):
-        sn, sb = st["na"], st["ba"]           # shorter than the shortest long pattern
-    elif k + s - 1 == k + MAX_STEP - 1:
-        sn, sb = st["nb"], st["bb"]
-    else:  # a step given by the caller: measure this short set
-        r = short_sigs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(pattern_col)), F.lit(0))).first()
-        sn, sb = r[0], r[1]
-    if sn == 0:
-        return hits
-    if sb <= BROADCAST_SIG_BYTES:
-        short = _hits_broadcast(f, short_sigs, text_col, pattern_col).select(*_ids(id_col), sig_id_col)
-    else:
-        short = _hits_every_position(f, short_sigs, id_col, text_col, sig_id_col, pattern_col)
-    return hits.unionByName(short)
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    texts = files.select(*ids, F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+    sigs = signatures.select(F.col(sig_id_col).alias("id"), F.col(pattern_col).alias("pattern")).filter(
+        F.length("pattern") > 0).distinct()
+    sig_type = sigs.schema["id"].dataType
+    size = sigs.agg(F.sum(F.length("pattern"))).first()[0] or 0
+    blocks = -(-size // BLOCK_CHARS)
+    if blocks <= 1:
+        return _block_hits(texts, ids, [tuple(r) for r in sigs.collect()] if blocks else [], sig_type, sig_id_col)
+    dealt = stored(sigs.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks))), "signatures")
+    hits = None
+    for k in range(blocks):
+        rows = [tuple(r) for r in dealt.where(F.col("block") == k).select("id", "pattern").collect()]
+        if rows:
+            here = stored(_block_hits(texts, ids, rows, sig_type, sig_id_col), "hits")
+            hits = here if hits is None else hits.unionByName(here)
+    return hits
 
 
 def scan_corpus(files: DataFrame, signatures: DataFrame, id_col: str = "file_id",
                 text_col: str = "text", sig_id_col: str = "sig_id", pattern_col: str = "pattern",
-                name_col: str = "sig_name", method: str = "auto") -> DataFrame:
+                name_col: str = "sig_name") -> DataFrame:
     """one verdict per file: clean, detail = name of the lowest matching id.
 
     ``signatures=None`` is the disabled scanner (F3).
     """
     if signatures is None:
         return scan_disabled(files, id_col)
-    hits = scan_hits(files, signatures, id_col, text_col, sig_id_col, pattern_col, method)
+    hits = scan_hits(files, signatures, id_col, text_col, sig_id_col, pattern_col)
     per_file = (hits.groupBy(id_col)
                 .agg(F.min(sig_id_col).alias("__sig"), F.count(F.lit(1)).alias("n_hits")))
     # names meet the hits, not the files: clean files would all have a null key there
@@ -224,11 +235,11 @@ def scan_gate(rows: DataFrame, job_col: str, order_col: str, failed: Column,
               out: str = "gated") -> DataFrame:
     """rows after the first failed scan of their job are gated.
 
-    The first failure per job is a (partial) aggregate joined back, so no task
-    holds a whole job; rows at or before it keep their own result.
+    The first failure per job is a (partial) aggregate, written before it is joined back: in a plan of
+    its own the join of a job that holds a large share of all rows can be split. Rows at or before
+    the failure keep their own result.
     """
-    first = (rows.filter(failed).groupBy(job_col)
-             .agg(F.min(order_col).alias("__first_fail")))
+    first = stored(rows.filter(failed).groupBy(job_col).agg(F.min(order_col).alias("__first_fail")), "first-failures")
     return (rows.join(first, job_col, "left")
             .withColumn(out, F.coalesce(F.col(order_col) > F.col("__first_fail"), F.lit(False)))
             .drop("__first_fail"))

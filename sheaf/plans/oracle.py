@@ -445,16 +445,10 @@ SELECT job_id, 'pdf', 'op', 'pdf.pdf', strlen(text)::BIGINT FROM j WHERE clean
 UNION ALL
 SELECT job_id, 'thumb', 'op', 'thumb', strlen(substring(text, 1, width))::BIGINT FROM j WHERE clean"""
 
-PROGRESS = f"""
-  WITH j AS ({DOC_RUN})
-  SELECT job_id, 0::BIGINT AS seq, 'downloading' AS step, 0::BIGINT AS current, 1::BIGINT AS total FROM j
-  UNION ALL SELECT job_id, 1, 'downloading', 1, 1 FROM j
-  UNION ALL SELECT job_id, 2, 'scan', 1, 4 FROM j
-  UNION ALL SELECT job_id, 3, 'pdf', 2, 4 FROM j WHERE clean
-  UNION ALL SELECT job_id, 4, 'thumb', 3, 4 FROM j WHERE clean
-  UNION ALL SELECT job_id, 5, 'text', 4, 4 FROM j WHERE clean"""
-
-SQL["progress_events"] = PROGRESS
+SQL["progress_events"] = """
+SELECT user_id::VARCHAR AS job_id, event_id AS seq, event_type AS step,
+       least(greatest(coalesce(json_extract_string(props, '$.k')::BIGINT, 0), 0), 100) AS current, 100::BIGINT AS total
+FROM events"""
 SQL["latest_progress"] = """
 SELECT user_id::VARCHAR AS job_id, arg_max(event_type, event_id) AS step,
        arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS current, 100::BIGINT AS total,

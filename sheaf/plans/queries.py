@@ -180,8 +180,8 @@ def bench_signatures(spark, sf):
         F.col("text").alias("pattern"))
 
 
-def doc_verdicts(spark, sf, method="auto"):
-    return S.scan_corpus(doc_files(spark, sf), bench_signatures(spark, sf), method=method)
+def doc_verdicts(spark, sf):
+    return S.scan_corpus(doc_files(spark, sf), bench_signatures(spark, sf))
 
 
 def scanner_replies(spark, sf):
@@ -349,22 +349,22 @@ def q_artifact_files(spark, sf):
     return a.select("job_id", "name", "source", "file_name", "size_bytes")
 
 
+def progress(spark, sf):
+    """`events` as progress reports: the step is the event's type, k of 100 of it is done."""
+    return W.progress_reports(T(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("step"),
+        "props"))
+
+
 @query("progress_events")
 def q_progress_events(spark, sf):
-    jobs = doc_jobs(spark, sf)
-    ev = W.progress_events(jobs, W.run_jobs(jobs, doc_files(spark, sf), bench_signatures(spark, sf),
-                                            page_chars=PAGE_CHARS))
-    return ev.select("job_id", "seq", "step", F.col("current").cast("bigint"), F.col("total").cast("bigint"))
+    return progress(spark, sf).select("job_id", "seq", "step", F.col("current").cast("bigint"), F.col("total").cast("bigint"))
 
 
 @query("latest_progress")
 def q_latest_progress(spark, sf):
-    """`events` as progress reports: the step is the event's type, k of 100 of it is done."""
-    ev = T(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("step"),
-        F.get_json_object("props", "$.k").cast("int").alias("current"), F.lit(100).alias("total"))
-    return W.latest_progress(ev).select("job_id", "step", F.col("current").cast("bigint"),
-                                        F.col("total").cast("bigint"), "last_seq")
+    return W.latest_progress(progress(spark, sf)).select("job_id", "step", F.col("current").cast("bigint"),
+                                                         F.col("total").cast("bigint"), "last_seq")
 
 
 # ---- C / D: routing, merging, previews ---------------------------------------

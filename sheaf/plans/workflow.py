@@ -1,22 +1,15 @@
-"""Run job templates over whole tables of jobs.
-
-A template is the part of a pipeline document shared by many jobs: input
-names and the operation list (names, types, references, options). Jobs are
-grouped by template; for each template the operations are walked once on the
-driver (they can only refer backwards) and together become one plan over
-*all* jobs of that template. Only the distinct template descriptors reach the
-driver (streamed in groups past ``max_templates``), never job or file rows.
-
-Within a template every artifact of a job is a column expression over the
-job's row (see ``Art``): all operations of a job are evaluated in one
-projection and exploded into result rows, so the inputs are read and joined
-once however many operations use them. Skipped operations are a lazy CASE
-branch: their work is never evaluated.
+"""Run the operations of whole tables of jobs.
+
+Jobs are data: a job is a row with its inputs and its operations, whatever they
+are. The checked jobs are written once; each input meets its file in one join;
+then the operations of a job are one fold inside its row (see ``fold``), and
+what they give is computed from the parts of each artifact and the texts of the
+row. There is one plan for any number of different operation lists, and no job
+row reaches the driver.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,13 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.paths import page_key
-from ..functions.text import chunks
 from ..operators import scan as S
 from ..operators import validate as V
-from ..operators.pages import DEFAULT_WIDTH
+from ..session import stored
 from ..sources.files import TOO_LARGE, effective_cap
-from ..session import scratch_dir
-from ..sources.jobs import Jobs, explode_jobs, template_of
+from ..sources.jobs import Jobs, op_struct
+from . import fold
 
 # Result messages.
 SKIPPED = "skipped: prior scan detected a threat"
@@ -41,40 +33,34 @@ UNREADABLE = "UNREADABLE"
 MISSING_INPUT = "MISSING_INPUT"
 NO_PAGES = "NO_PAGES"
 REJECTED = "rejected"  # outcome of a job that fails the pipeline checks
-
-MAX_TEMPLATES = 1000
+JOB_ID_REQUIRED = "JOB_ID_REQUIRED"
 
 RESULT_COLS = ["job_id", "op_index", "op_name", "op_type", "success", "error", "clean", "detail",
                "size_bytes", "page_count", "markdown", "html", "thumbnail_pages"]
 
-
-def _files_proj(files: DataFrame) -> DataFrame:
-    """The one projection of the files that every consumer uses, so that the
-    single shuffle of the texts by (bucket, key) is reused by all of them."""
-    return files.select("bucket", "key", F.col("content_type").alias("__ct"), "size_bytes", "text",
-                        F.lit(True).alias("__found"))
+INPUT_REFS = "array<struct<name:string,bucket:string,key:string,content_type:string>>"
 
 
-def downloads(jobs: Jobs, files: DataFrame, max_bytes: int | None = None,
-              keep: list[str] | None = None) -> DataFrame:
-    """Each job input joined to its file: error NOT_FOUND / TOO_LARGE / UNREADABLE (no text), else the text."""
+def downloads(inputs: DataFrame, files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Each job input (a row with bucket and key) joined to its file: ``error`` NOT_FOUND / TOO_LARGE /
+    UNREADABLE (no text), else ``text``. Other columns of the inputs are kept."""
     cap = effective_cap(max_bytes)
-    d = jobs.inputs.join(_files_proj(files), ["bucket", "key"], "left")
-    return d.select(
-        "job_id", "input_index", "name", "bucket", "key", *(keep or []),
+    read = files.select("bucket", "key", F.col("content_type").alias("__ct"), "size_bytes",
+                        F.col("text").isNotNull().alias("__readable"),
+                        F.when(F.col("size_bytes") <= cap, F.col("text")).alias("text"))
+    error = (F.when(F.col("__readable").isNull(), F.lit(NOT_FOUND))
+             .when(F.col("size_bytes") > cap, F.lit(TOO_LARGE))
+             .when(~F.col("__readable"), F.lit(UNREADABLE)))
+    return inputs.join(read, ["bucket", "key"], "left").select(
+        *[c for c in inputs.columns if c != "content_type"],
         F.coalesce(F.nullif(F.col("content_type"), F.lit("")), F.col("__ct")).alias("content_type"),
-        F.when(F.col("__found").isNull(), F.lit(NOT_FOUND))
-         .when(F.col("size_bytes") > cap, F.lit(TOO_LARGE))
-         .when(F.col("text").isNull(), F.lit(UNREADABLE)).alias("error"),
-        F.when(F.col("size_bytes") <= cap, F.col("text")).alias("text"))
+        error.alias("error"), "text")
 
 
 def job_outcome(dl: DataFrame) -> DataFrame:
-    """Failed when an input cannot be downloaded, else completed."""
-    first = (dl.filter(F.col("error").isNotNull()).groupBy("job_id")
-             .agg(F.min(F.struct("input_index", "name", "error")).alias("f")))
-    ids = dl.select("job_id").distinct()
-    return (ids.join(first, "job_id", "left")
+    """Failed when an input cannot be downloaded, else completed; one aggregate over the inputs."""
+    bad = F.when(F.col("error").isNotNull(), F.struct("input_index", "name", "error"))
+    return (dl.groupBy("job_id").agg(F.min(bad).alias("f"))
             .select("job_id",
                     F.when(F.col("f").isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
                     F.when(F.col("f").isNotNull(),
@@ -82,35 +68,12 @@ def job_outcome(dl: DataFrame) -> DataFrame:
                      .alias("error")))
 
 
-def job_templates(jobs: Jobs) -> DataFrame:
-    """job_id, template (JSON of input names and operations), template_id.
-
-    From nested job documents this is a projection; from flat tables the
-    lists are gathered per job (a job's operation list is its definition).
-    """
-    if jobs.docs is not None:
-        t = jobs.docs.select("job_id", template_of(jobs.docs).alias("template"))
-    else:
-        ops = jobs.ops.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(
-            "op_index", "op_name", "op_type", "inputs", "width", "dpi", "format", "pages"))).alias("o"))
-        ins = jobs.inputs.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(
-            "input_index", "name"))).alias("i"))
-        t = (ins.join(ops, "job_id", "full")
-             .select("job_id", F.to_json(F.struct(
-                 F.coalesce("i", F.array().cast("array<struct<input_index:int,name:string>>")).alias("inputs"),
-                 F.col("o").alias("ops"))).alias("template")))
-    return t.withColumn("template_id", F.sha2("template", 256))
-
-
-def _inputs_with_template(jobs: Jobs) -> DataFrame:
-    """Job inputs with their template id (no join when documents are at hand)."""
-    if jobs.docs is not None:
-        return (jobs.docs.select("job_id", "inputs", template_of(jobs.docs).alias("template"))
-                .withColumn("template_id", F.sha2("template", 256))
-                .select("job_id", "template_id", F.posexplode("inputs").alias("input_index", "i"))
-                .select("job_id", "template_id", F.col("input_index").cast("int"),
-                        "i.name", "i.bucket", "i.key", "i.content_type"))
-    return jobs.inputs.join(job_templates(jobs).select("job_id", "template_id"), "job_id")
+def first_submissions(docs: DataFrame) -> DataFrame:
+    """One document a job id: a submission that is repeated counts once; of different documents with
+    one id the least (as JSON text) counts, for a batch has no order."""
+    row = F.struct(*[c for c in docs.columns if c != "job_id"])
+    once = docs.groupBy("job_id").agg(F.min_by(row, F.to_json(row)).alias("d"))
+    return once.select(*["job_id" if c == "job_id" else f"d.{c}" for c in docs.columns])
 
 
 def dispatch_ops(ops: DataFrame) -> DataFrame:
@@ -123,348 +86,175 @@ def dispatch_ops(ops: DataFrame) -> DataFrame:
 @dataclass
 class JobRun:
     results: DataFrame        # one row per (job, op) of jobs whose downloads succeeded
-    downloads: DataFrame      # job_id, input_index, name, error, ...
     outcomes: DataFrame       # job_id, status (completed, failed, rejected), error
     artifacts: DataFrame      # job_id, name, n_pages, size_bytes, source, file_name
     artifact_pages: DataFrame  # job_id, name, page_no, size_bytes (previews of 'all' thumbnails)
+    checked: DataFrame        # job_id, inputs, ops, error: the jobs as they were checked, written once
 
 
-class Art:
-    """An artifact of a job as column expressions over the job's row.
+def checked_jobs(jobs: Jobs, allowed_buckets=None) -> DataFrame:
+    """(job_id, inputs, ops, error): every job once, with its first pipeline error (B3) or null.
 
-    Either text-backed (a file, or the plain pagination of one: page count,
-    size and page 1 come from the text, no pages are materialised) or
-    page-backed (array<string> of pages: merges and previews).
+    A job id that is repeated counts once (see ``first_submissions``; rows of flat tables that are
+    repeated count once), a job without an id is refused with JOB_ID_REQUIRED.
     """
-
-    def __init__(self, kind: str, text: Column | None = None, ctype: Column | None = None,
-                 pages: Column | None = None, origin: int | None = None):
-        self.kind, self.text, self.ctype, self.pages_col = kind, text, ctype, pages
-        self.origin = origin  # index of the input whose file text this is, if so
-
-    def _img(self) -> Column:
-        if self.ctype is None:
-            return F.lit(False)
-        return F.coalesce(self.ctype, F.lit("")).startswith("image/")
-
-    def n_pages(self, P: int) -> Column:
-        if self.pages_col is not None:
-            return F.size(self.pages_col)
-        return F.when(self._img(), F.lit(1)).otherwise(
-            F.greatest(F.lit(1), F.ceil(F.length(self.text) / F.lit(P)).cast("int")))
-
-    def pages(self, P: int) -> Column:
-        if self.pages_col is not None:
-            return self.pages_col
-        return F.when(self._img(), F.array(self.text)).otherwise(chunks(self.text, P))
-
-    def size(self) -> Column:
-        if self.pages_col is not None:
-            return F.aggregate(self.pages_col, F.lit(0).cast("bigint"),
-                               lambda a, p: a + F.octet_length(p).cast("bigint"))
-        return F.octet_length(self.text).cast("bigint")
-
-    def page1(self, P: int) -> Column:
-        if self.pages_col is not None:
-            return F.element_at(self.pages_col, 1)
-        return F.when(self._img(), self.text).otherwise(F.substring(self.text, 1, P))
-
-    def full_text(self) -> Column:
-        if self.pages_col is not None:
-            return F.array_join(self.pages_col, "")
-        return self.text
-
-    def as_paged(self) -> "Art":
-        if self.kind == "image":
-            return Art("paged", pages=self.pages_col)
-        return Art("paged", text=self.text, ctype=self.ctype, pages=self.pages_col, origin=self.origin)
-
-
-_RES_TYPES = (("success", "boolean"), ("error", "string"), ("clean", "boolean"), ("detail", "string"),
-              ("size_bytes", "bigint"), ("page_count", "int"), ("markdown", "string"), ("html", "string"),
-              ("thumbnail_pages", "array<struct<page_number:int,size_bytes:bigint>>"))
-
-
-def _sql_lit(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, (int, float)):
-        return repr(v)
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _res(op: dict, success=True, error=None, clean=None, detail=None, size=None, pages=None,
-         markdown=None, html=None, thumbs=None) -> Column:
-    """One result struct. All-constant results are one parsed SQL expression
-    (far fewer driver round trips than building it field by field)."""
-    vals = dict(success=success, error=error, clean=clean, detail=detail, size_bytes=size,
-                page_count=pages, markdown=markdown, html=html, thumbnail_pages=thumbs)
-    head = (f"'op_index', CAST({_sql_lit(op.get('op_index'))} AS INT), "
-            f"'op_name', CAST({_sql_lit(op.get('op_name'))} AS STRING), "
-            f"'op_type', CAST({_sql_lit(op.get('op_type'))} AS STRING)")
-    if not any(isinstance(v, Column) for v in vals.values()):
-        body = ", ".join(f"'{n}', CAST({_sql_lit(vals[n])} AS {t})" for n, t in _RES_TYPES)
-        return F.expr(f"named_struct({head}, {body})")
-
-    def c(v, t):
-        return (v if isinstance(v, Column) else F.lit(v)).cast(t)
-    return F.struct(
-        F.lit(op.get("op_index")).cast("int").alias("op_index"),
-        F.lit(op.get("op_name")).cast("string").alias("op_name"),
-        F.lit(op.get("op_type")).cast("string").alias("op_type"),
-        *[c(vals[n], t).alias(n) for n, t in _RES_TYPES])
-
-
-ART_T = "struct<name:string,n_pages:int,size_bytes:bigint,source:string,file_name:string>"
-PAGE_T = "array<struct<name:string,page_no:int,size_bytes:bigint>>"
-
-
-def _template_plan(tpl: dict, base: DataFrame, signatures, page_chars: int, file_verdicts=None):
-    """Walk one template: returns (base with verdict columns, result structs,
-    artifact structs, page-array columns)."""
-    P = page_chars
-    arts: dict[str, Art] = {}
-    art_cols = []
-    for i, inp in enumerate(tpl["inputs"]):
-        arts[inp["name"]] = Art("file", text=F.col(f"__t{i}"), ctype=F.col(f"__c{i}"), origin=i)
-        arts[inp["name"]].text_name = f"__t{i}"
-        art_cols.append(F.struct(F.lit(inp["name"]).alias("name"), F.lit(None).cast("int").alias("n_pages"),
-                                 F.octet_length(F.col(f"__t{i}")).cast("bigint").alias("size_bytes"),
-                                 F.lit("input").alias("source"), F.col(f"__key{i}").alias("file_name")))
-    results, page_cols = [], []
-    gate = F.lit(False)
-    for k, op in enumerate(tpl["ops"]):
-        typ, refs = op.get("op_type"), op.get("inputs") or []
-        src = [arts.get(r) for r in refs]
-        skipped = _res(op, success=False, error=SKIPPED)
-        res, art, failed_scan = None, None, None
-        if typ is None:
-            res = _res(op, success=False, error=UNKNOWN_TYPE)
-        elif not src or any(a is None for a in src):
-            res = _res(op, success=False, error=MISSING_INPUT)
-            failed_scan = F.lit(True) if typ == "scan" else None
-        elif typ == "scan":
-            if signatures is None:
-                res = _res(op, success=False, clean=False, error=S.DISABLED_DETAIL)
-                failed_scan = F.lit(True)
-            else:
-                names = signatures.select(F.col("sig_id").alias(f"__sig{k}"), F.col("sig_name").alias(f"__det{k}"))
-                o = src[0].origin
-                if o is not None and file_verdicts is not None:
-                    # The scanned text is an input file as stored: per-file
-                    # verdicts (shared by all templates), joined by file key.
-                    # joined on (bucket, key): the job rows are already
-                    # partitioned that way by the inputs-to-files join, so only
-                    # the verdicts move when they are too big to broadcast
-                    v = (file_verdicts().select(F.col("bucket").alias(f"__b{o}"), F.col("key").alias(f"__key{o}"),
-                                                F.col("__vsig").alias(f"__sig{k}"))
-                         .join(names, f"__sig{k}", "left"))
-                    base = base.join(v, [f"__b{o}", f"__key{o}"], "left")
-                else:
-                    text = src[0].full_text()
-                    probe = base.select("job_id", text.alias("__scan_text"))
-                    hits = S.scan_hits(probe, signatures, id_col="job_id", text_col="__scan_text")
-                    v = (hits.groupBy("job_id").agg(F.min("sig_id").alias(f"__sig{k}"))
-                         .join(names, f"__sig{k}", "left"))
-                    base = base.join(v, "job_id", "left")
-                clean = F.col(f"__sig{k}").isNull()
-                detail = F.col(f"__det{k}")
-                res = _res(op, success=clean, clean=clean, detail=detail,
-                           error=F.when(~clean, F.concat(F.lit(VIRUS_PREFIX), detail)))
-                failed_scan = ~clean
-        elif typ == "convert_to_pdf":
-            art = src[0].as_paged()
-            res = _res(op, size=art.size(), pages=art.n_pages(P))
-        elif typ == "merge_pdfs":
-            art = (src[0].as_paged() if len(src) == 1
-                   else Art("paged", pages=F.concat(*[a.pages(P) for a in src])))
-            res = _res(op, size=art.size(), pages=art.n_pages(P))
-        elif typ == "thumbnail":
-            x = src[0].as_paged()
-            width = op.get("width") or 0
-            width = width if width > 0 else DEFAULT_WIDTH
-            first = F.substring(x.page1(P), 1, width)
-            if (op.get("pages") or "") == "all":
-                art = Art("image", pages=F.transform(x.pages(P), lambda p: F.substring(p, 1, width)))
-                res = _res(op, size=F.octet_length(first), pages=x.n_pages(P), thumbs=F.transform(
-                    art.pages_col, lambda p, i: F.struct((i + 1).cast("int").alias("page_number"),
-                                                         F.octet_length(p).cast("bigint").alias("size_bytes"))))
-                name = op.get("op_name")
-                page_cols.append(F.when(~gate, F.transform(
-                    art.pages_col, lambda p, i: F.struct(F.lit(name).alias("name"), (i + 1).alias("page_no"),
-                                                         F.octet_length(p).cast("bigint").alias("size_bytes"))))
-                    .otherwise(F.array().cast(PAGE_T)))
-            else:
-                art = Art("image", pages=F.array(first))
-                res = _res(op, size=F.octet_length(first), pages=1)
-        elif typ == "extract_markdown":
-            a0 = src[0]
-            if a0.kind == "file":
-                media = F.substring_index(F.coalesce(a0.ctype, F.lit("")), ";", 1)  # parameters do not matter
-                is_html = F.lower(F.trim(media)) == "text/html"
-                src_text = getattr(a0, "text_name", None) or a0.text
-                res = _res(op, markdown=F.when(is_html, H.to_markdown(src_text)).otherwise(a0.text),
-                           html=F.when(is_html, H.clean_html(src_text)))
-            else:
-                res = _res(op, markdown=a0.full_text())
+    if jobs.docs is not None:
+        docs = first_submissions(jobs.docs)
+        if isinstance(allowed_buckets, DataFrame):
+            found = V.check_pipelines(jobs, allowed_buckets).select("job_id", "error")
+            docs = docs.join(found, "job_id", "left")
         else:
-            res = _res(op, success=False, error=UNKNOWN_TYPE)
-        results.append(F.when(gate, skipped).otherwise(res))
-        if art is not None:
-            arts[op.get("op_name")] = art
-            n = art.n_pages(P) if (art.kind == "image" and (op.get("pages") or "") == "all") else F.lit(None)
-            size = (F.octet_length(F.element_at(art.pages_col, 1)) if art.kind == "image" else art.size())
-            fname = F.lit(op.get("op_name") + ".pdf" if typ == "convert_to_pdf" else None).cast("string")
-            art_cols.append(F.when(~gate, F.struct(F.lit(op.get("op_name")).alias("name"), n.cast("int").alias("n_pages"),
-                                                  size.cast("bigint").alias("size_bytes"),
-                                                  F.lit("op").alias("source"), fname.alias("file_name"))))
-        if failed_scan is not None:
-            gate = gate | F.coalesce(failed_scan, F.lit(False))
-    return base, results, art_cols, page_cols
-
-
-def _template_base(tpl: dict, dl: DataFrame, template_id) -> DataFrame:
-    """One row per job of the template with every input's text and type.
-    Jobs with a failed download are left out (their ops never run)."""
-    d = dl.filter(F.col("template_id") == F.lit(template_id))
-    base = None
-    for i, inp in enumerate(tpl["inputs"]):
-        part = d.filter(F.col("name") == inp["name"]).select(
-            "job_id", F.col("text").alias(f"__t{i}"), F.col("content_type").alias(f"__c{i}"),
-            F.col("error").alias(f"__e{i}"), F.col("bucket").alias(f"__b{i}"),
-            F.col("key").alias(f"__key{i}"))
-        base = part if base is None else base.join(part, "job_id", "inner")
-    ok = F.lit(True)
-    for i in range(len(tpl["inputs"])):
-        ok = ok & F.col(f"__e{i}").isNull()
-    return base.filter(ok)
-
-
-def _union(dfs: list[DataFrame]) -> DataFrame | None:
-    if not dfs:
-        return None
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def _parse_template(text: str) -> dict:
-    raw = json.loads(text)
-    return {"inputs": raw.get("inputs") or [], "ops": raw.get("ops") or []}
-
-
-def _plan_templates(rows, dl, signatures, page_chars):
-    """Result, artifact and page DataFrames of a group of templates."""
-    results, arts, pages = [], [], []
-    cache = {}
-
-    def file_verdicts():
-        # Lowest matching signature per input file that any job reads; built
-        # once per run, so every template's scan reuses the same plan.
-        if "v" not in cache:
-            # Each downloaded file once, taken from the inputs-to-files join:
-            # that join's shuffle of the texts is reused (same projection, the
-            # content type kept on purpose) and the rows are already
-            # partitioned by (bucket, key), so no text moves again.
-            probe = (dl.filter(F.col("error").isNull())
-                     .select("bucket", "key", "content_type", "text")
-                     .dropDuplicates(["bucket", "key"]))
-            hits = S.scan_hits(probe, signatures, id_col=["bucket", "key"], text_col="text")
-            cache["v"] = hits.groupBy("bucket", "key").agg(F.min("sig_id").alias("__vsig"))
-        return cache["v"]
-
-    for row in rows:
-        tpl = _parse_template(row["template"])
-        if not tpl["inputs"]:
-            continue
-        base = _template_base(tpl, dl, row["template_id"])
-        base, res, art_cols, page_cols = _template_plan(tpl, base, signatures, page_chars, file_verdicts)
-        if res:
-            results.append(base.select("job_id", F.explode(F.array(*res)).alias("r")).select("job_id", "r.*"))
-        arts.append(base.select("job_id", F.explode(F.filter(F.array(*art_cols), lambda a: a.isNotNull()))
-                                .alias("a")).select("job_id", "a.*"))
-        if page_cols:
-            pages.append(base.select("job_id", F.explode(F.concat(*page_cols)).alias("p"))
-                         .select("job_id", "p.*"))
-    return _union(results), _union(arts), _union(pages)
-
-
-RES_DDL = ("job_id string, op_index int, op_name string, op_type string, success boolean, error string, "
-           "clean boolean, detail string, size_bytes bigint, page_count int, markdown string, html string, "
-           "thumbnail_pages array<struct<page_number:int,size_bytes:bigint>>")
-PAGES_DDL = "job_id string, name string, page_no int, size_bytes bigint"
-
-
-def checked_jobs(jobs: Jobs, allowed_buckets=None) -> tuple[Jobs, DataFrame]:
-    """The jobs that pass the pipeline checks, and (job_id, status 'rejected', error) of the others."""
-    if jobs.docs is not None and not isinstance(allowed_buckets, DataFrame):
-        c = V.check_documents(jobs.docs, allowed_buckets)
-        ok = explode_jobs(c.filter(F.col("error").isNull()).select(*jobs.docs.columns))
+            docs = V.check_documents(docs, allowed_buckets)
+        rows = docs.select("job_id", F.col("inputs").cast(INPUT_REFS).alias("inputs"),
+                           F.transform("operations", op_struct).cast(f"array<{fold.OP}>").alias("ops"), "error")
     else:
-        c = V.check_pipelines(jobs, allowed_buckets)
-        ids = c.filter(F.col("error").isNull()).select("job_id")
-
-        def of(df):
-            return df.join(ids, "job_id", "left_semi")
-        ok = Jobs(of(jobs.inputs), of(jobs.ops), of(jobs.dests), of(jobs.tags),
-                  of(jobs.docs) if jobs.docs is not None else None)
-    return ok, c.filter(F.col("error").isNotNull()).select("job_id", F.lit(REJECTED).alias("status"), "error")
+        def gathered(df, *cols):
+            return df.groupBy("job_id").agg(F.array_sort(F.collect_set(F.struct(*cols))).alias("a"))
+        ins = gathered(jobs.inputs, "input_index", "name", "bucket", "key", "content_type").select(
+            "job_id", F.transform("a", lambda x: x.dropFields("input_index")).cast(INPUT_REFS).alias("inputs"))
+        op = F.struct("op_index", "op_name", "op_type", F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"),
+                      "width", "dpi", "format", "pages")
+        ops = (jobs.ops.select("job_id", op.alias("o")).groupBy("job_id").agg(F.array_sort(F.collect_set("o")).alias("ops"))
+               .select("job_id", F.col("ops").cast(f"array<{fold.OP}>").alias("ops")))
+        rows = (V.check_pipelines(jobs, allowed_buckets).select("job_id", "error")
+                .join(ins, "job_id", "left").join(ops, "job_id", "left").select("job_id", "inputs", "ops", "error"))
+    return rows.withColumn("error", F.when(F.col("job_id").isNull(), F.lit(JOB_ID_REQUIRED)).otherwise(F.col("error")))
+
+
+def _derived_scans(inputs: Column, ops: Column) -> Column:
+    """(op_index, parts) of scans of what is no stored file: merges and previews."""
+    names = F.transform(inputs, lambda x: x["name"])
+    nothing = F.transform(inputs, lambda x: F.lit(None).cast(fold.THREAT))
+    out = fold.operations(ops, names, nothing, F.create_map().cast(f"map<int,{fold.THREAT}>"), True)
+    some = F.filter(out, lambda x: (x["op"]["op_type"] == "scan") & (x["state"] == fold.RAN) & ~fold.whole(x["parts"]))
+    return F.transform(some, lambda x: F.struct(x["op"]["op_index"].alias("op_index"), x["parts"].alias("parts")))
+
+
+def _threats(rows: DataFrame, signatures: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, threat): the lowest signature of each text that holds any."""
+    first = S.scan_hits(rows, signatures, id_col=ids).groupBy(*ids).agg(F.min("sig_id").alias("sig_id"))
+    return (first.join(signatures.select("sig_id", "sig_name").dropDuplicates(["sig_id"]), "sig_id")
+            .select(*ids, F.struct(F.col("sig_name").alias("name")).alias("threat")))
 
 
 def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
-             page_chars: int = 1800, max_bytes: int | None = None,
-             max_templates: int = MAX_TEMPLATES, allowed_buckets=None) -> JobRun:
-    """G1: every operation of every valid job, in template order.
-
-    Jobs are checked first (B3): a job that fails is not run, and its outcome is
-    'rejected' with the code of its first error, so every job has an outcome.
-
-    Plan per template: inputs (joined once to their files) -> one projection
-    computing every op's result as a column -> explode into result rows.
-    Scans add one join each with the (small) per-file signature verdicts.
-
-    Up to ``max_templates`` distinct templates the result is one lazy plan.
-    Beyond that, templates are streamed to the driver with toLocalIterator
-    and planned ``max_templates`` at a time; each group is written under
-    ``spark.checkpoint.dir`` (which also cuts the lineage) and the run reads
-    all groups back. No job is left out either way.
+             page_chars: int = 1800, max_bytes: int | None = None, allowed_buckets=None) -> JobRun:
+    """G1: every operation of every valid job, in order.
+
+    Jobs are checked first (B3) and written once under ``spark.checkpoint.dir``: a job that fails is not run,
+    and its outcome is 'rejected' with the code of its first error, so every job has an outcome.
+
+    Files that jobs read are scanned once each, however many jobs read them. The texts cross the
+    network in the inputs-to-files join, and once more by job for jobs with several inputs (or
+    scans of merged documents), whose texts meet in the job's row.
     """
-    spark = files.sparkSession
-    jobs, rejected = checked_jobs(jobs, allowed_buckets)
-    tpls = job_templates(jobs)
-    distinct = tpls.select("template_id", "template").distinct()
-    found = distinct.limit(max_templates + 1).collect()
-    inputs_t = _inputs_with_template(jobs)
-    dl = downloads(Jobs(inputs_t, jobs.ops, jobs.dests, jobs.tags), files, max_bytes, keep=["template_id"])
-    outcomes = job_outcome(dl).unionByName(rejected)
-    empty = {"results": RES_DDL, "artifacts": "job_id string, " + ART_T[7:-1].replace(":", " "), "pages": PAGES_DDL}
-
-    def planned(rows):
-        dfs = _plan_templates(rows, dl, signatures, page_chars)
-        return [spark.createDataFrame([], ddl) if df is None else df for df, ddl in zip(dfs, empty.values())]
-
-    if len(found) <= max_templates:
-        res, art, pg = planned(found)
-        return JobRun(res, dl, outcomes, art, pg)
-    out = scratch_dir(spark, "job-run")
-    group = []
-
-    def flush(rows):
-        for name, df in zip(empty, planned(rows)):
-            df.write.mode("append").parquet(f"{out}/{name}")
-
-    for row in distinct.toLocalIterator():
-        group.append(row)
-        if len(group) == max_templates:
-            flush(group)
-            group = []
-    if group:
-        flush(group)
-    res, art, pg = (spark.read.schema(ddl).parquet(f"{out}/{name}") for name, ddl in empty.items())
-    return JobRun(res, dl, outcomes, art, pg)
+    checked = checked_jobs(jobs, allowed_buckets)
+    if signatures is None:
+        derived = F.array().cast(f"array<struct<op_index:int,parts:{fold.PARTS}>>")
+    else:
+        derived = F.when(F.col("error").isNull(), _derived_scans(F.col("inputs"), F.col("ops")))
+    checked = stored(checked.withColumn("derived", derived), "checked-jobs")
+    run = checked.filter(F.col("error").isNull())
+    rejected = checked.filter(F.col("error").isNotNull()).select("job_id", F.lit(REJECTED).alias("status"), "error")
+
+    alone = (F.size("inputs") == 1) & (F.size("derived") == 0)
+    inputs = run.select("job_id", "ops", "derived", alone.alias("alone"), F.posexplode("inputs").alias("input_index", "f"))
+    inputs = inputs.select("job_id", "ops", "derived", "alone", F.col("input_index").cast("int"), "f.*")
+    no_threat = F.lit(None).cast(fold.THREAT)
+    read = files
+    if signatures is None:
+        dl = downloads(inputs, read, max_bytes).withColumn("threat", no_threat)
+    else:
+        scanned = files.join(inputs.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi")
+        threats = _threats(scanned.select("bucket", "key", "text"), signatures, ["bucket", "key"])
+        dl = downloads(inputs, read, max_bytes).join(threats, ["bucket", "key"], "left")
+    one = F.struct("name", "bucket", "key", "content_type", "text", "threat")
+    single = (dl.filter(F.col("alone") & F.col("error").isNull())
+              .select("job_id", "ops", F.array(one).cast(fold.INPUTS).alias("ins")))
+    several = (dl.filter(~F.col("alone")).groupBy("job_id")
+               .agg(F.array_sort(F.collect_list(F.struct("input_index", one.alias("f")))).alias("ins"),
+                    F.first("ops").alias("ops"), F.first("derived").alias("derived"), F.count("error").alias("bad"))
+               .filter("bad = 0")
+               .select("job_id", "ops", "derived", F.transform("ins", lambda x: x["f"]).cast(fold.INPUTS).alias("ins")))
+    none = F.create_map().cast(f"map<int,{fold.THREAT}>")
+    single = single.withColumn("found", none)
+    if signatures is None:
+        several = several.withColumn("found", none)
+    else:
+        probe = several.select("job_id", "ins", F.explode("derived").alias("d"))
+        probe = probe.select("job_id", F.col("d.op_index").alias("op_index"),
+                             fold.Parts(F.col("ins"), F.col("d.parts"), page_chars).text().alias("text"))
+        found = (_threats(probe, signatures, ["job_id", "op_index"]).groupBy("job_id")
+                 .agg(F.map_from_entries(F.collect_list(F.struct("op_index", "threat"))).alias("found")))
+        several = several.join(found, "job_id", "left").withColumn("found", F.coalesce("found", none))
+    rows = single.unionByName(several.drop("derived")).select(
+        "job_id", "ins", fold.operations(
+            F.col("ops"), F.transform("ins", lambda x: x["name"]), F.transform("ins", lambda x: x["threat"]),
+            F.col("found"), signatures is not None).alias("out"))
+    outcomes = job_outcome(downloads(inputs.drop("ops", "derived", "alone"), files, max_bytes)).unionByName(rejected)
+    return JobRun(_results(rows, page_chars, signatures is not None), outcomes, _artifacts(rows, page_chars),
+                  _artifact_pages(rows, page_chars), checked.select("job_id", "inputs", "ops", "error"))
+
+
+def _results(rows: DataFrame, page_chars: int, scanning: bool) -> DataFrame:
+    """One row per operation of the rows' jobs."""
+    r = rows.select("job_id", "ins", F.explode("out").alias("r")).select(
+        "job_id", "ins", "r.op.op_index", "r.op.op_name", "r.op.op_type", "r.op.pages", "r.state", "r.file", "r.parts", "r.threat")
+    parts = fold.Parts(F.col("ins"), F.col("parts"), page_chars)
+    source = F.get("ins", F.get("parts", F.lit(0))["i"])
+    ran, kind = F.col("state") == fold.RAN, F.col("op_type")
+    scan, text = ran & (kind == "scan"), ran & (kind == "extract_markdown")
+    paged = ran & kind.isin("convert_to_pdf", "merge_pdfs")
+    thumb = ran & (kind == "thumbnail")
+    each = thumb & (F.col("pages") == "all")
+    media = F.substring_index(F.coalesce(source["content_type"], F.lit("")), ";", 1)  # parameters do not matter
+    is_html = text & F.col("file") & (F.lower(F.trim(media)) == "text/html")
+    r = r.withColumns({"is_html": F.coalesce(is_html, F.lit(False)),
+                       "source": F.when(is_html, source["text"])})
+    if scanning:
+        clean, found = F.col("threat").isNull(), F.concat(F.lit(VIRUS_PREFIX), F.col("threat.name"))
+    else:
+        clean, found = F.lit(False), F.lit(S.DISABLED_DETAIL)
+    error = (F.when(F.col("state") == fold.SKIPPED, F.lit(SKIPPED)).when(F.col("state") == fold.UNKNOWN, F.lit(UNKNOWN_TYPE))
+             .when(F.col("state") == fold.MISSING, F.lit(MISSING_INPUT)).when(scan & ~clean, found))
+    thumbs = F.transform(parts.page_sizes(), lambda s, i: F.struct(
+        (i + 1).cast("int").alias("page_number"), s.alias("size_bytes")))
+    return r.select(
+        "job_id", "op_index", "op_name", "op_type", (ran & ~F.coalesce(scan & ~clean, F.lit(False))).alias("success"),
+        error.alias("error"), F.when(scan, clean).alias("clean"), F.when(scan, F.col("threat.name")).alias("detail"),
+        F.when(paged, parts.size()).when(thumb, parts.first_size()).alias("size_bytes"),
+        F.when(paged | each, parts.n_pages()).when(thumb, F.lit(1)).alias("page_count"),
+        F.when(F.col("is_html"), H.to_markdown("source")).when(text, parts.text()).alias("markdown"),
+        F.when(F.col("is_html"), H.clean_html("source")).alias("html"),
+        F.when(each, thumbs).alias("thumbnail_pages"))
+
+
+def _artifacts(rows: DataFrame, page_chars: int) -> DataFrame:
+    """(job_id, name, n_pages, size_bytes, source, file_name) of inputs and of what operations made."""
+    kind = "array<struct<name:string,n_pages:int,size_bytes:bigint,source:string,file_name:string>>"
+    given = F.transform("ins", lambda x: F.struct(
+        x["name"], F.lit(None), F.octet_length(x["text"]), F.lit("input"), x["key"])).cast(kind)
+
+    def made(x):
+        parts, op = fold.Parts(F.col("ins"), x["parts"], page_chars), x["op"]
+        thumb = op["op_type"] == "thumbnail"
+        return F.struct(op["op_name"], F.when(thumb & (op["pages"] == "all"), parts.n_pages()),
+                        F.when(thumb, parts.first_size()).otherwise(parts.size()), F.lit("op"),
+                        F.when(op["op_type"] == "convert_to_pdf", F.concat(op["op_name"], F.lit(".pdf"))))
+    kept = F.filter("out", lambda x: (x["state"] == fold.RAN) & x["op"]["op_type"].isin(
+        "convert_to_pdf", "merge_pdfs", "thumbnail"))
+    return (rows.select("job_id", F.explode(F.concat(given, F.transform(kept, made).cast(kind))).alias("a"))
+            .select("job_id", "a.*"))
+
+
+def _artifact_pages(rows: DataFrame, page_chars: int) -> DataFrame:
+    """(job_id, name, page_no, size_bytes) of the pages of previews of every page."""
+    kept = F.filter("out", lambda x: (x["state"] == fold.RAN) & (x["op"]["op_type"] == "thumbnail")
+                    & (x["op"]["pages"] == "all"))
+    r = rows.select("job_id", "ins", F.explode(kept).alias("r"))
+    sizes = fold.Parts(F.col("ins"), F.col("r.parts"), page_chars).page_sizes()
+    return (r.select("job_id", F.col("r.op.op_name").alias("name"), F.posexplode(sizes).alias("at", "size_bytes"))
+            .select("job_id", "name", (F.col("at") + 1).alias("page_no"), "size_bytes"))
 
 
 def file_names(artifacts: DataFrame) -> DataFrame:
@@ -549,23 +339,12 @@ def assemble_results(results: DataFrame, dests: DataFrame | None = None) -> Data
     return jobs.select("job_id", F.to_json(F.struct(F.map_from_entries(entries).alias("results"))).alias("output"))
 
 
-def progress_events(jobs: Jobs, run: JobRun) -> DataFrame:
-    """H2: ('downloading', 0..k, n) then (op name, index+1, m) before each op
-    that runs; skipped ops emit none. A failed download stops after it."""
-    n_in = jobs.inputs.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("n_in"))
-    first_bad = (run.downloads.filter(F.col("error").isNotNull()).groupBy("job_id")
-                 .agg(F.min("input_index").alias("bad")))
-    dl = (n_in.join(first_bad, "job_id", "left")
-          .select("job_id", "n_in", F.explode(F.sequence(F.lit(0), F.coalesce("bad", "n_in"))).alias("current"))
-          .select("job_id", F.col("current").cast("bigint").alias("seq"), F.lit("downloading").alias("step"),
-                  F.col("current").cast("int").alias("current"), F.col("n_in").alias("total")))
-    n_ops = jobs.ops.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("n_ops"))
-    ran = (run.results.filter(F.coalesce(F.col("error"), F.lit("")) != SKIPPED)
-           .join(n_ops, "job_id").join(n_in, "job_id")
-           .select("job_id", (F.col("n_in") + 1 + F.col("op_index")).cast("bigint").alias("seq"),
-                   F.col("op_name").alias("step"), (F.col("op_index") + 1).cast("int").alias("current"),
-                   F.col("n_ops").alias("total")))
-    return dl.unionByName(ran)
+def progress_reports(events: DataFrame, total: int = 100) -> DataFrame:
+    """H2: progress reports from ledger events (job_id, seq, step, props): the step, and how much of it is
+    done (``k`` of the event's JSON properties, of ``total``). An event without a number reports none done."""
+    done = F.get_json_object("props", "$.k").cast("int")
+    return events.select("job_id", "seq", "step", F.least(F.greatest(F.coalesce(done, F.lit(0)), F.lit(0)), F.lit(total))
+                         .alias("current"), F.lit(total).alias("total"))
 
 
 def latest_progress(events: DataFrame) -> DataFrame:

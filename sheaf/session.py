@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of this library wants. Shuffle partitions are left to
 # the caller (cluster default or `shuffle_partitions`), AQE re-plans at runtime.
@@ -75,3 +77,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     file system, whatever its scheme.
     """
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back: later plans start there."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per session (as --py-files would)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sheaf_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="sheaf-code-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "sheaf"), "zip", root, "sheaf"))
+    sc._sheaf_shipped = True

@@ -69,12 +69,3 @@ def op_struct(o: Column, i: Column) -> Column:
         F.lit("inputs"), F.coalesce(o["inputs"], F.array().cast("array<string>")),
         F.lit("width"), o["thumbnail"]["width"], F.lit("dpi"), o["thumbnail"]["dpi"],
         F.lit("format"), o["thumbnail"]["format"], F.lit("pages"), o["thumbnail"]["pages"])
-
-
-def template_of(docs: DataFrame) -> Column:
-    """Template JSON of a job document: input names and operations, in order."""
-    ins = F.transform(F.coalesce("inputs", F.array().cast(docs.schema["inputs"].dataType)),
-                      lambda x, i: F.named_struct(F.lit("input_index"), i.cast("int"),
-                                                  F.lit("name"), x["name"]))
-    ops = F.transform(F.coalesce("operations", F.array().cast(docs.schema["operations"].dataType)), op_struct)
-    return F.to_json(F.named_struct(F.lit("inputs"), ins, F.lit("ops"), ops))

@@ -1,10 +1,13 @@
 """Job submission and job state as Structured Streaming queries.
 
 * ``stream_jobs``: a stream of submitted job documents (``submissions``: a
-  landing folder of JSON lines); each micro-batch is checked and run (G1) over
-  the files table and overwrites its own ``batch_id=<n>`` folder, so a
-  replayed batch rewrites the same files (exactly-once effect). The
-  checkpoint records which batches are done: a restart does not redo them.
+  landing folder of JSON lines); a submission is one run, however often it is
+  delivered: repeats of a job id are dropped by keyed streaming state, which
+  forgets an id ``REMEMBERED`` after its first arrival. Each micro-batch is
+  checked and run (G1) over the files table and overwrites its own
+  ``batch_id=<n>`` folder, so a replayed batch rewrites the same files
+  (exactly-once effect). The checkpoint records which batches are done: a
+  restart does not redo them.
 * ``stream_job_state``: ledger events -> per-job state, deduplicated on
   (job_id, seq) however late they come; state is the first-terminal-wins aggregate of
   ``job_state``; each batch appends the jobs it changed (update mode) and
@@ -26,6 +29,9 @@ from ..session import scratch_dir
 from ..sources.jobs import explode_jobs
 
 
+REMEMBERED = "30 days"
+
+
 def stream_table(spark: SparkSession, table_dir: str, name: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """A driver table (``<dir>/<name>.parquet``) read as a file stream."""
@@ -48,13 +54,23 @@ def submissions(spark: SparkSession, folder: str, max_files_per_trigger: int = 1
     return (spark.readStream.schema(JOB_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).json(folder))
 
 
+def new_submissions(submitted: DataFrame, remembered: str = REMEMBERED) -> DataFrame:
+    """The documents of a stream whose job id has not arrived before, the first of each id.
+
+    The time of arrival is the batch's own, so that no document is ever late, whatever the age of its
+    file; an id leaves the state ``remembered`` after it arrived.
+    """
+    arrived = submitted.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", remembered)
+    return arrived.dropDuplicatesWithinWatermark(["job_id"]).drop("__arrived")
+
+
 def stream_jobs(submitted: DataFrame, files: DataFrame, signatures: DataFrame | None, out_dir: str | None = None,
                 checkpoint: str | None = None, page_chars: int = 1800, available_now: bool = True,
-                allowed_buckets=None):
-    """Run submitted job documents over the files table; returns (query, out_dir).
+                allowed_buckets=None, remembered: str = REMEMBERED):
+    """Run submitted job documents, each id once, over the files table; returns (query, out_dir).
 
     Results are in ``out_dir``, outcomes (refused jobs too) in ``out_dir`` + "-outcomes".
-    A batch is read from its files again where it is used twice; nothing is cached.
+    Of a batch only its checked jobs are read again, from where the run wrote them.
     """
     spark = submitted.sparkSession
     out_dir = (out_dir or scratch_dir(spark, "stream-jobs-out")).rstrip("/")
@@ -66,7 +82,7 @@ def stream_jobs(submitted: DataFrame, files: DataFrame, signatures: DataFrame |
         flat_results(run.results).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
         run.outcomes.write.mode("overwrite").parquet(f"{out_dir}-outcomes/batch_id={batch_id}")
 
-    w = submitted.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
+    w = new_submissions(submitted, remembered).writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start(), out_dir
 

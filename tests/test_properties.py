@@ -64,7 +64,7 @@ def test_kgram_equals_brute_force(spark):
         else:
             pats.append((j, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(31, 40)))))
     sigs = spark.createDataFrame(pats, "sig_id int, pattern string")
-    got = {tuple(r) for r in S.scan_hits(files, sigs, method="kgram", k=16).collect()}
+    got = {tuple(r) for r in S.scan_hits(files, sigs).collect()}
     want = {(i, j) for i, t in enumerate(texts) for j, p in pats if p in t}
     assert got == want and len(want) > 10
 

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from sheaf.operators import scan as S
@@ -29,19 +31,50 @@ def test_scan_reply_cases(spark):
         assert got[i] == (clean, detail), cases[i]
 
 
-def test_signature_strategies_agree(spark):
+def _hits(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_signatures_in_one_block_and_in_many(spark, monkeypatch):
     docs = files_from_documents(read_table(spark, SF001, "documents"))
     bench = read_table(spark, SF001, "benchmark")
     sigs = bench.select(F.col("item_id").alias("sig_id"), F.col("text").alias("pattern"))
-    # add short patterns (broadcast side of the k-gram strategy) and a pattern
-    # cut out of a document at an odd offset
     sample = docs.filter(F.length("text") > 200).limit(3).select(
         (F.lit(100000) + F.col("file_id")).alias("sig_id"), F.substring("text", 37, 90).alias("pattern"))
-    short = spark.createDataFrame([(900001, "the"), (900002, "zzzq")], "sig_id long, pattern string")
-    allsig = sigs.unionByName(sample).unionByName(short)
-    a = {tuple(r) for r in S.scan_hits(docs, allsig, method="broadcast").collect()}
-    b = {tuple(r) for r in S.scan_hits(docs, allsig, method="kgram", k=8, s=8).collect()}
-    assert a == b and len(a) > 3
+    short = spark.createDataFrame([(900001, "the"), (900002, "zzzq"), (900003, "the"), (900004, ""), (900005, None),
+                                   (900006, "e")], "sig_id long, pattern string")
+    sigs = spark.createDataFrame(sigs.unionByName(sample).unionByName(short).collect(), "sig_id long, pattern string")
+    texts = {r.file_id: r.text for r in docs.collect()}
+    want = sorted((f, s) for f, t in texts.items() for s, p in map(tuple, sigs.collect()) if p and t is not None and p in t)
+    assert len(want) > 3
+    assert _hits(S.scan_hits(docs, sigs)) == want
+    monkeypatch.setattr(S, "BLOCK_CHARS", 2000)
+    assert _hits(S.scan_hits(docs, sigs)) == want
+    assert _hits(S.scan_hits(docs, sigs.limit(0))) == []
+
+
+def test_patterns_that_end_others(spark):
+    files = spark.createDataFrame([(1, "abcabc xyz"), (2, "zzz"), (3, "ab"), (4, "éab"), (5, None), (6, "")],
+                                  "file_id int, text string")
+    patterns = ["abc", "c x", "zz", "éa", "q", "bc", "c", "z", "zzzz", "cabc", "b", "ab"]
+    sigs = spark.createDataFrame(list(enumerate(patterns)), "sig_id int, pattern string")
+    want = sorted((r.file_id, i) for r in files.collect() for i, p in enumerate(patterns) if r.text and p in r.text)
+    assert _hits(S.scan_hits(files, sigs)) == want
+    groups, ends = S.layers(patterns)
+    for g in groups:
+        assert not any(i != j and patterns[i].endswith(patterns[j]) for i in g for j in g)
+    for i, e in enumerate(ends):
+        longest = max((p for p in patterns if p != patterns[i] and patterns[i].endswith(p)), key=len, default=None)
+        assert (patterns[e] if e >= 0 else None) == longest
+
+
+def test_a_thousand_signatures_of_blanks(spark):
+    """Every place of the text ends hundreds of signatures; the scan stays linear."""
+    sigs = spark.createDataFrame([(n, " " * n) for n in range(200, 1200)], "sig_id int, pattern string")
+    files = spark.createDataFrame([(1, " " * 1_000_000), (2, (" " * 700 + "x") * 1400)], "file_id int, text string")
+    start = time.time()
+    hits = _hits(S.scan_hits(files, sigs))
+    assert len(hits) == 1000 + 501 and time.time() - start < 60
 
 
 def test_scan_corpus_and_disabled(spark):
@@ -75,12 +108,24 @@ def test_scan_gate(spark):
     assert [got[("none", i)] for i in range(2)] == [False, False]
 
 
-def test_short_patterns_every_position(spark):
-    """The exact fallback for short patterns agrees with the broadcast scan."""
-    files = spark.createDataFrame([(1, "abcabc xyz"), (2, "zzz"), (3, "ab"), (4, "éab")],
-                                  "file_id int, text string")
-    sigs = spark.createDataFrame([(1, "abc"), (2, "c x"), (3, "zz"), (4, "éa"), (5, "q")],
-                                 "sig_id int, pattern string")
-    a = {tuple(r) for r in S._hits_broadcast(files, sigs, "text", "pattern").select("file_id", "sig_id").collect()}
-    b = {tuple(r) for r in S._hits_every_position(files, sigs, "file_id", "text", "sig_id", "pattern").collect()}
-    assert a == b == {(1, 1), (1, 2), (2, 3), (4, 4)}
+def test_a_hot_job_is_split_in_the_gate(spark):
+    """Half of the rows in one job: its join partition is split, as a plain skewed join is."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(400_000).select(
+            F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("job"), F.col("id").alias("i"),
+            F.sha2(F.col("id").cast("string"), 256).alias("x")).repartition(8)
+        out = S.scan_gate(rows, "job", "i", F.col("i") % 1000 == 0)
+        assert out.where("gated").count() == 199_999
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        assert "skewed=true" in out._jdf.queryExecution().executedPlan().toString() or "skew=true" in (
+            out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

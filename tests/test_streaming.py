@@ -53,6 +53,21 @@ def test_stream_jobs_equals_batch(spark):
     _same(spark.read.parquet(f"{out}-outcomes").drop("batch_id"), run.outcomes)
 
 
+def test_submissions_delivered_twice_run_once(spark):
+    """A landing folder that holds every job twice, in other batches and in the same one, gives the rows of once."""
+    files, sigs = Q.doc_files(spark, SF001), Q.bench_signatures(spark, SF001)
+    land = tempfile.mkdtemp(prefix="again-", dir=spark.conf.get("spark.checkpoint.dir").replace("file:", ""))
+    js = document_jobs_json(Q.T(spark, SF001, "documents").limit(40))
+    js = spark.createDataFrame(js.collect(), "job_json string")
+    for rows in (js, js, js.unionByName(js)):
+        rows.coalesce(1).write.mode("append").text(land)
+    q, out = ST.stream_jobs(ST.submissions(spark, land, 1), files, sigs, page_chars=Q.PAGE_CHARS)
+    q.awaitTermination()
+    run = W.run_jobs(explode_jobs(parse_jobs(js)), files, sigs, page_chars=Q.PAGE_CHARS)
+    _same(spark.read.parquet(out).drop("batch_id"), ST.flat_results(run.results))
+    _same(spark.read.parquet(f"{out}-outcomes").drop("batch_id"), run.outcomes)
+
+
 def test_stream_state_across_batches_takes_latest(spark):
     """Two batches, the second moving jobs on: the state read back is the
     latest per job and equals the batch answer over all events."""

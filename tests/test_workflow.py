@@ -64,14 +64,6 @@ def test_gate_and_results(spark):
     assert got == [("clean", "pdf", None, "p.pdf", 16),
                    ("clean", "thumb", 1, "t/x_001.jpg", 3), ("clean", "thumb", 2, "t/x_002.jpg", 3),
                    ("clean", "thumb", 3, "t/x_003.jpg", 3), ("clean", "thumb", 4, "t/x_004.jpg", 1)]
-    # progress: downloading 0..1, then one event per op that ran
-    ev = W.progress_events(jobs, run)
-    got = sorted((e.job_id, e.seq, e.step, e.current, e.total) for e in ev.collect())
-    assert [g for g in got if g[0] == "infected"] == [
-        ("infected", 0, "downloading", 0, 1), ("infected", 1, "downloading", 1, 1), ("infected", 2, "scan", 1, 4)]
-    assert len([g for g in got if g[0] == "clean"]) == 6
-    lp = {x.job_id: (x.step, x.current) for x in W.latest_progress(ev).collect()}
-    assert lp == {"clean": ("text", 4), "infected": ("scan", 1)}
 
 
 def test_merge_positional_and_missing_inputs(spark):
@@ -215,16 +207,116 @@ def test_artifact_refs_and_unused(spark):
     assert [u.name for u in W.unused_inputs(jobs).collect()] == ["u"]
 
 
-def test_many_templates_written_in_groups(spark):
-    """Past max_templates the run is planned in groups and written; same rows."""
-    from conftest import SF001
-    from sheaf.plans import queries as Q
-    jobs = Q.doc_jobs(spark, SF001)
-    files, sigs = Q.doc_files(spark, SF001), Q.bench_signatures(spark, SF001)
-    lazy = W.run_jobs(jobs, files, sigs, page_chars=Q.PAGE_CHARS)
-    grouped = W.run_jobs(jobs, files, sigs, page_chars=Q.PAGE_CHARS, max_templates=1)
-    cols = ["job_id", "op_index", "success", "error", "size_bytes", "page_count"]
-    a = sorted(map(tuple, lazy.results.select(*cols).collect()), key=repr)
-    b = sorted(map(tuple, grouped.results.select(*cols).collect()), key=repr)
-    assert a == b and len(a) == 800
-    assert grouped.artifact_pages.count() == lazy.artifact_pages.count()
+def _brute(doc, files, sigs, n):
+    """One job's results in plain Python: (name, success, error, clean, detail, size, pages, markdown, thumbs)."""
+    files = {(b, k): (ct, t) for b, k, ct, t in files}
+    arts, out, gate = {}, [], False
+    for i in doc["inputs"]:
+        ct, text = files[i["bucket"], i["key"]]
+        pages = [text] if ct.startswith("image/") else [text[x:x + n] for x in range(0, len(text), n)] or [""]
+        arts[i["name"]] = ("file", pages)
+    for op in doc["operations"]:
+        kind = next(k for k in ("scan", "convert_to_pdf", "merge_pdfs", "thumbnail", "extract_markdown") if k in op)
+        src = [arts.get(r) for r in op["inputs"]]
+        row = [op["name"], False, None, None, None, None, None, None, None]
+        if gate:
+            row[2] = W.SKIPPED
+        elif None in src:
+            row[2], gate = W.MISSING_INPUT, gate or kind == "scan"
+        else:
+            row[1] = True
+            pages = src[0][1]
+            if kind == "scan":
+                hit = next((name for _, name, p in sorted(sigs) if p in "".join(pages)), None)
+                row[1], row[3], row[4] = hit is None, hit is None, hit
+                row[2], gate = (W.VIRUS_PREFIX + hit, True) if hit else (None, gate)
+            elif kind in ("convert_to_pdf", "merge_pdfs"):
+                pages = pages if kind == "convert_to_pdf" else [p for s in src for p in s[1]]
+                arts[op["name"]] = ("paged", pages)
+                row[5], row[6] = sum(len(p.encode()) for p in pages), len(pages)
+            elif kind == "thumbnail":
+                width = op[kind].get("width") or 400
+                every = op[kind].get("pages") == "all"
+                cut = [p[:width] for p in (pages if every else pages[:1])]
+                arts[op["name"]] = ("image", cut)
+                row[5], row[6] = len(cut[0].encode()), len(cut)
+                row[8] = [(i + 1, len(p.encode())) for i, p in enumerate(cut)] if every else None
+            else:
+                row[7] = "".join(pages)
+        out.append(tuple(row))
+    return out
+
+
+def test_every_job_with_its_own_operations(spark):
+    """Hundreds of different operation lists in one plan, with merges of merges, previews of previews
+    and scans of both, against plain Python."""
+    rnd = random.Random(11)
+    files = [("b", "a.txt", "text/plain", "0123456789abcdef"), ("b", "e.txt", "text/plain", "xx EVIL xx"), ("b", "z.txt", "", "zz"),
+             ("b", "u.txt", "text/plain", "éé𝄞ßEV"), ("b", "v.txt", "text/plain", "IL..."), ("b", "i.png", "image/png", "imagebytes" * 3),
+             ("b", "empty.txt", "text/plain", "")]
+    sigs = [(1, "Evil.Sig", "EVIL"), (2, "Two.Sig", "zz0"), (3, "Cut.Sig", "01234")]
+
+    def doc(i):
+        names = [f"in{k}" for k in range(rnd.choice([1, 1, 2, 3]))]
+        inputs = [_inp(x, rnd.choice(files)[1]) for x in names]
+        ops = []
+        for k in range(rnd.randint(1, 6)):
+            kind = rnd.choice(["scan", "convert_to_pdf", "merge_pdfs", "merge_pdfs", "thumbnail", "extract_markdown"])
+            refs = [rnd.choice(names) for _ in range(rnd.choice([2, 3]) if kind == "merge_pdfs" else 1)]
+            what = {"width": rnd.choice([0, 3, 5]), "pages": rnd.choice(["all", "first"])} if kind == "thumbnail" else {}
+            ops.append({"name": f"op{k}", "inputs": refs, kind: what})
+            names.append(f"op{k}")
+        return {"job_id": str(i), "inputs": inputs, "operations": ops}
+    docs = [doc(i) for i in range(400)]
+    table = spark.createDataFrame(files, "bucket string, key string, content_type string, text string")
+    table = table.withColumn("size_bytes", F.octet_length("text").cast("bigint"))
+    sig = spark.createDataFrame(sigs, "sig_id long, sig_name string, pattern string")
+    jobs = _jobs(spark, docs)
+    want = sorted(((d["job_id"], *r) for d in docs for r in _brute(d, files, sigs, 5)), key=repr)
+    assert sum(r[4] is False for r in want) > 20
+    for j in (jobs, Jobs(jobs.inputs, jobs.ops, jobs.dests, jobs.tags)):
+        run = W.run_jobs(j, table, sig, page_chars=5)
+        got = sorted(((r.job_id, r.op_name, r.success, r.error, r.clean, r.detail, r.size_bytes, r.page_count, r.markdown,
+                       None if r.thumbnail_pages is None else [tuple(p) for p in r.thumbnail_pages])
+                      for r in run.results.collect()), key=repr)
+        assert got == want
+    pages = {(r.job_id, r.name, r.page_no, r.size_bytes) for r in run.artifact_pages.collect()}
+    assert pages == {(w[0], w[1], *p) for w in want for p in w[9] or ()}
+
+
+def test_plan_does_not_grow_with_operation_lists(spark):
+    def plan(n):
+        docs = [{"job_id": str(i), "inputs": [_inp("a", "a.txt")],
+                 "operations": [{"name": f"p{i}-{k}", "inputs": ["a"], "convert_to_pdf": {}} for k in range(i % 7 + 1)]}
+                for i in range(n)]
+        run = W.run_jobs(_jobs(spark, docs), _files(spark), _sigs(spark))
+        assert run.results.count() == sum(i % 7 + 1 for i in range(n))
+        return len(run.results._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(plan(3) - plan(2000)) < 200
+
+
+def test_repeated_submissions_run_once(spark):
+    op = {"name": "p", "inputs": ["a", "b"], "merge_pdfs": {}}
+    docs = [{"job_id": str(i), "inputs": [_inp("a", "a.txt"), _inp("b", "z.txt")], "operations": [op]} for i in range(3)]
+    once, twice = _jobs(spark, docs), _jobs(spark, docs * 2 + [{"operations": [op]}])
+    flat = Jobs(*[x.unionByName(x) for x in (once.inputs, once.ops, once.dests, once.tags)])
+    want = sorted(map(tuple, W.run_jobs(once, _files(spark), _sigs(spark)).results.collect()), key=repr)
+    assert len(want) == 3
+    for jobs in (twice, flat):
+        run = W.run_jobs(jobs, _files(spark), _sigs(spark))
+        assert sorted(map(tuple, run.results.collect()), key=repr) == want
+        out = sorted(((o.job_id, o.status, o.error) for o in run.outcomes.collect()), key=repr)
+        assert out[:3] == [(str(i), "completed", None) for i in range(3)]
+        assert out[3:] == ([(None, "rejected", "JOB_ID_REQUIRED")] if jobs is twice else [])
+    other = [{**docs[0], "operations": [{**op, "name": n}]} for n in ("z", "p")]
+    run = W.run_jobs(_jobs(spark, other + other[::-1]), _files(spark), None)  # one id, two documents: the least counts
+    assert [r.op_name for r in run.results.collect()] == ["p"]
+
+
+def test_progress(spark):
+    ev = spark.createDataFrame([("a", 1, "x", '{"k": 7}'), ("a", 5, "y", '{"k": 700}'), ("b", 2, "z", "no json"), ("b", 1, "w", None)],
+                               "job_id string, seq long, step string, props string")
+    reports = W.progress_reports(ev)
+    assert sorted((r.job_id, r.seq, r.current, r.total) for r in reports.collect()) == [
+        ("a", 1, 7, 100), ("a", 5, 100, 100), ("b", 1, 0, 100), ("b", 2, 0, 100)]
+    assert sorted((r.job_id, r.step, r.last_seq) for r in W.latest_progress(reports).collect()) == [("a", "y", 5), ("b", "z", 2)]
