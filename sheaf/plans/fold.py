@@ -41,58 +41,52 @@ def whole(parts: Column) -> Column:
     return (F.size(parts) == 1) & p["w"].isNull() & ~p["first"]
 
 
-def operations(ops: Column, names: Column, threats: Column, derived: Column, scanning: bool) -> Column:
-    """What becomes of every operation, in order (``OUT``).
+# One operation: its sources among the artifacts so far, what becomes of it, then its verdict and the gate.
+# (One expression text: hundreds of single calls to build it would take longer than the jobs of a small run.)
+_STEP = """transform(transform(
+  array(named_struct('found', transform(op.inputs, r -> try_element_at(filter(acc.arts, a -> a.name = r), -1)))),
+  s -> named_struct('found', s.found, 'state',
+    CASE WHEN acc.gate THEN '{skipped}' WHEN op.op_type IS NULL THEN '{unknown}'
+         WHEN coalesce(size(op.inputs), 0) <= 0 OR exists(s.found, a -> a IS NULL) THEN '{missing}'
+         WHEN op.op_type NOT IN ({types}) THEN '{unknown}' ELSE '{ran}' END)),
+  s -> named_struct('state', s.state, 'file', get(s.found, 0).file, 'parts', cast(CASE
+    WHEN s.state != '{ran}' THEN NULL
+    WHEN op.op_type = 'merge_pdfs' THEN flatten(transform(s.found, a -> a.parts))
+    WHEN op.op_type = 'thumbnail' THEN transform(
+      CASE WHEN op.pages = 'all' THEN get(s.found, 0).parts ELSE slice(get(s.found, 0).parts, 1, 1) END,
+      p -> named_struct('i', p.i, 'w', least(p.w, CASE WHEN op.width > 0 THEN op.width ELSE {width} END),
+                        'first', p.first OR NOT op.pages <=> 'all'))
+    ELSE get(s.found, 0).parts END AS {parts})))"""
+
+_SETTLED = """transform(transform({step},
+  s -> named_struct('now', s, 'scan', op.op_type <=> 'scan' AND s.state = '{ran}', 'threat', CASE
+    WHEN op.op_type <=> 'scan' AND s.state = '{ran}' THEN CASE
+      WHEN size(s.parts) = 1 AND get(s.parts, 0).w IS NULL AND NOT get(s.parts, 0).first
+      THEN get({threats}, get(s.parts, 0).i) ELSE try_element_at({derived}, op.op_index) END END)),
+  s -> named_struct(
+    'arts', CASE WHEN s.now.state = '{ran}' AND op.op_type IN ('convert_to_pdf', 'merge_pdfs', 'thumbnail')
+      THEN concat(acc.arts, cast(array(named_struct('name', op.op_name, 'file', false, 'parts', s.now.parts)) AS {arts}))
+      ELSE acc.arts END,
+    'gate', acc.gate OR (op.op_type <=> 'scan' AND s.now.state = '{missing}') OR (s.scan AND {bad}),
+    'out', concat(acc.out, cast(array(named_struct('op', op, 'state', s.now.state, 'file', s.now.file,
+                                                   'parts', s.now.parts, 'threat', s.threat)) AS {out}))))"""
+
+
+def operations(ops: str, names: str, threats: str, derived: str, scanning: bool) -> Column:
+    """What becomes of every operation, in order (``OUT``); the arguments are SQL expressions.
 
     names: input names; threats: per input the first signature its file holds, or null; derived:
     map of operation number to the same for scans of anything but a stored file; scanning: False
     without a scanner, when every scan fails.
     """
-    start = F.struct(
-        F.transform(names, lambda n, i: F.struct(
-            n.alias("name"), F.lit(True).alias("file"),
-            F.array(F.struct(i.alias("i"), F.lit(None).alias("w"), F.lit(False).alias("first"))).alias("parts")))
-        .cast(ARTS).alias("arts"),
-        F.lit(False).alias("gate"), F.array().cast(OUT).alias("out"))
-
-    def step(acc: Column, op: Column) -> Column:
-        found = F.transform(op["inputs"], lambda r: F.try_element_at(
-            F.filter(acc["arts"], lambda a: a["name"] == r), F.lit(-1)))
-        kind = op["op_type"]
-        missing = (F.coalesce(F.size(op["inputs"]), F.lit(0)) <= 0) | F.exists(found, lambda a: a.isNull())
-        state = (F.when(acc["gate"], SKIPPED).when(kind.isNull(), UNKNOWN).when(missing, MISSING)
-                 .when(~kind.isin(*OP_TYPES), UNKNOWN).otherwise(RAN))
-        source = F.get(found, F.lit(0))
-        width = F.when(op["width"] > 0, op["width"]).otherwise(F.lit(DEFAULT_WIDTH))
-        cut = F.transform(source["parts"], lambda p: F.struct(
-            p["i"].alias("i"), F.least(p["w"], width).alias("w"), p["first"].alias("first")))
-        head = F.transform(F.slice(cut, 1, 1), lambda p: F.struct(
-            p["i"].alias("i"), p["w"].alias("w"), F.lit(True).alias("first")))
-        parts = (F.when(kind == "merge_pdfs", F.flatten(F.transform(found, lambda a: a["parts"])))
-                 .when((kind == "thumbnail") & (op["pages"] == "all"), cut)
-                 .when(kind == "thumbnail", head)
-                 .otherwise(source["parts"]))
-        return F.struct(acc["arts"].alias("arts"), acc["gate"].alias("gate"), acc["out"].alias("out"),
-                        F.struct(op.cast(OP).alias("op"), state.alias("state"), source["file"].alias("file"),
-                                 F.when(state == RAN, parts).cast(PARTS).alias("parts")).alias("now"))
-
-    def settle(s: Column) -> Column:
-        now = s["now"]
-        op, parts = now["op"], now["parts"]
-        scan, ran = F.coalesce(op["op_type"] == "scan", F.lit(False)), now["state"] == RAN
-        threat = F.when(scan & ran, F.when(whole(parts), F.get(threats, F.get(parts, F.lit(0))["i"]))
-                        .otherwise(F.try_element_at(derived, op["op_index"])))
-        failed = scan & ((now["state"] == MISSING) | (ran & (threat.isNotNull() if scanning else F.lit(True))))
-        made = ran & op["op_type"].isin("convert_to_pdf", "merge_pdfs", "thumbnail")
-        art = F.array(F.struct(op["op_name"].alias("name"), F.lit(False).alias("file"), parts.alias("parts")))
-        out = F.array(F.struct(op.alias("op"), now["state"].alias("state"), now["file"].alias("file"),
-                               parts.alias("parts"), threat.cast(THREAT).alias("threat")))
-        return F.struct(F.when(made, F.concat(s["arts"], art.cast(ARTS))).otherwise(s["arts"]).alias("arts"),
-                        (s["gate"] | failed).alias("gate"), F.concat(s["out"], out.cast(OUT)).alias("out"))
-
-    # a transform of one element names the intermediate values, so that none is worked out twice
-    return F.aggregate(ops, start, lambda acc, op: F.get(
-        F.transform(F.array(step(acc, op)), settle), F.lit(0)))["out"]
+    fixed = {"skipped": SKIPPED, "unknown": UNKNOWN, "missing": MISSING, "ran": RAN, "width": DEFAULT_WIDTH,
+             "types": ", ".join(f"'{t}'" for t in OP_TYPES), "parts": PARTS, "arts": ARTS, "out": OUT,
+             "threats": threats, "derived": derived, "bad": "s.threat IS NOT NULL" if scanning else "true"}
+    settled = _SETTLED.format(step=_STEP.format(**fixed), **fixed)
+    first = ("transform({}, (n, i) -> named_struct('name', n, 'file', true, 'parts', "
+             "array(named_struct('i', i, 'w', cast(null AS int), 'first', false))))").format(names)
+    return F.expr(f"aggregate({ops}, named_struct('arts', cast({first} AS {ARTS}), 'gate', false, "
+                  f"'out', cast(array() AS {OUT})), (acc, op) -> get({settled}, 0)).out")
 
 
 def _page_list(text: Column, image: Column, p: Column, page_chars: int) -> Column:

@@ -121,11 +121,12 @@ def checked_jobs(jobs: Jobs, allowed_buckets=None) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("job_id").isNull(), F.lit(JOB_ID_REQUIRED)).otherwise(F.col("error")))
 
 
-def _derived_scans(inputs: Column, ops: Column) -> Column:
+NO_SCANS = f"cast(map() AS map<int,{fold.THREAT}>)"
+
+
+def _derived_scans() -> Column:
     """(op_index, parts) of scans of what is no stored file: merges and previews."""
-    names = F.transform(inputs, lambda x: x["name"])
-    nothing = F.transform(inputs, lambda x: F.lit(None).cast(fold.THREAT))
-    out = fold.operations(ops, names, nothing, F.create_map().cast(f"map<int,{fold.THREAT}>"), True)
+    out = fold.operations("ops", "inputs.name", f"transform(inputs, x -> cast(null AS {fold.THREAT}))", NO_SCANS, True)
     some = F.filter(out, lambda x: (x["op"]["op_type"] == "scan") & (x["state"] == fold.RAN) & ~fold.whole(x["parts"]))
     return F.transform(some, lambda x: F.struct(x["op"]["op_index"].alias("op_index"), x["parts"].alias("parts")))
 
@@ -152,7 +153,7 @@ def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
     if signatures is None:
         derived = F.array().cast(f"array<struct<op_index:int,parts:{fold.PARTS}>>")
     else:
-        derived = F.when(F.col("error").isNull(), _derived_scans(F.col("inputs"), F.col("ops")))
+        derived = F.when(F.col("error").isNull(), _derived_scans())
     checked = stored(checked.withColumn("derived", derived), "checked-jobs")
     run = checked.filter(F.col("error").isNull())
     rejected = checked.filter(F.col("error").isNotNull()).select("job_id", F.lit(REJECTED).alias("status"), "error")
@@ -161,41 +162,43 @@ def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
     inputs = run.select("job_id", "ops", "derived", alone.alias("alone"), F.posexplode("inputs").alias("input_index", "f"))
     inputs = inputs.select("job_id", "ops", "derived", "alone", F.col("input_index").cast("int"), "f.*")
     no_threat = F.lit(None).cast(fold.THREAT)
-    read = files
     if signatures is None:
-        dl = downloads(inputs, read, max_bytes).withColumn("threat", no_threat)
+        dl = downloads(inputs, files, max_bytes).withColumn("threat", no_threat)
     else:
         scanned = files.join(inputs.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi")
         threats = _threats(scanned.select("bucket", "key", "text"), signatures, ["bucket", "key"])
-        dl = downloads(inputs, read, max_bytes).join(threats, ["bucket", "key"], "left")
+        dl = downloads(inputs, files, max_bytes).join(threats, ["bucket", "key"], "left")
     one = F.struct("name", "bucket", "key", "content_type", "text", "threat")
-    single = (dl.filter(F.col("alone") & F.col("error").isNull())
-              .select("job_id", "ops", F.array(one).cast(fold.INPUTS).alias("ins")))
-    several = (dl.filter(~F.col("alone")).groupBy("job_id")
-               .agg(F.array_sort(F.collect_list(F.struct("input_index", one.alias("f")))).alias("ins"),
-                    F.first("ops").alias("ops"), F.first("derived").alias("derived"), F.count("error").alias("bad"))
-               .filter("bad = 0")
-               .select("job_id", "ops", "derived", F.transform("ins", lambda x: x["f"]).cast(fold.INPUTS).alias("ins")))
-    none = F.create_map().cast(f"map<int,{fold.THREAT}>")
-    single = single.withColumn("found", none)
-    if signatures is None:
-        several = several.withColumn("found", none)
-    else:
-        probe = several.select("job_id", "ins", F.explode("derived").alias("d"))
-        probe = probe.select("job_id", F.col("d.op_index").alias("op_index"),
-                             fold.Parts(F.col("ins"), F.col("d.parts"), page_chars).text().alias("text"))
-        found = (_threats(probe, signatures, ["job_id", "op_index"]).groupBy("job_id")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("op_index", "threat"))).alias("found")))
-        several = several.join(found, "job_id", "left").withColumn("found", F.coalesce("found", none))
-    rows = single.unionByName(several.drop("derived")).select(
-        "job_id", "ins", fold.operations(
-            F.col("ops"), F.transform("ins", lambda x: x["name"]), F.transform("ins", lambda x: x["threat"]),
-            F.col("found"), signatures is not None).alias("out"))
+    rows = (dl.filter(F.col("alone") & F.col("error").isNull())
+            .select("job_id", "ops", F.array(one).cast(fold.INPUTS).alias("ins"), F.expr(NO_SCANS).alias("found")))
+    has = run.agg(F.max(~alone).alias("several"), F.max(F.size("derived") > 0).alias("derived")).first()
+    if has["several"]:
+        rows = rows.unionByName(_several(dl, one, signatures if has["derived"] else None, page_chars))
+    rows = rows.select("job_id", "ins", fold.operations("ops", "ins.name", "ins.threat", "found", signatures is not None)
+                       .alias("out"))
     outcomes = job_outcome(downloads(inputs.drop("ops", "derived", "alone"), files, max_bytes)).unionByName(rejected)
     return JobRun(_results(rows, page_chars, signatures is not None), outcomes, _artifacts(rows, page_chars),
                   _artifact_pages(rows, page_chars), checked.select("job_id", "inputs", "ops", "error"))
 
 
+def _several(dl: DataFrame, one: Column, signatures: DataFrame | None, page_chars: int) -> DataFrame:
+    """(job_id, ops, ins, found) of jobs whose texts meet by job; found: verdicts of their derived scans."""
+    rows = (dl.filter(~F.col("alone")).groupBy("job_id")
+            .agg(F.array_sort(F.collect_list(F.struct("input_index", one.alias("f")))).alias("ins"),
+                 F.first("ops").alias("ops"), F.first("derived").alias("derived"), F.count("error").alias("bad"))
+            .filter("bad = 0")
+            .select("job_id", "ops", "derived", F.transform("ins", lambda x: x["f"]).cast(fold.INPUTS).alias("ins")))
+    if signatures is None:
+        return rows.select("job_id", "ops", "ins", F.expr(NO_SCANS).alias("found"))
+    probe = rows.select("job_id", "ins", F.explode("derived").alias("d"))
+    probe = probe.select("job_id", F.col("d.op_index").alias("op_index"),
+                         fold.Parts(F.col("ins"), F.col("d.parts"), page_chars).text().alias("text"))
+    found = (_threats(probe, signatures, ["job_id", "op_index"]).groupBy("job_id")
+             .agg(F.map_from_entries(F.collect_list(F.struct("op_index", "threat"))).alias("found")))
+    return rows.join(found, "job_id", "left").select(
+        "job_id", "ops", "ins", F.coalesce("found", F.expr(NO_SCANS)).alias("found"))
+
+
 def _results(rows: DataFrame, page_chars: int, scanning: bool) -> DataFrame:
     """One row per operation of the rows' jobs."""
     r = rows.select("job_id", "ins", F.explode("out").alias("r")).select(
