@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 5
-SHARE = 1 << 22
+SHARE = 1 << 20
 HEAD, HEAD_BYTES = 1 << 21, 32
 SYMBOLS = 257  # bytes and the end mark
 START, END = 255, 254  # no byte of UTF-8 text
