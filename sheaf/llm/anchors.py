@@ -26,14 +26,15 @@ LEAST = 64  # rows that a hot anchor has at least
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, wide: bool = False) -> DataFrame:
     """(id, h, text): the id with null as the least, a checksum of the text, the text or ''.
 
-    Rows with one id and different texts stay apart by h; equal rows get equal results.
+    Rows with one id and different texts stay apart by h, of 32 bits or (``wide``) of 64; equal rows
+    get equal results.
     """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-                       F.crc32(text.cast("binary")).alias("h"), text.alias("text"))
+    h = F.xxhash64(text) if wide else F.crc32(text.cast("binary"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), h.alias("h"), text.alias("text"))
 
 
 def runs(least: np.ndarray, doc: np.ndarray, last_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +91,11 @@ def spans_of(flags: np.ndarray, run_of: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at[np.concatenate([[0], cut + 1])], at[np.append(cut, len(at) - 1)]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, wide: bool = False) -> DataFrame:
     """(doc_id, text, spans) of every document; ``spans`` (id, h, first, end) are collected per document,
     once for all rows that are repeated."""
     of = spans.groupBy("id", "h").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    joined = keyed(docs).join(of, ["id", "h"], "left")
+    joined = keyed(docs, wide).join(of, ["id", "h"], "left")
     kind = docs.schema["doc_id"].dataType
     return joined.select(F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias("doc_id"), "text", "spans")
 

@@ -164,7 +164,7 @@ def repeated_hot(docs: DataFrame, hot: np.ndarray, k: int, gram: int) -> DataFra
 
 def repeated_spans(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
     """(id, h, first, end): words of ``docs`` covered by a window of k words that occurs again."""
-    d = anchors.keyed(docs)
+    d = anchors.keyed(docs, wide=True)
     hot = anchors.hot(d, lambda batch: paths(batch, k, gram)[1])
     spans = repeated_in_paths(path_rows(d, hot, k, gram), k)
     if len(hot):
@@ -179,7 +179,7 @@ def digests(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
 
 def without_repeats(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words left, joined by one space."""
-    rows = anchors.with_spans(docs, repeated_spans(docs, k, gram))
+    rows = anchors.with_spans(docs, repeated_spans(docs, k, gram), wide=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, limit=PIECE):

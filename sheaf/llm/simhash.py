@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
-    t = common.texts(docs).withColumn("h", F.crc32(F.col("text").cast("binary")))
+    t = common.texts(docs).withColumn("h", F.xxhash64("text"))
     return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, h long, fp long")
 
 
@@ -204,24 +204,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = 3, k: int = 2) -> DataFrame:
-    """(doc_id, h, fp, component_id) of every document."""
+    """(doc_id, h, fp, root, component_id) of every document; root: the component's own key, its least fingerprint."""
     fp = common.stored(fingerprints(docs, shingle), "fingerprints")
     distinct = common.stored(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     star = components(links(distinct, k)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = distinct.join(star, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return fp.join(of_fp, "fp").select("doc_id", "h", "fp", "component_id")
+    of_fp = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return fp.join(of_fp, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3, k: int = 2) -> DataFrame:
-    """One row of ``docs`` for each component, as it is: that of the smallest doc_id."""
-    first = (groups(docs, shingle, k).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.col("doc_id").alias("id"), F.col("h").alias("sum")).distinct())
+    """One row of ``docs`` for each component, as it is: that of the smallest doc_id.
+
+    Of different texts under that id (or under none, where no id is known) the one with the least hash
+    stays, of rows with one id and text the one whose columns (maps aside) have the least hash.
+    """
+    mine = groups(docs, shingle, k).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = (mine.groupBy("root").agg(F.first("doc_id").alias("id"), F.min("h").alias("sum"))
+             .select("id", "sum").distinct())
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("of"),
-                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.xxhash64(*plain).alias("tie"))
     kept = rows.join(first, F.col("of").eqNullSafe(F.col("id")) & (F.col("h") == F.col("sum")), "left_semi")
-    return kept.groupBy("of", "h").agg(F.first("row").alias("row")).select("row.*")
+    return kept.groupBy("of", "h").agg(F.min_by("row", "tie").alias("row")).select("row.*")
 
 
 def hexadecimal(fp="fp"):

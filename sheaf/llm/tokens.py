@@ -12,13 +12,16 @@ metadata columns asked for, so their names clash with nothing). ``read_starts``
 adds up the parts: their number is the number of partitions.
 
 Defined results: null text is empty and becomes the end id alone; equal
-doc_ids are ordered by text; a null doc_id comes first; an empty table gives
+doc_ids are ordered by the text's crc32, then by text, however many partitions
+there are; a null doc_id comes first; an empty table gives
 no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -33,19 +36,23 @@ from . import common
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 500
-MEMO_ENTRIES = 400_000  # words remembered per generation; two generations are kept
+MEMO_ENTRIES = 200_000  # words remembered by a task; beyond it, those of the texts at hand
+TOGETHER = 2_000  # new words encoded in one call
+PIECE = 2 << 20  # bytes of text handled at once
 
 
 class WordEncoder:
     """The library's ids of whole texts, with whole words between single spaces remembered.
 
     A single space between two non-space characters always starts a new piece,
-    so a word with its space encodes alike everywhere. New words of a slice
-    are encoded in one call, joined by single spaces; a new word begins at
-    each id whose token begins with the space letter.
+    so a word with its space encodes alike everywhere. Arrow cuts the texts and numbers their
+    different words; new ones are encoded in one call, joined by single spaces (a new word begins at
+    each id whose token begins with the space letter), and a text's ids are gathered from its words'.
+    Texts with other white space at a word's edge or with special tokens are encoded as they are.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads hold memory
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -55,53 +62,89 @@ class WordEncoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[t for s, t in vocab.items() if s.startswith("Ġ")]] = True  # letter of the space byte
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo, self.old = {}, {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    @staticmethod
-    def _safe(word: str) -> bool:
-        return bool(word) and not word[0].isspace() and not word[-1].isspace()
-
-    def _learn(self, words: set[str]) -> None:
-        missing = words.difference(self.memo)
-        if len(self.memo) + len(missing) > MEMO_ENTRIES:
-            self.memo, self.old, missing = {}, self.memo, words
-        memo, old, new = self.memo, self.old, []
-        for w in missing:
-            got = old.get(w)
-            if got is not None:
-                memo[w] = got
-            elif self._safe(w):
-                new.append(w)
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def _keep(self, words: list[str]) -> None:
+        """Remember these of the remembered words alone."""
+        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        starts, sizes = np.cumsum(self.sizes, dtype=np.int64) - self.sizes, self.sizes[at]
+        begins = np.cumsum(sizes, dtype=np.int64) - sizes
+        self.ids = self.ids[np.arange(sizes.sum()) + np.repeat(starts[at] - begins, sizes)]
+        self.memo, self.sizes = dict(zip(words, range(len(words)))), sizes
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        parts, sizes = [self.ids], [self.sizes]
+        for at in range(0, len(new), TOGETHER):
+            some = new[at:at + TOGETHER]
+            ids = self._plain([" " + " ".join(some)])[0]
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(some):
                 raise ValueError("words do not match their ids")
-            data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-            start = 0
-            for w, end in zip(some, ends):
-                memo[w] = data[start:end]
-                start = end
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        cut = [c if c is not None and not c[0][-1:].isspace() else None for c in cut]
-        seen = set()
-        for c in cut:
-            if c is not None:
-                seen.update(c[1:])
-        self._learn(seen)
-        get, out = self.memo.__getitem__, []
-        for t, c in zip(texts, cut):
-            try:
-                out.append(self._plain(t) if c is None else self._plain(c[0]) + b"".join(map(get, c[1:])))
-            except KeyError:  # a word with another space at its edge: the whole text at once
-                out.append(self._plain(t))
-        return out
+            parts.append(ids)
+            sizes.append(np.diff(np.append(cuts, len(ids))).astype(np.int32))
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+        self.ids, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+
+    def _entries(self, words: list[str], used: np.ndarray) -> np.ndarray:
+        """Number of each word's ids; -1 for words that are not ``used`` or have other white space at an edge."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self._keep([w for w in words if w in self.memo])
+        entry = np.fromiter(map(self.memo.get, words, itertools.repeat(-1)), np.int32, len(words))
+        new = [i for i in np.flatnonzero((entry < 0) & used).tolist() if words[i] and words[i].strip() == words[i]]
+        entry[new] = np.arange(len(self.memo), len(self.memo) + len(new), dtype=np.int32)
+        self._learn([words[i] for i in new])
+        return entry
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each closed by ``end_id`` if given, and the number of each."""
+        n = len(texts)
+        lists = pa.compute.split_pattern(texts.cast(pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        words = lists.flatten().dictionary_encode()
+        offsets, which = offsets - offsets[0], words.indices.to_numpy()
+        different = words.dictionary.to_pylist()
+        first_at = offsets[:-1]
+        spaced = np.ones(len(which), bool)
+        spaced[first_at] = False  # a text's first word has no space before it
+        used = np.zeros(len(different), bool)
+        used[which[spaced]] = True
+        entry = self._entries(different, used)[which]
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+        slow = np.zeros(n, bool)
+        slow[row[spaced & (entry < 0)]] = True
+        firsts = [different[i] for i in which[first_at].tolist()]
+        slow |= np.fromiter((w[-1:].isspace() for w in firsts), bool, n)
+        for s in self.special:
+            slow |= pa.compute.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        # entries of this batch after the remembered ones: texts encoded whole, first words, the end
+        whole = texts.filter(pa.array(slow)).to_pylist()
+        begin = sorted({w for w, is_slow in zip(firsts, slow.tolist()) if not is_slow})
+        extra = self._plain(whole + begin)
+        place = {w: len(self.memo) + len(whole) + k for k, w in enumerate(begin)}
+        entry[first_at] = np.where(slow, len(self.memo) + np.cumsum(slow) - 1,
+                                   np.fromiter((place.get(w, 0) for w in firsts), np.int64, n))
+        kept = ~slow[row]
+        kept[first_at] = True
+        entry, row = entry[kept], row[kept]
+        if end_id is not None:  # one more entry after those of each row
+            extra.append(np.array([end_id], np.uint32))
+            closed = np.full(len(entry) + n, len(self.memo) + len(extra) - 1, np.int32)
+            closed[np.arange(len(entry)) + row] = entry
+            entry, row = closed, np.repeat(np.arange(n, dtype=np.int32), np.bincount(row, minlength=n) + 1)
+        ids = np.concatenate([self.ids, *extra])
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, extra), np.int32, len(extra))])
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        each = sizes[entry].astype(np.int64)
+        at = np.arange(each.sum()) + np.repeat(starts[entry] - (np.cumsum(each) - each), each)
+        counts = np.bincount(row, weights=each, minlength=n).astype(np.int64)
+        return ids[at], counts
 
 
 @functools.cache
@@ -115,16 +158,15 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     common.ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
                        (F.struct(*meta) if meta else F.lit(None).cast("int")).alias("meta"))
-    rows = rows.repartitionByRange("doc_id", F.crc32(F.col("text").cast("binary"))).sortWithinPartitions("doc_id", "text")
-    end = np.uint32(end_id).tobytes()
+    order = ["doc_id", F.crc32(F.col("text").cast("binary"))]  # rows of one id are dealt out too
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, start, part = encoder(vocabulary), 0, TaskContext.get().partitionId()
-        for batch in common.pieces(batches):
-            ids = [x + end for x in enc.encode(batch.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+        for batch in common.pieces(batches, limit=PIECE):
+            ids, n = enc.encode(batch.column("text"), end_id)
             ends = np.cumsum(n)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            values = pa.array(ids.view(np.int32))
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n),
                 pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values),

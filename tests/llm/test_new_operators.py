@@ -17,7 +17,7 @@ from sentencepiece import SentencePieceProcessor
 from test_operators import awkward, frame, got
 from tokenizers import Tokenizer
 
-from sheaf.llm import alignment, common, queries, url_filter, variants
+from sheaf.llm import alignment, common, debruijn, queries, simhash, tokens, url_filter, variants
 
 SF = "/root/testdata/sf0.001"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -320,3 +320,40 @@ def test_url_query_is_its_statement(spark):
 @pytest.mark.parametrize("of", [lambda d: alignment.link_counts(d, A, B), variants.variants])
 def test_empty_table(spark, of):
     assert of(frame(spark, awkward()).limit(0)).collect() == []
+
+
+# ---- rows that ids do not tell apart --------------------------------------------------
+
+
+def test_one_representative_a_component(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away from all of them"
+    rows = [(None, text, 1), (None, text.upper(), 2), (3, "another text with other words in it", 3),
+            (3, "Another text with other words in it", 4), (3, "another text with other words in it", 5), (None, "", 6), (9, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    kept = [tuple(r) for r in simhash.representatives(docs).collect()]
+    assert len(kept) == 3 and {r[0] for r in kept} == {None, 3, 9}
+    assert sorted(map(repr, kept)) == sorted(repr(tuple(r)) for r in simhash.representatives(docs.repartition(5)).collect())
+
+
+def test_texts_with_one_crc32_keep_their_own_spans(spark):
+    """Two texts without an id and with one crc32: the one that repeats nothing keeps all."""
+    alone, twice = (" ".join(f"a{i}x{k}" for k in range(40)) for i in (14895, 204006))
+    assert zlib.crc32(alone.encode()) == zlib.crc32(twice.encode())
+    docs = spark.createDataFrame([(None, alone), (None, twice), (5, twice)], "doc_id long, text string")
+    removed = sorted((r["doc_id"] or 0, r["n_removed"]) for r in debruijn.digests(docs).collect())
+    assert removed == [(0, 0), (0, 40), (5, 40)]
+
+
+def test_starts_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 9} " * 40) for i in range(60)], "doc_id long, text string")
+    got = []
+    for n in (1, 4):
+        path = common.scratch_path(spark, "starts")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            tokens.write_token_files(docs.repartition(n), path, A, end_id=2)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        got.append(sorted((r["start"], tuple(r["ids"])) for r in tokens.read_starts(spark, path, ["ids"]).collect()))
+    assert got[0] == got[1]
