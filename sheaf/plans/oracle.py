@@ -707,3 +707,4 @@ SQL["apply_backend"] = """
 SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines,
        NULL::VARCHAR AS backend_error
 FROM documents"""
+SQL["stream_jobs_repeated"] = SQL["stream_jobs"]

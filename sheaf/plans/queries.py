@@ -610,16 +610,27 @@ def q_url_hosts(spark, sf):
 # ---- I: streaming -------------------------------------------------------------
 
 
-@query("stream_jobs")
-def q_stream_jobs(spark, sf):
+def _streamed(spark, sf, deliveries):
     landing = scratch_dir(spark, "submissions")
-    document_jobs_json(T(spark, sf, "documents")).write.text(landing)
+    for _ in range(deliveries):
+        document_jobs_json(T(spark, sf, "documents")).write.mode("append").text(landing)
     q, out = ST.stream_jobs(ST.submissions(spark, landing), doc_files(spark, sf), bench_signatures(spark, sf),
                             page_chars=PAGE_CHARS)
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 
 
+@query("stream_jobs")
+def q_stream_jobs(spark, sf):
+    return _streamed(spark, sf, 1)
+
+
+@query("stream_jobs_repeated")
+def q_stream_jobs_repeated(spark, sf):
+    """Every job is delivered twice, and runs once."""
+    return _streamed(spark, sf, 2)
+
+
 @query("stream_job_state")
 def q_stream_job_state(spark, sf):
     ledger = L.events_as_ledger(ST.stream_table(spark, sf, "events"))
