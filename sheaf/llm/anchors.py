@@ -26,7 +26,7 @@ LEAST = 64  # rows that a hot anchor has at least
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
-def keyed(docs: DataFrame, wide: bool = False) -> DataFrame:
+def keyed(docs: DataFrame, wide: bool = True) -> DataFrame:
     """(id, h, text): the id with null as the least, a checksum of the text, the text or ''.
 
     Rows with one id and different texts stay apart by h, of 32 bits or (``wide``) of 64; equal rows
@@ -37,6 +37,11 @@ def keyed(docs: DataFrame, wide: bool = False) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), h.alias("h"), text.alias("text"))
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether an id (or null) occurs in more than one row: ids alone are read and counted."""
+    return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
 def runs(least: np.ndarray, doc: np.ndarray, last_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of every maximal run of neighbouring windows with one anchor.
 
@@ -91,7 +96,7 @@ def spans_of(flags: np.ndarray, run_of: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at[np.concatenate([[0], cut + 1])], at[np.append(cut, len(at) - 1)]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, wide: bool = False) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, wide: bool = True) -> DataFrame:
     """(doc_id, text, spans) of every document; ``spans`` (id, h, first, end) are collected per document,
     once for all rows that are repeated."""
     of = spans.groupBy("id", "h").agg(F.collect_set(F.struct("first", "end")).alias("spans"))

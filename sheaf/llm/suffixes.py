@@ -147,8 +147,10 @@ def classes(data: np.ndarray, starts: np.ndarray, length: int, shallow: int = SH
     return order, np.cumsum(new)
 
 
-def candidate_runs(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame:
-    """(id, h, starts): starts of the runs whose anchor stands in another document too."""
+def candidate_runs(docs: DataFrame, hot: np.ndarray, length: int, gram: int, wide: bool) -> DataFrame:
+    """(id, h, first): starts of the runs whose anchor stands in another document too. With an h of 32 bits
+    (not ``wide``) h and the start travel as one number."""
+    names = ["anchor", "id", "h", "first"] if wide else ["anchor", "id", "place"]
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +158,16 @@ def candidate_runs(docs: DataFrame, hot: np.ndarray, length: int, gram: int) ->
             _, anchor, _, _, row, first = runs_of(batch, length, gram)
             cold = ~anchors.is_in(anchor, shared.value)
             row, first = row[cold], first[cold]
-            place = (batch.column("h").to_numpy()[row] << 32) | first
-            yield pa.record_batch([pa.array(anchor[cold].view(np.int64)), batch.column("id").take(pa.array(row)),
-                                   pa.array(place)], ["anchor", "id", "place"])
+            h = batch.column("h").to_numpy()[row]
+            place = [pa.array(h), pa.array(first.astype(np.int64))] if wide else [pa.array((h << 32) | first)]
+            yield pa.record_batch([pa.array(anchor[cold].view(np.int64)), batch.column("id").take(pa.array(row)), *place], names)
 
     def shared_by_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor and id; of each anchor only rows of its first id wait for another id."""
-        held = np.zeros((3, 0), np.int64)
+        held = np.zeros((len(names), 0), np.int64)
         passed = None  # an anchor whose rows all pass by now
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("anchor", "id", "place")])], axis=1)
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in names])], axis=1)
             if not rows.shape[1]:
                 continue
             head = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
@@ -177,11 +179,14 @@ def candidate_runs(docs: DataFrame, hot: np.ndarray, length: int, gram: int) ->
             ok = more[group]
             wait = ~ok & (group == len(head) - 1)
             passed = rows[0, -1] if more[-1] else None
-            yield pa.record_batch([pa.array(rows[1, ok]), pa.array(rows[2, ok])], ["id", "place"])
+            yield pa.record_batch([pa.array(r[ok]) for r in rows[1:]], names[1:])
             held = rows[:, wait]
 
-    rows = (docs.mapInArrow(emit, "anchor long, id long, place long")
-            .repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(shared_by_documents, "id long, place long"))
+    kinds = [f"{c} long" for c in names]
+    rows = (docs.mapInArrow(emit, ", ".join(kinds)).repartition("anchor").sortWithinPartitions("anchor", "id")
+            .mapInArrow(shared_by_documents, ", ".join(kinds[1:])))
+    if wide:
+        return rows.select("id", "h", F.col("first").cast("int").alias("first"))
     return rows.select("id", F.shiftrightunsigned("place", 32).alias("h"),
                        F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("first"))
 
@@ -281,15 +286,19 @@ def repeated_hot(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> Da
                 ["bytes", "id", "h", "first"])
 
     rows = common.stored(docs.mapInArrow(emit, "bytes binary, id long, h long, first int"), "hot-windows")
-    least = rows.groupBy("bytes").agg(F.min("id").alias("least"))
+    least = rows.groupBy("bytes").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least").drop("most")
+    least = common.stored(least, "hot-least")  # a join with an aggregate in the same stage cannot be split
     return rows.join(least, "bytes").where("id > least").select("id", "h", "first", (F.col("first") + length).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, h, first, end): bytes covered by a string of ``length`` bytes that also starts in a smaller document."""
-    d = anchors.keyed(docs)
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: bool = True) -> DataFrame:
+    """(id, h, first, end): bytes covered by a string of ``length`` bytes that also starts in a smaller document.
+
+    wide: rows of one id are told apart by 64 bits of their text; 32 do only where no id occurs twice.
+    """
+    d = anchors.keyed(docs, wide)
     hot = anchors.hot(d, lambda batch: runs_of(batch, length, gram)[1])
-    starts = common.stored(candidate_runs(d, hot, length, gram), "candidates")
+    starts = common.stored(candidate_runs(d, hot, length, gram, wide), "candidates")
     spans = repeated_in_runs(run_rows(d, starts, length, gram), length)
     if len(hot):
         spans = spans.unionByName(common.stored(repeated_hot(d, hot, length, gram), "hot-spans"))  # own plan: skew can be split
@@ -298,7 +307,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every document."""
-    rows = anchors.with_spans(docs, repeated_spans(docs, length, gram))
+    wide = anchors.ids_repeat(docs)
+    rows = anchors.with_spans(docs, repeated_spans(docs, length, gram, wide), wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
