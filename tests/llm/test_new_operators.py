@@ -17,7 +17,7 @@ from sentencepiece import SentencePieceProcessor
 from test_operators import awkward, frame, got
 from tokenizers import Tokenizer
 
-from sheaf.llm import alignment, common, debruijn, queries, simhash, tokens, url_filter, variants
+from sheaf.llm import alignment, common, debruijn, queries, secret_scan, simhash, suffixes, tokens, url_filter, variants
 
 SF = "/root/testdata/sf0.001"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -344,6 +344,16 @@ def test_texts_with_one_crc32_keep_their_own_spans(spark):
     assert removed == [(0, 0), (0, 40), (5, 40)]
 
 
+@pytest.mark.parametrize("least", [64, 1])  # with 1, windows take the route of hot anchors
+def test_bytes_of_texts_with_one_id_and_crc32_keep_their_own_spans(spark, monkeypatch, least):
+    monkeypatch.setattr(suffixes.anchors, "LEAST", least)
+    alone, twice = (" ".join(f"a{i}x{k}" for k in range(40)) for i in (14895, 204006))
+    rows = [(9, alone), (9, twice), (5, twice), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffixes.digests(docs).collect())
+    assert removed == [(0, 0), (5, 0), (9, 0), (9, len(twice))]
+
+
 def test_starts_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame([(7, f"text {i % 9} " * 40) for i in range(60)], "doc_id long, text string")
     got = []
@@ -357,3 +367,48 @@ def test_starts_do_not_depend_on_partitions(spark):
             spark.conf.set("spark.sql.shuffle.partitions", before)
         got.append(sorted((r["start"], tuple(r["ids"])) for r in tokens.read_starts(spark, path, ["ids"]).collect()))
     assert got[0] == got[1]
+
+
+# ---- secret scans ---------------------------------------------------------------------
+
+
+def test_candidates_short_values_and_long_runs():
+    text = "pwd=Abc12345 and key: 'zz9plural' passwd=hunter22 " + "Q" * 20 + " name:abc " + "k=" + "w" * 30
+    found = {text[s:e]: known for s, e, known, _ in secret_scan.candidates(text, secret_scan.base_spans(text))}
+    assert found == {"Abc12345": False, "zz9plural": False, "hunter22": True, "passwd=hunter22"[7:]: True, "Q" * 20: False, "k=" + "w" * 30: False}
+    windows = secret_scan.candidates("x" * 5000, [])[0][3]
+    seen = windows[0][secret_scan.BEFORE:] + "".join(w[secret_scan.BEFORE + secret_scan.INSIDE - secret_scan.STRIDE:] for w in windows[1:])
+    assert len(windows) > 100 and len(seen) == 5000  # to the end, nothing left out
+
+
+def finding_rows():
+    """900 documents, a third with a key assignment; some others hold the same kind of value after a plain name."""
+    r = random.Random(3)
+    value = lambda: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(24))
+    plain = lambda: "-".join(r.choice(["ordinary", "words", "joined", "here", "with", "hyphens"]) for _ in range(4))
+    return [(i, f"see {plain()} and config {'api_key' if i % 3 == 0 else 'note'}: {value() if i % 3 == 0 else plain()} end"
+             + (f" credential: {value()}" if i % 30 == 1 else "")) for i in range(900)]
+
+
+def test_network_reaches_held_out_findings_and_the_spans_are_its_verdicts(spark):
+    docs = spark.createDataFrame(finding_rows(), "doc_id long, text string")
+    r = secret_scan.recall(docs).first()
+    assert r["n_findings"] > 60 and r["n_reached"] >= 0.9 * r["n_findings"]
+    net = secret_scan.fit(common.stored(secret_scan.findings(docs), "found"))
+    rows = {x["doc_id"]: x for x in secret_scan.scan(docs).collect()}
+    n_model = 0
+    for i, text in finding_rows():
+        base = secret_scan.base_spans(text)
+        more = [(3, s, e) for s, e, known, w in secret_scan.candidates(text, base) if not known
+                and max(net.probability(net.logits(secret_scan.codes([x]))[0]) for x in w) >= net.threshold]
+        assert [tuple(x) for x in rows[i]["spans"]] == sorted(base + more, key=lambda s: (s[1], s[0]))
+        n_model += len(more)
+    assert n_model < 200
+
+
+def test_secrets_of_empty_tables_and_of_one_class(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_chars int")
+    assert secret_scan.digests(empty).count() == secret_scan.masked(empty).count() == secret_scan.recall(empty).count() == 0
+    nothing = spark.createDataFrame([(1, None), (None, ""), (1, "password=hunter2hunter2")], "doc_id long, text string")
+    assert sorted(r["spans"] for r in secret_scan.digests(nothing).collect()) == ["", "", "assign:0:23"]
+    assert {r["text"] for r in secret_scan.masked(nothing).collect()} == {None, "", "[secret]"}

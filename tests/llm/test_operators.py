@@ -274,7 +274,7 @@ def test_secrets(spark, docs, rows, some):
     x = secret_scan.codes([("k%d: " % i).rjust(20) + ("".join(random.Random(i).choice("0123456789abcdef") for _ in range(20)) if i % 2 else "ordinary-words-here") for i in range(200)])
     y = np.arange(200) % 2 * 1.0
     net.train(x[:120], y[:120])
-    net.calibrate(x[120:160], y[120:160])
+    net.calibrate(net.logits(x[120:160]), y[120:160])
     p = net.probability(net.logits(x[160:]))
     assert ((p >= net.threshold) == (y[160:] == 1)).mean() > 0.9
 
