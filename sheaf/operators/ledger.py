@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import OUTPUT_SCHEMA
+from ..session import stored
 
 # Job type tag, statuses, outcomes.
 JOB_TYPE = "file_processing"
@@ -50,17 +51,30 @@ def job_state(ledger: DataFrame) -> DataFrame:
 
     One aggregation: min over terminal (seq, status, error), max over all.
     """
+    return resolved_state(partial_state(ledger))
+
+
+def partial_state(ledger: DataFrame) -> DataFrame:
+    """(job_id, f, l, n): first terminal event, latest event and number of events of each job."""
     final = F.col("status").isin(*FINAL)
     return (ledger.groupBy("job_id")
             .agg(F.min(F.when(final, F.struct("seq", "status", "error"))).alias("f"),
                  F.max(F.struct("seq", "status")).alias("l"),
-                 F.count(F.lit(1)).alias("n_events"))
-            .select("job_id",
-                    F.coalesce(F.col("f.status"), F.col("l.status")).alias("status"),
-                    F.col("f.error").alias("error"),
-                    F.col("f.seq").alias("final_seq"),
-                    F.col("l.seq").alias("last_seq"),
-                    F.col("n_events").cast("bigint")))
+                 F.count(F.lit(1)).cast("bigint").alias("n")))
+
+
+def merged_state(partials: DataFrame) -> DataFrame:
+    """Partial states of the same jobs, from different events, as one each."""
+    return partials.groupBy("job_id").agg(F.min("f").alias("f"), F.max("l").alias("l"), F.sum("n").alias("n"))
+
+
+def resolved_state(partials: DataFrame) -> DataFrame:
+    return partials.select("job_id",
+                           F.coalesce(F.col("f.status"), F.col("l.status")).alias("status"),
+                           F.col("f.error").alias("error"),
+                           F.col("f.seq").alias("final_seq"),
+                           F.col("l.seq").alias("last_seq"),
+                           F.col("n").cast("bigint").alias("n_events"))
 
 
 def get_jobs(state: DataFrame, requests: DataFrame, id_col: str = "job_id") -> DataFrame:
@@ -98,19 +112,25 @@ def cancel_jobs(state: DataFrame, requests: DataFrame, order_col: str = "request
 
     Empty id -> JOB_ID_REQUIRED; unknown -> NOT_FOUND; final -> ALREADY_FINAL;
     otherwise the first request for the job in the batch is accepted and the
-    later ones find it final. First request per job: an aggregate joined back.
+    later ones find it final. Of requests with one order value a single one is
+    accepted: rows are numbered in a written copy. The first request of each job
+    is an aggregate, written before it is joined back, so that AQE can split the
+    join of a job that holds a large share of the requests.
     """
-    first = (requests.groupBy(id_col).agg(F.min(order_col).alias("__first")))
+    numbered = stored(requests.withColumn("__row", F.monotonically_increasing_id()), "cancel-requests")
+    first = (numbered.groupBy(id_col).agg(F.min(F.struct(F.col(order_col).alias("o"), F.col("__row").alias("r"))).alias("__first"))
+             .select(id_col, F.col("__first.r").alias("__first")))
+    first = stored(first, "cancel-first")
     s = state.select(F.col("job_id").alias("__jid"), F.col("status").alias("__st"))
     blank = F.col(id_col).isNull() | (F.col(id_col) == "")
-    return (requests.join(first, id_col, "left")
+    return (numbered.join(first, id_col, "left")
             .join(s, F.col(id_col) == F.col("__jid"), "left")
             .withColumn("outcome", F.when(blank, F.lit(JOB_ID_REQUIRED))
                         .when(F.col("__jid").isNull(), F.lit(NOT_FOUND))
                         .when(F.col("__st").isin(*FINAL), F.lit(ALREADY_FINAL))
-                        .when(F.col(order_col) == F.col("__first"), F.lit(ACCEPTED))
+                        .when(F.col("__row") == F.col("__first"), F.lit(ACCEPTED))
                         .otherwise(F.lit(ALREADY_FINAL)))
-            .drop("__first", "__jid", "__st"))
+            .drop("__first", "__row", "__jid", "__st"))
 
 
 def cancel_events(outcomes: DataFrame, seq: Column) -> DataFrame:

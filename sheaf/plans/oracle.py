@@ -708,3 +708,15 @@ SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT A
        NULL::VARCHAR AS backend_error
 FROM documents"""
 SQL["stream_jobs_repeated"] = SQL["stream_jobs"]
+SQL["job_snapshot"] = STATE
+SQL["get_jobs_snapshot"] = SQL["get_jobs"]
+SQL["cancel_jobs_repeated"] = f"""
+WITH q AS ({REQUESTS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY request_id) AS k
+      FROM (SELECT * FROM q UNION ALL SELECT * FROM q) u)
+SELECT r.request_id, r.job_id,
+  CASE WHEN r.job_id IS NULL OR r.job_id = '' THEN 'JOB_ID_REQUIRED'
+       WHEN s.job_id IS NULL THEN 'NOT_FOUND'
+       WHEN s.status IN ('completed', 'failed', 'cancelled') THEN 'ALREADY_FINAL'
+       WHEN r.k = 1 THEN 'CANCELLED' ELSE 'ALREADY_FINAL' END AS outcome
+FROM r LEFT JOIN ({STATE}) s ON s.job_id = r.job_id"""

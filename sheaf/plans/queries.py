@@ -24,6 +24,7 @@ from ..sources.jobs import explode_jobs, parse_jobs
 from ..sources.sinks import upload_plan, write_artifacts, write_structure
 from ..sources.tables import document_jobs_json, order_jobs, page_jobs_json
 from ..streaming import jobs as ST
+from ..streaming import snapshot as SN
 from .registry import query
 
 PAGE_CHARS = 1800
@@ -639,6 +640,34 @@ def q_stream_job_state(spark, sf):
     return ST.read_job_state(spark, out)
 
 
+def _snapshot(spark, sf):
+    """The ledger appended in five parts, the third of them twice under its number, merged after every second."""
+    root = scratch_dir(spark, "job-state")
+    events = T(spark, sf, "events")
+    for n in (0, 1, 2, 2, 3, 4):
+        part = events.filter(F.pmod(F.col("event_id"), F.lit(5)) == n)
+        SN.append(L.events_as_ledger(part), root, n, compact_every=2)
+    return root
+
+
+@query("job_snapshot")
+def q_job_snapshot(spark, sf):
+    return SN.read(spark, _snapshot(spark, sf))
+
+
+@query("get_jobs_snapshot")
+def q_get_jobs_snapshot(spark, sf):
+    return SN.get_jobs(spark, _snapshot(spark, sf), job_requests(spark, sf)).select(
+        "request_id", "job_id", "status", "error")
+
+
+@query("cancel_jobs_repeated")
+def q_cancel_jobs_repeated(spark, sf):
+    """Every cancel request comes twice with its id: one of the two is accepted, the other finds the job final."""
+    r = job_requests(spark, sf)
+    return L.cancel_jobs(ledger_state(spark, sf), r.unionByName(r)).select("request_id", "job_id", "outcome")
+
+
 # ---- J: user backend ------------------------------------------------------------
 
 

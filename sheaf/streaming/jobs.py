@@ -9,9 +9,9 @@
   (exactly-once effect). The checkpoint records which batches are done: a
   restart does not redo them.
 * ``stream_job_state``: ledger events -> per-job state, deduplicated on
-  (job_id, seq) however late they come; state is the first-terminal-wins aggregate of
-  ``job_state``; each batch appends the jobs it changed (update mode) and
-  ``read_job_state`` takes the latest row per job.
+  (job_id, seq) for ``REMEMBERED`` after an event's first arrival; state is the
+  first-terminal-wins aggregate of ``job_state``, kept as a written snapshot to
+  which each batch appends (see snapshot.py), so that jobs are no streaming state.
 
 Folders default to fresh sub-folders of ``spark.checkpoint.dir``, which on a
 cluster must be a shared file system.
@@ -27,7 +27,7 @@ from ..plans import workflow as W
 from ..schema import JOB_SCHEMA
 from ..session import scratch_dir
 from ..sources.jobs import explode_jobs
-
+from . import snapshot
 
 REMEMBERED = "30 days"
 
@@ -87,42 +87,38 @@ def stream_jobs(submitted: DataFrame, files: DataFrame, signatures: DataFrame |
     return w.start(), out_dir
 
 
-def dedup_ledger(ledger: DataFrame, watermark: str | None = None) -> DataFrame:
+def dedup_ledger(ledger: DataFrame, remembered: str = REMEMBERED) -> DataFrame:
     """Replays of an event (same job_id, seq) are dropped; events count however late they come.
 
-    With a ``watermark`` the state is bounded, but then events later than that are lost.
+    An event leaves the state ``remembered`` after it arrived (the batch's own time, so none is late).
     """
-    if watermark is None:
-        return ledger.dropDuplicates(["job_id", "seq"])
-    return ledger.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["job_id", "seq"])
+    arrived = ledger.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", remembered)
+    return arrived.dropDuplicatesWithinWatermark(["job_id", "seq"]).drop("__arrived")
 
 
 def stream_job_state(ledger: DataFrame, out_dir: str | None = None, checkpoint: str | None = None,
-                     available_now: bool = True):
+                     available_now: bool = True, remembered: str = REMEMBERED,
+                     compact_every: int = snapshot.COMPACT_EVERY):
     """Per-job state kept up to date; returns (query, out_dir).
 
-    Update mode: each micro-batch writes only the jobs whose state changed,
-    into its own ``batch_id=<n>`` folder (a replay overwrites the same folder).
-    ``read_job_state`` resolves the latest row per job.
+    Jobs are not held in streaming state, which has only the events that arrived within
+    ``remembered``: each micro-batch appends its partial states to the written snapshot
+    (``batch_id=<n>`` folders, which a replay overwrites). Events of jobs that ended long ago
+    meet their state there, when it is read.
     """
     spark = ledger.sparkSession
     out_dir = out_dir or scratch_dir(spark, "stream-state-out")
     checkpoint = checkpoint or scratch_dir(spark, "stream-state-ckpt")
-    state = L.job_state(dedup_ledger(ledger))
 
     def write_changes(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        snapshot.append(batch, out_dir, batch_id, compact_every)
 
-    w = (state.writeStream.outputMode("update").foreachBatch(write_changes)
+    w = (dedup_ledger(ledger, remembered).writeStream.foreachBatch(write_changes)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start(), out_dir
 
 
 def read_job_state(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Current state: for each job the row of the latest batch that changed it."""
-    df = spark.read.parquet(out_dir)
-    cols = [c for c in df.columns if c not in ("job_id", "batch_id")]
-    return (df.groupBy("job_id")
-            .agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))
-            .select("job_id", "s.*"))
+    """Current state: the last snapshot and the changes after it."""
+    return snapshot.read(spark, out_dir)
