@@ -720,3 +720,11 @@ SELECT r.request_id, r.job_id,
        WHEN s.status IN ('completed', 'failed', 'cancelled') THEN 'ALREADY_FINAL'
        WHEN r.k = 1 THEN 'CANCELLED' ELSE 'ALREADY_FINAL' END AS outcome
 FROM r LEFT JOIN ({STATE}) s ON s.job_id = r.job_id"""
+
+SQL["put_objects"] = """
+SELECT source AS bucket, CASE WHEN lang = 'de' THEN '../' ELSE '' END || lang || '/' || doc_id::VARCHAR || '.txt' AS key,
+       CASE WHEN lang NOT IN ('de', 'es') THEN strlen(text) END AS size_bytes,
+       CASE WHEN lang NOT IN ('de', 'es') THEN sha256(text) END AS content_sha256,
+       CASE lang WHEN 'de' THEN 'BAD_KEY' WHEN 'es' THEN 'NO_CONTENT' END AS error
+FROM documents"""
+SQL["read_ranges"] = "SELECT doc_id, sha256(text) AS content_sha256 FROM documents"

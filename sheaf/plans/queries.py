@@ -21,6 +21,7 @@ from ..plans import workflow as W
 from ..session import scratch_dir
 from ..sources.files import cap_sizes, files_from_documents, files_from_pages, read_files, read_table
 from ..sources.jobs import explode_jobs, parse_jobs
+from ..sources.objects import get_objects, list_objects, put_objects, read_lines
 from ..sources.sinks import upload_plan, write_artifacts, write_structure
 from ..sources.tables import document_jobs_json, order_jobs, page_jobs_json
 from ..streaming import jobs as ST
@@ -84,6 +85,31 @@ def q_write_artifacts(spark, sf):
         "bucket", "key", F.sha2("text", 256).alias("content_sha256"))
 
 
+@query("put_objects")
+def q_put_objects(spark, sf):
+    """Every document as an object at its bucket and key, read back by key. German ones are given a key outside
+    of the bucket and Spanish ones no bytes: each is an error row, and the others are written."""
+    root = scratch_dir(spark, "objects")
+    files = doc_files(spark, sf).select(
+        "bucket", F.when(F.col("key").startswith("de/"), F.concat(F.lit("../"), F.col("key"))).otherwise(F.col("key")).alias("key"),
+        F.when(~F.col("key").startswith("es/"), F.col("text")).alias("text"))
+    report = put_objects(files, root, "text")
+    back = get_objects(spark, root, report.where("error is null")).select(
+        "bucket", "key", F.sha2("content", 256).alias("content_sha256"))
+    return report.join(back, ["bucket", "key"], "left").select("bucket", "key", "size_bytes", "content_sha256", "error")
+
+
+@query("read_ranges")
+def q_read_ranges(spark, sf):
+    """Documents as a few objects of JSON lines, read line by line in ranges of 256 KB."""
+    folder = scratch_dir(spark, "large-objects")
+    docs = T(spark, sf, "documents").select("doc_id", "text")
+    docs.write.json(folder)
+    lines = read_lines(list_objects(spark, folder, "*.json"), 1 << 18)
+    row = F.from_json("line", docs.schema)
+    return lines.select(row["doc_id"].alias("doc_id"), F.sha2(row["text"], 256).alias("content_sha256"))
+
+
 # ---- B: checks ----------------------------------------------------------------
 
 @query("check_refs")
