@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ DEFAULT_PAGE_CHARS = 1800
 BLOCK_SEP = "\n\n"
 HEADER_RE = r"^#{1,6} "
 ITEM_RE = r"^- "
+LEVELS = range(1, 7)
 INVALID_JSON = "INVALID_JSON"
 
 
@@ -36,12 +39,15 @@ def apply_image_mode(df: DataFrame, html_col: str = "html", mode: str | None = N
 
 def structure_blocks(df: DataFrame, id_col: str, md_col: str = "markdown",
                      page_chars: int = DEFAULT_PAGE_CHARS) -> DataFrame:
-    """Markdown -> ordered blocks with label, heading and page number.
+    """Markdown -> ordered blocks with label, heading, path of headings and page number.
 
     Blocks are split on blank lines. Label: '#'.. header -> section_header,
-    '- ' -> list_item, else text (marker removed). Heading = last header at or
-    before the block. Page = block start offset // page_chars + 1. Both running
-    values are computed in bounded blocks (one huge document is no problem).
+    '- ' -> list_item, else text (marker removed). Headings = the open headers at
+    the block, outermost first: a header closes all of its own and of deeper
+    levels. Heading = the innermost one, itself for a header; null, and an empty
+    path, before the first. Page = block start offset // page_chars + 1. The path
+    is made of the last header of each level, a running value like the offset;
+    both are computed in bounded blocks (one huge document is no problem).
     """
     blocks = (df.select(id_col, F.posexplode(F.split(F.col(md_col), BLOCK_SEP, -1)).alias("pos", "raw"))
               .withColumn("pos", F.col("pos").cast("bigint")))
@@ -52,12 +58,22 @@ def structure_blocks(df: DataFrame, id_col: str, md_col: str = "markdown",
               .withColumn("text", F.when(is_h, F.regexp_replace("raw", HEADER_RE, ""))
                           .when(is_li, F.regexp_replace("raw", ITEM_RE, "")).otherwise(F.col("raw")))
               .withColumn("__w", (F.length("raw") + len(BLOCK_SEP)).cast("bigint"))
-              .withColumn("__h", F.when(is_h, F.col("text"))))
-    blocks = running_values(blocks, id_col, "pos", sums={"start": "__w"}, lasts={"heading": "__h"})
-    return blocks.select(id_col, "pos", "label", "text", "heading",
+              .withColumns({f"__h{k}": F.when(F.col("raw").startswith("#" * k + " "), F.struct("pos", "text")) for k in LEVELS}))
+    blocks = running_values(blocks, id_col, "pos", sums={"start": "__w"}, lasts={f"__l{k}": f"__h{k}" for k in LEVELS})
+    return blocks.select(id_col, "pos", "label", "text", _open_headings().alias("headings"),
+                         F.try_element_at(_open_headings(), F.lit(-1)).alias("heading"),
                          (F.floor(F.col("start") / page_chars) + 1).cast("int").alias("page_no"))
 
 
+def _open_headings():
+    """The texts of the last headers of all levels, without those that a header of a lower level followed."""
+    path = []
+    for k in LEVELS:
+        closed = [F.coalesce(F.col(f"__l{j}.pos") > F.col(f"__l{k}.pos"), F.lit(False)) for j in range(1, k)]
+        path.append(F.when(~reduce(lambda a, b: a | b, closed, F.lit(False)), F.col(f"__l{k}.text")))
+    return F.array_compact(F.array(*path))
+
+
 def structure_json(blocks: DataFrame, id_col: str, out: str = "structure_json") -> DataFrame:
     """One JSON document per id, items in block order.
 
@@ -68,8 +84,7 @@ def structure_json(blocks: DataFrame, id_col: str, out: str = "structure_json")
         F.col("pos"),
         F.struct(F.col("text"), F.col("label"),
                  F.array(F.struct(F.col("page_no").alias("page_no"))).alias("prov"),
-                 F.when(F.col("heading").isNotNull(), F.array(F.col("heading")))
-                  .otherwise(F.array().cast("array<string>")).alias("headings")).alias("item"))
+                 F.col("headings")).alias("item"))
     return (blocks.groupBy(id_col)
             .agg(F.array_sort(F.collect_list(item)).alias("__items"))
             .select(id_col, F.to_json(F.struct(

@@ -728,3 +728,19 @@ SELECT source AS bucket, CASE WHEN lang = 'de' THEN '../' ELSE '' END || lang ||
        CASE lang WHEN 'de' THEN 'BAD_KEY' WHEN 'es' THEN 'NO_CONTENT' END AS error
 FROM documents"""
 SQL["read_ranges"] = "SELECT doc_id, sha256(text) AS content_sha256 FROM documents"
+
+# A header is open from its block up to the next header of its level or of one above.
+SQL["heading_paths"] = """
+WITH s AS (SELECT doc_id, string_split(text, '. ') AS arr FROM documents),
+b AS (SELECT doc_id, (generate_subscripts(arr, 1) - 1)::BIGINT AS pos, unnest(arr) AS raw FROM s),
+l AS (SELECT doc_id, pos, raw, length(raw) % 8 AS level FROM b),
+h AS (SELECT * FROM l WHERE level BETWEEN 1 AND 6),
+o AS (SELECT h.doc_id, h.pos, h.raw, min(n.pos) AS until
+      FROM h LEFT JOIN h n ON n.doc_id = h.doc_id AND n.pos > h.pos AND n.level <= h.level
+      GROUP BY h.doc_id, h.pos, h.raw)
+SELECT l.doc_id, l.pos, CASE WHEN l.level BETWEEN 1 AND 6 THEN 'section_header'
+         WHEN l.raw LIKE '- %' THEN 'list_item' ELSE 'text' END AS label,
+       coalesce(string_agg(o.raw, ' > ' ORDER BY o.pos), '') AS path, count(o.pos) AS depth,
+       max_by(o.raw, o.pos) AS heading
+FROM l LEFT JOIN o ON o.doc_id = l.doc_id AND o.pos <= l.pos AND (o.until IS NULL OR l.pos < o.until)
+GROUP BY l.doc_id, l.pos, l.raw, l.level"""

@@ -168,6 +168,19 @@ def q_structure_blocks(spark, sf):
         "page_id", "pos", "label", "text", "heading", F.col("page_no").cast("bigint"))
 
 
+@query("heading_paths")
+def q_heading_paths(spark, sf):
+    """Documents as Markdown of many levels: a sentence is a block, its length decides whether and how deep a header."""
+    def block(sentence):
+        level = F.length(sentence) % 8
+        return F.when(level.between(1, 6), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), sentence)).otherwise(sentence)
+    md = T(spark, sf, "documents").select(
+        "doc_id", F.array_join(F.transform(F.split("text", "\\. "), block), "\n\n").alias("markdown"))
+    return E.structure_blocks(md, "doc_id", page_chars=PAGE_CHARS).select(
+        "doc_id", "pos", "label", F.array_join("headings", " > ").alias("path"), F.size("headings").cast("bigint").alias("depth"),
+        "heading")
+
+
 @query("structure_json")
 def q_structure_json(spark, sf):
     return E.structure_json(page_blocks(spark, sf), "page_id")

@@ -2,6 +2,7 @@ import json
 import time
 
 
+from sheaf.functions.windows import running_values
 from sheaf.operators import extract as E
 
 HTML = ('<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">x</a></nav>'
@@ -34,6 +35,26 @@ def test_structure_blocks_and_round_trip(spark):
     assert back == [(i, lab, t, h, p) for i, lab, t, h, p in got if t != ""]
 
 
+def test_heading_paths(spark, monkeypatch):
+    """A header closes its own and deeper levels; the same in blocks of any size."""
+    md = ["t", "### deep", "a", "# A", "## B", "b", "#### D", "d", "### C", "c", "## B2", "e", "# A2", "f", "####### no", "#### D2", "# "]
+    want = [[], ["deep"], ["deep"], ["A"], ["A", "B"], ["A", "B"], ["A", "B", "D"], ["A", "B", "D"], ["A", "B", "C"],
+            ["A", "B", "C"], ["A", "B2"], ["A", "B2"], ["A2"], ["A2"], ["A2"], ["A2", "D2"], [""]]
+    df = spark.createDataFrame([(1, "\n\n".join(md)), (2, "## x\n\ny"), (3, None), (4, "")], "id int, markdown string")
+    for block in (1, 3, 4096):
+        monkeypatch.setattr(E, "running_values", lambda *a, **k: running_values(*a, **k, block=block))
+        rows = E.structure_blocks(df, "id").collect()
+        got = [r["headings"] for r in sorted(rows, key=lambda r: r["pos"]) if r["id"] == 1]
+        assert got == want
+        assert all(r["heading"] == (r["headings"][-1] if r["headings"] else None) for r in rows)
+        assert sorted((r["id"], r["headings"]) for r in rows if r["id"] != 1) == [(2, ["x"]), (2, ["x"]), (4, [])]
+    js = E.structure_json(E.structure_blocks(df, "id"), "id")
+    texts = json.loads(js.where("id = 1").first()["structure_json"])["texts"]
+    assert [t["headings"] for t in texts] == want
+    chunks = {r["chunk_index"]: r["heading"] for r in E.parse_chunks(js, "id").where("id = 1").collect()}
+    assert chunks == {i: (p[-1] if p else "") for i, p in enumerate(want) if i != 16}
+
+
 def test_parse_chunks_rules(spark):
     def doc(texts):
         return json.dumps({"texts": texts})
