@@ -39,12 +39,24 @@ def route_summary(routed: DataFrame) -> DataFrame:
 
 def paginate(files: DataFrame, page_chars: int = DEFAULT_PAGE_CHARS,
              id_col: str = "file_id", text_col: str = "text",
-             type_col: str | None = "content_type") -> DataFrame:
+             type_col: str | None = "content_type", existing: DataFrame | None = None) -> DataFrame:
     """Every readable file becomes >= 1 pages of ``page_chars`` characters.
 
     An image is one page. The pages of a file concatenate to its text.
     Rows without content (NULL text, e.g. over the size cap) give no pages.
+
+    With ``existing`` (id, page_no, page_text; numbers from 1) files of the route
+    passthrough are never cut: they keep the pages they have there, text or not,
+    and one without any has no pages (an error row of ``page_counts``). Pages of
+    files of another route, or of no file, are ignored.
     """
+    if existing is not None:
+        if type_col is None:
+            raise ValueError("existing pages are kept by content type")
+        through = conversion_route(F.col(type_col)) == "passthrough"
+        kept = (existing.join(files.filter(through).select(id_col), id_col, "left_semi")
+                .select(id_col, F.col("page_no").cast("int").alias("page_no"), "page_text"))
+        return paginate(files.filter(~through), page_chars, id_col, text_col, type_col).unionByName(kept)
     img = (conversion_route(F.col(type_col)) == "image") if type_col is not None else F.lit(False)
     pages = F.when(img, F.array(F.col(text_col))).otherwise(chunks(F.col(text_col), page_chars))
     return (files.filter(F.col(text_col).isNotNull())
@@ -52,8 +64,16 @@ def paginate(files: DataFrame, page_chars: int = DEFAULT_PAGE_CHARS,
             .select(id_col, (F.col("pos") + 1).cast("int").alias("page_no"), "page_text"))
 
 
-def page_counts(page_table: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """C4: pages and bytes per document (partial aggregation, skew-safe)."""
+def page_counts(page_table: DataFrame, id_col: str = "doc_id", documents: DataFrame | None = None) -> DataFrame:
+    """C4: pages and bytes per document (partial aggregation, skew-safe).
+
+    With ``documents`` (a table with the id) each of its rows is answered: a document whose
+    pages cannot be counted, for it has none, is a row with error NO_PAGES and null numbers.
+    """
+    if documents is not None:
+        counts = page_counts(page_table, id_col)
+        return (documents.select(id_col).join(counts, id_col, "left")
+                .withColumn("error", F.when(F.col("n_pages").isNull(), F.lit(NO_PAGES))))
     return (page_table.groupBy(id_col)
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_pages"),
                  F.sum(F.octet_length("page_text")).cast("bigint").alias("size_bytes")))

@@ -744,3 +744,20 @@ SELECT l.doc_id, l.pos, CASE WHEN l.level BETWEEN 1 AND 6 THEN 'section_header'
        max_by(o.raw, o.pos) AS heading
 FROM l LEFT JOIN o ON o.doc_id = l.doc_id AND o.pos <= l.pos AND (o.until IS NULL OR l.pos < o.until)
 GROUP BY l.doc_id, l.pos, l.raw, l.level"""
+
+STORED_PAGES = f"""
+  SELECT 'conv-' || conv_id::VARCHAR AS file_id, (turn + 1)::BIGINT AS page_no, text AS page_text FROM conversations
+  UNION ALL
+  SELECT 'doc-' || doc_id::VARCHAR, 1, text FROM documents WHERE ends_with(source, '3')
+  UNION ALL
+  SELECT 'doc-' || doc_id::VARCHAR, p::BIGINT, substring(text, ((p - 1) * {PAGE_CHARS} + 1)::BIGINT, {PAGE_CHARS})
+  FROM documents, unnest(range(1, greatest(1, ceil(length(text) / {PAGE_CHARS}.0))::BIGINT + 1)) AS r(p)
+  WHERE text IS NOT NULL AND NOT ends_with(source, '3') AND NOT ends_with(source, '7')"""
+SQL["paginate_passthrough"] = STORED_PAGES
+SQL["page_count_errors"] = f"""
+WITH f AS (SELECT 'doc-' || doc_id::VARCHAR AS file_id FROM documents
+           UNION ALL SELECT DISTINCT 'conv-' || conv_id::VARCHAR FROM conversations),
+n AS (SELECT file_id, count(*)::BIGINT AS n_pages, sum(strlen(page_text))::BIGINT AS size_bytes
+      FROM ({STORED_PAGES}) p GROUP BY file_id)
+SELECT f.file_id, n.n_pages, n.size_bytes, CASE WHEN n.file_id IS NULL THEN 'NO_PAGES' END AS error
+FROM f LEFT JOIN n ON n.file_id = f.file_id"""

@@ -131,6 +131,33 @@ def q_paginate(spark, sf):
         F.length("page_text").cast("bigint").alias("page_chars"))
 
 
+def stored_pages(spark, sf):
+    """Documents of mixed types, conversations as files that have pages (a turn each), and all pages:
+    cut ones and those that passthrough files bring along. A PDF among the documents has none."""
+    docs = T(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file_id"), "text",
+        F.when(F.col("source").endswith("7"), F.lit("application/pdf"))
+         .when(F.col("source").endswith("3"), F.lit("image/png")).otherwise(F.lit("text/plain")).alias("content_type"))
+    turns = T(spark, sf, "conversations").select(
+        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("file_id"),
+        (F.col("turn") + 1).alias("page_no"), F.col("text").alias("page_text"))
+    convs = turns.select("file_id").distinct().select("file_id", F.lit(None).cast("string").alias("text"),
+                                                      F.lit("application/pdf").alias("content_type"))
+    files = docs.unionByName(convs)
+    return files, P.paginate(files, PAGE_CHARS, "file_id", existing=turns)
+
+
+@query("paginate_passthrough")
+def q_paginate_passthrough(spark, sf):
+    return stored_pages(spark, sf)[1].select("file_id", F.col("page_no").cast("bigint").alias("page_no"), "page_text")
+
+
+@query("page_count_errors")
+def q_page_count_errors(spark, sf):
+    files, pages = stored_pages(spark, sf)
+    return P.page_counts(pages, "file_id", documents=files)
+
+
 @query("page_counts")
 def q_page_counts(spark, sf):
     return P.page_counts(doc_pages(spark, sf), "doc_id")

@@ -139,3 +139,20 @@ def test_carry_last_cross_blocks(spark):
     assert got[("k", 3)] is None and got[("k", 9)] == "x"
     both = running_values(df.withColumn("one", F.lit(1)), "g", "pos", sums={"n": "one"}, lasts={"l": "h"}, block=3)
     assert {(r.g, r.pos): (r.n, r.l) for r in both.collect()}[("g", 20)] == (20, "h17")
+
+
+def test_existing_pages_pass_through_and_uncounted_documents_are_error_rows(spark):
+    files = spark.createDataFrame(
+        [("pdf", None, "application/pdf"), ("lost", "text of a pdf", "application/pdf"), ("txt", "abcdefg", "text/plain"),
+         ("none", None, "text/plain"), ("img", "abcdefg", "image/png"), ("empty", "", None)],
+        "file_id string, text string, content_type string")
+    existing = spark.createDataFrame([("pdf", 2, "two two"), ("pdf", 1, ""), ("txt", 1, "ignored"), ("nobody", 1, "x")],
+                                     "file_id string, page_no int, page_text string")
+    pages = P.paginate(files, 4, existing=existing)
+    assert sorted(tuple(r) for r in pages.collect()) == [
+        ("empty", 1, ""), ("img", 1, "abcdefg"), ("pdf", 1, ""), ("pdf", 2, "two two"), ("txt", 1, "abcd"), ("txt", 2, "efg")]
+    counts = P.page_counts(pages, "file_id", documents=files)
+    assert sorted(tuple(r) for r in counts.select("file_id", "n_pages", "size_bytes", "error").collect()) == [
+        ("empty", 1, 0, None), ("img", 1, 7, None), ("lost", None, None, P.NO_PAGES), ("none", None, None, P.NO_PAGES),
+        ("pdf", 2, 7, None), ("txt", 2, 7, None)]
+    assert P.paginate(files.limit(0), 4, existing=existing).count() == 0
