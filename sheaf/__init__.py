@@ -19,7 +19,7 @@ from .operators.validate import (check_convert_requests, check_destinations, che
                                  check_merge_requests, check_pipelines, check_refs, check_urls, url_hosts)
 from .plans.workflow import (JobRun, artifact_refs, assemble_results, checked_jobs, dispatch_ops, downloads,
                              file_names, first_submissions, job_outcome, latest_progress, op_status,
-                             progress_reports, run_jobs, unused_inputs)
+                             progress_events, progress_reports, run_jobs, unused_inputs)
 from .session import checkpoint_root, get_session
 from .sources.files import cap_sizes, files_from_documents, files_from_pages, read_files, read_table
 from .sources.jobs import Jobs, explode_jobs, parse_jobs, read_jobs

@@ -425,6 +425,12 @@ def progress(spark, sf):
 
 @query("progress_events")
 def q_progress_events(spark, sf):
+    return W.progress_events(doc_run(spark, sf)).select(
+        "job_id", "seq", "step", F.col("current").cast("bigint"), F.col("total").cast("bigint"))
+
+
+@query("progress_reports")
+def q_progress_reports(spark, sf):
     return progress(spark, sf).select("job_id", "seq", "step", F.col("current").cast("bigint"), F.col("total").cast("bigint"))
 
 

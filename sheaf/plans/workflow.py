@@ -90,6 +90,7 @@ class JobRun:
     artifacts: DataFrame      # job_id, name, n_pages, size_bytes, source, file_name
     artifact_pages: DataFrame  # job_id, name, page_no, size_bytes (previews of 'all' thumbnails)
     checked: DataFrame        # job_id, inputs, ops, error: the jobs as they were checked, written once
+    downloads: DataFrame      # job_id, input_index, name, error: every input of the jobs that passed the checks
 
 
 def checked_jobs(jobs: Jobs, allowed_buckets=None) -> DataFrame:
@@ -176,9 +177,10 @@ def run_jobs(jobs: Jobs, files: DataFrame, signatures: DataFrame | None,
         rows = rows.unionByName(_several(dl, one, signatures if has["derived"] else None, page_chars))
     rows = rows.select("job_id", "ins", fold.operations("ops", "ins.name", "ins.threat", "found", signatures is not None)
                        .alias("out"))
-    outcomes = job_outcome(downloads(inputs.drop("ops", "derived", "alone"), files, max_bytes)).unionByName(rejected)
+    read = downloads(inputs.drop("ops", "derived", "alone"), files, max_bytes).select("job_id", "input_index", "name", "error")
+    outcomes = job_outcome(read).unionByName(rejected)
     return JobRun(_results(rows, page_chars, signatures is not None), outcomes, _artifacts(rows, page_chars),
-                  _artifact_pages(rows, page_chars), checked.select("job_id", "inputs", "ops", "error"))
+                  _artifact_pages(rows, page_chars), checked.select("job_id", "inputs", "ops", "error"), read)
 
 
 def _several(dl: DataFrame, one: Column, signatures: DataFrame | None, page_chars: int) -> DataFrame:
@@ -342,6 +344,21 @@ def assemble_results(results: DataFrame, dests: DataFrame | None = None) -> Data
     return jobs.select("job_id", F.to_json(F.struct(F.map_from_entries(entries).alias("results"))).alias("output"))
 
 
+def progress_events(run: JobRun) -> DataFrame:
+    """H2: (job_id, seq, step, current, total): 'downloading' 0 of n and after each input, up to the first that
+    cannot be read, then every operation's name and number before it is executed; skipped ones report none."""
+    inputs = run.downloads.groupBy("job_id").agg(
+        F.count("*").alias("n_in"), F.min(F.when(F.col("error").isNotNull(), F.col("input_index"))).alias("bad"))
+    reads = inputs.select("job_id", F.lit("downloading").alias("step"), F.col("n_in").cast("int").alias("total"),
+                          F.explode(F.sequence(F.lit(0), F.coalesce("bad", F.col("n_in").cast("int")))).alias("current"))
+    sizes = run.checked.select("job_id", F.size("inputs").alias("n_in"), F.size("ops").alias("n_ops"))
+    ran = run.results.filter(~F.col("error").eqNullSafe(SKIPPED)).select("job_id", "op_index", "op_name").join(sizes, "job_id")
+    return (reads.select("job_id", F.col("current").cast("bigint").alias("seq"), "step", "current", "total")
+            .unionByName(ran.select("job_id", (F.col("n_in") + 1 + F.col("op_index")).cast("bigint").alias("seq"),
+                                    F.col("op_name").alias("step"), (F.col("op_index") + 1).cast("int").alias("current"),
+                                    F.col("n_ops").alias("total"))))
+
+
 def progress_reports(events: DataFrame, total: int = 100) -> DataFrame:
     """H2: progress reports from ledger events (job_id, seq, step, props): the step, and how much of it is
     done (``k`` of the event's JSON properties, of ``total``). An event without a number reports none done."""

@@ -320,3 +320,17 @@ def test_progress(spark):
     assert sorted((r.job_id, r.seq, r.current, r.total) for r in reports.collect()) == [
         ("a", 1, 7, 100), ("a", 5, 100, 100), ("b", 1, 0, 100), ("b", 2, 0, 100)]
     assert sorted((r.job_id, r.step, r.last_seq) for r in W.latest_progress(reports).collect()) == [("a", "y", 5), ("b", "z", 2)]
+
+
+def test_progress_of_the_jobs_themselves(spark):
+    scan, pdf = {"name": "scan", "inputs": ["a"], "scan": {}}, {"name": "pdf", "inputs": ["a"], "convert_to_pdf": {}}
+    docs = [{"job_id": "both", "inputs": [_inp("a", "a.txt"), _inp("z", "z.txt")], "operations": [scan, pdf]},
+            {"job_id": "gated", "inputs": [_inp("a", "evil.txt")], "operations": [scan, pdf]},
+            {"job_id": "lost", "inputs": [_inp("a", "a.txt"), _inp("z", "gone.txt")], "operations": [scan]},
+            {"job_id": "bad", "inputs": [], "operations": [pdf]}]
+    events = W.progress_events(W.run_jobs(_jobs(spark, docs), _files(spark), _sigs(spark)))
+    assert sorted(tuple(e) for e in events.select("job_id", "seq", "step", "current", "total").collect()) == [
+        ("both", 0, "downloading", 0, 2), ("both", 1, "downloading", 1, 2), ("both", 2, "downloading", 2, 2),
+        ("both", 3, "scan", 1, 2), ("both", 4, "pdf", 2, 2),
+        ("gated", 0, "downloading", 0, 1), ("gated", 1, "downloading", 1, 1), ("gated", 2, "scan", 1, 2),
+        ("lost", 0, "downloading", 0, 2), ("lost", 1, "downloading", 1, 2)]
