@@ -16,6 +16,7 @@ BLOCK_SEP = "\n\n"
 HEADER_RE = r"^#{1,6} "
 ITEM_RE = r"^- "
 LEVELS = range(1, 7)
+MAX_LENGTH = (1 << 31) - 1
 INVALID_JSON = "INVALID_JSON"
 
 
@@ -53,13 +54,13 @@ def structure_blocks(df: DataFrame, id_col: str, md_col: str = "markdown",
               .withColumn("pos", F.col("pos").cast("bigint")))
     is_h = F.col("raw").rlike(HEADER_RE)
     is_li = F.col("raw").rlike(ITEM_RE)
-    blocks = (blocks
-              .withColumn("label", F.when(is_h, "section_header").when(is_li, "list_item").otherwise("text"))
-              .withColumn("text", F.when(is_h, F.regexp_replace("raw", HEADER_RE, ""))
-                          .when(is_li, F.regexp_replace("raw", ITEM_RE, "")).otherwise(F.col("raw")))
-              .withColumn("__w", (F.length("raw") + len(BLOCK_SEP)).cast("bigint"))
-              .withColumns({f"__h{k}": F.when(F.col("raw").startswith("#" * k + " "), F.struct("pos", "text")) for k in LEVELS}))
-    blocks = running_values(blocks, id_col, "pos", sums={"start": "__w"}, lasts={f"__l{k}": f"__h{k}" for k in LEVELS})
+    label = F.when(is_h, "section_header").when(is_li, "list_item").otherwise("text")
+    text = (F.when(is_h, F.regexp_replace("raw", HEADER_RE, "")).when(is_li, F.regexp_replace("raw", ITEM_RE, ""))
+            .otherwise(F.col("raw")))
+    header = {f"__l{k}": F.when(F.col("raw").startswith("#" * k + " "), F.struct("pos", F.substring("raw", k + 2, MAX_LENGTH).alias("text")))
+              for k in LEVELS}
+    blocks = running_values(blocks, id_col, "pos", sums={"start": (F.length("raw") + len(BLOCK_SEP)).cast("bigint")}, lasts=header)
+    blocks = blocks.withColumns({"label": label, "text": text})
     return blocks.select(id_col, "pos", "label", "text", _open_headings().alias("headings"),
                          F.try_element_at(_open_headings(), F.lit(-1)).alias("heading"),
                          (F.floor(F.col("start") / page_chars) + 1).cast("int").alias("page_no"))

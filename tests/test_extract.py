@@ -1,6 +1,8 @@
 import json
 import time
 
+from pyspark.sql import functions as F
+
 
 from sheaf.functions.windows import running_values
 from sheaf.operators import extract as E
@@ -126,3 +128,14 @@ def test_hostile_pages_take_linear_time(spark):
         began = time.perf_counter()
         E.extract_html(E.extract_markdown(df)).collect()
         assert time.perf_counter() - began < 6, piece
+
+
+def test_markdown_is_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def made(i):
+        calls.add(1)
+        return f"# T{i}\n\ntext\n\n## U\n\n- item"
+    docs = spark.range(40).select(F.col("id").alias("doc"), F.udf(made)("id").alias("markdown"))
+    rows = E.structure_json(E.structure_blocks(docs, "doc"), "doc").collect()
+    assert len(rows) == 40 and calls.value == 40
