@@ -5,13 +5,14 @@ Candidates are runs of 16 or more key characters, and values of 6 or more that
 follow a name and ``:`` or ``=``. Every one goes with its surroundings through a
 small convolutional network in numpy, window by window to its end; its score is
 the largest of its windows. The network is trained here on labelled findings:
-candidates that a rule found (positive) against those that none found, ``SAMPLE``
-of each at most, taken by a hash of their place over all documents, with equal
-weight of both classes. One third trains (on ``WINDOWS`` windows of a candidate,
-evenly spread over it), one third calibrates the probabilities (Platt) and sets
-the threshold, the highest that keeps the recall of the labelled findings at
-``RECALL``, and the last is held out: ``recall`` reports what the threshold
-reaches there. Candidates over the threshold are added; rule findings always stay.
+all candidates that a rule found (positive) against all that none found, with equal
+weight of both classes. By a hash of their place one third trains, on every window:
+the windows are dealt into shares of about ``SHARE`` by their hash, each share trains
+from the common weights, and the mean of what the shares reach is the start of the
+next round. One third calibrates the probabilities (Platt) and sets the threshold, the
+highest that keeps the recall of the labelled findings at ``RECALL``; sums and counts
+over all its candidates do both. The last is held out: ``recall`` reports what the
+threshold reaches there. Candidates over the threshold are added; rule findings always stay.
 
 Texts are searched once; the findings (``masked``: with their rows) are kept in
 the shared folder and scored.
@@ -19,7 +20,7 @@ the shared folder and scored.
 Defined results: null text is empty and has no findings; without findings or
 without other candidates, an empty table included, there is no network and
 nothing is added; repeated rows give repeated results and count once in the
-sample; other columns are ignored or kept as they are. A text of any length is
+training; other columns are ignored or kept as they are. A text of any length is
 looked at whole, a few thousand windows at a time.
 """
 
@@ -30,6 +31,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +48,14 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _VALUE = re.compile(r"""[A-Za-z0-9_]["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""")
 
 BEFORE, INSIDE, STRIDE = 20, 44, 36  # characters seen before and from a window's start; step of later windows
-SAMPLE, WINDOWS, RECALL, SEED = 2250, 8, 0.95, 7
+RECALL, SEED = 0.95, 7
+SHARE, ROUNDS = 20_000, 3  # windows that train together; how often the shares meet
 TRAIN, CALIBRATE, HELD_OUT = 0, 1, 2  # thirds of the candidates
-WIDTH, CHANNELS, EMBED, EPOCHS, BATCH = 5, 24, 8, 12, 50
+WIDTH, CHANNELS, EMBED, EPOCHS, BATCH = 5, 24, 8, 4, 50  # epochs of a round
 CLASSES = 98  # printable ASCII, line break or tab, anything else, padding
 
+FIXED, STEPS, FEW, BINS = 1 << 24, 40, 4096, 256
+
 SPANS = "array<struct<kind:int,first:int,last:int>>"
 
 
@@ -120,12 +125,14 @@ class Network:
         z = np.concatenate([self.logits(codes(flat[i:i + 4000])) for i in range(0, len(flat), 4000)] or [np.zeros(0)])
         return np.maximum.reduceat(z, ends - [len(w) for w in candidates]) if len(z) else z
 
-    def train(self, x: np.ndarray, y: np.ndarray) -> None:
-        r = np.random.default_rng(SEED + 1)
-        weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, epochs: int = ROUNDS * EPOCHS,
+              seed: int = 1) -> None:
+        r = np.random.default_rng(SEED + seed)
+        if weight is None:
+            weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             for at in np.array_split(r.permutation(len(x)), max(1, len(x) // BATCH)):
                 step += 1
                 for k, g in self._gradient(x[at], y[at], weight[at]).items():
@@ -151,8 +158,16 @@ class Network:
         return {"embed": d_embed, "conv": flat.T @ grad.reshape(-1, CHANNELS), "bias": grad.sum((0, 1)),
                 "out": pooled.T @ d, "shift": np.array([d.sum()])}
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def put(self, flat: np.ndarray) -> None:
+        """Take these weights, in the order of ``flat``."""
+        for k, part in zip(self.p, np.split(flat, np.cumsum([v.size for v in self.p.values()])[:-1])):
+            self.p[k] = part.reshape(self.p[k].shape)
+
     def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling of the candidates' largest logits, classes of equal weight; then the highest
+        """``calibrated`` for logits that are at hand: Platt scaling, classes of equal weight; then the highest
         threshold that keeps RECALL of the positives."""
         weight = np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) * len(y) / 2
         for _ in range(200):
@@ -219,15 +234,91 @@ def labelled(found: DataFrame) -> DataFrame:
     return c.select("c.known", F.pmod(F.shiftright(h, 40), F.lit(3)).alias("part"), h.alias("h"), "c.windows")
 
 
-def sampled(cands: DataFrame, part: int) -> DataFrame:
-    """Of one third, the candidates of each class with the SAMPLE / 3 least hashes: equal ones once."""
-    one = cands.where(F.col("part") == part)
-    kept = F.lit(False)
-    for known in (True, False):
-        least = one.where(F.col("known") == known).select("h").distinct().orderBy("h").limit(SAMPLE // 3).agg(F.max("h")).first()[0]
-        if least is not None:
-            kept = kept | ((F.col("known") == known) & (F.col("h") <= least))
-    return one.where(kept)
+def third(cands: DataFrame, part: int) -> DataFrame:
+    """All candidates of one third, equal ones once."""
+    return cands.where(F.col("part") == part).select("known", "h", "windows").distinct()
+
+
+def _round(shared, turn: int, heavy: dict[bool, float]):
+    """From the common weights, one share's windows to (n, w): how many there are and the weights they lead to."""
+    def run(share: pd.DataFrame) -> pd.DataFrame:
+        share = share.sort_values(["h", "at", "known", "window"])
+        y, own = share["known"].to_numpy(float), Network()
+        own.put(shared.value)
+        own.train(codes(share["window"].tolist()), y, np.where(y == 1, heavy[True], heavy[False]), EPOCHS,
+                  1 + turn + ROUNDS * int(share["share"].iloc[0]))
+        return pd.DataFrame({"n": [len(y)], "w": [own.flat()]})
+    return run
+
+
+def trained(rows: DataFrame) -> Network | None:
+    """A network trained on all windows (known, h, at, window), share by share (None: one class is missing)."""
+    n = {r["known"]: r["count"] for r in rows.groupBy("known").count().collect()}
+    if len(n) < 2:
+        return None
+    total = sum(n.values())
+    heavy = {known: total / (2 * m) for known, m in n.items()}
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("h", "at"), F.lit(-(-total // SHARE))))
+    net = Network()
+    for turn in range(ROUNDS):
+        run = _round(rows.sparkSession.sparkContext.broadcast(net.flat()), turn, heavy)
+        reached = rows.groupBy("share").applyInPandas(run, "n long, w array<double>").select("n", F.posexplode("w").alias("at", "w"))
+        # whole numbers, so that the order of the shares does not matter
+        mean = reached.groupBy("at").agg(F.sum(F.round(F.col("n") * F.col("w") * FIXED).cast("long")).alias("w")).orderBy("at").collect()
+        net.put(np.array([r["w"] for r in mean], float) / FIXED / total)
+    return net
+
+
+def calibrated(net: Network, rows: DataFrame) -> bool:
+    """Platt scaling of the logits of all (known, logit), classes of equal weight, by Newton steps on sums over
+    them; then the highest threshold that keeps RECALL of the positives. False: one class is missing."""
+    n = {r["known"]: r["count"] for r in rows.groupBy("known").count().collect()}
+    if len(n) < 2:
+        return False
+    total, z = sum(n.values()), F.col("logit")
+    each = F.when(F.col("known"), total / (2 * n[True])).otherwise(total / (2 * n[False]))
+
+    def sums(a, b):
+        m = F.lit(float(a)) * z + F.lit(float(b))
+        p = 1 / (1 + F.exp(-F.least(F.greatest(m, F.lit(-50.0)), F.lit(50.0))))
+        g, w = each * (p - F.col("known").cast("double")), each * p * (1 - p) + 1e-6
+        against = F.when(F.col("known"), -m).otherwise(m)
+        loss = each * (F.greatest(against, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m))))
+        r = rows.agg(*[F.sum(c) for c in (loss, g * z, g, w * z * z, w * z, w)]).first()
+        return r[0] + (a - 1) ** 2 / 2, np.array([r[1] + a - 1, r[2]]), np.array([[r[3] + 1, r[4]], [r[4], r[5] + 1e-3]])
+
+    at = np.array([net.scale, net.offset])
+    loss, slope, curve = sums(*at)
+    step = np.linalg.solve(curve, slope)
+    for _ in range(STEPS):
+        new = np.array([max(1e-3, at[0] - step[0]), at[1] - step[1]])
+        if np.abs(new - at).max() < 1e-7:
+            break
+        reached = sums(*new)
+        if reached[0] > loss:
+            step = step / 2
+            continue
+        at, (loss, slope, curve) = new, reached
+        step = np.linalg.solve(curve, slope)
+    net.scale, net.offset = float(at[0]), float(at[1])
+    net.threshold = float(net.probability(kth(rows.where("known").select(z.alias("v")), int((1 - RECALL) * n[True]))))
+    return True
+
+
+def kth(values: DataFrame, k: int) -> float:
+    """The k-th smallest ``v``, from 0: the bins of the range that holds it are counted until few values are left."""
+    while True:
+        lo, hi, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+        if lo == hi:
+            return lo
+        if n <= FEW:
+            return sorted(r["v"] for r in values.collect())[k]
+        bin_ = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * BINS), F.lit(BINS - 1))
+        for r in values.groupBy(bin_.alias("bin")).count().orderBy("bin").collect():
+            if k < r["count"]:
+                values = values.where(bin_ == r["bin"])
+                break
+            k -= r["count"]
 
 
 def scored(cands: DataFrame, net: Network) -> DataFrame:
@@ -244,23 +335,12 @@ def scored(cands: DataFrame, net: Network) -> DataFrame:
 
 
 def fit(found: DataFrame) -> Network | None:
-    """A network trained and calibrated on the labelled sample (None: one class is missing in a third)."""
+    """A network trained and calibrated on the labelled candidates (None: one class is missing in a third)."""
+    common.ship(found.sparkSession)
     cands = labelled(found)
-    n = F.size("windows")
-    spread = F.when(n <= WINDOWS, F.col("windows")).otherwise(F.transform(
-        F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.get("windows", (i * (n - 1) / (WINDOWS - 1)).cast("int"))))
-    rows = sampled(cands, TRAIN).select("known", "h", spread.alias("windows")).dropDuplicates(["known", "h"]).orderBy("h", "known").collect()
-    x = [w for r in rows for w in r["windows"]]
-    y = np.array([float(r["known"]) for r in rows for _ in r["windows"]])
-    if len(set(y.tolist())) < 2:
-        return None
-    net = Network()
-    net.train(codes(x), y)
-    rows = scored(sampled(cands, CALIBRATE), net).dropDuplicates(["known", "h"]).orderBy("h", "known").collect()
-    z, y = np.array([r["logit"] for r in rows]), np.array([float(r["known"]) for r in rows])
-    if len(set(y.tolist())) < 2:
+    net = trained(common.stored(third(cands, TRAIN).select("known", "h", F.posexplode("windows").alias("at", "window")), "training"))
+    if net is None or not calibrated(net, common.stored(scored(third(cands, CALIBRATE), net).select("known", "logit"), "logits")):
         return None
-    net.calibrate(z, y)
     return net
 
 

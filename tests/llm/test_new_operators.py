@@ -412,3 +412,38 @@ def test_secrets_of_empty_tables_and_of_one_class(spark):
     nothing = spark.createDataFrame([(1, None), (None, ""), (1, "password=hunter2hunter2")], "doc_id long, text string")
     assert sorted(r["spans"] for r in secret_scan.digests(nothing).collect()) == ["", "", "assign:0:23"]
     assert {r["text"] for r in secret_scan.masked(nothing).collect()} == {None, "", "[secret]"}
+
+
+def test_every_labelled_candidate_trains_and_calibrates(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i % 3 == 0, i, 0, "".join(r.choice("abcdef0123456789") if i % 3 == 0 else r.choice("-words here")
+                                       for _ in range(64))) for i in range(5000)]  # more than 750 of a class
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(secret_scan.Network):
+        def train(self, x, *more):
+            seen.add(len(x))
+            super().train(x, *more)
+    monkeypatch.setattr(secret_scan, "Network", Counted)
+    monkeypatch.setattr(secret_scan, "SHARE", 1000)
+    monkeypatch.setattr(secret_scan, "FEW", 50)
+    windows = spark.createDataFrame(rows, "known boolean, h long, at int, window string")
+    net = secret_scan.trained(windows)
+    assert seen.value == 5000 * secret_scan.ROUNDS
+    z = net.logits(secret_scan.codes([w for *_, w in rows]))
+    assert min(z[::3]) > np.median(z[1::3])
+    logits = [(k, float(v)) for (k, *_), v in zip(rows, z)]
+    assert secret_scan.calibrated(net, spark.createDataFrame(logits, "known boolean, logit double"))
+    positive = sorted(v for k, v in logits if k)
+    alone = secret_scan.Network()
+    alone.calibrate(z, np.array([float(k) for k, *_ in rows]))
+    assert abs(net.scale - alone.scale) < 1e-3 and abs(net.offset - alone.offset) < 1e-3
+    assert net.threshold == net.probability(np.array(positive[int((1 - secret_scan.RECALL) * len(positive))]))
+
+
+def test_kth_of_many_equal_and_far_values(spark):
+    r = random.Random(6)
+    values = [r.choice([0.0, 1.0, 1e9, r.random(), -r.random() * 1e-9]) for _ in range(9000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (0, 17, 4500, 8999):
+        assert secret_scan.kth(df, k) == sorted(values)[k]
