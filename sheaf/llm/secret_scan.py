@@ -49,7 +49,7 @@ _VALUE = re.compile(r"""[A-Za-z0-9_]["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6
 
 BEFORE, INSIDE, STRIDE = 20, 44, 36  # characters seen before and from a window's start; step of later windows
 RECALL, SEED = 0.95, 7
-SHARE, ROUNDS = 20_000, 3  # windows that train together; how often the shares meet
+SHARE, ROUNDS = 5_000, 3  # windows that train together; how often the shares meet
 TRAIN, CALIBRATE, HELD_OUT = 0, 1, 2  # thirds of the candidates
 WIDTH, CHANNELS, EMBED, EPOCHS, BATCH = 5, 24, 8, 4, 50  # epochs of a round
 CLASSES = 98  # printable ASCII, line break or tab, anything else, padding
@@ -150,10 +150,12 @@ class Network:
         grad[rows, top, np.arange(CHANNELS)[None]] += back[:, :CHANNELS]
         grad *= act > 0
         d_cols = grad @ self.p["conv"].T
-        d_embed = np.zeros_like(self.p["embed"])
         n = act.shape[1]
+        each = np.zeros((*x.shape, EMBED))
         for i in range(WIDTH):
-            np.add.at(d_embed, x[:, i:i + n], d_cols[:, :, i * EMBED:(i + 1) * EMBED])
+            each[:, i:i + n] += d_cols[:, :, i * EMBED:(i + 1) * EMBED]
+        at = x[:, :, None] * EMBED + np.arange(EMBED)
+        d_embed = np.bincount(at.ravel(), each.ravel(), CLASSES * EMBED).reshape(CLASSES, EMBED)
         flat = cols.reshape(-1, cols.shape[2])
         return {"embed": d_embed, "conv": flat.T @ grad.reshape(-1, CHANNELS), "bias": grad.sum((0, 1)),
                 "out": pooled.T @ d, "shift": np.array([d.sum()])}
@@ -258,7 +260,9 @@ def trained(rows: DataFrame) -> Network | None:
         return None
     total = sum(n.values())
     heavy = {known: total / (2 * m) for known, m in n.items()}
-    rows = rows.withColumn("share", F.pmod(F.xxhash64("h", "at"), F.lit(-(-total // SHARE))))
+    shares = -(-total // SHARE)
+    # as many tasks as shares: by their bytes alone they would be put together, and wait for each other
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("h", "at"), F.lit(shares))).repartition(shares, "share")
     net = Network()
     for turn in range(ROUNDS):
         run = _round(rows.sparkSession.sparkContext.broadcast(net.flat()), turn, heavy)
