@@ -6,7 +6,7 @@ all their equals, and a run of neighbouring windows with one anchor travels as
 one row. An anchor that more than a quarter of a mean partition's rows share
 is hot (counted over all documents; it only decides the route, never the
 result): hot runs are taken apart into windows, which Spark counts with
-partial aggregation. There are at most four hot anchors a partition.
+partial aggregation. There are hardly more than four hot anchors a partition.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from . import common
 SAMPLED = 1  # one document in so many is counted: all
 PIECE = 1 << 20  # bytes of text handled at once
 LEAST = 64  # rows that a hot anchor has at least
+TOGETHER = 1 << 18  # anchors counted at once
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
@@ -59,24 +60,71 @@ def runs(least: np.ndarray, doc: np.ndarray, last_doc: np.ndarray) -> tuple[np.n
     return starts[keep], lengths[keep]
 
 
+class Frequent:
+    """The most frequent values with their counts, in bounded memory (Misra-Gries over sorted slices).
+
+    A count is short by at most ``lost``, which is at most the number of all over ``entries``; what
+    is missing occurred no more than ``lost`` times.
+    """
+
+    def __init__(self, entries: int):
+        self.entries, self.rows, self.lost = entries, 0, 0
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting, self.size = [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.waiting.append(values)
+        self.size += len(values)
+        if self.size >= max(TOGETHER, self.entries):
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.size:
+            return
+        values = np.concatenate([self.values, *self.waiting])
+        counts = np.concatenate([self.counts, np.ones(self.size, np.int64)])
+        self.rows += self.size
+        self.waiting, self.size = [], 0
+        by = np.argsort(values)
+        values = values[by]
+        head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        self.values, self.counts = values[head], np.add.reduceat(counts[by], head)
+        if len(head) > self.entries:
+            cut = np.partition(self.counts, -self.entries - 1)[-self.entries - 1]
+            kept = self.counts > cut
+            self.values, self.counts = self.values[kept], self.counts[kept] - cut
+            self.lost += int(cut)
+
+
 def hot(docs: DataFrame, anchors_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The hot anchors, sorted. ``anchors_of`` gives the anchor of every run of a batch."""
+    """The hot anchors, sorted. ``anchors_of`` gives the anchor of every run of a batch.
+
+    A task counts all its runs and passes on the most frequent anchors alone, so that no anchor is
+    shuffled once a run. No hot anchor is missed: what the tasks' counts may lack, a sixteenth of the
+    bound together, is taken off the bound.
+    """
     spark = docs.sparkSession
     common.ship(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = 64 * max(64, partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = Frequent(entries)
         for batch in common.pieces(batches, limit=PIECE):
-            a, n = np.unique(anchors_of(batch), return_counts=True)
-            if len(a):  # the null anchor counts all rows
-                yield pa.record_batch([pa.array(np.append(a.view(np.int64), 0), mask=np.arange(len(a) + 1) == len(a)),
-                                       pa.array(np.append(n, n.sum()).astype(np.int64))], ["a", "n"])
+            frequent.add(anchors_of(batch))
+        frequent.settle()
+        a, n = frequent.values.view(np.int64), frequent.counts
+        if len(a):  # the null anchor counts all rows
+            yield pa.record_batch([pa.array(np.append(a, 0), mask=np.arange(len(a) + 1) == len(a)),
+                                   pa.array(np.append(n, frequent.rows)),
+                                   pa.array(np.append(np.zeros(len(a), np.int64), frequent.lost))], ["a", "n", "lost"])
 
     some = docs.where(F.pmod(F.xxhash64("id", "h"), F.lit(SAMPLED)) == 0) if SAMPLED > 1 else docs
-    counts = some.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    counts = common.stored(counts.where(F.col("a").isNull() | (F.col("n") >= LEAST)), "anchors")
-    total = counts.where("a is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = counts.where(F.col("a").isNotNull() & (F.col("n") >= max(LEAST, total // (4 * partitions)))).select("a").collect()
+    counts = some.mapInArrow(run, "a long, n long, lost long").groupBy("a").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+    counts = common.stored(counts, "anchors")
+    total, lost = counts.where("a is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "lost")]).first()
+    least = max(LEAST, total // (4 * partitions)) - lost
+    rows = counts.where(F.col("a").isNotNull() & (F.col("n") >= least)).select("a").collect()
     return np.sort(np.array([r["a"] for r in rows], np.int64).view(np.uint64))
 
 

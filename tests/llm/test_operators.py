@@ -351,3 +351,35 @@ def cut_items(text, items, window):
     for i in hit:
         gone.update(range(words[i][0], words[i + 1][0] if i + 1 in hit else words[i][1]))
     return "".join(c for i, c in enumerate(text) if i not in gone)
+
+
+def test_frequent_values_are_counted_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(suffixes.anchors, "TOGETHER", 1_000)
+    rng = np.random.default_rng(4)
+    values = np.concatenate([np.repeat(np.arange(5, dtype=np.uint64), 4_000), rng.integers(5, 1 << 40, 60_000).astype(np.uint64)])
+    rng.shuffle(values)
+    frequent = suffixes.anchors.Frequent(64)
+    for part in np.array_split(values, 97):
+        frequent.add(part)
+        assert len(frequent.values) <= 64 and frequent.size < 2_000
+    frequent.settle()
+    assert frequent.rows == len(values) and 0 < frequent.lost <= len(values) // 64
+    held = dict(zip(frequent.values.tolist(), frequent.counts.tolist()))
+    assert all(4_000 - frequent.lost <= held[v] <= 4_000 for v in range(5))
+    exact = suffixes.anchors.Frequent(64)
+    exact.add(np.repeat(np.arange(64, dtype=np.uint64), 3))
+    exact.settle()
+    assert exact.lost == 0 and exact.counts.tolist() == [3] * 64
+
+
+def test_candidates_need_no_order_of_ids(spark, rows):
+    """Runs of one anchor come in any order of ids and in batches of two rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        many = rows + [(i, rows[6][1]) for i in range(90, 40, -7)]
+        cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got(suffixes.digests(frame(spark, many).repartition(4)), *cols) == want(many, brute.op9(many, 50))
+    finally:
+        spark.conf.set(key, before)
