@@ -14,7 +14,8 @@ won by the join further left).
 
 Texts are cut into pieces by the pre-tokenizer's pattern. Single spaces between
 two non-space characters are always piece borders, so whole space-delimited
-words are looked up in a bounded memo first.
+words are looked up in a bounded memo first. The words a slice of texts adds to it
+are fed to the automaton together, a byte of each at a time.
 
 Defined results: null text is empty; empty text has no ids; special-token
 strings in a text become their ids, as the tokenizers library does by default;
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -35,8 +37,10 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-MEMO_ENTRIES = 120_000  # per generation; two generations are kept
+MEMO_ENTRIES = 240_000  # or those of the texts at hand; two generations are kept where texts come one by one
 PAIR_ENTRIES = 1_000_000
+PAIR_BITS = 21  # places for pair tests of many pieces at once
+TOGETHER, LONG = 32, 64  # so many pieces, none over so many bytes, are encoded beside each other
 
 # Fixed value: the pre-tokenizer's pattern.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -60,6 +64,46 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def hold(self, keys, values, used) -> None:
+        """Remember new keys with their values; if that is too many, of the others only the ``used`` ones."""
+        if len(self) + len(keys) > self.entries:
+            kept = {k: self[k] for k in used if k in self}
+            self.clear()
+            self.update(kept)
+            self.old = {}
+        self.update(zip(keys, values))
+
+
+
+def places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A place of 2^bits for each key."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class Lookup:
+    """Numbers by number (0 or more) in open addressing, many at once; -1: none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        at = places(keys, self.bits)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of those at one place the last one stays
+            done = self.keys[at] == keys
+            self.values[at[done]] = values[done]
+            keys, values, at = keys[~done], values[~done], (at[~done] + 1) & (len(self.keys) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = places(keys, self.bits)
+        found, out = self.keys[at], self.values[at]
+        wait = np.flatnonzero((found != keys) & (found >= 0))
+        while len(wait):
+            at[wait] = (at[wait] + 1) & (len(self.keys) - 1)
+            found, out[wait] = self.keys[at[wait]], self.values[at[wait]]
+            wait = wait[(found != keys[wait]) & (found >= 0)]
+        return out
+
 
 class Unsafe(Exception):
     """A word that cannot be cut off at its spaces."""
@@ -92,6 +136,9 @@ class Automaton:
         self.near = [0] * n  # the state itself or its first marked suffix; 0: none
         for v in sorted(range(1, n), key=self.length.__getitem__):
             self.near[v] = v if self.token[v] >= 0 else self.near[self.link[v]]
+        self.steps = Lookup(np.array([v << 8 | b for v, out in enumerate(self.next) for b in out], np.int64),
+                            np.array([w for out in self.next for w in out.values()], np.int64))
+        self.columns = [np.array(x, np.int64) for x in (self.link, self.length, self.near, self.token)]
 
     def _extend(self, at: int, b: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -159,6 +206,8 @@ class Codec:
         self.piece_memo = Memo(lambda p: np.array(self.piece(p.encode()), "<u4").tobytes())
         self.word_memo = Memo(self._word)
         self.table = [self.bytes_of.get(t, b"") for t in range(max(self.bytes_of) + 1)]
+        self.sizes = np.array(list(map(len, self.table)), np.int64)
+        self.tested = None
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens at the left (0) or right (1) edge while the token is built, each with the rank
@@ -220,8 +269,97 @@ class Codec:
             i -= len(self.table[last[i]]) if hasattr(self, "table") else len(self.bytes_of[last[i]])
         return out[::-1]
 
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_fits`` of many pairs; a place holds the last pair tested there, with its result."""
+        if self.tested is None:
+            self.tested = np.full(1 << PAIR_BITS, -1, np.int64)
+        key = left << 32 | right
+        held = self.tested[places(key, PAIR_BITS)]
+        out = (held & 1).astype(bool)
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            keys, which = np.unique(key[new], return_inverse=True)
+            fits = np.fromiter(map(self._fits, zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist())), bool, len(keys))
+            self.tested[places(keys, PAIR_BITS)] = keys << 1 | fits
+            out[new] = fits[which]
+        return out
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pieces, as ``piece`` finds them, byte by byte for all of them at once."""
+        out = [b""] * len(pieces)
+        some = []
+        for k, p in enumerate(pieces):
+            token = self.whole.get(p)
+            if token is not None:
+                out[k] = token.to_bytes(4, "little")
+            elif len(p) > LONG:
+                out[k] = np.array(self.piece(p), "<u4").tobytes()
+            else:
+                some.append(k)
+        if len(some) < TOGETHER:
+            for k in some:
+                out[k] = np.array(self.piece(pieces[k]), "<u4").tobytes()
+            return out
+        some.sort(key=lambda k: -len(pieces[k]))
+        link, length, near, mark = self.automaton.columns
+        data = np.frombuffer(b"".join(map(pieces.__getitem__, some)), np.uint8)
+        sizes = np.array([len(pieces[k]) for k in some], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        at = begin + np.arange(len(some))  # a piece has a place for each of its prefixes, the empty one too
+        last = np.zeros(len(data) + len(some), np.int64)
+        state, matched = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+        for i in range(1, int(sizes[0]) + 1):
+            n = int(np.searchsorted(-sizes, -i, "right"))  # pieces that are that long
+            b, v, m = data[begin[:n] + (i - 1)], state[:n], matched[:n]
+            step = self.automaton.steps.get(v << 8 | b)
+            wait = np.flatnonzero(step < 0)
+            while len(wait):
+                v[wait] = link[v[wait]]
+                m[wait] = length[v[wait]]
+                step[wait] = self.automaton.steps.get(v[wait] << 8 | b[wait])
+                wait = wait[step[wait] < 0]
+            v[:] = step
+            m += 1
+            u = near[np.where(m == length[v], v, link[v])]
+            wait = np.arange(n)
+            while len(wait):
+                j = i - length[u]
+                ok = j == 0
+                inner = np.flatnonzero(~ok)
+                ok[inner] = self._fit(last[at[wait[inner]] + j[inner]], mark[u[inner]])
+                last[at[wait[ok]] + i] = mark[u[ok]]
+                wait, u = wait[~ok], near[link[u[~ok]]]
+        rows, left, back = np.arange(len(some)), sizes.copy(), []
+        while len(rows):
+            token = last[at[rows] + left[rows]]
+            back.append((rows, token))
+            left[rows] -= self.sizes[token]
+            rows = rows[left[rows] > 0]
+        ends = np.cumsum(np.bincount(np.concatenate([r for r, _ in back]), minlength=len(some)))
+        ids = np.zeros(int(ends[-1]), "<u4")
+        for k, (rows, token) in enumerate(back, 1):
+            ids[ends[rows] - k] = token
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        for k, a, b in zip(some, [0, *ends], ends):
+            out[k] = raw[a:b]
+        return out
+
+    def learn(self, texts: list[str]) -> None:
+        """Remember the words of these texts; the pieces of all new ones are encoded together."""
+        words = set()
+        for text in texts:
+            words.update(text.split(" "))
+        new = [w for w in words if w not in self.word_memo and w and not w[0].isspace() and not w[-1].isspace()]
+        cut = [[" " + w] if w.isascii() and w.isalpha() else self.pattern.findall(" " + w) for w in new]
+        used = set(itertools.chain.from_iterable(cut))
+        lacking = [p for p in used if p not in self.piece_memo]
+        self.piece_memo.hold(lacking, self.pieces([p.encode() for p in lacking]), used)
+        ids = self.piece_memo.__getitem__
+        self.word_memo.hold(new, [ids(ps[0]) if len(ps) == 1 else b"".join(map(ids, ps)) for ps in cut], words)
+
     def forget(self) -> None:
         """Empty the memos (tasks do so at their end, so idle workers hold little)."""
+        self.tested = None
         for memo in (self.pairs, self.piece_memo, self.word_memo):
             memo.clear()
             memo.old = {}
@@ -271,6 +409,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
         c = codec(vocabulary)
         for batch in common.pieces(batches):
             texts = batch.column("text").to_pylist()
+            c.learn(texts)
             ids = [c.encode(t) for t in texts]
             n = np.array([len(x) // 4 for x in ids])
             at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
@@ -292,7 +431,9 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in common.pieces(batches):
-            ids = [c.encode(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            c.learn(texts)
+            ids = [c.encode(t) for t in texts]
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids]),

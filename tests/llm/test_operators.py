@@ -383,3 +383,31 @@ def test_candidates_need_no_order_of_ids(spark, rows):
         assert got(suffixes.digests(frame(spark, many).repartition(4)), *cols) == want(many, brute.op9(many, 50))
     finally:
         spark.conf.set(key, before)
+
+
+def new_words(n):
+    """Texts full of words that occur once, with awkward signs among them."""
+    r = random.Random(9)
+    signs = "abcdefghijklmnopqrstuvwxyzABCé" * 3 + "ßſĠİ中०1234.,'\n-́‍😀"
+    word = lambda: "".join(r.choice(signs) for _ in range(r.randint(1, 14))) + r.choice(["", "", "'s", "ing", ".\nNext"])
+    return [" ".join(word() for _ in range(n)) for _ in range(5)] + ["a" * 300 + " " + "be" * 400, "", " ", "ab" * 20]
+
+
+def test_new_words_are_encoded_beside_each_other(monkeypatch):
+    texts = new_words(900)
+    codec = bpe.Codec(VOCAB)
+    one = [np.array(codec.piece(p.encode()), "<u4").tobytes() for t in texts for p in codec.pattern.findall(t)]
+    assert codec.pieces([p.encode() for t in texts for p in codec.pattern.findall(t)]) == one
+    for bits, entries in ((bpe.PAIR_BITS, bpe.MEMO_ENTRIES), (4, 500)):  # pair tests and words are forgotten too
+        monkeypatch.setattr(bpe, "PAIR_BITS", bits)
+        codec.forget()
+        codec.word_memo.entries = codec.piece_memo.entries = entries
+        alone, piece = [], codec.piece
+        monkeypatch.setattr(codec, "piece", lambda data: alone.append(data) or piece(data))
+        for part in (texts[:2], texts):
+            codec.learn(part)
+        slow = len(alone)
+        assert [np.frombuffer(codec.encode(t), "<u4").tolist() for t in texts] == [
+            e.ids for e in Tokenizer.from_file(VOCAB).encode_batch(texts, add_special_tokens=False)]
+        assert slow < 20
+        monkeypatch.setattr(codec, "piece", piece)
