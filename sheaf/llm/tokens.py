@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -32,13 +33,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import byte_letters
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 500
 MEMO_ENTRIES = 200_000  # words remembered by a task; beyond it, those of the texts at hand
-TOGETHER = 2_000  # new words encoded in one call
+PIECE_ENTRIES = 40_000  # pieces of words with other signs than letters remembered by a task
+TOGETHER = 2_000  # new words cut in one call
 PIECE = 2 << 20  # bytes of text handled at once
+LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")  # letters in every version of Unicode
 
 
 class WordEncoder:
@@ -46,8 +50,9 @@ class WordEncoder:
 
     A single space between two non-space characters always starts a new piece,
     so a word with its space encodes alike everywhere. Arrow cuts the texts and numbers their
-    different words; new ones are encoded in one call, joined by single spaces (a new word begins at
-    each id whose token begins with the space letter), and a text's ids are gathered from its words'.
+    different words, and a text's ids are gathered from its words'. A new word of letters is one piece,
+    which goes to the library's model at once; other new words are cut by the library's pre-tokenizer,
+    many joined by single spaces (a new word begins at each piece that begins with the space letter).
     Texts with other white space at a word's edge or with special tokens are encoded as they are.
     """
 
@@ -58,14 +63,15 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)
-        self.opens[[t for s, t in vocab.items() if s.startswith("Ġ")]] = True  # letter of the space byte
+        self.model, self.cutter = self.tok.model, self.tok.pre_tokenizer
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
+        self.opening = self.letters[32]  # letter of the space byte
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def _keep(self, words: list[str]) -> None:
@@ -79,18 +85,39 @@ class WordEncoder:
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _cut(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of any signs."""
+        out, known = [], self.pieces
+        for at in range(0, len(words), TOGETHER):
+            some = words[at:at + TOGETHER]
+            before = len(out)
+            for piece, _ in self.cutter.pre_tokenize_str(" " + " ".join(some)):
+                ids = known.get(piece)
+                if ids is None:
+                    if len(known) >= PIECE_ENTRIES:
+                        known.clear()
+                    ids = known[piece] = self._piece(piece)
+                if piece[0] == self.opening:
+                    out.append(ids)
+                else:
+                    out[-1] = out[-1] + ids
+            if len(out) - before != len(some):
+                raise ValueError("words do not match their pieces")
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        parts, sizes = [self.ids], [self.sizes]
-        for at in range(0, len(new), TOGETHER):
-            some = new[at:at + TOGETHER]
-            ids = self._plain([" " + " ".join(some)])[0]
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(some):
-                raise ValueError("words do not match their ids")
-            parts.append(ids)
-            sizes.append(np.diff(np.append(cuts, len(ids))).astype(np.int32))
+        plain = [LETTERS.fullmatch(w) is not None for w in new]
+        text = " ".join(itertools.compress(new, plain)).encode().decode("latin-1").translate(self.letters)
+        whole = map(self._piece, map(self.opening.__add__, text.split(self.opening)))
+        cut = iter(self._cut([w for w, is_plain in zip(new, plain) if not is_plain]))
+        ids = [next(whole) if is_plain else next(cut) for is_plain in plain]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-        self.ids, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.sizes = np.concatenate([self.sizes, sizes])
 
     def _entries(self, words: list[str], used: np.ndarray) -> np.ndarray:
         """Number of each word's ids; -1 for words that are not ``used`` or have other white space at an edge."""
@@ -141,8 +168,10 @@ class WordEncoder:
         ids = np.concatenate([self.ids, *extra])
         sizes = np.concatenate([self.sizes, np.fromiter(map(len, extra), np.int32, len(extra))])
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        each = sizes[entry].astype(np.int64)
-        at = np.arange(each.sum()) + np.repeat(starts[entry] - (np.cumsum(each) - each), each)
+        each = sizes[entry]
+        ends = np.cumsum(each, dtype=np.int64)
+        at = np.repeat(starts[entry] - (ends - each), each)
+        at += np.arange(len(at))
         counts = np.bincount(row, weights=each, minlength=n).astype(np.int64)
         return ids[at], counts
 

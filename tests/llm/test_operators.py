@@ -411,3 +411,15 @@ def test_new_words_are_encoded_beside_each_other(monkeypatch):
             e.ids for e in Tokenizer.from_file(VOCAB).encode_batch(texts, add_special_tokens=False)]
         assert slow < 20
         monkeypatch.setattr(codec, "piece", piece)
+
+
+def test_new_words_go_to_the_librarys_model(monkeypatch):
+    texts = [" ".join(w.strip() or "x" for w in t.split(" ")) for t in new_words(900)]
+    enc = tokens.WordEncoder(VOCAB)
+    plain, seen = enc._plain, []
+    monkeypatch.setattr(enc, "_plain", lambda some: seen.extend(some) or plain(some))
+    monkeypatch.setattr(tokens, "PIECE_ENTRIES", 50)
+    ids, counts = enc.encode(tokens.pa.array(texts), 2)
+    want_ids = [[*e.ids, 2] for e in Tokenizer.from_file(VOCAB).encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want_ids for i in x] and counts.tolist() == list(map(len, want_ids))
+    assert sum(map(len, seen)) < 0.2 * sum(map(len, texts))  # a text's first word alone
