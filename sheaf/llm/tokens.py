@@ -19,6 +19,7 @@ no rows.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import itertools
 import os
@@ -38,142 +39,172 @@ from .bpe import byte_letters
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 500
-MEMO_ENTRIES = 200_000  # words remembered by a task; beyond it, those of the texts at hand
-PIECE_ENTRIES = 40_000  # pieces of words with other signs than letters remembered by a task
-TOGETHER = 2_000  # new words cut in one call
+PIECE_ENTRIES = 300_000  # strings remembered by a task; beyond it, the half most used and those of the texts at hand
+LONG = 64  # bytes of the longest string remembered
 PIECE = 2 << 20  # bytes of text handled at once
-LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")  # letters in every version of Unicode
+
+# Classes of a text's bytes. VAGUE: perhaps white space; OTHER: signs beyond ASCII that are not, perhaps letters.
+VAGUE, LETTER, DIGIT, SIGN, QUOTE, OTHER, BREAK, SPACE = range(8)
+KINDS = np.full(256, VAGUE, np.uint8)
+KINDS[33:127] = SIGN
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+KINDS[48:58], KINDS[39], KINDS[9:14], KINDS[32], KINDS[128:] = DIGIT, QUOTE, BREAK, SPACE, OTHER
+# By class before and after: 1, a piece of the byte-level pattern always ends there; 2, it does if the byte before is
+# the only white space there. A quote may go on with letters ('s), a space goes to what follows.
+CUTS = np.zeros((8, 8), np.uint8)
+CUTS[LETTER:OTHER + 1, BREAK:] = 1
+CUTS[LETTER, DIGIT:OTHER] = CUTS[DIGIT, [LETTER, SIGN, QUOTE]] = 1
+CUTS[SIGN, LETTER:SIGN] = CUTS[QUOTE, DIGIT] = 1
+CUTS[BREAK, LETTER:OTHER + 1] = 2
+# Where no piece ends for sure; a string between two cuts that has nothing else inside is one piece.
+JOINS = np.zeros((8, 8), bool)
+JOINS[SPACE, LETTER:OTHER] = JOINS[LETTER, LETTER] = JOINS[DIGIT, DIGIT] = JOINS[SIGN:OTHER, SIGN:OTHER] = True
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """Class of every byte of whole UTF-8 texts; the bytes of a character share theirs."""
+    out = KINDS[data]
+    if len(data) and data.max() > 127:
+        at = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))  # two bytes, U+00C0 to U+017F
+        at = at[(data[at] != 0xC3) | (data[at + 1] & 0xDF != 0x97)]  # but the signs of times and division
+        out[at] = out[at + 1] = LETTER
+        at = np.flatnonzero(data == 0xC2)
+        at = at[(data[at + 1] == 0x85) | (data[at + 1] == 0xA0)]
+        out[at] = out[at + 1] = VAGUE
+        at = np.flatnonzero((data >= 0xE1) & (data <= 0xE3))
+        a, b, c = data[at], data[at + 1], data[at + 2]
+        at = at[((a == 0xE1) & ((b == 0x9A) | (b == 0xA0))) | ((a == 0xE3) & (b == 0x80))
+                | ((a == 0xE2) & ((b == 0x81) | (b == 0x80) & ((c < 0x90) | (c >= 0xA8) & (c <= 0xAF))))]
+        out[at] = out[at + 1] = out[at + 2] = VAGUE
+    return out
+
+
+def pairs(kind: np.ndarray) -> np.ndarray:
+    """Places in the tables for every two bytes in a row."""
+    return kind[:-1] << 3 | kind[1:]
 
 
 class WordEncoder:
-    """The library's ids of whole texts, with whole words between single spaces remembered.
-
-    A single space between two non-space characters always starts a new piece,
-    so a word with its space encodes alike everywhere. Arrow cuts the texts and numbers their
-    different words, and a text's ids are gathered from its words'. A new word of letters is one piece,
-    which goes to the library's model at once; other new words are cut by the library's pre-tokenizer,
-    many joined by single spaces (a new word begins at each piece that begins with the space letter).
-    Texts with other white space at a word's edge or with special tokens are encoded as they are.
+    """The library's ids of whole texts, with strings between sure borders remembered.
+
+    Texts are cut where the byte-level pattern ends a piece whatever stands around (``CUTS``), so a string between two
+    cuts encodes alike everywhere. Arrow numbers the different strings of a slice of texts together with the
+    remembered ones, and a text's ids are gathered from its strings'. A new string of one piece goes to the library's
+    model at once, others are cut by the library's pre-tokenizer first. Long ones of several pieces, texts with special
+    tokens, and all texts if the vocabulary has another pre-tokenizer, are encoded whole. The empty string closes every text.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads hold memory
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model, self.cutter = self.tok.model, self.tok.pre_tokenizer
-        self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.opening = self.letters[32]  # letter of the space byte
+        self.cuts = (isinstance(self.cutter, pre_tokenizers.ByteLevel) and not self.cutter.add_prefix_space
+                     and self.cutter.use_regex and self.tok.normalizer is None and isinstance(self.model, models.BPE))
+        letters = byte_letters()
+        letters[255] = " "  # no byte of UTF-8
+        self.letters = "".join(letters)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(map(re.escape, self.special)).encode() if self.cuts else b"")
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32)
-
-    def _keep(self, words: list[str]) -> None:
-        """Remember these of the remembered words alone."""
-        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        starts, sizes = np.cumsum(self.sizes, dtype=np.int64) - self.sizes, self.sizes[at]
+        self.memo = pa.array([b""], pa.binary())
+        self.ids, self.sizes, self.used = np.zeros(1, np.uint32), np.ones(1, np.int32), np.zeros(1, np.int32)
+
+    def _keep(self, some: np.ndarray) -> None:
+        """Remember these of the remembered strings (in ascending order) alone."""
+        starts, sizes = np.cumsum(self.sizes, dtype=np.int64) - self.sizes, self.sizes[some]
         begins = np.cumsum(sizes, dtype=np.int64) - sizes
-        self.ids = self.ids[np.arange(sizes.sum()) + np.repeat(starts[at] - begins, sizes)]
-        self.memo, self.sizes = dict(zip(words, range(len(words)))), sizes
+        self.ids = self.ids[np.arange(sizes.sum()) + np.repeat(starts[some] - begins, sizes)]
+        self.memo, self.sizes, self.used = self.memo.take(pa.array(some)), sizes, self.used[some]
 
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece)]
 
-    def _cut(self, words: list[str]) -> list[list[int]]:
-        """The ids of words of any signs."""
-        out, known = [], self.pieces
-        for at in range(0, len(words), TOGETHER):
-            some = words[at:at + TOGETHER]
-            before = len(out)
-            for piece, _ in self.cutter.pre_tokenize_str(" " + " ".join(some)):
-                ids = known.get(piece)
-                if ids is None:
-                    if len(known) >= PIECE_ENTRIES:
-                        known.clear()
-                    ids = known[piece] = self._piece(piece)
-                if piece[0] == self.opening:
-                    out.append(ids)
-                else:
-                    out[-1] = out[-1] + ids
-            if len(out) - before != len(some):
-                raise ValueError("words do not match their pieces")
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [LETTERS.fullmatch(w) is not None for w in new]
-        text = " ".join(itertools.compress(new, plain)).encode().decode("latin-1").translate(self.letters)
-        whole = map(self._piece, map(self.opening.__add__, text.split(self.opening)))
-        cut = iter(self._cut([w for w, is_plain in zip(new, plain) if not is_plain]))
-        ids = [next(whole) if is_plain else next(cut) for is_plain in plain]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-        self.sizes = np.concatenate([self.sizes, sizes])
-
-    def _entries(self, words: list[str], used: np.ndarray) -> np.ndarray:
-        """Number of each word's ids; -1 for words that are not ``used`` or have other white space at an edge."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self._keep([w for w in words if w in self.memo])
-        entry = np.fromiter(map(self.memo.get, words, itertools.repeat(-1)), np.int32, len(words))
-        new = [i for i in np.flatnonzero((entry < 0) & used).tolist() if words[i] and words[i].strip() == words[i]]
-        entry[new] = np.arange(len(self.memo), len(self.memo) + len(new), dtype=np.int32)
-        self._learn([words[i] for i in new])
-        return entry
+    def _cut(self, string: bytes) -> list[int]:
+        """The ids of a string of several pieces."""
+        return [i for piece, _ in self.cutter.pre_tokenize_str(string.decode()) for i in self._piece(piece)]
+
+    def _learn(self, strings: pa.Array, special: bool) -> None:
+        """Put the ids of these new strings behind those of the remembered ones."""
+        if len(strings) == 0:
+            return
+        new = strings.to_pylist()
+        sizes = pa.compute.binary_length(strings).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        kind = kinds(np.frombuffer(b"".join(new), np.uint8))
+        other = np.append(~JOINS.ravel()[pairs(kind)], False)  # by the first byte of the two
+        other[ends - 1] = False
+        several = np.add.reduceat(other, ends - sizes, dtype=np.int64) > 0
+        if special:
+            several |= np.fromiter((self.whole.search(s) is not None for s in new), bool, len(new))
+        text = codecs.charmap_decode(b"\xff".join(itertools.compress(new, (~several).tolist())), "strict", self.letters)[0]
+        lists = list(map(self._piece, text.split(" "))) if not several.all() else []
+        if several.any():
+            whole = [i for i in np.flatnonzero(several).tolist()
+                     if sizes[i] > LONG or special and self.whole.search(new[i])]
+            ids = dict(zip(whole, self._plain([new[i].decode() for i in whole])))
+            one = iter(lists)
+            lists = [(ids[i] if i in ids else self._cut(s)) if is_several else next(one)
+                     for i, (s, is_several) in enumerate(zip(new, several.tolist()))]
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        more = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        self.ids, self.sizes = np.concatenate([self.ids, more]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each closed by ``end_id`` if given, and the number of each."""
-        n = len(texts)
-        lists = pa.compute.split_pattern(texts.cast(pa.large_string()), " ")
-        offsets = lists.offsets.to_numpy()
-        words = lists.flatten().dictionary_encode()
-        offsets, which = offsets - offsets[0], words.indices.to_numpy()
-        different = words.dictionary.to_pylist()
-        first_at = offsets[:-1]
-        spaced = np.ones(len(which), bool)
-        spaced[first_at] = False  # a text's first word has no space before it
-        used = np.zeros(len(different), bool)
-        used[which[spaced]] = True
-        entry = self._entries(different, used)[which]
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
-        slow = np.zeros(n, bool)
-        slow[row[spaced & (entry < 0)]] = True
-        firsts = [different[i] for i in which[first_at].tolist()]
-        slow |= np.fromiter((w[-1:].isspace() for w in firsts), bool, n)
+        if len(texts) == 0:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        data, at = common.joined(texts)
+        slow = np.full(len(texts), not self.cuts)
         for s in self.special:
             slow |= pa.compute.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        # entries of this batch after the remembered ones: texts encoded whole, first words, the end
-        whole = texts.filter(pa.array(slow)).to_pylist()
-        begin = sorted({w for w, is_slow in zip(firsts, slow.tolist()) if not is_slow})
-        extra = self._plain(whole + begin)
-        place = {w: len(self.memo) + len(whole) + k for k, w in enumerate(begin)}
-        entry[first_at] = np.where(slow, len(self.memo) + np.cumsum(slow) - 1,
-                                   np.fromiter((place.get(w, 0) for w in firsts), np.int64, n))
-        kept = ~slow[row]
-        kept[first_at] = True
-        entry, row = entry[kept], row[kept]
-        if end_id is not None:  # one more entry after those of each row
-            extra.append(np.array([end_id], np.uint32))
-            closed = np.full(len(entry) + n, len(self.memo) + len(extra) - 1, np.int32)
-            closed[np.arange(len(entry)) + row] = entry
-            entry, row = closed, np.repeat(np.arange(n, dtype=np.int32), np.bincount(row, minlength=n) + 1)
-        ids = np.concatenate([self.ids, *extra])
-        sizes = np.concatenate([self.sizes, np.fromiter(map(len, extra), np.int32, len(extra))])
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        kind = kinds(data)
+        cut = CUTS.ravel()[pairs(kind)]  # before the byte after
+        single = np.flatnonzero(cut == 2)
+        before = kind[single - 1]  # of the first byte: the last one's class, which may only spare a cut
+        cut[single] = (before >= LETTER) & (before <= OTHER)
+        cut = np.concatenate([[0], cut]) if len(data) else cut
+        for i in np.flatnonzero(slow).tolist():
+            cut[at[i]:at[i + 1]] = 0
+        cut[at[:-1][at[:-1] < len(data)]] = 0
+        inner = np.flatnonzero(cut)
+        # every text ends its last string and an empty one
+        closing = np.where(np.diff(at) > 0, 2, 1)
+        offsets = np.concatenate([[0], np.sort(np.concatenate([inner, np.repeat(at[1:], closing)]), kind="stable")])
+        strings = pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
+                                        [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+        last = np.diff(np.searchsorted(inner, at)) + closing
+        last = np.cumsum(last) - 1
+
+        if len(self.memo) > PIECE_ENTRIES:
+            self._keep(np.sort(np.append(1 + np.argsort(-self.used[1:], kind="stable")[:PIECE_ENTRIES // 2], 0)))
+            self.used //= 2
+        known = len(self.memo)
+        numbered = pa.chunked_array([self.memo, strings]).dictionary_encode().chunk(1)
+        entry = numbered.indices.to_numpy()
+        self._learn(numbered.dictionary.slice(known), bool(slow.any()))
+        self.memo = numbered.dictionary
+        starts, sizes = np.cumsum(self.sizes, dtype=np.int64) - self.sizes, self.sizes.copy()
+        self.ids[0], sizes[0] = end_id or 0, end_id is not None
         each = sizes[entry]
         ends = np.cumsum(each, dtype=np.int64)
-        at = np.repeat(starts[entry] - (ends - each), each)
-        at += np.arange(len(at))
-        counts = np.bincount(row, weights=each, minlength=n).astype(np.int64)
-        return ids[at], counts
+        places = np.repeat(starts[entry] - (ends - each), each)
+        places += np.arange(len(places))
+        ids, counts = self.ids[places], np.diff(ends[last], prepend=0)
+        self.used = np.concatenate([self.used, np.zeros(len(self.memo) - known, np.int32)])
+        self.used += np.bincount(entry, minlength=len(self.memo)) > 0
+        short = pa.compute.binary_length(self.memo).to_numpy() <= LONG
+        if not short.all():
+            self._keep(np.flatnonzero(short))
+        return ids, counts
 
 
 @functools.cache

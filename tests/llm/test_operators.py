@@ -423,3 +423,41 @@ def test_new_words_go_to_the_librarys_model(monkeypatch):
     want_ids = [[*e.ids, 2] for e in Tokenizer.from_file(VOCAB).encode_batch(texts, add_special_tokens=False)]
     assert ids.tolist() == [i for x in want_ids for i in x] and counts.tolist() == list(map(len, want_ids))
     assert sum(map(len, seen)) < 0.2 * sum(map(len, texts))  # a text's first word alone
+
+
+def test_a_word_goes_to_the_model_once_whatever_sign_follows(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeé") for _ in range(8)) for _ in range(200)]
+    texts = ["x " + " ".join(w + sign for w in words) for sign in ("", ",", ".", " 7", "###", "\nx")]
+    enc = tokens.WordEncoder(VOCAB)
+    piece, seen = enc._piece, []
+    monkeypatch.setattr(enc, "_piece", lambda p: seen.append(p) or piece(p))
+    ids, _ = enc.encode(tokens.pa.array(texts))
+    assert ids.tolist() == [i for e in Tokenizer.from_file(VOCAB).encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    assert len(seen) == len(set(seen)) < 220
+
+
+def test_texts_are_cut_where_the_library_cuts_them(monkeypatch):
+    r = random.Random(4)
+    signs = [*"abZé'.,0  \n\ts<|", *"\u0085\x1c　᠎ ’​ ×÷ßſĠİ中०́😀\x0b\x00\x7fªŉя", "'s", "'re", " 'll", "\r\n", "  ", "the ", "###"]
+    lib, enc = Tokenizer.from_file(VOCAB), tokens.WordEncoder(VOCAB)
+    monkeypatch.setattr(tokens, "PIECE_ENTRIES", 300)
+    for k, end in ((0, 2), (0, None), (6, 2), (0, 7)):  # some with special tokens
+        some = signs + ["<|endoftext|>"] * k
+        texts = ["".join(r.choice(some) for _ in range(r.choice([0, 1, 2, 5, 30, 200]))) for _ in range(300)]
+        ids, counts = enc.encode(tokens.pa.array(["before", *texts]).slice(1), end)
+        want_ids = [e.ids + [end] * (end is not None) for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for x in want_ids for i in x] and counts.tolist() == list(map(len, want_ids))
+        assert max(map(len, enc.memo.to_pylist())) <= tokens.LONG
+    assert [x.tolist() for x in enc.encode(tokens.pa.array(["", ""]), 2)] == [[2, 2], [1, 1]]
+    assert [x.tolist() for x in enc.encode(tokens.pa.array([], "string"), 2)] == [[], []]
+
+
+def test_other_pre_tokenizers_encode_texts_whole(tmp_path):
+    from tokenizers import pre_tokenizers
+    lib = Tokenizer.from_file(VOCAB)
+    lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    lib.save(str(tmp_path / "other.json"))
+    texts = ["one, two", "", "three\n\nfour's <|endoftext|>x"]
+    ids, _ = tokens.WordEncoder(str(tmp_path / "other.json")).encode(tokens.pa.array(texts))
+    assert ids.tolist() == [i for e in lib.encode_batch(texts, add_special_tokens=False) for i in e.ids]
